@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401  (imports register the queries)
     features,
+    gclogs,
 )
 from .registry import ORACLES, QUERIES
 

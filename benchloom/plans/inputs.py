@@ -222,3 +222,116 @@ NAMED_FEATURES = f"""
 named_features AS (
   SELECT user_id AS run_id, ([{_NAME_LIST}])[event_id % {len(FEATURE_NAMES)} + 1] AS feature, value
   FROM events)"""
+
+# ---- driver and collection log lines --------------------------------------------------
+#
+# One line per event, the user is the run.  The event type picks the kind of line, the
+# event's value and property fill in the numbers.
+
+_CLOCK = {"spark": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
+          "duck": "strftime(ts, '%Y-%m-%d %H:%M:%S')"}
+
+
+def _line_sql(engine: str) -> str:
+    text = (lambda x: f"cast({x} as string)") if engine == "spark" else (lambda x: f"({x})::VARCHAR")
+    cents = "cast(floor(value * 100) as bigint)"
+    k = "cast(regexp_extract(props, '([0-9]+)', 1) as int)"
+    clock = _CLOCK[engine]
+    seconds = "((day(ts) - 1) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts))"
+    stamp = (
+        f"concat(replace({clock}, ' ', 'T'), '.000+0000: ', {text(seconds)}, '.', "
+        f"lpad({text('event_id % 1000')}, 3, '0'), ': ')"
+    )
+    start = f"concat('AdaptiveSizeStart: 1.1 collection: ', {text('event_id')})"
+    k3 = f"lpad({text(k)}, 3, '0')"
+    return f"""
+      CASE event_type
+        WHEN 'view' THEN concat({stamp},
+          CASE WHEN {k} % 2 = 0 THEN '[GC (Allocation Failure) ' ELSE '[GC (Metadata GC Threshold) ' END,
+          {start})
+        WHEN 'error' THEN concat({stamp}, '[Full GC (Ergonomics) ', {start})
+        WHEN 'click' THEN concat('[PSYoungGen: ', {text(f'{cents} + 2000')}, 'K->', {text(k)}, 'K(',
+          {text(f'{cents} + 9000')}, 'K)] ', {text(f'{cents} + 5000')}, 'K->', {text(f'{k} + 2500')}, 'K(',
+          {text(f'{cents} + 20000')}, 'K), 0.', {k3}, '0000 secs] [Times: user=0.', {k3},
+          ' sys=0.01, real=0.02 secs]')
+        WHEN 'signup' THEN CASE {k} % 7
+          WHEN 0 THEN concat('PSAdaptiveSizePolicy::compute_eden_space_size limits avg_young_live: ', {text(cents)})
+          WHEN 1 THEN concat('PSAdaptiveSizePolicy::compute_eden_space_size: live_space: ', {text(cents)},
+            ' free_space: ', {text(k)}, ' minor_time: 0.', {k3}, ' major_cost: 0.5 mutator_cost: 0.25')
+          WHEN 2 THEN concat('PSAdaptiveSizePolicy::compute_old_gen_free_space limits avg_old_live: ', {text(cents)})
+          WHEN 3 THEN concat('PSAdaptiveSizePolicy::compute_old_gen_free_space: live_space: ', {text(cents)},
+            ' free_space: ', {text(k)}, ' ')
+          WHEN 4 THEN concat('new policy tenuring_thresh: ', {text(k)}, ' avg_survived_padded_avg: 1.5',
+            ' avg_promoted_padded_avg: 2.5 avg_pretenured_padded_avg: 0.', {k3})
+          WHEN 5 THEN concat('AdaptiveSizeStart: 2.2 collection: ', {text(k)}, ' ')
+          ELSE concat('AdaptiveSizePolicy::update_averages: survived: ', {text(cents)}, ' promoted: ', {text(k)},
+            ' overflow: false') END
+        ELSE concat({clock}, CASE {k} % 7
+          WHEN 0 THEN ' INFO SparkContext: Running Spark version 3'
+          WHEN 1 THEN ' INFO DAGScheduler: Got job 0 with 8 output partitions'
+          WHEN 2 THEN ' INFO SparkContext: Successfully stopped SparkContext'
+          WHEN 3 THEN ' INFO TaskSetManager: Starting task 0.0 in stage 0.0'
+          WHEN 4 THEN ' INFO TaskSetManager: Starting task 1.0 in stage 1.0'
+          WHEN 5 THEN ' INFO TaskSetManager: Finished task 0.0 in stage 0.0'
+          ELSE ' INFO BlockManagerInfo: Added rdd_0_1 in memory' END)
+      END"""
+
+
+def driver_lines(t: Tables) -> DataFrame:
+    return t.events.select(
+        F.col("user_id").alias("run_id"),
+        F.col("event_id").alias("line_no"),
+        # A generator keeps the optimizer from copying the long text expression into
+        # every test on ``line``; a log read from storage has no such expression.
+        F.explode(F.array(F.expr(_line_sql("spark")))).alias("line"),
+    )
+
+
+GC_STATE = f"""
+lines AS (SELECT user_id AS run_id, event_id AS line_no, {_line_sql("duck")} AS line FROM events),
+marked AS (
+  SELECT *, CASE WHEN opens IS NOT NULL THEN 'enter' WHEN contains(line, '[PSYoungGen') THEN 'exit' END AS marker
+  FROM (SELECT *, CASE WHEN contains(line, '[GC (Allocation') OR contains(line, '[GC (Metadata') THEN 'minor'
+                       WHEN contains(line, '[Full GC') THEN 'full' END AS opens FROM lines)),
+state AS (
+  SELECT *,
+         sum(CASE WHEN opens IS NULL THEN 0 ELSE 1 END) OVER w AS collection,
+         last_value(marker IGNORE NULLS) OVER w AS state,
+         last_value(opens IGNORE NULLS) OVER w AS gc_type,
+         coalesce(last_value(CASE WHEN opens IS NOT NULL
+           THEN rtrim(split_part(line, ' ', 2), ':')::DOUBLE END IGNORE NULLS) OVER w, 0) AS gc_time,
+         last_value(CASE WHEN opens IS NOT NULL
+           THEN strptime(split_part(line, '.', 1), '%Y-%m-%dT%H:%M:%S') END IGNORE NULLS) OVER w AS gc_clock
+  FROM marked
+  WINDOW w AS (PARTITION BY run_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+_YOUNG = "regexp_extract(line, 'PSYoungGen: ([0-9]+)K->([0-9]+)K.([0-9]+)K', {})::DOUBLE / 1000"
+_WHOLE = "regexp_extract(line, '] ([0-9]+)K->([0-9]+)K.([0-9]+)K.,', {})::DOUBLE / 1000"
+
+
+def gc_events_sql(where: str = "true", t: str = "gc_time") -> str:
+    return (
+        GC_STATE
+        + f""",
+sized AS (
+  SELECT run_id, line_no, collection, gc_type, gc_time, {t} AS t,
+         regexp_extract(line, '([0-9.]+) secs. .Times:', 1)::DOUBLE AS pause,
+         regexp_extract(line, 'user=([0-9.]+)', 1)::DOUBLE AS user_s,
+         regexp_extract(line, 'sys=([0-9.]+),', 1)::DOUBLE AS sys_s,
+         regexp_extract(line, 'real=([0-9.]+)', 1)::DOUBLE AS real_s,
+         {_YOUNG.format(1)} AS young_before, {_YOUNG.format(2)} AS young_after, {_YOUNG.format(3)} AS young_size,
+         {_WHOLE.format(1)} AS whole_before, {_WHOLE.format(2)} AS whole_after, {_WHOLE.format(3)} AS total_size
+  FROM state WHERE marker = 'exit' AND {where}),
+linked AS (
+  SELECT *, whole_before - young_before AS old_before, whole_after - young_after AS old_after,
+         total_size - young_size AS old_size,
+         young_before - coalesce(lag(young_after) OVER w, 0) AS allocation,
+         CASE WHEN gc_type = 'minor'
+              THEN (young_before - young_after) - (whole_before - whole_after) END AS promotion,
+         gc_time - coalesce(lag(gc_time) OVER w, 0) AS elapsed
+  FROM sized WINDOW w AS (PARTITION BY run_id ORDER BY line_no)),
+gc_events AS (
+  SELECT *, old_size - old_before AS old_free_before, old_size - old_after AS old_free_after,
+         allocation / nullif(elapsed, 0) AS allocation_rate, promotion / nullif(elapsed, 0) AS promotion_rate
+  FROM linked)"""
+    )
