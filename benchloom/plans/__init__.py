@@ -3,6 +3,7 @@
 from . import (  # noqa: F401  (imports register the queries)
     features,
     gclogs,
+    sources,
 )
 from .registry import ORACLES, QUERIES
 

@@ -335,3 +335,145 @@ gc_events AS (
          allocation / nullif(elapsed, 0) AS allocation_rate, promotion / nullif(elapsed, 0) AS promotion_rate
   FROM linked)"""
     )
+
+# ---- log paths, series JSON, event logs, catalogue, registry --------------------------
+
+_TAILS = (
+    "output/eventlogs/part",
+    "output/container/part",
+    "output/node/part",
+    "output/bench/part",
+    "output/driver/part",
+    "output/other/x",
+    "input/app_configs.json",
+    "input/bench_configs.yaml",
+    "input/readme",
+    "info/nodes.json",
+    "_SUCCESS",
+    "misc/file",
+)
+_TAIL_LIST = ", ".join(f"'{x}'" for x in _TAILS)
+
+
+def log_paths(t: Tables) -> DataFrame:
+    return t.documents.select(
+        F.expr(
+            f"""concat('sparkperf-app', (doc_id div 24) % 25, '-', doc_id div 24, '/',
+                       element_at(array({_TAIL_LIST}), cast(n_chars % 12 as int) + 1))"""
+        ).alias("path")
+    )
+
+
+LOG_INDEX = f"""
+log_paths AS (
+  SELECT 'sparkperf-app' || ((doc_id // 24) % 25)::VARCHAR || '-' || (doc_id // 24)::VARCHAR || '/'
+         || ([{_TAIL_LIST}])[n_chars % 12 + 1] AS path FROM documents),
+split_paths AS (
+  SELECT path, string_split(path, '/') AS s, string_split(path, '/')[1] AS log_id,
+         string_split(path, '/')[-1] AS tail FROM log_paths),
+typed AS (
+  SELECT *, CASE WHEN list_contains(s, 'output') THEN 'output' WHEN list_contains(s, 'input') THEN 'input'
+                 WHEN list_contains(s, 'info') THEN 'info' WHEN s[2] = '_SUCCESS' THEN 'success' END AS entry_type
+  FROM split_paths),
+log_index AS (
+  SELECT * FROM (
+    SELECT array_to_string(string_split(log_id, '-')[1:2], '-') AS app_id, log_id, entry_type, path,
+           CASE WHEN entry_type = 'output' THEN
+                  CASE WHEN list_contains(s, 'eventlogs') THEN 'eventlogs'
+                       WHEN list_contains(s, 'container') THEN 'container'
+                       WHEN list_contains(s, 'node') THEN 'node'
+                       WHEN list_contains(s, 'bench') THEN 'bench'
+                       WHEN list_contains(s, 'driver') THEN 'driver' END
+                WHEN entry_type = 'input' THEN
+                  CASE WHEN contains(tail, 'bench_configs') THEN 'bench_configs'
+                       WHEN contains(tail, 'configs') THEN 'app_configs' ELSE tail END
+                ELSE tail END AS name
+    FROM typed) WHERE entry_type IS NOT NULL AND name IS NOT NULL)"""
+
+
+def series_json(t: Tables) -> DataFrame:
+    """One two-sample series per event, as range-query JSON; sign-ups lack a label."""
+    label = "if(event_type = 'signup', '', concat('\"k\":\"', regexp_extract(props, '([0-9]+)', 1), '\",'))"
+    return t.events.select(
+        F.expr(
+            f"""concat('{{"metric":{{"__name__":"', event_type, '",', {label}, '"user":"', user_id,
+                       '"}},"values":[[', cast(1700000000.5D + event_id as decimal(20,1)), ',"', value,
+                       '"],[', cast(1700000001.5D + event_id as decimal(20,1)), ',"', value + 1, '"]]}}')"""
+        ).alias("json")
+    )
+
+
+def event_log_json(t: Tables) -> DataFrame:
+    return t.lineitem.select(
+        F.expr(
+            """concat('{"Event":"', if(l_returnflag = 'N', 'SparkListenerTaskEnd', 'SparkListenerStageCompleted'),
+                 '","run_id":', l_orderkey, ',"Stage Info":{"Stage ID":',
+                 l_partkey * 1000 + l_suppkey * 10 + l_linenumber,
+                 ',"Submission Time":', cast(l_quantity as bigint),
+                 ',"Completion Time":', cast(l_quantity as bigint) + l_linenumber,
+                 ',"Accumulables":[{"ID":1,"Name":"rows","Value":"', l_extendedprice, '"}]}}')"""
+        ).alias("value")
+    )
+
+
+_FAMILIES = ("m1", "m3", "m4", "m5", "m5a", "m5d", "t2", "c1", "c5", "c5d", "c5n", "z1d", "r3", "r5",
+             "r5a", "r5d", "i3", "x1", "p3", "h1")
+_SCALES = ("nano", "micro", "small", "medium", "large", "xlarge", "2xlarge", "4xlarge", "8xlarge",
+           "metal")
+_FAMILY_LIST = ", ".join(f"'{x}'" for x in _FAMILIES)
+_SCALE_LIST = ", ".join(f"'{x}'" for x in _SCALES)
+
+
+def instance_names(t: Tables) -> DataFrame:
+    """Instance types offered by the parts; some are supported by the cluster manager."""
+    return t.part.select(
+        F.col("p_partkey").alias("part_id"),
+        F.expr(
+            f"""concat(element_at(array({_FAMILY_LIST}), cast(p_partkey % {len(_FAMILIES)} as int) + 1), '.',
+                       element_at(array({_SCALE_LIST}), p_size % {len(_SCALES)} + 1))"""
+        ).alias("api_name"),
+        F.expr("p_size < 40 and p_type <> 'SMALL'").alias("supported"),
+    )
+
+
+INSTANCE_NAMES = f"""
+instance_names AS (
+  SELECT p_partkey AS part_id,
+         ([{_FAMILY_LIST}])[p_partkey % {len(_FAMILIES)} + 1] || '.' || ([{_SCALE_LIST}])[p_size % {len(_SCALES)} + 1]
+           AS api_name,
+         p_size < 40 AND p_type <> 'SMALL' AS supported
+  FROM part)"""
+
+
+def machine_type_lines(t: Tables) -> DataFrame:
+    named = F.concat(F.lit('\t\tName: "'), "api_name", F.lit('",'))
+    other = F.concat(F.lit('\t\tFamily: "'), "api_name", F.lit('",'))
+    return instance_names(t).select(F.when(F.col("supported"), named).otherwise(other).alias("line"))
+
+
+def catalog_rows(t: Tables) -> DataFrame:
+    return t.part.select(
+        F.expr("concat(split_part(p_type, ' ', 1), '.', p_partkey)").alias("API Name"),
+        F.expr("concat(p_size, '.0 GiB')").alias("Memory"),
+        F.expr("concat('$', p_retailprice, ' hourly')").alias("Linux On Demand cost"),
+        F.expr("element_at(array('Yes', 'No', 'unknown', 'N/A'), cast(p_partkey % 4 as int) + 1)").alias(
+            "Intel AVX"
+        ),
+        F.lit("Up to 10 Gigabit").alias("Network Performance"),
+    )
+
+
+def registry_json(t: Tables) -> DataFrame:
+    """One registry document per part: two phases with two dimensions each."""
+    def phase(name):
+        return f"""'"{name}":{{"input_scale":{{"bucket":"size-{name}-', p_partkey,
+          '","feature":["dataset_size"],"min_value":1,"max_value":', p_size, ',"values":[]}},',
+          '"scale_up":{{"bucket":"type-{name}-', p_partkey, '","feature":"static","target_feature":"jct",',
+          '"groupby_index":"API_Name","min_value":1,"max_value":', p_size, '}}}}'"""
+
+    return t.part.select(
+        F.expr(
+            f"""concat('{{"app-', p_partkey, '":{{"meta":{{"name":"', p_name, '","app_type":"', p_type,
+              '"}},"spec":{{', {phase("before")}, ',', {phase("after")}, '}}}}}}')"""
+        ).alias("json")
+    )
