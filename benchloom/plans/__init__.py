@@ -1,8 +1,10 @@
 """Named queries over the benchmark tables."""
 
 from . import (  # noqa: F401  (imports register the queries)
+    configs,
     features,
     gclogs,
+    results,
     sources,
 )
 from .registry import ORACLES, QUERIES

@@ -477,3 +477,119 @@ def registry_json(t: Tables) -> DataFrame:
               '"}},"spec":{{', {phase("before")}, ',', {phase("after")}, '}}}}}}')"""
         ).alias("json")
     )
+
+# ---- trial knobs ----------------------------------------------------------------------
+#
+# Eight parts form one trial; each part is one knob.
+
+_KNOB_KEYS = ("numServer", "serverType", "numClient", "clientType", "numRun", "keySize", "tenancy",
+              "logBucket")
+_KNOB_LIST = ", ".join(f"'{x}'" for x in _KNOB_KEYS)
+_KNOB_LEN = """CASE WHEN p_partkey % 8 = 4 OR p_size % 3 = 0 THEN 1 WHEN p_size % 23 = 0 THEN {base} + 1
+                    ELSE {base} END"""
+
+
+def knobs(t: Tables) -> DataFrame:
+    length = _KNOB_LEN.format(base="((p_partkey div 8) % 4 + 1)")
+    return t.part.select(
+        F.expr("concat('trial-', p_partkey div 8)").alias("trial"),
+        F.expr("if(p_partkey % 8 < 4, 'resource', if(p_partkey % 8 = 4, 'meta', 'app'))").alias("section"),
+        F.expr(f"element_at(array({_KNOB_LIST}), cast(p_partkey % 8 as int) + 1)").alias("key"),
+        F.expr(
+            f"""transform(sequence(0, cast({length} as int) - 1), i -> case
+                  when p_partkey % 8 in (1, 3) then concat('type-', (p_size + i) % 4)
+                  when p_partkey % 8 = 4 then cast(p_size % 3 + 1 as string)
+                  when p_partkey % 8 < 4 then cast((p_size + i) % 5 + 1 as string)
+                  else cast(p_size * (i + 1) as string) end)"""
+        ).alias("values"),
+    )
+
+
+KNOBS = f"""
+knobs AS (
+  SELECT 'trial-' || (p_partkey // 8)::VARCHAR AS trial,
+         CASE WHEN p_partkey % 8 < 4 THEN 'resource' WHEN p_partkey % 8 = 4 THEN 'meta' ELSE 'app' END AS section,
+         ([{_KNOB_LIST}])[p_partkey % 8 + 1] AS key,
+         list_transform(range(0, ({_KNOB_LEN.format(base="((p_partkey // 8) % 4 + 1)")})::BIGINT), lambda i: CASE
+           WHEN p_partkey % 8 IN (1, 3) THEN 'type-' || ((p_size + i) % 4)::VARCHAR
+           WHEN p_partkey % 8 = 4 THEN (p_size % 3 + 1)::VARCHAR
+           WHEN p_partkey % 8 < 4 THEN ((p_size + i) % 5 + 1)::VARCHAR
+           ELSE (p_size * (i + 1))::VARCHAR END) AS vals
+  FROM part),
+longest AS (SELECT trial, max(len(vals)) AS longest FROM knobs GROUP BY trial),
+rejected AS (SELECT trial, count(*) AS bad_knobs FROM knobs JOIN longest USING (trial)
+             WHERE len(vals) <> 1 AND len(vals) <> longest GROUP BY trial),
+cells AS (
+  SELECT trial, section, key, "row", CASE WHEN len(vals) = 1 THEN vals[1] ELSE vals["row" + 1] END AS value
+  FROM (SELECT k.*, unnest(range(0, longest))::INT AS "row" FROM knobs k JOIN longest USING (trial)
+        WHERE trial NOT IN (SELECT trial FROM rejected))),
+digests AS (SELECT trial, "row", md5(string_agg(key || '=' || value, ';' ORDER BY key || '=' || value)) AS feature_digest
+            FROM cells GROUP BY trial, "row")"""
+
+# ---- benchmark text -------------------------------------------------------------------
+
+_K = "cast(regexp_extract(props, '([0-9]+)', 1) as int)"
+
+
+def _kv_sql(text) -> str:
+    v, k = text("value"), text(_K)
+    return f"""CASE event_type
+      WHEN 'view' THEN concat('read   ', {v}, '  5.1 ', {k}, ' 90.0 95.0 100.0 110.0 ', {text('event_id')})
+      WHEN 'click' THEN concat('Total QPS = ', {v}, ' (', {k}, ' / 10.0s)')
+      WHEN 'error' THEN concat('RX ', {k}, ' bytes : ', {v}, ' MB/s')
+      WHEN 'purchase' THEN concat('TX ', {k}, ' bytes : ', {v}, ' MB/s')
+      ELSE concat('#type ', {k}) END"""
+
+
+def _http_sql(text) -> str:
+    v, k = text("value"), text(_K)
+    return f"""CASE event_type
+      WHEN 'view' THEN CASE {_K} % 4
+        WHEN 0 THEN '  Latency Distribution (HdrHistogram - Recorded Latency)'
+        WHEN 1 THEN concat(' 50.000%   ', {v}, 'ms')
+        WHEN 2 THEN concat(' 75.000%   ', {v}, 'us') ELSE concat(' 99.000%   ', {v}, 's') END
+      WHEN 'click' THEN concat('#[Mean    =  ', {v}, ', StdDeviation   =  ', {k}, '.5]')
+      WHEN 'error' THEN concat('Requests/sec:  ', {v})
+      WHEN 'purchase' THEN concat('Transfer/sec:  ', {v}, CASE {_K} % 3 WHEN 0 THEN 'KB' WHEN 1 THEN 'MB' ELSE 'GB' END)
+      ELSE 'thread calibration' END"""
+
+
+def _ingest_sql(text) -> str:
+    return f"CASE event_type WHEN 'purchase' THEN concat('Total time: ', {text('value')}, ' seconds') ELSE 'point' END"
+
+
+_TEXT = {"spark": lambda x: f"cast({x} as string)", "duck": lambda x: f"({x})::VARCHAR"}
+_FORMATS = {"kv": _kv_sql, "http": _http_sql, "ingest": _ingest_sql}
+
+
+def bench_lines(t: Tables, layout: str) -> DataFrame:
+    """Benchmark output with one line per event; the user is the run."""
+    return t.events.select(
+        F.col("user_id").alias("run_id"),
+        F.col("event_id").alias("line_no"),
+        F.explode(F.array(F.expr(_FORMATS[layout](_TEXT["spark"])))).alias("line"),
+    )
+
+
+def bench_lines_sql(layout: str) -> str:
+    return f"""bench_lines AS (
+      SELECT user_id AS run_id, event_id AS line_no, {_FORMATS[layout](_TEXT['duck'])} AS line FROM events)"""
+
+
+# ---- links ----------------------------------------------------------------------------
+#
+# Every line item is a measured link from its supplier's node to a node of its part.
+
+
+def links(t: Tables) -> DataFrame:
+    return t.lineitem.select(
+        F.col("l_linenumber").alias("run_id"),
+        F.expr("l_suppkey % 100").alias("src"),
+        F.expr("l_partkey % 100").alias("dst"),
+        F.expr("l_quantity + l_discount * 1000").alias("lat"),
+    )
+
+
+LINKS = """links AS (
+  SELECT l_linenumber AS run_id, l_suppkey % 100 AS src, l_partkey % 100 AS dst,
+         l_quantity + l_discount * 1000 AS lat FROM lineitem)"""
