@@ -145,10 +145,13 @@ def group_percentiles(
         out = df.groupBy(*keys).agg(*aggs, F.percentile(value, fractions).alias("_pcs"))
         cells = [F.col("_pcs")[i].alias(n) for i, n in enumerate(names)]
         return out.select(*[c for c in out.columns if c != "_pcs"], *cells)
+    picks = [_percentile_from_ranks(p, value, interpolation).alias(n) for n, p in probs.items()]
+    if not keys:
+        ranked = with_rank(df.filter(F.col(value).isNotNull()), keys, [value], "_rank", "_total")
+        return ranked.agg(*aggs, *picks)
     # Nulls last, so that the ranks below the non-null count are those of real samples.
     ranked = with_rank(df, keys, [F.col(value).asc_nulls_last()], "_rank")
     counts = df.groupBy(*keys).agg(F.count(value).alias("_total"), *aggs)
-    picks = [_percentile_from_ranks(p, value, interpolation).alias(n) for n, p in probs.items()]
     picked = join_null_safe(ranked.select(*keys, "_rank", value), counts, keys, "inner")
     extra = [F.first(c).alias(c) for c in counts.columns if c not in (*keys, "_total")]
     return picked.groupBy(*keys).agg(*extra, *picks)

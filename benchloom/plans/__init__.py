@@ -4,6 +4,7 @@ from . import (  # noqa: F401  (imports register the queries)
     configs,
     features,
     gclogs,
+    learning,
     results,
     sources,
 )
