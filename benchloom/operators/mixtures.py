@@ -111,7 +111,7 @@ def fit_mixtures(
 
     x = F.col("_x")
     names = [f"_{p}{j}" for j in components for p in "wmv"]
-    for step in range(iterations):
+    for _ in range(iterations):
         met = join_null_safe(rows, params, keys, "inner")
         logs = [_log_density(x, F.col(f"_w{j}"), F.col(f"_m{j}"), F.col(f"_v{j}")) for j in components]
         met = met.withColumns({f"_l{j}": e for j, e in enumerate(logs)})
@@ -136,9 +136,9 @@ def fit_mixtures(
             update[f"_m{j}"] = F.coalesce(mean, F.lit(0.0))
             update[f"_v{j}"] = F.greatest(F.coalesce(var, F.lit(1.0)), F.lit(0.0)) + F.col("_floor")
         params = sums.select(*keys, "_n", "_floor", *[update[n].alias(n) for n in names])
-        if step % 4 == 3:
-            # Cuts the lineage; the table has one row per pool.
-            params = materialize(params, "mixture-step")
+        # One row per pool.  Written out, its size is known: small ones are broadcast
+        # and the labels are not shuffled; it also cuts the lineage.
+        params = materialize(params, "mixture-step")
     final = join_null_safe(params, scale.select(*keys, "_mu", "_sd"), keys, "inner")
     cells = [
         F.struct(

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..session import hot_rows, materialize
 
+# Range partitions of one sort; beyond it partitions grow instead of their number.
+MAX_RANGE_PARTITIONS = 10_000
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join on ``keys`` where null equals null; key columns appear once."""
@@ -57,29 +60,29 @@ def _ranged_rank(df, keys, order, rank, total, parts):
     local = (
         df.repartitionByRange(parts, *keys, *order)
         .sortWithinPartitions(*keys, *order)
-        .withColumn("_mid", F.monotonically_increasing_id())
+        .withColumn("_at_mid", F.monotonically_increasing_id())
     )
     # The ids depend on the sampled range bounds: fix them before using them twice.
-    local = materialize(local, "ranged").withColumn("_pid", F.shiftright("_mid", 33))
-    starts = local.groupBy(*keys, "_pid").agg(
-        F.min("_mid").alias("_start"), F.count(F.lit(1)).alias("_rows")
+    local = materialize(local, "ranged").withColumn("_at_pid", F.shiftright("_at_mid", 33))
+    starts = local.groupBy(*keys, "_at_pid").agg(
+        F.min("_at_mid").alias("_at_start"), F.count(F.lit(1)).alias("_at_rows")
     )
     # One row per (group, partition): at most ``parts`` rows in any window group.
     group = Window.partitionBy(*keys)
-    before = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy("_at_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = starts.select(
         *keys,
-        "_pid",
-        "_start",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(group).alias("_total"),
+        "_at_pid",
+        "_at_start",
+        F.coalesce(F.sum("_at_rows").over(before), F.lit(0)).alias("_at_before"),
+        F.sum("_at_rows").over(group).alias("_at_total"),
     )
-    out = join_null_safe(local, offsets, [*keys, "_pid"], "inner").withColumn(
-        rank, F.col("_mid") - F.col("_start") + F.col("_before") + 1
+    out = join_null_safe(local, offsets, [*keys, "_at_pid"], "inner").withColumn(
+        rank, F.col("_at_mid") - F.col("_at_start") + F.col("_at_before") + 1
     )
     if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_mid", "_pid", "_start", "_before", "_total")
+        out = out.withColumn(total, F.col("_at_total"))
+    return out.drop("_at_mid", "_at_pid", "_at_start", "_at_before", "_at_total")
 
 
 def with_rank(
@@ -100,7 +103,7 @@ def with_rank(
     if hot is None:
         return _window_rank(df, keys, order, rank, total)
     hot_count = hot.agg(F.sum("_n")).first()[0]
-    parts = max(2, math.ceil(hot_count / limit))
+    parts = min(max(2, math.ceil(hot_count / limit)), MAX_RANGE_PARTITIONS)
     hot_keys = hot.drop("_n")
     if not keys:
         return _ranged_rank(df, keys, order, rank, total, parts)
