@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import join_null_safe, with_rank
+from .ranks import join_null_safe, largest_group, with_rank
 from .scans import running
 
 
@@ -26,22 +26,19 @@ def nearest(
     """
     keys = list(keys)
     numbered = with_rank(train.filter(F.col(x).isNotNull()), keys, [x, *unique], "_pos")
-    ends = numbered.groupBy(*keys, F.col(x).alias("_x")).agg(
-        F.max("_pos").alias("_end"), F.lit(False).alias("_query")
+    # Distinct values of both sides; the running row count gives the insertion point.
+    sides = train.select(*keys, F.col(x).alias("_x"), F.lit(1).alias("_n"), F.lit(False).alias("_query"))
+    asked = queries.select(*keys, F.col(x).alias("_x"), F.lit(0).alias("_n"), F.lit(True).alias("_query"))
+    values = (
+        sides.unionByName(asked)
+        .filter(F.col("_x").isNotNull())
+        .groupBy(*keys, "_x")
+        .agg(F.sum("_n").alias("_n"), F.max("_query").alias("_query"))
     )
-    asked = queries.filter(F.col(x).isNotNull()).select(
-        *keys,
-        F.col(x).alias("_x"),
-        F.lit(None).cast("bigint").alias("_end"),
-        F.lit(True).alias("_query"),
-    )
-    values = ends.unionByName(asked).groupBy(*keys, "_x").agg(
-        F.max("_end").alias("_end"), F.max("_query").alias("_query")
-    )
-    placed = running(
-        with_rank(values, keys, ["_x"], "_at"), keys, "_at", previous={"_before": F.col("_end")}
-    )
-    before = F.coalesce("_before", F.lit(0))
+    largest = largest_group(values, keys)
+    ordered = with_rank(values, keys, ["_x"], "_at", largest=largest)
+    placed = running(ordered, keys, "_at", sums={"_upto": F.col("_n")}, largest=largest)
+    before = F.col("_upto") - F.col("_n")
     candidates = placed.filter("_query").select(
         *keys,
         F.col("_x").alias("query"),
@@ -76,12 +73,16 @@ def knn_regress(
     y: str,
     unique: Sequence[str],
     k: int = 5,
-    weights: str = "uniform",
+    weights: Mapping[str, str] | str = "uniform",
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """``test`` with a ``prediction`` from its k nearest train rows."""
+    """``test`` with a ``prediction`` from its k nearest train rows.
+
+    ``weights`` may map several column names to weightings; one search serves all.
+    """
+    named = {"prediction": weights} if isinstance(weights, str) else weights
     found = nearest(train.select(*keys, *unique, x, y), test.select(*keys, x), keys, x, unique, k)
     predicted = found.groupBy(*keys, F.col("query").alias(x)).agg(
-        weighted_label(F.col(y), F.col("distance"), weights).alias("prediction")
+        *[weighted_label(F.col(y), F.col("distance"), w).alias(n) for n, w in named.items()]
     )
     return join_null_safe(test, predicted, [*keys, x], "left")

@@ -36,13 +36,13 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return sizes.agg(F.max("_n")).first()[0] or 0
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+def hot_groups(df: DataFrame, keys: Sequence[str], largest: int | None = None) -> DataFrame | None:
     """Keys of the groups above the limit, or None.
 
     With a limit of L rows there are at most rows / L of them.
     """
     limit = hot_rows(df.sparkSession)
-    if largest_group(df, keys) <= limit:
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         return None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return materialize(sizes.filter(F.col("_n") > limit), "hot-groups")
@@ -91,15 +91,17 @@ def with_rank(
     order: Sequence[Column | str],
     rank: str = "rank",
     total: str | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, and optionally the group size.
 
     ``order`` should end in a unique column so the result is deterministic.
+    ``largest`` is the size of the largest group where the caller knows it.
     """
     keys = list(keys)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     limit = hot_rows(df.sparkSession)
-    hot = hot_groups(df, keys)
+    hot = hot_groups(df, keys, largest)
     if hot is None:
         return _window_rank(df, keys, order, rank, total)
     hot_count = hot.agg(F.sum("_n")).first()[0]
@@ -142,7 +144,7 @@ def group_percentiles(
     (n - 1) * p rounded half to even).  Null values do not count as samples.
     """
     keys = list(keys)
-    if interpolation == "linear" and hot_groups(df, keys) is None:
+    if keys and interpolation == "linear" and hot_groups(df, keys) is None:
         names = list(probs)
         fractions = F.array(*[F.lit(float(probs[n])) for n in names])
         out = df.groupBy(*keys).agg(*aggs, F.percentile(value, fractions).alias("_pcs"))

@@ -23,12 +23,14 @@ def running(
     sums: Mapping[str, Column] | None = None,
     latest: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add running columns per group in ``position`` order.
 
     ``position`` is an integer unique in its group and roughly dense (a line
     number).  ``sums`` are inclusive running sums, ``latest`` the last non-null
     value up to this row, ``previous`` the last non-null value before it.
+    ``largest`` is the size of the largest group where the caller knows it.
     """
     sums, latest, previous = dict(sums or {}), dict(latest or {}), dict(previous or {})
     keys = list(keys)
@@ -37,7 +39,7 @@ def running(
         "*",
         *[e.alias(f"_in_{n}") for n, e in {**sums, **latest, **previous}.items()],
     )
-    chunked = largest_group(df, keys) > limit
+    chunked = (largest_group(df, keys) if largest is None else largest) > limit
     parts = keys
     if chunked:
         fed = fed.withColumn("_chunk", F.floor(F.col(position) / F.lit(limit)))

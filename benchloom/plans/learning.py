@@ -20,7 +20,7 @@ def _md5(seed: str, *columns: str) -> str:
 
 
 def _runs(t):
-    return t.lineitem.select(*UNIQUE, *FEATURES, Y)
+    return t.spread("lineitem").select(*UNIQUE, *FEATURES, Y)
 
 
 def _halves(t):
@@ -174,14 +174,9 @@ def model_knn(t):
     train, test = _halves(t)
     # Off-grid test values, so that neighbours lie on both sides.
     asked = test.select(*UNIQUE, (F.col(X) + F.col("l_tax")).alias(X))
-    near = _knn(train, asked, "distance").withColumnRenamed("prediction", "by_distance")
-    even = _knn(train, asked, "uniform").withColumnRenamed("prediction", "uniform")
-    out = near.join(even.drop(X), UNIQUE)
-    return out.select(*UNIQUE, r6("by_distance", 4).alias("by_distance"), r6("uniform", 4).alias("uniform"))
-
-
-def _knn(train, asked, weights):
-    return neighbours.knn_regress(train, asked, X, Y, UNIQUE, 5, weights)
+    named = {"by_distance": "distance", "uniform": "uniform"}
+    out = neighbours.knn_regress(train, asked, X, Y, UNIQUE, 5, named)
+    return out.select(*UNIQUE, *[r6(n, 4).alias(n) for n in named])
 
 
 @query("model_forest")
@@ -267,7 +262,7 @@ def prediction_sweep(t):
         spec("quantity", "price", X, Y), spec("tax", "price", "l_tax", Y),
         spec("discount", "quantity", "l_discount", X),
     )
-    tall = t.lineitem.select(*UNIQUE, F.col("l_returnflag").alias("trial"), F.inline(specs))
+    tall = t.spread("lineitem").select(*UNIQUE, F.col("l_returnflag").alias("trial"), F.inline(specs))
     out = models.prediction_sweep(tall, ["trial", "feature", "target"], UNIQUE, 0.5, "4")
     return out.select("trial", "feature", "target",
                       *[r6(c).alias(c) for c in ("linear", "best_possible", "naive")])
