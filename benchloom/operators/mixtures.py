@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import errors
 from ..session import materialize
 from .neighbours import nearest
-from .ranks import join_null_safe
+from .ranks import with_rank
 
 # Fixed value: added to every component variance.
 VARIANCE_FLOOR = 1e-6
+# Tables read in every step are cut finer, so that all cores share a small one.
+ITERATED_ROW_GROUP_MB = 8
 
 
 def leaf_vector(leaf: Column | str = "leaf") -> Column:
@@ -32,24 +35,53 @@ def leaf_samples(train: DataFrame, label: str = "label") -> DataFrame:
     return cells.groupBy("tree", "leaf", "label").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def sample_pools(test: DataFrame, samples: DataFrame) -> DataFrame:
-    """Label pool of each distinct leaf vector: all labels in its leaves, over all trees.
+def number_leaves(*frames: DataFrame) -> list[DataFrame]:
+    """Add ``pool``, one number per distinct leaf vector over all frames."""
+    vectors = reduce(DataFrame.union, [f.select("leaves") for f in frames]).distinct()
+    numbers = materialize(with_rank(vectors, [], ["leaves"], "pool"), "leaf-vectors")
+    return [f.join(numbers, "leaves") for f in frames]
 
-    Rows with the same leaf vector share one pool.  A pool of a single label
-    counts it twice.
+
+def sample_pools(test: DataFrame, train: DataFrame, label: str = "label") -> DataFrame:
+    """Label pool of each leaf vector of ``test``: ``(pool, label, copies)``.
+
+    A training label counts once for every tree in which its row shares the leaf;
+    equal labels may take several rows.  Rows with the same leaf vector share one
+    pool; a pool of one label counts it twice.  Frames come from
+    :func:`number_leaves`.
+
+    Leaves are matched between distinct leaf vectors, not between rows: a training
+    row then meets each pool once instead of once per tree.
     """
-    pools = test.select("leaves").distinct()
-    cells = pools.select("leaves", F.posexplode("leaves").alias("tree", "leaf"))
-    pooled = (
-        join_null_safe(cells, samples, ["tree", "leaf"], "inner")
-        .groupBy("leaves", "label")
-        .agg(F.sum("copies").alias("copies"))
+    def cells(df, name):
+        vectors = df.select(F.col("pool").alias(name), "leaves").distinct()
+        return vectors.select(name, F.posexplode("leaves").alias("tree", "leaf"))
+
+    shared = (
+        cells(test, "pool")
+        .join(cells(train, "vector"), ["tree", "leaf"])
+        .groupBy("pool", "vector")
+        .agg(F.count(F.lit(1)).alias("_trees"))
+    )
+    labels = train.groupBy(F.col("pool").alias("vector"), F.col(label).alias("label")).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    # Pool sizes come from the small tables.
+    held = train.groupBy(F.col("pool").alias("vector")).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = (
+        held.join(shared, "vector")
+        .groupBy("pool")
+        .agg(F.sum(F.col("_rows") * F.col("_trees")).alias("_n"))
+    )
+    weights = materialize(
+        shared.join(sizes, "pool").select(
+            "pool", "vector", F.when(F.col("_n") < 2, F.lit(2)).otherwise(F.col("_trees")).alias("_trees")
+        ),
+        "pool-weights",
+    )
+    return labels.join(weights, "vector").select(
+        "pool", "label", (F.col("_rows") * F.col("_trees")).alias("copies")
     )
-    sizes = pooled.groupBy("leaves").agg(F.sum("copies").alias("_n"))
-    sized = join_null_safe(pooled, sizes, ["leaves"], "inner")
-    return sized.withColumn(
-        "copies", F.when(F.col("_n") < 2, F.col("copies") * 2).otherwise(F.col("copies"))
-    ).drop("_n")
 
 
 def _log_density(x: Column, weight: Column, mean: Column, var: Column) -> Column:
@@ -74,12 +106,14 @@ def fit_mixtures(
     k_max = k if isinstance(k, int) else k_max
     wanted = F.lit(k) if isinstance(k, int) else F.first(k)
     copies = F.col("copies")
+    kept = [*keys, "label", "copies", *([k] if isinstance(k, str) and k not in keys else [])]
+    pools = materialize(pools.select(*kept), "pools", ITERATED_ROW_GROUP_MB)
     moments = pools.groupBy(*keys).agg(
         F.sum(copies).alias("_n"),
         F.try_divide(F.sum(F.col("label") * copies), F.sum(copies)).alias("_mu"),
         wanted.alias("_k"),
     )
-    centred = join_null_safe(pools.select(*keys, "label", "copies"), moments, keys, "inner")
+    centred = pools.join(moments, keys)
     spread = centred.groupBy(*keys).agg(
         F.sqrt(
             F.try_divide(
@@ -88,17 +122,17 @@ def fit_mixtures(
             )
         ).alias("_sd")
     )
-    scale = join_null_safe(moments, spread, keys, "inner").withColumns(
+    scale = moments.join(spread, keys).withColumns(
         {
             "_sd": F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0)),
             "_k": F.least(F.col("_k"), F.col("_n")).cast("int"),
         }
     )
     scale = materialize(scale, "pool-scale")
-    rows = join_null_safe(pools.select(*keys, "label", "copies"), scale, keys, "inner").select(
+    rows = pools.join(scale, keys).select(
         *keys, "copies", ((F.col("label") - F.col("_mu")) / F.col("_sd")).alias("_x")
     )
-    rows = materialize(rows, "pool-labels")
+    rows = materialize(rows, "pool-labels", ITERATED_ROW_GROUP_MB)
 
     components = range(k_max)
     floor = VARIANCE_FLOOR / (F.col("_sd") * F.col("_sd"))
@@ -112,7 +146,7 @@ def fit_mixtures(
     x = F.col("_x")
     names = [f"_{p}{j}" for j in components for p in "wmv"]
     for _ in range(iterations):
-        met = join_null_safe(rows, params, keys, "inner")
+        met = rows.join(params, keys)
         logs = [_log_density(x, F.col(f"_w{j}"), F.col(f"_m{j}"), F.col(f"_v{j}")) for j in components]
         met = met.withColumns({f"_l{j}": e for j, e in enumerate(logs)})
         top = F.greatest(*[F.col(f"_l{j}") for j in components]) if k_max > 1 else F.col("_l0")
@@ -139,7 +173,7 @@ def fit_mixtures(
         # One row per pool.  Written out, its size is known: small ones are broadcast
         # and the labels are not shuffled; it also cuts the lineage.
         params = materialize(params, "mixture-step")
-    final = join_null_safe(params, scale.select(*keys, "_mu", "_sd"), keys, "inner")
+    final = params.join(scale.select(*keys, "_mu", "_sd"), keys)
     cells = [
         F.struct(
             (F.col(f"_m{j}") * F.col("_sd") + F.col("_mu")).alias("mean"),
@@ -204,11 +238,9 @@ def tune_components(
 ) -> DataFrame:
     """Relative error of the nearest component for each component count, all fitted together."""
     tried = pools.withColumn("num_component", F.explode(F.array(*[F.lit(c) for c in counts])))
-    fitted = fit_mixtures(
-        tried.withColumn("_k", F.col("num_component")).withColumnRenamed("_k", "wanted"),
-        ["leaves", "num_component"], "wanted", iterations, max(counts),
-    )
-    met = join_null_safe(test.select("leaves", label), fitted, ["leaves"], "inner")
+    tried = tried.withColumn("wanted", F.col("num_component"))
+    fitted = fit_mixtures(tried, ["pool", "num_component"], "wanted", iterations, max(counts))
+    met = test.select("pool", label).join(fitted, "pool")
     return met.groupBy("num_component").agg(
         nearest_component_rmsre(F.col("mixture"), F.col(label)).alias("rmsre")
     )
@@ -224,12 +256,24 @@ def two_stage_predict(
     smaller value), so the second stage is a nearest-value join per (tree, leaf).
     Both inputs carry ``leaves``; predictions are averaged over the trees.
     """
-    spread = lambda df, *cols: df.select(
-        *cols, F.posexplode("leaves").alias("tree", "leaf"), F.col(extra).cast("double").alias("_extra")
+    # Whole leaf vectors first: rows that share vector and extra value are one from here on.
+    extra_value = F.col(extra).cast("double").alias("_extra")
+    sums = train.groupBy("leaves", extra_value).agg(
+        F.sum(label).alias("_sum"), F.count(label).alias("_rows")
     )
-    stage = spread(train, label).groupBy("tree", "leaf", "_extra").agg(F.avg(label).alias("_mean"))
-    asked = spread(test, *unique)
+    stage = (
+        sums.select(F.posexplode("leaves").alias("tree", "leaf"), "_extra", "_sum", "_rows")
+        .groupBy("tree", "leaf", "_extra")
+        .agg((F.sum("_sum") / F.sum("_rows")).alias("_mean"))
+    )
+    vectors = test.select("leaves", extra_value).distinct()
+    asked = vectors.select("leaves", "_extra", F.posexplode("leaves").alias("tree", "leaf"))
     found = nearest(stage, asked.select("tree", "leaf", "_extra"), ["tree", "leaf"], "_extra", [], 1)
     values = found.select("tree", "leaf", F.col("query").alias("_extra"), "_mean")
-    met = join_null_safe(asked, values, ["tree", "leaf", "_extra"], "inner")
-    return met.groupBy(*unique).agg(F.avg("_mean").alias("prediction"))
+    predicted = (
+        asked.join(values, ["tree", "leaf", "_extra"])
+        .groupBy("leaves", "_extra")
+        .agg(F.avg("_mean").alias("prediction"))
+    )
+    rows = test.select(*unique, "leaves", extra_value)
+    return rows.join(predicted, ["leaves", "_extra"]).select(*unique, "prediction")

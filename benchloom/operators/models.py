@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import errors, scalars
+from ..session import materialize
 from .neighbours import nearest, weighted_label
 from .ranks import join_null_safe, with_rank
 
@@ -293,20 +294,45 @@ def prediction_sweep(
     ranked = with_rank(keyed, [*specs, "x"], ["_order", *unique], "_rank", "_n")
     wanted = F.col("_n") * F.lit(float(test_size))
     both, is_test = wanted < 1, F.col("_rank") <= F.ceil(wanted)
-    split = ranked.select(*specs, "x", "y", (both | ~is_test).alias("train"), (both | is_test).alias("test"))
+    split = materialize(
+        ranked.select(*specs, "x", "y", (both | ~is_test).alias("train"), (both | is_test).alias("test")),
+        "sweep-split",
+    )
     train, test = split.filter("train"), split.filter("test")
 
-    lines = linear_through_rows(train, specs, "x", "y").filter("fit_intercept")
+    # Everything is fitted from one row per value.
     inverse = F.try_divide(F.lit(1.0), F.col("y"))
-    groups = train.groupBy(*specs, "x").agg(
-        F.try_divide(F.sum(inverse), F.sum(inverse * inverse)).alias("best_possible")
+    values = materialize(
+        train.groupBy(*specs, "x").agg(
+            F.count("y").alias("n"),
+            F.avg("y").alias("mean"),
+            F.try_divide(F.sum(inverse), F.sum(inverse * inverse)).alias("best_possible"),
+        ),
+        "sweep-values",
+    )
+    n, x = F.col("n"), F.col("x")
+    means = values.groupBy(*specs).agg(
+        F.try_divide(F.sum(x * n), F.sum(n)).alias("_mx"),
+        F.try_divide(F.sum(F.col("mean") * n), F.sum(n)).alias("naive"),
+    )
+    gap = x - F.col("_mx")
+    fitted = (
+        join_null_safe(values, means, specs, "inner")
+        .groupBy(*specs, "_mx", "naive")
+        .agg(
+            F.coalesce(
+                F.try_divide(
+                    F.sum(n * gap * (F.col("mean") - F.col("naive"))), F.sum(n * gap * gap)
+                ),
+                F.lit(0.0),
+            ).alias("_slope")
+        )
     )
-    means = train.groupBy(*specs).agg(F.avg("y").alias("naive"))
-    fitted = join_null_safe(lines, means, specs, "inner")
+    groups = values.select(*specs, "x", "best_possible")
     tested = join_null_safe(join_null_safe(test, groups, [*specs, "x"], "left"), fitted, specs, "inner")
     y = F.col("y")
     return tested.groupBy(*specs).agg(
-        errors.rmsre(y, F.col("slope") * F.col("x") + F.col("intercept")).alias("linear"),
+        errors.rmsre(y, F.col("naive") + F.col("_slope") * gap).alias("linear"),
         errors.rmsre(y, F.coalesce("best_possible", "naive")).alias("best_possible"),
         errors.rmsre(y, F.col("naive")).alias("naive"),
     )

@@ -282,8 +282,8 @@ def _leaves(t, trees=10, depth=2):
 
 
 def _pools(t):
-    train, test = _leaves(t)
-    return test, mixtures.sample_pools(test, mixtures.leaf_samples(train))
+    train, test = mixtures.number_leaves(*_leaves(t))
+    return test, mixtures.sample_pools(test, train)
 
 
 @query("leaf_samples")
@@ -306,41 +306,40 @@ def leaf_sample_join(t):
 @query("forest_sample_pool")
 def forest_sample_pool(t):
     _, pools = _pools(t)
-    return pools.select(F.array_join("leaves", ",").alias("leaves"), "label", "copies")
+    return pools
 
 
 @query("fit_mixture")
 def fit_mixture(t):
     _, pools = _pools(t)
-    fitted = mixtures.fit_mixtures(pools, ["leaves"], 2)
-    return fitted.select(F.array_join("leaves", ",").alias("leaves"), F.inline("mixture"))
+    return mixtures.fit_mixtures(pools, ["pool"], 2).select("pool", F.inline("mixture"))
 
 
 @query(
     "fit_mixture_single",
     f"""
-    SELECT {X}, l_tax, round(avg({Y}), 4) AS mean, round(var_pop({Y}) + 1e-6, 2) AS var
-    FROM lineitem GROUP BY {X}, l_tax
+    WITH cents AS (SELECT {X}, l_tax, round({Y} * 100) AS label FROM lineitem)
+    SELECT {X}, l_tax, round(avg(label), 6) AS mean, round(sqrt(var_pop(label) + 1e-6), 4) AS deviation
+    FROM cents GROUP BY {X}, l_tax
     """,
 )
 def fit_mixture_single(t):
-    out = mixtures.fit_single(_runs(t), [X, "l_tax"], Y)
-    return out.select(X, "l_tax", r6("mean", 4).alias("mean"), r6("var", 2).alias("var"))
+    # Whole cents add up exactly, whatever the order of the rows.
+    cents = t.lineitem.select(X, "l_tax", F.round(F.col(Y) * 100).alias("label"))
+    out = mixtures.fit_single(cents, [X, "l_tax"], "label")
+    return out.select(X, "l_tax", r6("mean").alias("mean"), r6(F.sqrt("var"), 4).alias("deviation"))
 
 
 @query("tree_mixture")
 def tree_mixture(t):
-    train, test = _leaves(t, trees=1)
-    pools = mixtures.sample_pools(train.unionByName(test), mixtures.leaf_samples(train))
-    return mixtures.fit_mixtures(pools, ["leaves"], 2).select(
-        F.col("leaves")[0].alias("leaf"), F.inline("mixture")
-    )
+    train, test = mixtures.number_leaves(*_leaves(t, trees=1))
+    pools = mixtures.sample_pools(train.unionByName(test), train)
+    return mixtures.fit_mixtures(pools, ["pool"], 2).select("pool", F.inline("mixture"))
 
 
 def _with_mixture(t):
     test, pools = _pools(t)
-    fitted = mixtures.fit_mixtures(pools, ["leaves"], 2)
-    return test.join(fitted, "leaves")
+    return test.join(mixtures.fit_mixtures(pools, ["pool"], 2), "pool")
 
 
 @query("mixture_proba")

@@ -58,13 +58,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", row_group_mb: int = 128) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a later step must see the same rows twice (range bounds,
-    generated ids) or where iterations would grow the lineage.
+    generated ids), where several steps read one costly result, or where
+    iterations would grow the lineage.  Row groups are the unit of later
+    parallel reads: smaller ones suit data that is read many times.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(row_group_mb << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -262,20 +262,22 @@ def test_density_helpers(spark):
 def test_leaf_pools(spark):
     train = spark.createDataFrame([([0, 5], 1.0), ([0, 6], 1.0), ([1, 6], 4.0)], "leaves array<int>, label double")
     test = spark.createDataFrame([([0, 6],), ([0, 6],), ([1, 5],)], "leaves array<int>")
-    pools = mixtures.sample_pools(test, mixtures.leaf_samples(train))
-    got = {(tuple(r.leaves), r.label): r.copies for r in pools.collect()}
+    assert {(r.tree, r.leaf, r.label): r.copies for r in mixtures.leaf_samples(train).collect()} == {
+        (0, 0, 1.0): 2, (0, 1, 4.0): 1, (1, 5, 1.0): 1, (1, 6, 1.0): 1, (1, 6, 4.0): 1,
+    }
+    numbered, asked = mixtures.number_leaves(train, test)
+    pools = mixtures.sample_pools(asked, numbered).groupBy("pool", "label").agg(F.sum("copies").alias("n"))
+    vectors = asked.select("pool", "leaves").distinct()
+    got = {(tuple(r.leaves), r.label): r.n for r in pools.join(vectors, "pool").collect()}
     assert got == {((0, 6), 1.0): 3, ((0, 6), 4.0): 1, ((1, 5), 4.0): 1, ((1, 5), 1.0): 1}
-    alone = mixtures.sample_pools(
-        spark.createDataFrame([([7],)], "leaves array<int>"),
-        spark.createDataFrame([(0, 7, 2.0, 1)], "tree int, leaf int, label double, copies bigint"),
-    )
-    assert alone.first().copies == 2
+    (one,) = mixtures.number_leaves(spark.createDataFrame([([7], 2.0)], "leaves array<int>, label double"))
+    assert mixtures.sample_pools(one, one).first().copies == 2
 
 
 def test_component_tuning_improves_with_more_components(spark):
     pools, labels = pool_rows(spark)
-    pools = pools.filter("pool = 'two'").select(F.array(F.lit(1)).alias("leaves"), "label", "copies")
-    test = spark.createDataFrame([([1], v) for p, v in labels if p == "two"], "leaves array<int>, label double")
+    pools = pools.filter("pool = 'two'").select(F.lit(1).alias("pool"), "label", "copies")
+    test = spark.createDataFrame([(1, v) for p, v in labels if p == "two"], "pool int, label double")
     got = {r.num_component: r.rmsre for r in mixtures.tune_components(test, pools, counts=(1, 2), iterations=10).collect()}
     assert got[2] < got[1]
 
