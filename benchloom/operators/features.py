@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..session import hot_rows
+from ..session import hot_rows, materialize
 from .ranks import group_percentiles, join_null_safe, with_rank
 
 # Container metrics without information, and the summary statistics.
@@ -156,6 +156,8 @@ def node_features(
 
 
 def _split_executors(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    # Features are far smaller than the samples behind them: compute them once.
+    features = materialize(features, "features")
     is_driver = F.contains("feature", F.lit("driver"))
     executors = features.filter(~is_driver).withColumns(
         {

@@ -26,6 +26,16 @@ def leaf_vector(leaf: Column | str = "leaf") -> Column:
     return F.transform(vector_to_array(leaf), lambda v: v.cast("int"))
 
 
+def with_leaves(model, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with ``leaves``, the leaf of every tree of a fitted forest.
+
+    Written out, because every later step reads them and walking the trees is the
+    costly part.
+    """
+    leafed = model.transform(rows).select(*columns, leaf_vector("leaf").alias("leaves"))
+    return materialize(leafed, "leaves", ITERATED_ROW_GROUP_MB)
+
+
 def leaf_samples(train: DataFrame, label: str = "label") -> DataFrame:
     """Training labels of each (tree, leaf), equal labels counted in ``copies``.
 

@@ -45,6 +45,15 @@ def forest(trees: int = 100, depth: int = 2, seed: int = 42, **params) -> Random
     )
 
 
+def fit(estimator, rows: DataFrame):
+    """Fit on persisted rows: estimators pass over their input several times."""
+    data = rows.select("features", "label").persist()
+    try:
+        return estimator.fit(data)
+    finally:
+        data.unpersist()
+
+
 # ---- constants as models --------------------------------------------------------------
 
 

@@ -150,7 +150,7 @@ def rank_features_by_forest(t):
 )
 def model_linear(t):
     train, test = _halves(t)
-    model = models.linear().fit(models.assemble(train, [X], Y))
+    model = models.fit(models.linear(), models.assemble(train, [X], Y))
     predicted = model.transform(models.assemble(test, [X], Y))
     return predicted.select(*UNIQUE, r6("prediction", 3).alias("prediction"))
 
@@ -182,7 +182,7 @@ def model_knn(t):
 @query("model_forest")
 def model_forest(t):
     train, test = _halves(t)
-    model = models.forest(trees=20).fit(models.assemble(train, FEATURES, Y))
+    model = models.fit(models.forest(trees=20), models.assemble(train, FEATURES, Y))
     predicted = model.transform(models.assemble(test, FEATURES, Y))
     return predicted.select(*UNIQUE, F.col("label").alias("y"), "prediction")
 
@@ -274,11 +274,9 @@ def prediction_sweep(t):
 def _leaves(t, trees=10, depth=2):
     """Train and test rows with the leaf of every tree, split on quantity."""
     train, test = _halves(t)
-    model = models.forest(trees=trees, depth=depth).fit(models.assemble(train, [X], Y))
-    leafed = lambda part: model.transform(models.assemble(part, [X], Y)).withColumn(
-        "leaves", mixtures.leaf_vector("leaf")
-    )
-    return leafed(train), leafed(test)
+    model = models.fit(models.forest(trees=trees, depth=depth), models.assemble(train, [X], Y))
+    columns = [*UNIQUE, X, "l_tax", "label"]
+    return [mixtures.with_leaves(model, models.assemble(part, [X], Y), columns) for part in (train, test)]
 
 
 def _pools(t):
