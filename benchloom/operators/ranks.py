@@ -17,6 +17,8 @@ from ..session import hot_rows, materialize
 
 # Range partitions of one sort; beyond it partitions grow instead of their number.
 MAX_RANGE_PARTITIONS = 10_000
+# Percentiles of groups up to this size are taken from a hash map in memory.
+HASHED_GROUP_ROWS = 100_000
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -144,18 +146,30 @@ def group_percentiles(
     (n - 1) * p rounded half to even).  Null values do not count as samples.
     """
     keys = list(keys)
-    if keys and interpolation == "linear" and hot_groups(df, keys) is None:
+    picks = [_percentile_from_ranks(p, value, interpolation).alias(n) for n, p in probs.items()]
+    if not keys:
+        ranked = with_rank(df.filter(F.col(value).isNotNull()), keys, [value], "_rank", "_total")
+        return ranked.agg(*aggs, *picks)
+    largest = largest_group(df, keys)
+    if interpolation == "linear" and largest <= min(HASHED_GROUP_ROWS, hot_rows(df.sparkSession)):
+        # Small groups: the built-in aggregate keeps each group's values in a hash map.
         names = list(probs)
         fractions = F.array(*[F.lit(float(probs[n])) for n in names])
         out = df.groupBy(*keys).agg(*aggs, F.percentile(value, fractions).alias("_pcs"))
         cells = [F.col("_pcs")[i].alias(n) for i, n in enumerate(names)]
         return out.select(*[c for c in out.columns if c != "_pcs"], *cells)
-    picks = [_percentile_from_ranks(p, value, interpolation).alias(n) for n, p in probs.items()]
-    if not keys:
-        ranked = with_rank(df.filter(F.col(value).isNotNull()), keys, [value], "_rank", "_total")
-        return ranked.agg(*aggs, *picks)
     # Nulls last, so that the ranks below the non-null count are those of real samples.
-    ranked = with_rank(df, keys, [F.col(value).asc_nulls_last()], "_rank")
+    order = F.col(value).asc_nulls_last()
+    if largest <= hot_rows(df.sparkSession):
+        # Sorted and spilled by the window; aggregated without another shuffle.
+        group = Window.partitionBy(*keys)
+        ranked = df.select(
+            "*",
+            F.row_number().over(group.orderBy(order)).alias("_rank"),
+            F.count(value).over(group).alias("_total"),
+        )
+        return ranked.groupBy(*keys).agg(*aggs, *picks)
+    ranked = with_rank(df, keys, [order], "_rank", largest=largest)
     counts = df.groupBy(*keys).agg(F.count(value).alias("_total"), *aggs)
     picked = join_null_safe(ranked.select(*keys, "_rank", value), counts, keys, "inner")
     extra = [F.first(c).alias(c) for c in counts.columns if c not in (*keys, "_total")]

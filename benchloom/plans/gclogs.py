@@ -100,7 +100,9 @@ def _r2(expression: str) -> str:
            count(*) AS gcf_driver_gc_count, {_r2("sum(pause::DECIMAL(20, 9))")} AS gcf_driver_gc_time,
            {_r2("avg(allocation_rate)")} AS gcf_driver_mem_allocation_rate_mean,
            {_r2("avg(promotion_rate)")} AS gcf_driver_mem_promotion_rate_mean,
-           {_r2("sum(total_size::DECIMAL(20, 6))::DOUBLE / count(*)")} AS gcf_driver_mem_usage
+           -- mean of kilobytes in whole numbers, halves up
+           ((2 * sum(round(total_size * 1000)::BIGINT) + 10 * count(*)) // (20 * count(*)))::DOUBLE / 100
+             AS gcf_driver_mem_usage
     FROM gc_events GROUP BY run_id
     """,
 )

@@ -546,8 +546,8 @@ def parse_duration_ms(t):
 @query(
     "parse_rate_mb",
     """
-    SELECT event_id, round(CASE event_type WHEN 'view' THEN value / 1024 WHEN 'click' THEN value
-                             WHEN 'error' THEN value * 1024 END, 6) AS mb
+    SELECT event_id, CASE event_type WHEN 'view' THEN value / 1024 WHEN 'click' THEN value
+                       WHEN 'error' THEN value * 1024 END AS mb
     FROM events
     """,
 )
@@ -555,7 +555,7 @@ def parse_rate_mb(t):
     text = F.expr(
         "concat(value, case event_type when 'view' then 'KB' when 'click' then 'MB' when 'error' then 'GB' else 'B' end)"
     )
-    return t.events.select("event_id", r6(scalars.parse_rate_mb(text)).alias("mb"))
+    return t.events.select("event_id", scalars.parse_rate_mb(text).alias("mb"))
 
 
 @query("run_path", "SELECT o_orderkey, o_orderstatus || '/' || o_orderpriority || '/' || o_orderkey::VARCHAR AS path FROM orders")

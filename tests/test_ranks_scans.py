@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from benchloom.operators import ranks
 from benchloom.operators.ranks import group_percentiles, with_rank
 from benchloom.operators.scans import running
 
@@ -50,7 +51,9 @@ def expected_percentile(values, p, nearest):
 
 
 @pytest.mark.parametrize("interpolation", ["linear", "nearest"])
-def test_percentiles(spark, limit, interpolation):
+@pytest.mark.parametrize("hashed", [0, 100_000])
+def test_percentiles(spark, limit, interpolation, hashed, monkeypatch):
+    monkeypatch.setattr(ranks, "HASHED_GROUP_ROWS", hashed)
     probs = {"a": 0.05, "b": 0.5, "c": 0.95}
     df = spark.createDataFrame(DATA, SCHEMA)
     out = group_percentiles(df, ["g"], "v", probs, interpolation, [F.count("v").alias("n")])
