@@ -360,7 +360,7 @@ _TAIL_LIST = ", ".join(f"'{x}'" for x in _TAILS)
 def log_paths(t: Tables) -> DataFrame:
     return t.documents.select(
         F.expr(
-            f"""concat('sparkperf-app', (doc_id div 24) % 25, '-', doc_id div 24, '/',
+            f"""concat('sweep-app', (doc_id div 24) % 25, '-', doc_id div 24, '/',
                        element_at(array({_TAIL_LIST}), cast(n_chars % 12 as int) + 1))"""
         ).alias("path")
     )
@@ -368,7 +368,7 @@ def log_paths(t: Tables) -> DataFrame:
 
 LOG_INDEX = f"""
 log_paths AS (
-  SELECT 'sparkperf-app' || ((doc_id // 24) % 25)::VARCHAR || '-' || (doc_id // 24)::VARCHAR || '/'
+  SELECT 'sweep-app' || ((doc_id // 24) % 25)::VARCHAR || '-' || (doc_id // 24)::VARCHAR || '/'
          || ([{_TAIL_LIST}])[n_chars % 12 + 1] AS path FROM documents),
 split_paths AS (
   SELECT path, string_split(path, '/') AS s, string_split(path, '/')[1] AS log_id,

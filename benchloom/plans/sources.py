@@ -348,7 +348,7 @@ def string_cast_row(t):
     parsed AS (SELECT DISTINCT app_id, log_id FROM log_index WHERE entry_type = 'success')
     SELECT app_id, log_id FROM all_logs
     WHERE (app_id, log_id) NOT IN (SELECT app_id, log_id FROM parsed)
-      AND app_id NOT IN (SELECT 'sparkperf-app' || n_nationkey::VARCHAR FROM nation WHERE n_regionkey = 1)
+      AND app_id NOT IN (SELECT 'sweep-app' || n_nationkey::VARCHAR FROM nation WHERE n_regionkey = 1)
     """,
 )
 def unparsed_logs(t):
@@ -356,6 +356,6 @@ def unparsed_logs(t):
     all_logs = index.select("app_id", "log_id").distinct()
     parsed = index.filter(F.col("entry_type") == "success").select("app_id", "log_id").distinct()
     banned = t.nation.filter(F.col("n_regionkey") == 1).select(
-        F.concat(F.lit("sparkperf-app"), "n_nationkey").alias("app_id")
+        F.concat(F.lit("sweep-app"), "n_nationkey").alias("app_id")
     )
     return gates.unparsed_logs(all_logs, parsed, banned)

@@ -93,13 +93,13 @@ def test_bipartite_zip_stops_at_the_shorter_side(spark, limit):
 
 
 def test_log_index_rules(spark):
-    root = "sparkperf-sort-001/"
+    root = "sweep-sort-001/"
     paths = ["input/app_configs.json", "input/bench_configs.yaml", "output/eventlogs/p", "output/node/p",
              "output/other/x", "info/nodes.json", "_SUCCESS", "misc/y"]
     df = spark.createDataFrame([(root + p,) for p in paths], "path string")
     got = {(r.app_id, r.log_id, r.name, r.entry_type) for r in logs.log_index(df).collect()}
     assert got == {
-        ("sparkperf-sort", "sparkperf-sort-001", n, k)
+        ("sweep-sort", "sweep-sort-001", n, k)
         for n, k in [("app_configs", "input"), ("bench_configs", "input"), ("eventlogs", "output"),
                      ("node", "output"), ("nodes.json", "info"), ("_SUCCESS", "success")]
     }
