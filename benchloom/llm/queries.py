@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, token_files, tokens
+from . import exact_dedup, line_dedup, mixing, token_files, tokens, toxicity
 from .common import shuffles, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,29 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_line_dedup", """
+    WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+    p AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM d),
+    l AS (SELECT doc_id, source, unnest(parts) AS part,
+                 generate_subscripts(parts, 1) AS pos FROM p),
+    s AS (SELECT trim(part) AS line FROM l WHERE trim(part) <> ''
+          GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+    k AS (SELECT l.doc_id, count(*) FILTER (s.line IS NOT NULL) AS gone, count(*) AS n,
+                 coalesce(string_agg(part, chr(10) ORDER BY pos)
+                          FILTER (s.line IS NULL), '') AS rest
+          FROM l LEFT JOIN s ON trim(l.part) = s.line GROUP BY l.doc_id),
+    c AS (SELECT d.doc_id, n, gone, d.text, rest, gone > 0
+                 AND length(d.text) - length(rest) <= 0.5 * length(d.text) AS cut
+          FROM d JOIN k USING (doc_id))
+    SELECT doc_id, n AS n_lines, CASE WHEN cut THEN gone ELSE 0 END AS n_removed,
+           sha256(CASE WHEN cut THEN rest ELSE text END) AS kept_sha256 FROM c""")
+def op2_line_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return line_dedup.line_dedup(docs).select(
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op4_token_files")
 def op4_token_files(spark, folder):
     place = scratch_path(spark, "token-files")
@@ -43,6 +66,96 @@ def op5_token_counts(spark, folder):
                          (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def mix_levels():
+    """Domain by the number of the source, then language, then source."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    domain = (F.when(number == "", "unknown").when(number.cast("int") < 10, "web")
+              .when(number.cast("int") < 15, "books").otherwise("code"))
+    return {"domain": domain, "language": F.col("lang"), "origin": F.col("source")}
+
+
+MIX_WEIGHTS = [{"web": 5, "books": 3, "code": 2}, {"en": 6, "de": 2}, {"src0": 2}]
+
+
+@query("op7_source_mix", """
+    WITH d AS (SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 0 ELSE
+             length(text) - length(translate(text, ' ' || chr(10), '')) + 1 END AS tokens,
+           coalesce(lang, 'unknown') AS language, coalesce(source, 'unknown') AS origin,
+           TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INT) AS k
+        FROM documents),
+    r AS MATERIALIZED (SELECT *, CASE WHEN k IS NULL THEN 'unknown' WHEN k < 10 THEN 'web'
+             WHEN k < 15 THEN 'books' ELSE 'code' END AS domain FROM d),
+    leaf AS (SELECT domain, language, origin, sum(tokens)::BIGINT AS tokens,
+                    (sum(tokens) * 3)::BIGINT AS cap FROM r GROUP BY ALL),
+    n1 AS (SELECT domain, sum(cap)::BIGINT AS cap, CASE domain WHEN 'web' THEN 5
+             WHEN 'books' THEN 3 WHEN 'code' THEN 2 ELSE 1 END AS weight,
+             (SELECT floor(sum(cap) / 3 * 0.6::DOUBLE) FROM leaf)::DOUBLE AS budget
+           FROM leaf GROUP BY domain),
+    a1 AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, domain
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS spent,
+             sum(weight) OVER (ORDER BY cap::DOUBLE / weight, domain
+               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS open FROM n1),
+    b1 AS (SELECT *, cap::DOUBLE * open <= weight::DOUBLE * (budget - spent) AS f FROM a1),
+    c1 AS (SELECT *, min(f::INT) OVER (ORDER BY cap::DOUBLE / weight, domain
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 AS sated FROM b1),
+    t1 AS (SELECT domain, CASE WHEN sated THEN cap::DOUBLE ELSE weight::DOUBLE * ((budget
+               - coalesce(sum(cap) FILTER (sated) OVER (), 0)::DOUBLE)
+               / (sum(weight) FILTER (NOT sated) OVER ())::DOUBLE) END AS budget FROM c1),
+    n2 AS (SELECT domain, language, sum(cap)::BIGINT AS cap, CASE language WHEN 'en' THEN 6
+             WHEN 'de' THEN 2 ELSE 1 END AS weight, any_value(budget) AS budget
+           FROM leaf JOIN t1 USING (domain) GROUP BY domain, language),
+    a2 AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap::DOUBLE / weight,
+               language ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS spent,
+             sum(weight) OVER (PARTITION BY domain ORDER BY cap::DOUBLE / weight, language
+               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS open FROM n2),
+    b2 AS (SELECT *, cap::DOUBLE * open <= weight::DOUBLE * (budget - spent) AS f FROM a2),
+    c2 AS (SELECT *, min(f::INT) OVER (PARTITION BY domain ORDER BY cap::DOUBLE / weight,
+               language ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 AS sated FROM b2),
+    t2 AS (SELECT domain, language, CASE WHEN sated THEN cap::DOUBLE ELSE weight::DOUBLE *
+             ((budget - coalesce(sum(cap) FILTER (sated) OVER (PARTITION BY domain), 0)::DOUBLE)
+             / (sum(weight) FILTER (NOT sated) OVER (PARTITION BY domain))::DOUBLE) END AS budget
+           FROM c2),
+    n3 AS (SELECT domain, language, origin, tokens, cap, CASE origin WHEN 'src0' THEN 2
+             ELSE 1 END AS weight, budget FROM leaf JOIN t2 USING (domain, language)),
+    a3 AS (SELECT *, coalesce(sum(cap) OVER (PARTITION BY domain, language
+               ORDER BY cap::DOUBLE / weight, origin
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS spent,
+             sum(weight) OVER (PARTITION BY domain, language ORDER BY cap::DOUBLE / weight,
+               origin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS open
+           FROM n3),
+    b3 AS (SELECT *, cap::DOUBLE * open <= weight::DOUBLE * (budget - spent) AS f FROM a3),
+    c3 AS (SELECT *, min(f::INT) OVER (PARTITION BY domain, language
+               ORDER BY cap::DOUBLE / weight, origin
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 AS sated FROM b3),
+    t3 AS (SELECT domain, language, origin, tokens, floor(CASE WHEN sated THEN cap::DOUBLE
+             ELSE weight::DOUBLE * ((budget - coalesce(sum(cap) FILTER (sated)
+               OVER (PARTITION BY domain, language), 0)::DOUBLE)
+             / (sum(weight) FILTER (NOT sated) OVER (PARTITION BY domain, language))::DOUBLE)
+             END)::BIGINT AS target FROM c3),
+    e AS (SELECT *, CASE WHEN tokens > 0 THEN target // tokens ELSE 0 END AS whole,
+                 target - CASE WHEN tokens > 0 THEN target // tokens ELSE 0 END * tokens AS rest
+          FROM t3),
+    o AS (SELECT r.doc_id, domain, language, origin, r.tokens, whole, rest,
+                 sum(r.tokens) OVER (PARTITION BY domain, language, origin
+                   ORDER BY md5('mix:' || whole || ':' || doc_id)) AS upto
+          FROM r JOIN e USING (domain, language, origin))
+    SELECT doc_id, domain, language, origin, tokens,
+           whole + (upto <= rest)::INT AS epochs FROM o""")
+def op7_source_mix(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"), mix_levels(), MIX_WEIGHTS, share=0.6,
+                      max_epochs=3, seed="mix").withColumnRenamed("id", "doc_id")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where(~toxicity.held_out("doc_id"))
+    model = toxicity.train(docs, labels)
+    return (docs.withColumn("score", model.score(F.col("text")))
+            .select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+                    (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
 @query("op10_exact_dedup", """
     WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
     g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size
