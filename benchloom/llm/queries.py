@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, line_dedup, mixing, token_files, tokens, toxicity
+from . import exact_dedup, jaccard_join, line_dedup, mixing, token_files, tokens, toxicity
 from .common import shuffles, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,12 @@ def op8_toxicity(spark, folder):
                     (F.col("score") >= 0.3).cast("int").alias("predicted")))
 
 
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark, folder):
+    return (jaccard_join.jaccard_join(table(spark, folder, "documents"))
+            .withColumnRenamed("id", "doc_id"))
+
+
 @query("op10_exact_dedup", """
     WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
     g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size
