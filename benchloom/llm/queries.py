@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, jaccard_join, line_dedup, mixing, token_files, tokens, toxicity
+from . import embedding_dedup, exact_dedup, jaccard_join, line_dedup, mixing, token_files, tokens, toxicity
 from .common import shuffles, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,26 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_embedding_dedup", """
+    WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        AND list_cosine_similarity(a.e, b.e) >= 0.98),
+    r AS (WITH RECURSIVE t(a, b) AS (SELECT a, b FROM p UNION
+            SELECT t.a, p.b FROM t JOIN p ON t.b = p.a) SELECT a, min(b) AS low FROM t GROUP BY a),
+    n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links,
+           least(vec_id, coalesce(low, vec_id)) AS component_id,
+           vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+    FROM embeddings LEFT JOIN r ON r.a = vec_id LEFT JOIN n ON n.a = vec_id""")
+def op1_embedding_dedup(spark, folder):
+    return (embedding_dedup.embedding_dedup(table(spark, folder, "embeddings"))
+            .withColumnRenamed("id", "vec_id"))
+
+
 @query("op2_line_dedup", """
     WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
     p AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM d),
