@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import embedding_dedup, exact_dedup, jaccard_join, line_dedup, mixing, token_files, tokens, toxicity
+from . import embedding_dedup, exact_dedup, jaccard_join, line_dedup, mixing, suffix_dedup, token_files, tokens, toxicity
 from .common import shuffles, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,12 @@ def op5_token_counts(spark, folder):
                          (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark, folder):
+    return (suffix_dedup.suffix_dedup(table(spark, folder, "documents"))
+            .withColumnRenamed("id", "doc_id"))
+
+
 def mix_levels():
     """Domain by the number of the source, then language, then source."""
     number = F.regexp_extract("source", "([0-9]+)$", 1)
