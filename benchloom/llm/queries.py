@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import embedding_dedup, exact_dedup, jaccard_join, line_dedup, mixing, suffix_dedup, token_files, tokens, toxicity
+from . import embedding_dedup, exact_dedup, jaccard_join, line_dedup, mixing, pieces, suffix_dedup, token_files, tokens, toxicity
 from .common import shuffles, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,13 @@ def op2_line_dedup(spark, folder):
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query("op3_pieces")
+def op3_pieces(spark, folder):
+    encoded = pieces.encode_pieces(table(spark, folder, "documents"),
+                                   public_tokenizers.path("piece_bpe_32k.model"), check=True)
+    return encoded.withColumnRenamed("id", "doc_id")
+
+
 @query("op4_token_files")
 def op4_token_files(spark, folder):
     place = scratch_path(spark, "token-files")
