@@ -195,6 +195,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     2. Band hashes are shuffled; a band seen in several representatives ties them to the
        smallest one, and connected ties make a cluster.  Bands are chosen so that a pair at
        the threshold meets with chance ``recall``; every link lies inside a cluster.
+    No side of these joins has a size bound, so all are sort-merge joins at every size.
     3. Texts of clusters are shuffled once.  Inside a cluster all pairs are compared on full
        n-gram sets by block products; large clusters are cut into parts of bounded bytes,
        each pair of parts in its own task.  Links leave a block as counts, never as pairs.
@@ -212,7 +213,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     classes = store(members.where("NOT alone").groupBy("digest")
                     .agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     sketched = store(
-        base.join(classes.select(F.col("rep").alias("id")).distinct(), "id")
+        base.join(classes.select(F.col("rep").alias("id")).distinct().hint("merge"), "id")
         .select(F.col("id").alias("rep"), "text")
         .mapInArrow(_sketch(bands, rows, words), "rep bigint, size bigint, bands array<bigint>"),
         "sketches")
@@ -220,7 +221,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     tops = spread(banded.groupBy("band", "value").agg(F.min("rep").alias("top"),
                                                       F.max("rep").alias("last"))
                   .where("top < last").drop("last"))
-    ties = (banded.join(tops, ["band", "value"]).where("rep <> top")
+    ties = (banded.join(tops.hint("merge"), ["band", "value"]).where("rep <> top")
             .select("rep", "top").distinct())
     clusters = (components(ties, "rep", "top").withColumnRenamed("node", "rep")
                 .join(sketched.select("rep", "size"), "rep")
@@ -231,7 +232,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
         F.ceil(F.sum(F.col("size") + BLOCK_BYTES // 2048) / BLOCK_BYTES).cast("int")
         .alias("chunks")))
     placed = pair_blocks(clusters.join(chunks, "component"), F.col("rep"), F.col("chunks"))
-    inside = (placed.select("rep", "copies", "component", "part", "lo", "hi")
+    inside = (placed.select("rep", "copies", "component", "part", "lo", "hi").hint("merge")
               .join(base.withColumnRenamed("id", "rep"), "rep"))
     found = store(inside.groupBy("component", "lo", "hi").applyInPandas(
         lambda g: _links_of(g, threshold, words), "rep bigint, links bigint, near bigint"),
