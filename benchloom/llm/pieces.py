@@ -251,7 +251,7 @@ class Encoder:
     def _encode(self, words: list[str]) -> list[bytes]:
         short = sorted(w for w in words if len(w) <= self.LONG)
         found = {w: array("i", i).tobytes()
-                 for w, i in zip(short, self.trellis.sorted_words(short))}
+                 for w, i in zip(short, list(self.trellis.sorted_words(short)))}
         found.update((w, array("i", self.trellis.feed(w) + self.trellis.finish()).tobytes())
                      for w in words if len(w) > self.LONG)
         return [found[w] for w in words]
