@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import batches, store
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
 MAX_TRAIN = 16_000      # labelled rows the classifier is fitted on, at most
 FEATURES = 4096         # buckets with the most certain ratios get a weight
 SEGMENT = 1 << 18       # characters handled at once
+BATCH_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -56,7 +57,7 @@ def present(texts: list[str | None], keep: np.ndarray) -> tuple[np.ndarray, np.n
                 inside = piece[: len(bucket)] == piece[n - 1:]
                 inside &= codes[: len(bucket)] != 0
                 at = np.flatnonzero(keep[bucket] & inside)
-                found.append(row[piece[at]] * BUCKETS + bucket[at])
+                found.append(np.unique(row[piece[at]] * BUCKETS + bucket[at]))
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pairs // BUCKETS, pairs % BUCKETS
 
@@ -121,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS + 1), np.int64)
         every = np.ones(BUCKETS, bool)
-        for part in parts:
+        for part in batches(parts, "text", BATCH_BYTES):
             label = part.column("label").to_numpy()
             row, bucket = present(part.column("text").to_pylist(), every)
             for k in (0, 1):
@@ -149,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     place[chosen] = np.arange(len(chosen))
 
     def features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in batches(parts, "text", BATCH_BYTES):
             row, bucket = present(part.column("text").to_pylist(), place >= 0)
             ends = np.searchsorted(row, np.arange(part.num_rows + 1))
             lists = [place[bucket[a:b]].astype("<i4").tobytes() for a, b in zip(ends, ends[1:])]
