@@ -34,7 +34,7 @@ def fill(children: DataFrame, parent: list[str], child: list[str]) -> DataFrame:
     children sorted by capacity per weight are full up to the first one that is not.
     """
     order = Window.partitionBy(*parent).orderBy(
-        (F.col("cap").cast("double") / F.col("weight")).asc_nulls_last(), *child)
+        F.try_divide(F.col("cap").cast("double"), "weight").asc_nulls_last(), *child)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy(*parent)
@@ -45,10 +45,10 @@ def fill(children: DataFrame, parent: list[str], child: list[str]) -> DataFrame:
     return (children.withColumn("full", full)
             .withColumn("full", F.min(F.col("full").cast("int")).over(
                 order.rowsBetween(Window.unboundedPreceding, 0)) == 1)
-            .withColumn("level", (
+            .withColumn("level", F.try_divide(
                 F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(whole),
-                                             F.lit(0)).cast("double"))
-                / F.sum(F.when(~F.col("full"), F.col("weight"))).over(whole).cast("double"))
+                                             F.lit(0)).cast("double"),
+                F.sum(F.when(~F.col("full"), F.col("weight"))).over(whole).cast("double")))
             .withColumn("target", F.when(F.col("full"), F.col("cap").cast("double"))
                         .when(F.col("weight") > 0, F.col("weight").cast("double") * F.col("level"))
                         .otherwise(0.0))

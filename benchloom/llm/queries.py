@@ -29,8 +29,8 @@ def query(name: str, sql: str | None = None):
 @query("op1_embedding_dedup", """
     WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
         WHERE label IS NOT NULL AND embedding IS NOT NULL
-          AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-          AND len(list_filter(embedding, x -> x <> 0)) > 0),
+          AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+          AND len([x FOR x IN embedding IF x <> 0]) > 0),
     p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
         ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
         AND list_cosine_similarity(a.e, b.e) >= 0.98),
