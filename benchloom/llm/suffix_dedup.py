@@ -38,7 +38,7 @@ SEED = 20
 SEEDS = LENGTH - SEED + 1    # seeds in a window, and windows in a run at most
 LOT = 2 << 20
 BLOCK = 1 << 20              # positions hashed at once; below 2 ** 22
-HOT = 256
+HOT = 4096             # lots; 2 to 300 runs of 64 bytes in each meet in one task below it
 BUCKET_BYTES = 32 << 20      # bytes of corpus per task that compares seeds or runs
 _LOW = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15
