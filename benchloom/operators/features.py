@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..session import hot_rows, materialize
+from ..session import materialize
 from .ranks import group_percentiles, join_null_safe, with_rank
 
 # Container metrics without information, and the summary statistics.
@@ -214,21 +214,23 @@ def job_completion_time(stages: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``jct`` is the second-last completion minus the first one (null with fewer
     than two stages), ``full_jct`` the last completion minus the first submission.
     """
-    # Two levels keep every collected array bounded: stages of one chunk first.
-    chunk = F.floor(F.col("stage_id") / F.lit(min(hot_rows(stages.sparkSession), 10_000)))
-    top2 = lambda times: F.slice(F.sort_array(times, asc=False), 1, 2)
-    chunks = stages.groupBy(*keys, chunk.alias("_chunk")).agg(
-        top2(F.collect_list("completed")).alias("_top"),
-        F.min("completed").alias("_first"),
-        F.min("submitted").alias("_submitted"),
+    # Equal completions are counted first: a run has one row per distinct time.
+    times = stages.groupBy(*keys, "completed").agg(
+        F.count("completed").alias("_n"), F.min("submitted").alias("_submitted")
     )
-    runs = chunks.groupBy(*keys).agg(
-        top2(F.flatten(F.collect_list("_top"))).alias("_top"),
-        F.min("_first").alias("_first"),
+    runs = times.groupBy(*keys).agg(
+        F.max("completed").alias("_last"),
+        F.max_by("_n", "completed").alias("_n_last"),
+        F.min("completed").alias("_first"),
         F.min("_submitted").alias("_submitted"),
     )
-    return runs.select(
+    below = join_null_safe(times, runs.select(*keys, "_last"), keys, "inner")
+    below = below.filter(F.col("completed") < F.col("_last")).groupBy(*keys).agg(
+        F.max("completed").alias("_below")
+    )
+    second = F.when(F.col("_n_last") > 1, F.col("_last")).otherwise(F.col("_below"))
+    return join_null_safe(runs, below, keys, "left").select(
         *keys,
-        (F.get("_top", 1) - F.col("_first")).alias("jct"),
-        (F.get("_top", 0) - F.col("_submitted")).alias("full_jct"),
+        (second - F.col("_first")).alias("jct"),
+        (F.col("_last") - F.col("_submitted")).alias("full_jct"),
     )

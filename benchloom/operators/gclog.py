@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import join_null_safe, largest_group
+from .ranks import join_null_safe
 from .scans import running
 
 _SIZES = r"([0-9]+)K->([0-9]+)K\(([0-9]+)K\)"
@@ -75,7 +75,7 @@ def _log_clock() -> Column:
 
 
 def collection_state(
-    lines: DataFrame, keys: Sequence[str], largest: int | None = None
+    lines: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """Number, type and start time of the collection each line belongs to.
 
@@ -103,7 +103,6 @@ def collection_state(
         "line_no",
         sums={"collection": F.when(enter, 1).otherwise(0).cast("bigint")},
         latest={"state": F.col("marker"), "_opened": F.when(enter, opened)},
-        largest=largest,
     )
     return state.select(
         "*",
@@ -127,8 +126,7 @@ def gc_events(
     reads collections that open and close on one line.
     """
     # The longest log bounds its events too, so the raw lines are counted once.
-    largest = largest_group(lines, keys)
-    state = collection_state(lines, keys, largest)
+    state = collection_state(lines, keys)
     closes = F.col("marker") == "exit"
     if one_line:
         closes = closes | ((F.col("marker") == "enter") & _has("[PSYoungGen"))
@@ -173,7 +171,6 @@ def gc_events(
         keys,
         "line_no",
         previous={"_prev": F.struct(F.col("young_after").alias("young"), F.col("gc_time").alias("time"))},
-        largest=largest,
     )
     elapsed = F.col("gc_time") - F.coalesce(F.col("_prev.time"), F.lit(0.0))
     return linked.withColumns(
@@ -280,8 +277,7 @@ def task_pending(lines: DataFrame, keys: Sequence[str], by_collection: bool = Fa
     ``t`` is seconds since the first collection, never before the latest one;
     null ahead of the first collection.
     """
-    largest = largest_group(lines, keys)
-    state = collection_state(lines, keys, largest)
+    state = collection_state(lines, keys)
     outside = F.col("marker").isNull() & (F.coalesce("state", F.lit("exit")) == "exit")
     starting = outside & _has("TaskSetManager") & _has("Starting")
     finished = outside & ~starting & _has("TaskSetManager") & _has("Finished")
@@ -304,7 +300,6 @@ def task_pending(lines: DataFrame, keys: Sequence[str], by_collection: bool = Fa
             "started": flag(is_kind("start")),
             "finished": flag(is_kind("finish")),
         },
-        largest=largest,
     )
     joined = join_null_safe(counted, began, keys, "left")
     since = F.timestamp_diff("SECOND", F.col("_began"), _log_clock()).cast("double")

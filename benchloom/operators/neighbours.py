@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import join_null_safe, largest_group, with_rank
+from .ranks import join_null_safe, with_rank
 from .scans import running
 
 
@@ -35,9 +35,8 @@ def nearest(
         .groupBy(*keys, "_x")
         .agg(F.sum("_n").alias("_n"), F.max("_query").alias("_query"))
     )
-    largest = largest_group(values, keys)
-    ordered = with_rank(values, keys, ["_x"], "_at", largest=largest)
-    placed = running(ordered, keys, "_at", sums={"_upto": F.col("_n")}, largest=largest)
+    ordered = with_rank(values, keys, ["_x"], "_at")
+    placed = running(ordered, keys, "_at", sums={"_upto": F.col("_n")})
     before = F.col("_upto") - F.col("_n")
     candidates = placed.filter("_query").select(
         *keys,

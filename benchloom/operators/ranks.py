@@ -1,24 +1,18 @@
-"""Exact ranks and percentiles per group, safe for groups of any size.
+"""Exact ranks and percentiles per group, the same way for groups of any size.
 
-Groups up to the row limit use a window or the built-in exact percentile.
-Larger groups are range-partitioned by the sort order, so that one group spans
-many tasks, and the per-partition row counts turn local positions into ranks.
+Rows are range-partitioned by group and order, so that a group of any size spans as many
+tasks as it needs and small groups share one.  The partitions are written once: their
+number of rows per group turns local positions into ranks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import hot_rows, materialize
-
-# Range partitions of one sort; beyond it partitions grow instead of their number.
-MAX_RANGE_PARTITIONS = 10_000
-# Percentiles of groups up to this size are taken from a hash map in memory.
-HASHED_GROUP_ROWS = 100_000
+from ..session import materialize
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -32,35 +26,35 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group (one partial-aggregate job over the key columns)."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.max("_n")).first()[0] or 0
+def _before(parts: DataFrame, keys: Sequence[str], amount: str, before: str, total: str):
+    """Per group and partition: what the group's earlier partitions hold, and the whole group."""
+    # One row per (group, partition): a group crosses partition borders only where it is large.
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_at_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumns(
+        {
+            before: F.coalesce(F.sum(amount).over(earlier), F.lit(0)),
+            total: F.sum(amount).over(group),
+        }
+    )
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], largest: int | None = None) -> DataFrame | None:
-    """Keys of the groups above the limit, or None.
+def with_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    rank: str = "rank",
+    total: str | None = None,
+) -> DataFrame:
+    """Add the 1-based position of each row in its group, and optionally the group size.
 
-    With a limit of L rows there are at most rows / L of them.
+    ``order`` must end in a unique column: it makes the result deterministic and lets
+    range partitioning split rows that are equal otherwise.
     """
-    limit = hot_rows(df.sparkSession)
-    if (largest_group(df, keys) if largest is None else largest) <= limit:
-        return None
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return materialize(sizes.filter(F.col("_n") > limit), "hot-groups")
-
-
-def _window_rank(df, keys, order, rank, total):
-    group = Window.partitionBy(*keys)
-    out = df.withColumn(rank, F.row_number().over(group.orderBy(*order)).cast("bigint"))
-    if total:
-        out = out.withColumn(total, F.count(F.lit(1)).over(group))
-    return out
-
-
-def _ranged_rank(df, keys, order, rank, total, parts):
+    keys = list(keys)
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
     local = (
-        df.repartitionByRange(parts, *keys, *order)
+        df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_at_mid", F.monotonically_increasing_id())
     )
@@ -69,16 +63,7 @@ def _ranged_rank(df, keys, order, rank, total, parts):
     starts = local.groupBy(*keys, "_at_pid").agg(
         F.min("_at_mid").alias("_at_start"), F.count(F.lit(1)).alias("_at_rows")
     )
-    # One row per (group, partition): at most ``parts`` rows in any window group.
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("_at_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = starts.select(
-        *keys,
-        "_at_pid",
-        "_at_start",
-        F.coalesce(F.sum("_at_rows").over(before), F.lit(0)).alias("_at_before"),
-        F.sum("_at_rows").over(group).alias("_at_total"),
-    )
+    offsets = _before(starts, keys, "_at_rows", "_at_before", "_at_total").drop("_at_rows")
     out = join_null_safe(local, offsets, [*keys, "_at_pid"], "inner").withColumn(
         rank, F.col("_at_mid") - F.col("_at_start") + F.col("_at_before") + 1
     )
@@ -87,49 +72,20 @@ def _ranged_rank(df, keys, order, rank, total, parts):
     return out.drop("_at_mid", "_at_pid", "_at_start", "_at_before", "_at_total")
 
 
-def with_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    rank: str = "rank",
-    total: str | None = None,
-    largest: int | None = None,
-) -> DataFrame:
-    """Add the 1-based position of each row in its group, and optionally the group size.
-
-    ``order`` should end in a unique column so the result is deterministic.
-    ``largest`` is the size of the largest group where the caller knows it.
-    """
-    keys = list(keys)
-    order = [F.col(c) if isinstance(c, str) else c for c in order]
-    limit = hot_rows(df.sparkSession)
-    hot = hot_groups(df, keys, largest)
-    if hot is None:
-        return _window_rank(df, keys, order, rank, total)
-    hot_count = hot.agg(F.sum("_n")).first()[0]
-    parts = min(max(2, math.ceil(hot_count / limit)), MAX_RANGE_PARTITIONS)
-    hot_keys = hot.drop("_n")
-    if not keys:
-        return _ranged_rank(df, keys, order, rank, total, parts)
-    cold = _window_rank(join_null_safe(df, hot_keys, keys, "left_anti"), keys, order, rank, total)
-    spread = _ranged_rank(
-        join_null_safe(df, hot_keys, keys, "left_semi"), keys, order, rank, total, parts
-    )
-    return cold.unionByName(spread)
-
-
-def _at_rank(position: Column, value: str) -> Column:
-    return F.max(F.when(F.col("_rank") == position + 1, F.col(value)))
+def _percentile(p: float, value: str, interpolation: str) -> Column:
+    """The percentile of a group whose rows are distinct values with their first rank."""
+    exact = (F.col("_total") - 1) * F.lit(float(p))
 
+    def at(position: Column) -> Column:
+        held = (F.col("_first") <= position) & (position < F.col("_first") + F.col("_n"))
+        return F.max(F.when(held, F.col(value)))
 
-def _percentile_from_ranks(p: float, value: str, interpolation: str) -> Column:
-    exact = (F.col("_total") - 1) * F.lit(float(p))
     if interpolation == "nearest":
-        return _at_rank(F.bround(exact), value)
-    low = _at_rank(F.floor(exact), value)
-    high = _at_rank(F.ceil(exact), value)
+        return at(F.bround(exact))
+    low, high = at(F.floor(exact)), at(F.ceil(exact))
     share = F.max(exact - F.floor(exact))
-    return low * (1 - share) + high * share
+    # equal ends are the answer themselves: infinities must not meet a zero share
+    return F.when(low == high, low).otherwise(low * (1 - share) + high * share)
 
 
 def group_percentiles(
@@ -143,34 +99,37 @@ def group_percentiles(
     """Exact percentiles of ``value`` per group, together with any other aggregates.
 
     ``interpolation`` is ``linear`` or ``nearest`` (the sample whose index is
-    (n - 1) * p rounded half to even).  Null values do not count as samples.
+    (n - 1) * p rounded half to even).  Null values do not count as samples; the other
+    aggregates see every row.  Without keys there is one row, also for an empty frame.
+
+    Equal values are counted before anything is sorted, so a value that fills most of a
+    group is one row.  The distinct values are range-partitioned by group and value.
     """
-    keys = list(keys)
-    picks = [_percentile_from_ranks(p, value, interpolation).alias(n) for n, p in probs.items()]
-    if not keys:
-        ranked = with_rank(df.filter(F.col(value).isNotNull()), keys, [value], "_rank", "_total")
-        return ranked.agg(*aggs, *picks)
-    largest = largest_group(df, keys)
-    if interpolation == "linear" and largest <= min(HASHED_GROUP_ROWS, hot_rows(df.sparkSession)):
-        # Small groups: the built-in aggregate keeps each group's values in a hash map.
-        names = list(probs)
-        fractions = F.array(*[F.lit(float(probs[n])) for n in names])
-        out = df.groupBy(*keys).agg(*aggs, F.percentile(value, fractions).alias("_pcs"))
-        cells = [F.col("_pcs")[i].alias(n) for i, n in enumerate(names)]
-        return out.select(*[c for c in out.columns if c != "_pcs"], *cells)
-    # Nulls last, so that the ranks below the non-null count are those of real samples.
-    order = F.col(value).asc_nulls_last()
-    if largest <= hot_rows(df.sparkSession):
-        # Sorted and spilled by the window; aggregated without another shuffle.
-        group = Window.partitionBy(*keys)
-        ranked = df.select(
-            "*",
-            F.row_number().over(group.orderBy(order)).alias("_rank"),
-            F.count(value).over(group).alias("_total"),
-        )
-        return ranked.groupBy(*keys).agg(*aggs, *picks)
-    ranked = with_rank(df, keys, [order], "_rank", largest=largest)
-    counts = df.groupBy(*keys).agg(F.count(value).alias("_total"), *aggs)
-    picked = join_null_safe(ranked.select(*keys, "_rank", value), counts, keys, "inner")
-    extra = [F.first(c).alias(c) for c in counts.columns if c not in (*keys, "_total")]
-    return picked.groupBy(*keys).agg(*extra, *picks)
+    one = not keys
+    rows = materialize(df.withColumn("_all", F.lit(1)) if one else df, "samples")
+    keys = ["_all"] if one else list(keys)
+    counts = (
+        rows.filter(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .repartitionByRange(*keys, value)
+        .withColumn("_at_pid", F.spark_partition_id())
+    )
+    counts = materialize(counts, "values")
+    parts = counts.groupBy(*keys, "_at_pid").agg(F.sum("_n").alias("_part"))
+    offsets = _before(parts, keys, "_part", "_before", "_total").drop("_part")
+    local = Window.partitionBy(*keys, "_at_pid").orderBy(value)
+    upto = F.sum("_n").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = join_null_safe(counts.withColumn("_upto", upto), offsets, [*keys, "_at_pid"], "inner")
+    placed = placed.withColumn("_first", F.col("_before") + F.col("_upto") - F.col("_n"))
+    picked = placed.groupBy(*keys).agg(
+        *[_percentile(p, value, interpolation).alias(n) for n, p in probs.items()]
+    )
+    if one:
+        base = rows.agg(F.lit(1).alias("_all"), *aggs)
+    elif aggs:
+        base = rows.groupBy(*keys).agg(*aggs)
+    else:
+        base = rows.select(*keys).distinct()
+    out = join_null_safe(base, picked, keys, "left")
+    return out.drop("_all") if one else out

@@ -1,7 +1,6 @@
-"""Running state over ordered rows (logs), safe for logs of any length.
+"""Running state over ordered rows (logs), the same way for logs of any length.
 
-Short logs use one window per log.  When some log is above the row limit every
-log is cut into chunks of consecutive positions: windows run inside the chunks
+Every log is cut into chunks of consecutive positions: windows run inside the chunks
 and the state at the end of each chunk is carried into the later ones.
 """
 
@@ -12,8 +11,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import hot_rows
-from .ranks import join_null_safe, largest_group
+from ..session import materialize
+from .ranks import join_null_safe
+
+CHUNK_ROWS = 100_000  # positions of a log that one task orders
 
 
 def running(
@@ -23,27 +24,23 @@ def running(
     sums: Mapping[str, Column] | None = None,
     latest: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
-    largest: int | None = None,
 ) -> DataFrame:
     """Add running columns per group in ``position`` order.
 
     ``position`` is an integer unique in its group and roughly dense (a line
     number).  ``sums`` are inclusive running sums, ``latest`` the last non-null
     value up to this row, ``previous`` the last non-null value before it.
-    ``largest`` is the size of the largest group where the caller knows it.
     """
     sums, latest, previous = dict(sums or {}), dict(latest or {}), dict(previous or {})
     keys = list(keys)
-    limit = hot_rows(df.sparkSession)
     fed = df.select(
         "*",
         *[e.alias(f"_in_{n}") for n, e in {**sums, **latest, **previous}.items()],
     )
-    chunked = (largest_group(df, keys) if largest is None else largest) > limit
-    parts = keys
-    if chunked:
-        fed = fed.withColumn("_chunk", F.floor(F.col(position) / F.lit(limit)))
-        parts = [*keys, "_chunk"]
+    fed = materialize(
+        fed.withColumn("_chunk", F.floor(F.col(position) / F.lit(CHUNK_ROWS))), "scanned"
+    )
+    parts = [*keys, "_chunk"]
     ordered = Window.partitionBy(*parts).orderBy(position)
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -53,8 +50,6 @@ def running(
     local |= {n: F.last(f"_in_{n}", ignorenulls=True).over(before) for n in previous}
     inputs = [f"_in_{n}" for n in local]
     out = fed.select("*", *[e.alias(n) for n, e in local.items()])
-    if not chunked:
-        return out.drop(*inputs)
 
     def end_state(name):
         cell = F.col(f"_in_{name}")
@@ -63,7 +58,7 @@ def running(
         return F.max_by(cell, F.when(cell.isNotNull(), F.col(position)))
 
     ends = fed.groupBy(*parts).agg(*[end_state(n).alias(f"_end_{n}") for n in local])
-    # One row per chunk: the window below is limit times smaller than the log.
+    # One row per chunk: the window below is CHUNK_ROWS times smaller than the log.
     earlier = (
         Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )

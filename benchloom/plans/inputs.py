@@ -144,7 +144,7 @@ node_roles AS (
 
 def stages(t: Tables) -> DataFrame:
     """One stage per line item; the order is the run."""
-    return t.spread("lineitem").select(
+    return t.lineitem.select(
         F.col("l_orderkey").alias("run_id"),
         F.expr("l_partkey * 1000 + l_suppkey * 10 + l_linenumber").alias("stage_id"),
         F.expr("cast(datediff(l_shipdate, date'1970-01-01') as bigint)").alias("completed"),
@@ -278,14 +278,11 @@ def _line_sql(engine: str) -> str:
 
 
 def driver_lines(t: Tables) -> DataFrame:
-    """Log lines at rest, as they would be after collection."""
-    return t.derived(
-        "driver-lines",
-        lambda: t.spread("events").select(
-            F.col("user_id").alias("run_id"),
-            F.col("event_id").alias("line_no"),
-            F.expr(_line_sql("spark")).alias("line"),
-        ),
+    """One log line per event; the user is the run."""
+    return t.events.select(
+        F.col("user_id").alias("run_id"),
+        F.col("event_id").alias("line_no"),
+        F.expr(_line_sql("spark")).alias("line"),
     )
 
 
@@ -566,13 +563,10 @@ _FORMATS = {"kv": _kv_sql, "http": _http_sql, "ingest": _ingest_sql}
 
 def bench_lines(t: Tables, layout: str) -> DataFrame:
     """Benchmark output with one line per event; the user is the run."""
-    return t.derived(
-        f"bench-lines-{layout}",
-        lambda: t.spread("events").select(
-            F.col("user_id").alias("run_id"),
-            F.col("event_id").alias("line_no"),
-            F.expr(_FORMATS[layout](_TEXT["spark"])).alias("line"),
-        ),
+    return t.events.select(
+        F.col("user_id").alias("run_id"),
+        F.col("event_id").alias("line_no"),
+        F.expr(_FORMATS[layout](_TEXT["spark"])).alias("line"),
     )
 
 

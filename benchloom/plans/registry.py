@@ -9,9 +9,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-
-_DERIVED: dict[tuple[str, str, str], tuple] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,26 +25,6 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """The table, on all cores even if it arrives as fewer splits than there are cores.
-
-        For queries with much work per row.  A table of many splits is left alone.
-        """
-        df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-    def derived(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """Logs derived from the tables, written once per session and data folder."""
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
-        if key not in _DERIVED:
-            path = scratch_path(self.spark, name)
-            rows = make()
-            rows.write.parquet(path)
-            _DERIVED[key] = (path, rows.schema)
-        path, schema = _DERIVED[key]
-        return self.spark.read.schema(schema).parquet(path)
-
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""

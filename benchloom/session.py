@@ -1,4 +1,4 @@
-"""Session factory, size limits, and the shared scratch folder."""
+"""Session factory and the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A group (or a whole frame) above this many rows is never handled by one task.
-HOT_ROWS_CONF = "spark.benchloom.hotGroupRows"
-HOT_ROWS_DEFAULT = 2_000_000
-
 
 def get_spark(app: str = "benchloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC and adaptive execution; cluster sizing is left to spark-submit."""
@@ -28,10 +24,6 @@ def get_spark(app: str = "benchloom", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def hot_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
-
-
 _local_scratch: dict[str, str] = {}
 
 

@@ -5,7 +5,8 @@ import pytest
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
-from benchloom.session import HOT_ROWS_CONF, HOT_ROWS_DEFAULT, get_spark  # noqa: E402
+from benchloom.operators import scans  # noqa: E402
+from benchloom.session import get_spark  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -25,13 +26,14 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=["window", "split"])
-def limit(request, spark):
-    """Run a test with ordinary groups, and again with every group above the row limit."""
-    rows = HOT_ROWS_DEFAULT if request.param == "window" else 7
-    spark.conf.set(HOT_ROWS_CONF, str(rows))
-    yield rows
-    spark.conf.set(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT))
+@pytest.fixture(params=["one task", "many tasks"])
+def limit(request, spark, monkeypatch):
+    """Run a test with few partitions and long chunks, and again with many and short ones."""
+    many = request.param == "many tasks"
+    monkeypatch.setattr(scans, "CHUNK_ROWS", 7 if many else scans.CHUNK_ROWS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(not many).lower())
+    yield scans.CHUNK_ROWS
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 def rows_of(df):

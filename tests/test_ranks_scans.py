@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from benchloom.operators import ranks
 from benchloom.operators.ranks import group_percentiles, with_rank
 from benchloom.operators.scans import running
 
@@ -51,9 +50,7 @@ def expected_percentile(values, p, nearest):
 
 
 @pytest.mark.parametrize("interpolation", ["linear", "nearest"])
-@pytest.mark.parametrize("hashed", [0, 100_000])
-def test_percentiles(spark, limit, interpolation, hashed, monkeypatch):
-    monkeypatch.setattr(ranks, "HASHED_GROUP_ROWS", hashed)
+def test_percentiles(spark, limit, interpolation):
     probs = {"a": 0.05, "b": 0.5, "c": 0.95}
     df = spark.createDataFrame(DATA, SCHEMA)
     out = group_percentiles(df, ["g"], "v", probs, interpolation, [F.count("v").alias("n")])
@@ -85,6 +82,31 @@ def test_global_percentile(spark, limit):
     assert out.first().q == pytest.approx(expected)
 
 
+def test_percentiles_of_infinities_and_ties(spark, limit):
+    inf = math.inf
+    rows = [("i", v) for v in [1.0, inf, inf, inf, None]] + [("t", 5.0)] * 90
+    rows += [("t", float(k)) for k in range(10)] + [("n", v) for v in [math.nan, 1.0, 2.0]]
+    rows += [("m", -inf), ("m", 3.0), (None, 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = {"q": 0.25, "m": 0.5, "h": 0.99}
+    out = group_percentiles(df, ["g"], "v", probs, aggs=[F.count(F.lit(1)).alias("n")])
+    got = {r.g: (r.q, r.m, r.h, r.n) for r in out.collect()}
+    assert got["i"] == (inf, inf, inf, 5)
+    assert got["t"][:2] == (5.0, 5.0) and got["t"][3] == 100
+    assert got["n"][1] == 2.0 and math.isnan(got["n"][2])
+    assert got["m"][1] == -inf and got[None] == (7.0, 7.0, 7.0, 1)
+    whole = group_percentiles(df, [], "v", {"m": 0.5}, aggs=[F.count(F.lit(1)).alias("n")]).first()
+    assert (whole.m, whole.n) == (5.0, len(rows))
+    none = group_percentiles(df.limit(0), [], "v", {"m": 0.5}, aggs=[F.count(F.lit(1)).alias("n")])
+    assert [tuple(r) for r in none.collect()] == [(0, None)]
+
+
+def test_no_rows_meet_in_one_task(spark, limit):
+    df = spark.createDataFrame(DATA, SCHEMA)
+    plan = group_percentiles(df, ["g"], "v", {"m": 0.5})._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
 def test_running_state(spark, limit):
     df = spark.createDataFrame(DATA, SCHEMA)
     marked = F.when(F.col("v") > 12, F.col("v"))
