@@ -98,17 +98,26 @@ def config_digests(cells: DataFrame, config: Sequence[str] = CONFIG) -> DataFram
 
 
 def config_runs(cells: DataFrame, config: Sequence[str] = CONFIG) -> DataFrame:
-    """One row per run: configuration, digest, run number and run path (``numRun`` times each)."""
+    """One row per run: configuration, digest, run number and run path (``numRun`` times each).
+
+    The path names the whole configuration, so no two runs share it.  A configuration whose
+    ``numRun`` is missing or no positive number has one row with ``problem`` and no run.
+    """
     repeats = cells.filter(F.col("key") == "numRun").select(
         *config, F.col("value").try_cast("int").alias("_runs")
     )
     digests = config_digests(cells, config)
-    runs = join_null_safe(digests, repeats.filter(F.col("_runs") > 0), list(config), "inner")
-    return runs.select(
-        *config,
-        "feature_digest",
-        F.explode(F.sequence(F.lit(0), F.col("_runs") - 1)).alias("run"),
-    ).withColumn("run_id", scalars.run_path(F.col("trial"), F.col("run").cast("string")))
+    runs = join_null_safe(digests, repeats, list(config), "left")
+    good = F.coalesce(F.col("_runs") > 0, F.lit(False))
+    numbers = F.when(good, F.sequence(F.lit(0), F.greatest("_runs", F.lit(1)) - 1)).otherwise(
+        F.array(F.lit(None).cast("int"))
+    )
+    path = scalars.run_path(*[F.col(c).cast("string") for c in (*config, "run")])
+    return (
+        runs.withColumn("problem", F.when(~good, "numRun"))
+        .select(*config, "feature_digest", "problem", F.explode(numbers).alias("run"))
+        .withColumn("run_id", F.when(F.col("run").isNotNull(), path))
+    )
 
 
 def instance_demand(

@@ -67,20 +67,30 @@ def drop_unusable_metrics(samples: DataFrame, name: str = "name", owner: str = "
     return samples.filter(~F.col(name).isin(*USELESS_METRICS) & (F.col(owner) != ""))
 
 
+def _labels(samples: DataFrame, series: str) -> list[str]:
+    return [series] if series in samples.columns else []
+
+
 def container_features(
-    samples: DataFrame, keys: Sequence[str], order: str = "seq", id_fetch=None, post_proc=None
+    samples: DataFrame, keys: Sequence[str], order: str = "seq", id_fetch=None, post_proc=None,
+    series: str = "series",
 ) -> DataFrame:
     """Features ``cf_<id>_<metric>[_<stat>]`` of each container series.
 
     ``samples`` has the keys, ``pod``, ``container``, ``name``, ``value`` and
-    ``order`` (unique per series).  Counters (``total`` in the name) keep their
-    last value, other metrics their summary.
+    ``order``.  Series of one container and metric that differ in other labels are told
+    apart by the column ``series`` (their labels as sorted text), if there is one.
+    Counters (``total`` in the name) keep their last value, other metrics their summary;
+    of several series the one that starts last counts, with equal starts the greatest labels.
     """
+    labels = _labels(samples, series)
     make_id = id_fetch or (lambda df: scalars.container_id(df["pod"], df["container"]))
     usable = drop_unusable_metrics(samples.withColumn("id", make_id(samples)))
     counter = F.contains("name", F.lit("total"))
     fed = usable.select(
         *keys,
+        *labels,
+        F.col(order).alias("_order"),
         F.concat_ws("_", F.lit("cf"), "id", "name").alias("_name"),
         counter.alias("_counter"),
         F.when(~counter, F.col("value")).alias("_gauge"),
@@ -89,11 +99,16 @@ def container_features(
     # One pass and one shuffle for both kinds of metric.
     stats = group_percentiles(
         fed,
-        [*keys, "_name", "_counter"],
+        [*keys, "_name", "_counter", *labels],
         "_gauge",
         SUMMARY_PERCENTILES,
-        aggs=[*_spread("_gauge"), F.max("_last").alias("_last")],
+        aggs=[*_spread("_gauge"), F.max("_last").alias("_last"), F.min("_order").alias("_start")],
     )
+    if labels:
+        kept = F.struct(*[F.col(c) for c in (*SUMMARY_STATS, "_last")])
+        stats = stats.groupBy(*keys, "_name", "_counter").agg(
+            F.max_by(kept, F.struct("_start", *labels)).alias("_kept")
+        ).select(*keys, "_name", "_counter", "_kept.*")
     cells = [
         F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in SUMMARY_STATS
     ]
@@ -130,23 +145,26 @@ def node_roles(samples: DataFrame, node_info: DataFrame, pods: DataFrame, keys)
 
 def node_features(
     samples: DataFrame, node_info: DataFrame, pods: DataFrame, keys: Sequence[str],
-    order: str = "seq", post_proc=None,
+    order: str = "seq", post_proc=None, series: str = "series",
 ) -> DataFrame:
     """Features ``nf_driver_<metric>`` and ``nf_exec_<metric>_<stat>``.
 
-    The first sample of each node counts; executor nodes are summarised.
-    Master nodes and nodes without pods are left out.
+    The first sample of each series counts (a node and, if there is a column ``series``,
+    its other labels); those of executor nodes are summarised, of those of the driver's
+    node the series that starts last counts.  Master nodes and nodes without pods are
+    left out.
     """
     named = node_roles(samples, node_info, pods, keys).filter(
         (F.col("role") != "master") & F.col("use").isNotNull()
     )
-    firsts = named.groupBy(*keys, "use", "node_name", "name").agg(
-        F.min_by("value", order).alias("value")
+    labels = _labels(samples, series)
+    firsts = named.groupBy(*keys, "use", "node_name", "name", *labels).agg(
+        F.min_by("value", order).alias("value"), F.min(order).alias("_start")
     )
     driver = (
         firsts.filter(F.col("use") == "driver")
         .groupBy(*keys, "name")
-        .agg(F.max_by("value", "node_name").alias("value"))
+        .agg(F.max_by("value", F.struct("_start", "node_name", *labels)).alias("value"))
         .select(*keys, F.concat(F.lit("nf_driver_"), "name").alias("feature"), "value")
     )
     summary = series_summary(firsts.filter(F.col("use") == "exec"), [*keys, "name"], "value")
@@ -173,7 +191,9 @@ def executor_pick(
 ) -> DataFrame:
     """Keep one executor per run: the one at ``percentile`` of the ``select`` feature.
 
-    Ties go by executor id.  A feature the chosen executor lacks is null.
+    Ties go by executor id.  A feature the chosen executor lacks is null.  A run with
+    executors but without the ``select`` feature has the single row
+    ``rejected_without_<select>`` in place of executor features.
     """
     driver, executors = _split_executors(features)
     candidates = executors.filter(F.col("feature") == select).select(*keys, "executor", "value")
@@ -186,8 +206,14 @@ def executor_pick(
         .groupBy(*keys, "feature")
         .agg(F.max(F.when(F.col("executor") == F.col("_chosen"), F.col("value"))).alias("value"))
     )
-    return driver.select(*keys, "feature", "value").unionByName(
-        picked.withColumn("feature", F.concat(F.lit("cf_exec_"), "feature"))
+    rejected = join_null_safe(executors.select(*keys).distinct(), chosen, keys, "left_anti").select(
+        *keys, F.lit(f"rejected_without_{select}").alias("feature"),
+        F.lit(None).cast("double").alias("value"),
+    )
+    return (
+        driver.select(*keys, "feature", "value")
+        .unionByName(picked.withColumn("feature", F.concat(F.lit("cf_exec_"), "feature")))
+        .unionByName(rejected)
     )
 
 

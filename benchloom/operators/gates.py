@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scalars
 from .ranks import join_null_safe
 
 # The static resource features.
@@ -197,6 +198,11 @@ def drop_features(df: DataFrame, names: Sequence[str] = ("jct",)) -> DataFrame:
 
 
 def unparsed_logs(logs: DataFrame, parsed: DataFrame, blacklist: DataFrame, app="app_id", log="log_id"):
-    """Logs that are neither stored yet nor of a blacklisted app."""
+    """Logs that are neither stored yet nor of a blacklisted app.
+
+    ``parsed`` has ids as the store keeps them, so names are normalised before they meet.
+    """
     allowed = join_null_safe(logs, blacklist, [app], "left_anti")
-    return join_null_safe(allowed, parsed, [app, log], "left_anti")
+    known = parsed.select(app, F.col(log).alias("_stored")).distinct()
+    named = allowed.withColumn("_stored", scalars.normalize_name(F.col(log)))
+    return join_null_safe(named, known, [app, "_stored"], "left_anti").drop("_stored")

@@ -190,9 +190,17 @@ def gc_events(
     ).drop("_prev")
 
 
-def adaptive_info(lines: DataFrame, keys: Sequence[str], by_collection: bool = False) -> DataFrame:
-    """Adaptive-size values inside collections as ``(run, series, t, v)``."""
+def adaptive_info(
+    lines: DataFrame, keys: Sequence[str], by_collection: bool = False,
+    zoom: tuple[float, float] | None = None,
+) -> DataFrame:
+    """Adaptive-size values inside collections as ``(run, series, t, v)``.
+
+    With ``zoom`` only lines of collections inside the open time interval count.
+    """
     state = collection_state(lines, keys).filter(F.col("state") == "enter")
+    if zoom:
+        state = state.filter((F.col("gc_time") > zoom[0]) & (F.col("gc_time") < zoom[1]))
     kind = F.when(F.lit(False), F.lit(None).cast("array<struct<series:string,v:double>>"))
     for text, values in ADAPTIVE_KINDS:
         cells = F.array(
@@ -254,8 +262,13 @@ TIMELINE_SERIES = {
 }
 
 
+# Series that are shown to two decimals.
+ROUNDED_SERIES = ("allocation_rates", "allocation_sizes", "promotion_rates", "promotion_sizes")
+
+
 def gc_timeline(events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every series of the collections as ``(run, series, t, v)`` with v to two decimals."""
+    """Every series of the collections as ``(run, series, t, v)``; sizes and rates of allocation
+    and promotion are rounded to two decimals."""
     number = F.col("collection").cast("double")
     cells = [
         *[F.struct(F.lit(s).alias("series"), F.col(c).alias("v")) for s, c in TIMELINE_SERIES.items()],
@@ -268,7 +281,8 @@ def gc_timeline(events: DataFrame, keys: Sequence[str]) -> DataFrame:
         ],
     ]
     out = events.select(*keys, "line_no", "t", F.inline(F.array(*cells)))
-    return out.filter(F.col("v").isNotNull()).withColumn("v", F.round("v", 2))
+    shown = F.when(F.col("series").isin(*ROUNDED_SERIES), F.round("v", 2)).otherwise(F.col("v"))
+    return out.filter(F.col("v").isNotNull()).withColumn("v", shown)
 
 
 def task_pending(lines: DataFrame, keys: Sequence[str], by_collection: bool = False) -> DataFrame:

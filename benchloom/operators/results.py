@@ -243,9 +243,16 @@ def bipartite_zip(
 
 
 def remap_destinations(links: DataFrame, addresses: DataFrame, dst: str = "dst") -> DataFrame:
-    """Replace external destination addresses by internal ones (``external``, ``internal``)."""
-    known = addresses.select(F.col("external").alias(dst), "internal")
-    return links.join(known, dst, "inner").withColumn(dst, F.col("internal")).drop("internal")
+    """Replace external destination addresses by internal ones (``external``, ``internal``).
+
+    A link to an unknown address stays, with ``known`` false and no destination.
+    """
+    named = addresses.select(F.col("external").alias(dst), "internal", F.lit(True).alias("known"))
+    return (
+        links.join(named, dst, "left")
+        .withColumns({dst: F.col("internal"), "known": F.coalesce("known", F.lit(False))})
+        .drop("internal")
+    )
 
 
 def good_nodes(links: DataFrame, latency: str = "lat", above: float = TAIL_LATENCY) -> DataFrame:

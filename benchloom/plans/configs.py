@@ -45,9 +45,13 @@ def config_explode(t):
     "config_runs",
     f"""
     WITH {inputs.KNOBS},
-    repeats AS (SELECT trial, "row", value::INT AS n FROM cells WHERE key = 'numRun')
-    SELECT trial, "row", feature_digest, run::INT AS run, trial || '/' || run::VARCHAR AS run_id
+    repeats AS (SELECT trial, "row", try_cast(value AS INT) AS n FROM cells WHERE key = 'numRun')
+    SELECT trial, "row", feature_digest, NULL::VARCHAR AS problem, run::INT AS run,
+           trial || '/' || "row"::VARCHAR || '/' || run::VARCHAR AS run_id
     FROM (SELECT trial, "row", feature_digest, unnest(range(0, n)) AS run FROM digests JOIN repeats USING (trial, "row"))
+    UNION ALL
+    SELECT trial, "row", feature_digest, 'numRun', NULL, NULL FROM digests
+    WHERE (trial, "row") NOT IN (SELECT trial, "row" FROM repeats WHERE n > 0)
     """,
 )
 def config_runs(t):

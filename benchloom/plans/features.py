@@ -38,14 +38,14 @@ def series_summary(t):
     WITH s AS (SELECT user_id, value,
                       row_number() OVER (PARTITION BY user_id ORDER BY value) AS r,
                       count(*) OVER (PARTITION BY user_id) AS n
-               FROM events WHERE event_type = 'error'),
+               FROM events),
          a AS (SELECT user_id, max(value) AS mx, avg(value) AS me, min(value) AS mi,
                       max(CASE WHEN r = round_even((n - 1) * 0.50, 0) + 1 THEN value END) AS p50,
                       max(CASE WHEN r = round_even((n - 1) * 0.75, 0) + 1 THEN value END) AS p75,
                       max(CASE WHEN r = round_even((n - 1) * 0.95, 0) + 1 THEN value END) AS p95,
                       max(CASE WHEN r = round_even((n - 1) * 0.99, 0) + 1 THEN value END) AS p99
                FROM s GROUP BY user_id)
-    SELECT c_custkey AS user_id, round(coalesce(mx, -1), 6) AS max, round(coalesce(me, -1), 6) AS mean,
+    SELECT c_custkey AS user_id, round(coalesce(mx, -1), 6) AS max, round(coalesce(me, -1), 10) AS mean,
            round(coalesce(mi, -1), 6) AS min, coalesce(p50, -1) AS "50pc", coalesce(p75, -1) AS "75pc",
            coalesce(p95, -1) AS "95pc", coalesce(p99, -1) AS "99pc"
     FROM customer LEFT JOIN a ON user_id = c_custkey
@@ -53,8 +53,11 @@ def series_summary(t):
 )
 def run_stats(t):
     runs = t.customer.select(F.col("c_custkey").alias("user_id"))
-    errors = t.events.filter(F.col("event_type") == "error").select("user_id", "value")
-    return _rounded(ops.run_stats(runs, errors, ["user_id"], "value"), "user_id")
+    samples = t.events.select("user_id", "value")
+    out = ops.run_stats(runs, samples, ["user_id"], "value")
+    # a mean of values with two decimals can end in 5 at the seventh
+    mean = r6("mean", 10).alias("mean")
+    return out.select("user_id", *[mean if c == "mean" else r6(c).alias(c) for c in out.columns[1:]])
 
 
 @query(
@@ -62,7 +65,7 @@ def run_stats(t):
     f"WITH {inputs.CONTAINER_FEATURES} SELECT run_id, feature, round(value, 6) AS value FROM container_features",
 )
 def container_features(t):
-    return _rounded(ops.container_features(inputs.container_samples(t), RUN), "run_id", "feature")
+    return _rounded(ops.container_features(inputs.container_series(t), RUN), "run_id", "feature")
 
 
 @query(
@@ -107,9 +110,10 @@ def node_role_join(t):
     "node_features",
     f"""
     WITH {inputs.NODE_ROLES},
-    firsts AS (SELECT run_id, use, node_name, name, arg_min(value, seq) AS value FROM node_roles
-               WHERE role <> 'master' AND use IS NOT NULL GROUP BY run_id, use, node_name, name)
-    SELECT run_id, 'nf_driver_' || name AS feature, round(arg_max(value, node_name), 6) AS value
+    firsts AS (SELECT run_id, use, node_name, name, series, arg_min(value, seq) AS value, min(seq) AS started
+               FROM node_roles WHERE role <> 'master' AND use IS NOT NULL
+               GROUP BY run_id, use, node_name, name, series)
+    SELECT run_id, 'nf_driver_' || name AS feature, round(arg_max(value, started), 6) AS value
     FROM firsts WHERE use = 'driver' GROUP BY run_id, name
     UNION ALL
     SELECT run_id, 'nf_exec_' || name || '_' || stat, round(value, 6) FROM (
@@ -119,7 +123,7 @@ def node_role_join(t):
 )
 def node_features(t):
     pods = ops.pod_node_map(inputs.container_samples(t), RUN)
-    out = ops.node_features(inputs.node_samples(t), inputs.node_info(t), pods, RUN)
+    out = ops.node_features(inputs.node_series(t), inputs.node_info(t), pods, RUN)
     return _rounded(out, "run_id", "feature")
 
 
@@ -144,10 +148,13 @@ _EXECUTORS = f"""{inputs.CONTAINER_FEATURES},
     SELECT e.run_id, 'cf_exec_' || e.feature,
            round(max(CASE WHEN e.executor = c.executor THEN e.value END), 6)
     FROM executors e JOIN chosen c ON e.run_id = c.run_id GROUP BY e.run_id, e.feature
+    UNION ALL
+    SELECT DISTINCT run_id, 'rejected_without_{ops.PICK_FEATURE}', NULL::DOUBLE
+    FROM executors WHERE run_id NOT IN (SELECT run_id FROM chosen)
     """,
 )
 def executor_pick_percentile(t):
-    feats = ops.container_features(inputs.container_samples(t), RUN)
+    feats = ops.container_features(inputs.container_series(t), RUN)
     return _rounded(ops.executor_pick(feats, RUN), "run_id", "feature")
 
 
@@ -163,7 +170,7 @@ def executor_pick_percentile(t):
     """,
 )
 def executor_summary(t):
-    feats = ops.container_features(inputs.container_samples(t), RUN)
+    feats = ops.container_features(inputs.container_series(t), RUN)
     return _rounded(ops.executor_summary(feats, RUN), "run_id", "feature")
 
 

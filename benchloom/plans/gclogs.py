@@ -121,11 +121,13 @@ def gc_report(t):
                      CASE WHEN gc_type = 'minor' THEN collection END,
                      CASE WHEN gc_type = 'full' THEN collection END]) AS v
       FROM gc_events)
-    SELECT run_id, line_no, t, series, {_r2("v")} AS v FROM cells WHERE v IS NOT NULL
+    SELECT run_id, line_no, t, series,
+           CASE WHEN series IN {gclog.ROUNDED_SERIES} THEN {_r2("v")} ELSE round(v, 6) END AS v
+    FROM cells WHERE v IS NOT NULL
     """,
 )
 def gc_timeline(t):
-    return gclog.gc_timeline(_events(t), RUN)
+    return gclog.gc_timeline(_events(t), RUN).withColumn("v", r6("v"))
 
 
 _ZOOM = (200000.0, 2000000.0)

@@ -34,6 +34,11 @@ def container_samples(t: Tables) -> DataFrame:
     )
 
 
+def container_series(t: Tables) -> DataFrame:
+    """The same samples with the labels that tell the series of a metric apart."""
+    return container_samples(t).withColumn("series", F.expr("concat('cpu=', seq % 3)"))
+
+
 CONTAINER_SAMPLES = """
 container_samples AS (
   SELECT user_id // 10 AS run_id,
@@ -47,7 +52,7 @@ container_samples AS (
            WHEN 'error' THEN 'container_last_seen'
            ELSE 'container_fs_reads_total' END AS name,
          'node-' || ((user_id + event_id % 2) % 10)::VARCHAR AS node,
-         event_id AS seq, ts, value
+         event_id AS seq, 'cpu=' || (event_id % 3)::VARCHAR AS series, ts, value
   FROM events)"""
 
 CONTAINER_IDS = (
@@ -73,14 +78,18 @@ SUMMARY_CELLS = """unnest(['max', 'mean', 'min', '5_pc', '25_pc', '50_pc', '75_p
 CONTAINER_FEATURES = (
     CONTAINER_IDS
     + f""",
+series_stats AS (
+  SELECT run_id, id, name, series, min(seq) AS started, arg_max(value, seq) AS last_value, {SUMMARY_SQL}
+  FROM usable GROUP BY run_id, id, name, series),
+last_series AS (
+  SELECT * FROM series_stats
+  QUALIFY row_number() OVER (PARTITION BY run_id, id, name ORDER BY started DESC) = 1),
 container_features AS (
-  SELECT run_id, 'cf_' || id || '_' || name AS feature, arg_max(value, seq) AS value
-  FROM usable WHERE name LIKE '%total%' GROUP BY run_id, id, name
+  SELECT run_id, 'cf_' || id || '_' || name AS feature, last_value AS value
+  FROM last_series WHERE name LIKE '%total%'
   UNION ALL
   SELECT run_id, 'cf_' || id || '_' || name || '_' || stat, value FROM (
-    SELECT run_id, id, name, {SUMMARY_CELLS} FROM (
-      SELECT run_id, id, name, {SUMMARY_SQL}
-      FROM usable WHERE name NOT LIKE '%total%' GROUP BY run_id, id, name)))"""
+    SELECT run_id, id, name, {SUMMARY_CELLS} FROM last_series WHERE name NOT LIKE '%total%'))"""
 )
 
 
@@ -94,6 +103,11 @@ def node_samples(t: Tables) -> DataFrame:
     )
 
 
+def node_series(t: Tables) -> DataFrame:
+    """The same samples with the labels that tell the series of a metric apart."""
+    return node_samples(t).withColumn("series", F.expr("concat('cpu=', seq % 3)"))
+
+
 def node_info(t: Tables) -> DataFrame:
     return (
         t.events.select("user_id")
@@ -110,7 +124,8 @@ def node_info(t: Tables) -> DataFrame:
 NODE_SAMPLES = """
 node_samples AS (
   SELECT user_id // 10 AS run_id, '10.0.' || (user_id % 10)::VARCHAR || '.1:9100' AS instance,
-         'node_' || event_type AS name, event_id AS seq, value
+         'node_' || event_type AS name, event_id AS seq,
+         'cpu=' || (event_id % 3)::VARCHAR AS series, value
   FROM events),
 node_info AS (
   SELECT DISTINCT user_id // 10 AS run_id, '10.0.' || (user_id % 10)::VARCHAR || '.1' AS ip,
@@ -133,7 +148,7 @@ node_use AS (
   SELECT run_id, node, CASE WHEN bool_or(pod LIKE '%driver%') THEN 'driver' ELSE 'exec' END AS use
   FROM pod_nodes GROUP BY run_id, node),
 node_roles AS (
-  SELECT s.run_id, s.instance, s.name, s.seq, s.value, i.name AS node_name, i.role, u.use
+  SELECT s.run_id, s.instance, s.name, s.seq, s.series, s.value, i.name AS node_name, i.role, u.use
   FROM node_samples s
   JOIN node_info i ON i.run_id = s.run_id AND i.ip = split_part(s.instance, ':', 1)
   LEFT JOIN node_use u ON u.run_id = s.run_id AND u.node = i.name)"""
@@ -466,9 +481,10 @@ def registry_json(t: Tables) -> DataFrame:
     """One registry document per part: two phases with two dimensions each."""
     def phase(name):
         return f"""'"{name}":{{"input_scale":{{"bucket":"size-{name}-', p_partkey,
-          '","feature":["dataset_size"],"min_value":1,"max_value":', p_size, ',"values":[]}},',
+          '","feature":["dataset_size"],"min_value":1,"max_value":', p_size, ',"values":[',
+          p_size, ']}},',
           '"scale_up":{{"bucket":"type-{name}-', p_partkey, '","feature":"static","target_feature":"jct",',
-          '"groupby_index":"API_Name","min_value":1,"max_value":', p_size, '}}}}'"""
+          '"groupby_index":"API_Name","min_value":1,"max_value":', p_size, ',"values":[]}}}}'"""
 
     return t.part.select(
         F.expr(

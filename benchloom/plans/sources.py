@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import gates
 from ..session import scratch_path
 from ..sources import catalog, eventlog, logs, metrics, registry, store
@@ -216,7 +217,8 @@ def family_union(t):
            CASE dimension WHEN 'input_scale' THEN '["dataset_size"]' ELSE 'static' END AS feature,
            CASE dimension WHEN 'scale_up' THEN 'jct' END AS target_feature,
            CASE dimension WHEN 'scale_up' THEN 'API_Name' END AS groupby_index,
-           '1' AS min_value, p_size::VARCHAR AS max_value
+           '1' AS min_value, p_size::VARCHAR AS max_value,
+           CASE dimension WHEN 'input_scale' THEN '[' || p_size::VARCHAR || ']' ELSE '[]' END AS "values"
     FROM leaves
     """,
 )
@@ -263,18 +265,25 @@ _WIDE = ", ".join(f'max(value) FILTER (feature = \'{f}\') AS "{f}"' for f in _TY
     "feature_store_load_wide",
     f"""
     WITH {_STORED},
-    runs AS (SELECT app_id, count(DISTINCT run_id) AS n FROM stored GROUP BY app_id),
-    minimum AS (SELECT f.app_id, f.feature FROM stored f JOIN runs USING (app_id)
-                GROUP BY f.app_id, f.feature, n HAVING count(DISTINCT f.run_id) = n),
-    gated AS (SELECT * FROM stored SEMI JOIN minimum USING (app_id, feature))
-    SELECT app_id, run_id, {_WIDE} FROM gated
-    GROUP BY app_id, run_id
-    HAVING count(DISTINCT feature) = (SELECT count(*) FROM minimum m WHERE m.app_id = gated.app_id)
+    minimum AS (SELECT DISTINCT app_id, feature FROM stored WHERE feature <> 'signup'),
+    gated AS (SELECT * FROM stored SEMI JOIN minimum USING (app_id, feature)),
+    wide AS (
+      SELECT app_id, run_id, {_WIDE} FROM gated GROUP BY app_id, run_id
+      HAVING count(DISTINCT feature) = (SELECT count(*) FROM minimum m WHERE m.app_id = gated.app_id)),
+    runs AS (SELECT DISTINCT app_id, run_id FROM stored SEMI JOIN minimum USING (app_id)),
+    skips AS (SELECT app_id, count_if((app_id, run_id) NOT IN (SELECT app_id, run_id FROM wide)) AS skipped
+              FROM runs GROUP BY app_id)
+    SELECT app_id, run_id, click, error, purchase, signup, view, skipped::BIGINT AS skipped
+    FROM skips LEFT JOIN wide USING (app_id)
     """,
 )
 def feature_store_load_wide(t):
-    wide, _skipped = store.load_wide(store.read_features(t.spark, _stored(t)), _TYPES)
-    return wide
+    """Held against a set that some runs lack; an app without complete runs shows its skips."""
+    rows = store.read_features(t.spark, _stored(t))
+    path = scratch_path(t.spark, "minimum")
+    store.write_minimum(rows.filter("feature <> 'signup'").select("app_id", "feature").distinct(), path)
+    wide, skipped = store.load_wide(rows, _TYPES, t.spark.read.parquet(path))
+    return skipped.join(wide, "app_id", "left")
 
 
 @query(
@@ -354,7 +363,9 @@ def string_cast_row(t):
 def unparsed_logs(t):
     index = logs.log_index(inputs.log_paths(t))
     all_logs = index.select("app_id", "log_id").distinct()
-    parsed = index.filter(F.col("entry_type") == "success").select("app_id", "log_id").distinct()
+    parsed = index.filter(F.col("entry_type") == "success").select(
+        "app_id", scalars.normalize_name(F.col("log_id")).alias("log_id")
+    ).distinct()
     banned = t.nation.filter(F.col("n_regionkey") == 1).select(
         F.concat(F.lit("sweep-app"), "n_nationkey").alias("app_id")
     )

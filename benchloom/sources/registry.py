@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 _LEAF = (
     "struct<bucket:string,feature:string,target_feature:string,groupby_index:string,"
-    "min_value:string,max_value:string>"
+    "min_value:string,max_value:string,values:string>"
 )
 REGISTRY_SCHEMA = (
     "map<string,struct<meta:struct<name:string,app_type:string>,"
@@ -16,7 +16,7 @@ REGISTRY_SCHEMA = (
 
 
 def registry_flatten(documents: DataFrame, json: str = "json") -> DataFrame:
-    """``feature`` may be a name or a list; either is kept as its JSON text."""
+    """``feature`` may be a name or a list; either is kept as its JSON text, as ``values`` are."""
     apps = documents.select(F.explode(F.from_json(json, REGISTRY_SCHEMA)).alias("app", "_a"))
     phases = apps.select(
         "app",

@@ -48,9 +48,19 @@ def list_apps(spark: SparkSession, path: str) -> DataFrame:
     return read_features(spark, path).select("app_id").distinct()
 
 
-def load_wide(rows: DataFrame, names: Collection[str]) -> tuple[DataFrame, DataFrame]:
-    """Wide rows of the runs that have their app's whole minimum set, and skip counts per app."""
-    minimum = gates.min_feature_set(rows)
+def write_minimum(minimum: DataFrame, path: str) -> None:
+    """Store the minimum set (``app_id``, ``feature``) that later loads are held against."""
+    minimum.select("app_id", "feature").write.mode("overwrite").parquet(path)
+
+
+def load_wide(
+    rows: DataFrame, names: Collection[str], minimum: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Wide rows of the runs that have their app's whole minimum set, and skip counts per app.
+
+    ``minimum`` is the stored set; without it the set every present run has, so none is skipped.
+    """
+    minimum = gates.min_feature_set(rows) if minimum is None else minimum
     complete, skipped = gates.complete_runs(rows, minimum)
     return gates.to_wide(complete, ["app_id", "run_id"], sorted(names)), skipped
 

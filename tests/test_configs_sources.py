@@ -4,7 +4,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from benchloom.operators import configs, results
+from benchloom.operators import configs, gates, results
 from benchloom.session import scratch_path, shared_dir
 from benchloom.sources import catalog, eventlog, logs, metrics, registry, store
 
@@ -38,10 +38,11 @@ def test_runs_and_demand(spark, knobs):
     expanded, _ = configs.config_expand(knobs)
     cells = configs.config_explode(expanded)
     runs = configs.config_runs(cells).collect()
-    assert sorted((r.trial, r.row, r.run, r.run_id) for r in runs) == [
-        ("t", row, run, f"t/{run}") for row in range(3) for run in range(2)
-    ]
-    assert len({r.feature_digest for r in runs}) == 3
+    assert sorted(((r.trial, r.row, r.run, r.run_id) for r in runs), key=lambda r: (r[1:] == (0, None, None), r)) == [
+        ("t", row, run, f"t/{row}/{run}") for row in range(3) for run in range(2)
+    ] + [("one", 0, None, None)]
+    assert {r.problem for r in runs if r.run is None} == {"numRun"}
+    assert len({r.feature_digest for r in runs if r.run is not None}) == 3
     types = spark.createDataFrame([("m5",)], "instance_type string")
     demand, errors = configs.instance_demand(cells, types)
     assert rows_of(demand) == [("t", i, "m5", i + 1) for i in range(3)]
@@ -165,10 +166,12 @@ def test_catalog_and_selection(spark, tmp_path):
 def test_registry(spark):
     doc = {"sort": {"meta": {"name": "n", "app_type": "spark"}, "spec": {
         "before": {"scale_up": {"bucket": "b", "feature": "static", "min_value": "", "values": []}},
-        "after": {"input_scale": {"bucket": "c", "feature": ["dataset_size"], "max_value": 10}}}}}
+        "after": {"input_scale": {"bucket": "c", "feature": ["dataset_size"], "max_value": 10,
+                                                                  "values": [1, 2]}}}}}
     got = registry.registry_flatten(spark.createDataFrame([(json.dumps(doc),)], "json string"))
-    assert {(r.phase, r.dimension, r.feature, r.min_value, r.max_value) for r in got.collect()} == {
-        ("before", "scale_up", "static", "", None), ("after", "input_scale", '["dataset_size"]', None, "10"),
+    assert {(r.phase, r.dimension, r.feature, r.min_value, r.max_value, r["values"]) for r in got.collect()} == {
+        ("before", "scale_up", "static", "", None, "[]"),
+        ("after", "input_scale", '["dataset_size"]', None, "10", "[1,2]"),
     }
 
 
@@ -185,6 +188,16 @@ def test_feature_store(spark):
     wide, skipped = store.load_wide(store.read_features(spark, path, "a"), ["m_x"])
     assert sorted((r.run_id, r.m_x) for r in wide.collect()) == [("r_1", 1.0), ("r_2", 2.0)]
     assert rows_of(skipped) == [("a", 0)]
+    store.write_minimum(df.select("app_id", F.lit("y").alias("feature")).distinct(), path + "-minimum")
+    stored = spark.read.parquet(path + "-minimum")
+    wide, skipped = store.load_wide(store.read_features(spark, path, "a"), ["y"], stored)
+    assert sorted((r.run_id, r.y) for r in wide.collect()) == [("r_1", 3.0)]
+    assert rows_of(skipped) == [("a", 1)]
+    # a log whose name the store normalised is known as parsed
+    logs_ = spark.createDataFrame([("a", "r.1"), ("a", "r.9"), ("b", "r")], "app_id string, log_id string")
+    known = store.read_features(spark, path).select("app_id", F.col("run_id").alias("log_id"))
+    none = spark.createDataFrame([], "app_id string")
+    assert rows_of(gates.unparsed_logs(logs_, known, none)) == [("a", "r.9")]
     assert store.drop_app(spark, path, "a")
     assert {r.app_id for r in store.list_apps(spark, path).collect()} == {"b"}
 

@@ -44,6 +44,31 @@ def test_node_features_use_first_samples(spark):
     assert len(got) == 1 + len(features.SUMMARY_STATS)
 
 
+def test_series_are_told_apart(spark, limit):
+    pods = spark.createDataFrame([(1, "x-driver", "n0"), (1, "x-exec-1", "n1")], "run int, pod string, node string")
+    info = spark.createDataFrame([(1, f"10.0.0.{i}", f"n{i}", "node") for i in (0, 1)],
+                                 "run int, ip string, name string, role string")
+    data = [(1, f"10.0.0.{i}:9100", "load", s, f"cpu={c}", v) for i in (0, 1)
+            for c, s, v in ((1, 1, 10.0), (0, 2, 30.0), (1, 3, 99.0), (0, 4, 98.0))]
+    node = spark.createDataFrame(data, "run int, instance string, name string, seq int, series string, value double")
+    got = {r.feature: r.value for r in features.node_features(node, info, pods, ["run"]).collect()}
+    assert (got["nf_exec_load_min"], got["nf_exec_load_max"]) == (10.0, 30.0)
+    assert got["nf_driver_load"] == 30.0          # the series that starts last
+    rows = [("app-exec-3", "main", "container_mem", "n1", s, v) for s, v in ((1, 2.0), (2, 50.0), (3, 4.0), (4, 70.0))]
+    rows += [("app-exec-3", "main", "container_cpu_total", "n1", s, v) for s, v in ((1, 9.0), (2, 5.0), (3, 8.0))]
+    two = samples(spark, rows).withColumn("series", F.concat(F.lit("disk="), F.col("seq") % 2))
+    got = {r.feature: r.value for r in features.container_features(two, ["run"]).collect()}
+    assert (got["cf_exec_3_main_container_mem_min"], got["cf_exec_3_main_container_mem_max"]) == (50.0, 70.0)
+    assert got["cf_exec_3_main_container_cpu_total"] == 5.0
+
+
+def test_runs_without_the_pick_feature_are_reported(spark):
+    df = spark.createDataFrame([(1, "cf_exec_1_main_mem", 1.0), (2, "cf_driver_x", 2.0)],
+                               "run int, feature string, value double")
+    got = rows_of(features.executor_pick(df, ["run"]))
+    assert got == [(1, f"rejected_without_{features.PICK_FEATURE}", None), (2, "cf_driver_x", 2.0)]
+
+
 def test_pod_node_map_last_wins(spark):
     rows = [("p", "c", "m", "old", 1, 0.0), ("p", "c", "m", "new", 2, 0.0)]
     assert rows_of(features.pod_node_map(samples(spark, rows), ["run"])) == [(1, "p", "new")]
