@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from .ranks import join_null_safe, with_rank
+from .ranks import join_null_safe
 from .scans import running
 
 TRIAL = ["trial"]
@@ -49,44 +49,55 @@ def config_explode(expanded: DataFrame) -> DataFrame:
 def cross_sample(knobs: DataFrame, count: int, seed: str = "0") -> DataFrame:
     """Sample ``count`` configurations per trial, without replacement, from all knob combinations.
 
-    A combination is a number whose mixed-radix digits pick one value per knob
-    (keys in name order), so nothing but numbers is ranked.
+    A combination is a number below the number of combinations, and its mixed-radix digits
+    pick one value per knob (keys in name order).  The i-th sample is ``(a * i + b) mod total``
+    with ``a`` and ``b`` from the MD5 of seed and trial, ``a`` raised until it shares no factor
+    with ``total``: distinct numbers, without listing any others.  Knobs beyond the largest
+    whole number a column holds get digits from the MD5 of seed, trial, i and key.
     """
     pools = knobs.groupBy(*TRIAL).agg(
         # One configuration's knobs: as many elements as the trial file has keys.
         F.sort_array(F.collect_list(F.struct("key", "values"))).alias("_knobs")
     )
-    total = F.aggregate(
-        F.transform("_knobs", lambda k: F.size(k["values"]).cast("bigint")),
-        F.lit(1).cast("bigint"),
-        lambda a, n: a * n,
-    )
-    numbers = pools.select(*TRIAL, F.explode(F.sequence(F.lit(0).cast("bigint"), total - 1)).alias("combo"))
-    numbers = numbers.withColumn("_order", scalars.order_key(seed, F.col("trial"), F.col("combo")))
-    ranked = with_rank(numbers, TRIAL, ["_order", "combo"], "_rank")
-    chosen = join_null_safe(
-        ranked.filter(F.col("_rank") <= count).select(*TRIAL, "combo"), pools, TRIAL, "inner"
-    )
-    radix = F.transform(
-        "_knobs",
-        lambda k, i: F.aggregate(
-            F.slice("_knobs", F.lit(1), i),
-            F.lit(1).cast("bigint"),
-            lambda a, earlier: a * F.size(earlier["values"]),
+    sizes = F.transform("_knobs", lambda k: F.size(k["values"]).cast("bigint"))
+    upto = F.transform(
+        sizes,
+        lambda _s, i: F.aggregate(
+            F.slice(sizes, F.lit(1), i + 1), F.lit(1).cast("bigint"), lambda a, n: F.try_multiply(a, n)
         ),
     )
-    picks = F.zip_with(
-        "_knobs",
-        radix,
-        lambda k, place: F.struct(
-            k["key"].alias("key"),
-            F.get(
-                k["values"],
-                (F.floor(F.col("combo") / place) % F.size(k["values"])).cast("int"),
-            ).alias("value"),
-        ),
+    digest = scalars.order_key(seed, F.col("trial"))
+    part = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint")
+    shares = lambda a: F.exists(  # noqa: E731  a factor with some size
+        F.filter("_sizes", lambda s: s > 1),
+        lambda s: F.exists(F.sequence(F.lit(2).cast("bigint"), s), lambda d: (s % d == 0) & (a % d == 0)),
+    )
+    found = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(1000)), lambda k: F.col("_a") + k), lambda a: ~shares(a)
+    )
+    drawn = (
+        pools.withColumns({"_sizes": sizes, "_upto": upto})
+        .withColumn("_total", F.array_max("_upto"))
+        .withColumns({"_a": part(1) % F.col("_total"), "_b": part(16) % F.col("_total")})
+        .withColumn("_a", F.get(found, 0))
+        .withColumn("_i", F.explode(F.sequence(
+            F.lit(0).cast("bigint"), F.least(F.lit(count).cast("bigint"), "_total") - 1)))
+        .withColumn("combo", (
+            (F.col("_a").cast("decimal(38,0)") * F.col("_i").cast("decimal(19,0)") + F.col("_b"))
+            % F.col("_total")).cast("bigint"))
+    )
+    drawn = drawn.select(*TRIAL, "combo", "_i", F.inline(F.arrays_zip("_knobs", "_sizes", "_upto")))
+    free = F.conv(F.substring(
+        scalars.order_key(seed, F.col("trial"), F.col("_i"), F.col("_knobs.key")), 1, 15), 16, 10
+    ).cast("bigint")
+    digit = F.when(
+        F.col("_upto").isNotNull(),
+        F.expr("(combo div (_upto div _sizes)) % _sizes"),
+    ).otherwise(free % F.col("_sizes"))
+    return drawn.select(
+        *TRIAL, "combo", F.col("_i").alias("sample"), F.col("_knobs.key").alias("key"),
+        F.get(F.col("_knobs.values"), digit.cast("int")).alias("value"),
     )
-    return chosen.select(*TRIAL, "combo", F.inline(picks))
 
 
 def config_digests(cells: DataFrame, config: Sequence[str] = CONFIG) -> DataFrame:

@@ -37,20 +37,6 @@ STATIC_FEATURES = (
     "num_executor",
     "dataset_size",
 )
-# Gates of earlier studies.
-STATIC_GATE = ("num_executor", "batch_size", "num_partition", "jct")
-DYNAMIC_GATE = (
-    "internal.metrics.executorCpuTime",
-    "internal.metrics.executorDeserializeCpuTime",
-    "internal.metrics.executorDeserializeTime",
-    "internal.metrics.executorRunTime",
-    "internal.metrics.jvmGCTime",
-    "internal.metrics.resultSerializationTime",
-    "internal.metrics.resultSize",
-    "internal_metrics_input_bytesRead",
-    "internal_metrics_input_recordsRead",
-    "jct",
-)
 
 
 def _starts(*prefixes: str):

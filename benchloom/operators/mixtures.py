@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import errors
-from ..session import materialize
+from ..session import discard, materialize
 from .neighbours import nearest
 from .ranks import with_rank
 
@@ -100,7 +100,8 @@ def _log_density(x: Column, weight: Column, mean: Column, var: Column) -> Column
 
 
 def fit_mixtures(
-    pools: DataFrame, keys: Sequence[str], k: int | str, iterations: int = 12, k_max: int | None = None
+    pools: DataFrame, keys: Sequence[str], k: int | str, iterations: int = 12,
+    k_max: int | None = None, tolerance: float = 1e-4,
 ) -> DataFrame:
     """Gaussian mixture of every pool: an array of ``(mean, var, weight)`` by rising mean.
 
@@ -110,7 +111,8 @@ def fit_mixtures(
     Expectation maximisation runs on all pools at once.  A step joins the labels
     with the parameters of their pool and sums responsibilities per pool, so a
     pool may have any number of labels.  Labels are standardised per pool, and
-    components start at evenly spaced deviations from the mean.
+    components start at evenly spaced deviations from the mean.  Steps end when no mean of
+    any pool moves by ``tolerance`` deviations, and after ``iterations`` at the latest.
     """
     keys = list(keys)
     k_max = k if isinstance(k, int) else k_max
@@ -155,6 +157,7 @@ def fit_mixtures(
 
     x = F.col("_x")
     names = [f"_{p}{j}" for j in components for p in "wmv"]
+    before = None
     for _ in range(iterations):
         met = rows.join(params, keys)
         logs = [_log_density(x, F.col(f"_w{j}"), F.col(f"_m{j}"), F.col(f"_v{j}")) for j in components]
@@ -169,20 +172,32 @@ def fit_mixtures(
             parts += [
                 F.sum(r).alias(f"_s{j}"),
                 F.sum(r * x).alias(f"_sx{j}"),
-                F.sum(r * x * x).alias(f"_sxx{j}"),
+                # deviations from the last mean: squares of far labels would cancel
+                F.sum(r * (x - F.col(f"_m{j}")) * (x - F.col(f"_m{j}"))).alias(f"_sxx{j}"),
+                F.first(f"_m{j}").alias(f"_old{j}"),
             ]
         sums = met.groupBy(*keys).agg(*parts, F.first("_n").alias("_n"), F.first("_floor").alias("_floor"))
         update = {}
         for j in components:
             mass, mean = F.col(f"_s{j}"), F.try_divide(F.col(f"_sx{j}"), F.col(f"_s{j}"))
-            var = F.try_divide(F.col(f"_sxx{j}"), mass) - mean * mean
+            moved = mean - F.col(f"_old{j}")
+            var = F.try_divide(F.col(f"_sxx{j}"), mass) - moved * moved
             update[f"_w{j}"] = mass / F.col("_n")
             update[f"_m{j}"] = F.coalesce(mean, F.lit(0.0))
             update[f"_v{j}"] = F.greatest(F.coalesce(var, F.lit(1.0)), F.lit(0.0)) + F.col("_floor")
-        params = sums.select(*keys, "_n", "_floor", *[update[n].alias(n) for n in names])
+        moves = [F.abs(update[f"_m{j}"] - F.col(f"_old{j}")) for j in components]
+        move = F.greatest(*moves) if k_max > 1 else moves[0]
+        params = sums.select(
+            *keys, "_n", "_floor", *[update[n].alias(n) for n in names], move.alias("_move")
+        )
         # One row per pool.  Written out, its size is known: small ones are broadcast
         # and the labels are not shuffled; it also cuts the lineage.
         params = materialize(params, "mixture-step")
+        if before is not None:
+            discard(before)
+        before = params
+        if (params.agg(F.max("_move")).first()[0] or 0.0) < tolerance:
+            break
     final = params.join(scale.select(*keys, "_mu", "_sd"), keys)
     cells = [
         F.struct(

@@ -72,6 +72,13 @@ def predict_naive(df: DataFrame, y: str, train: DataFrame | None = None) -> Data
     return df.withColumn("prediction", mean)
 
 
+def predict_line(train: DataFrame, test: DataFrame, x: str, y: str) -> DataFrame:
+    """``test`` with the least-squares line of one feature, from one aggregate of ``train``."""
+    slope = train.agg(F.regr_slope(y, x)).scalar()
+    offset = train.agg(F.regr_intercept(y, x)).scalar()
+    return test.withColumn("prediction", slope * F.col(x) + offset)
+
+
 def baseline_mean(train: DataFrame, test: DataFrame, y: str) -> DataFrame:
     """Relative root mean squared error of predicting the training mean."""
     predicted = predict_naive(test, y, train)

@@ -135,20 +135,24 @@ def instance_groups(t):
 @query(
     "config_cross_sample",
     f"""
-    WITH RECURSIVE {inputs.KNOBS},
-    pool AS (SELECT trial, key, vals, row_number() OVER (PARTITION BY trial ORDER BY key) AS i FROM knobs
-             WHERE section = 'resource'),
-    sizes AS (SELECT *, coalesce(product(len(vals)) OVER (PARTITION BY trial ORDER BY i
-                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)::BIGINT AS place FROM pool),
-    totals AS (SELECT trial, product(len(vals))::BIGINT AS total FROM pool GROUP BY trial),
-    numbers AS (SELECT trial, unnest(range(0, total)) AS combo FROM totals),
-    chosen AS (SELECT trial, combo FROM numbers
-               QUALIFY row_number() OVER (PARTITION BY trial ORDER BY md5('7|' || trial || '|' || combo::VARCHAR), combo) <= 20)
-    SELECT trial, combo, key, vals[(combo // place) % len(vals) + 1] AS value FROM chosen JOIN sizes USING (trial)
+    WITH {inputs.KNOBS},
+    pool AS (SELECT trial, key, vals, len(vals) AS size,
+                    product(len(vals)) OVER (PARTITION BY trial ORDER BY key)::BIGINT AS upto FROM knobs),
+    totals AS (SELECT trial, max(upto) AS total, list(size) AS sizes, md5('7|' || trial) AS h
+               FROM pool GROUP BY trial),
+    seeds AS (SELECT *, ('0x' || substr(h, 1, 15))::BIGINT % total AS a0,
+                     ('0x' || substr(h, 16, 15))::BIGINT % total AS b FROM totals),
+    steps AS (SELECT *, [a0 + k FOR k IN range(0, 1001)
+                IF len([s FOR s IN sizes IF len([d FOR d IN range(2, s + 1)
+                        IF s % d = 0 AND (a0 + k) % d = 0]) > 0]) = 0][1] AS a FROM seeds),
+    chosen AS (SELECT trial, i AS sample, ((a::HUGEINT * i + b) % total)::BIGINT AS combo
+               FROM (SELECT *, unnest(range(0, least(20, total))) AS i FROM steps))
+    SELECT trial, combo, sample, key, vals[(combo // (upto // size)) % size + 1] AS value
+    FROM chosen JOIN pool USING (trial)
     """,
 )
 def config_cross_sample(t):
-    return ops.cross_sample(inputs.knobs(t).filter(F.col("section") == "resource"), 20, "7")
+    return ops.cross_sample(inputs.knobs(t), 20, "7")
 
 
 @query(

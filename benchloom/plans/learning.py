@@ -150,9 +150,8 @@ def rank_features_by_forest(t):
 )
 def model_linear(t):
     train, test = _halves(t)
-    model = models.fit(models.linear(), models.assemble(train, [X], Y))
-    predicted = model.transform(models.assemble(test, [X], Y))
-    return predicted.select(*UNIQUE, r6("prediction", 3).alias("prediction"))
+    out = models.predict_line(train, test, X, Y)
+    return out.select(*UNIQUE, r6("prediction", 3).alias("prediction"))
 
 
 @query(
@@ -182,7 +181,7 @@ def model_knn(t):
 @query("model_forest")
 def model_forest(t):
     train, test = _halves(t)
-    model = models.fit(models.forest(trees=20), models.assemble(train, FEATURES, Y))
+    model = models.fit(models.forest(), models.assemble(train, FEATURES, Y))
     predicted = model.transform(models.assemble(test, FEATURES, Y))
     return predicted.select(*UNIQUE, F.col("label").alias("y"), "prediction")
 
@@ -191,7 +190,7 @@ def model_forest(t):
 def model_svr_linear(t):
     train, test = _halves(t)
     scaler = prep.StandardScaler.fit(train, [X, Y])
-    weights = models.fit_svr_linear(scaler.transform(train), [X], Y, iterations=30)
+    weights = models.fit_svr_linear(scaler.transform(train), [X], Y)
     predicted = models.apply_linear(scaler.transform(test), weights)
     return predicted.select(*UNIQUE, scaler.backward(F.col("prediction"), Y).alias("prediction"))
 
@@ -380,7 +379,7 @@ def nearest_component_rmsre(t):
 @query("tune_components")
 def tune_components(t):
     test, pools = _pools(t)
-    return mixtures.tune_components(test, pools, iterations=8)
+    return mixtures.tune_components(test, pools)
 
 
 @query("two_stage_forest")

@@ -18,17 +18,10 @@ COMPUTE_LATEST = ("c5", "c5d", "c5n")
 COMPUTE_FREQ = ("z1d",)
 MEMORY = ("r3", "r4", "r5", "r5a", "r5d")
 MEMORY_LATEST = ("r5", "r5a", "r5d")
-MEMORY_EXTRA = ("x1", "x1e")
 DISK_IO = ("i2", "i3")
-STORAGE = ("h1", "hs1")
-GPU_GENERAL = ("p2", "p3", "p3dn")
-GPU_GRAPHICS = ("g2", "g3", "g3s")
-FPGA = ("f1",)
-ARM = ("a1",)
 SMALL_SCALES = ("nano", "micro", "small")
 MEDIUM_SCALES = ("medium",)
 LARGE_SCALES = ("large", "xlarge", "2xlarge", "3xlarge", "4xlarge")
-EXTRA_LARGE_SCALES = ("5xlarge", "6xlarge", "8xlarge", "12xlarge", "16xlarge", "24xlarge", "metal")
 # Excluded by the later selections.
 FAMILY_BLACKLIST = ("m5a", "r5a", "c1", "m1")
 NAME_BLACKLIST = ("m3.medium", "m3.large", "c5d.xlarge", "r5d.large")

@@ -75,6 +75,18 @@ def test_cross_sample_is_distinct_and_whole(spark, limit):
     assert len(set(some)) == 5 and set(some) <= set(every)
 
 
+@pytest.mark.parametrize("knobs_", [10, 30])
+def test_cross_sample_of_many_knobs(spark, knobs_):
+    """Ten knobs of ten values, and more combinations than a whole number holds."""
+    pools = [("t", "s", f"k{i:02d}", list("0123456789")) for i in range(knobs_)]
+    found = {}
+    for r in configs.cross_sample(spark.createDataFrame(pools, KNOBS), 20).collect():
+        found.setdefault(r.sample, {})[r.key] = r.value
+    assert len(found) == len({tuple(sorted(c.items())) for c in found.values()}) == 20
+    assert all(len(c) == knobs_ and None not in c.values() for c in found.values())
+    assert all(len({c[f"k{i:02d}"] for c in found.values()}) > 1 for i in range(knobs_))
+
+
 def test_instance_groups_carry_forward(spark, limit):
     rows = [("t", i, "img" if i == 0 else ("new" if i == 15 else None), "ded" if i == 3 else None) for i in range(30)]
     df = spark.createDataFrame(rows, "trial string, position bigint, image string, tenancy string")
