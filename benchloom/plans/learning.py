@@ -283,27 +283,73 @@ def _pools(t):
     return test, mixtures.sample_pools(test, train)
 
 
-@query("leaf_samples")
+# Leaf arrays that SQL can write too: tree i parts the quantities at multiples of 13, shifted
+# by 7 i.  A fitted forest gives such arrays as well (``mixtures.with_leaves``).
+_TREES = 5
+_GRID = f"""{HALVES},
+grid AS (SELECT {KEY}, l_tax, {Y} AS label, fold,
+                [floor(({X} + 7 * i) / 13)::INT FOR i IN range(0, {_TREES})] AS leaves FROM folded),
+train_cells AS (SELECT *, unnest(leaves) AS leaf, unnest(range(0, {_TREES})) AS tree FROM grid WHERE fold = 0),
+test_cells AS (SELECT *, unnest(leaves) AS leaf, unnest(range(0, {_TREES})) AS tree FROM grid WHERE fold = 1)"""
+
+
+def _grid_leaves(t):
+    leaves = F.array(*[F.floor((F.col(X) + 7 * i) / 13).cast("int") for i in range(_TREES)])
+    return [
+        part.select(*UNIQUE, X, "l_tax", F.col(Y).alias("label"), leaves.alias("leaves"))
+        for part in _halves(t)
+    ]
+
+
+@query(
+    "leaf_samples",
+    f"WITH {_GRID} SELECT tree::INT AS tree, leaf, label, count(*) AS copies FROM train_cells GROUP BY ALL",
+)
 def leaf_samples(t):
-    train, _ = _leaves(t)
+    train, _ = _grid_leaves(t)
     return mixtures.leaf_samples(train)
 
 
-@query("leaf_sample_join")
+@query(
+    "leaf_sample_join",
+    f"""
+    WITH {_GRID},
+    stats AS (SELECT tree, leaf, count(*) AS n, avg(label) AS mean FROM train_cells GROUP BY tree, leaf)
+    SELECT {KEY}, tree::INT AS tree, leaf, n, round(mean, 3) AS mean FROM test_cells JOIN stats USING (tree, leaf)
+    """,
+)
 def leaf_sample_join(t):
     """Label statistics of the leaf each test row reaches in each tree."""
-    train, test = _leaves(t)
+    train, test = _grid_leaves(t)
     stats = mixtures.leaf_samples(train).groupBy("tree", "leaf").agg(
-        F.sum("copies").alias("n"), (F.sum(F.col("label") * F.col("copies")) / F.sum("copies")).alias("mean")
+        F.sum("copies").alias("n"),
+        r6(F.sum(F.col("label") * F.col("copies")) / F.sum("copies"), 3).alias("mean"),
     )
     reached = test.select(*UNIQUE, F.posexplode("leaves").alias("tree", "leaf"))
     return reached.join(stats, ["tree", "leaf"])
 
 
-@query("forest_sample_pool")
+@query(
+    "forest_sample_pool",
+    f"""
+    WITH {_GRID},
+    numbers AS (SELECT leaves, row_number() OVER (ORDER BY leaves) AS pool
+                FROM (SELECT DISTINCT leaves FROM grid)),
+    asked AS (SELECT DISTINCT leaves, tree, leaf FROM test_cells),
+    held AS (SELECT DISTINCT leaves, tree, leaf FROM train_cells),
+    shared AS (SELECT a.leaves AS pool_leaves, h.leaves, count(*) AS trees
+               FROM asked a JOIN held h USING (tree, leaf) GROUP BY ALL),
+    sums AS (SELECT pool_leaves, label, sum(trees) AS copies
+             FROM shared JOIN (SELECT leaves, label FROM grid WHERE fold = 0) USING (leaves) GROUP BY ALL)
+    SELECT pool, label,
+           (CASE WHEN sum(copies) OVER (PARTITION BY pool) < 2 THEN 2 ELSE copies END)::BIGINT AS copies
+    FROM sums JOIN numbers ON numbers.leaves = pool_leaves
+    """,
+)
 def forest_sample_pool(t):
-    _, pools = _pools(t)
-    return pools
+    train, test = mixtures.number_leaves(*_grid_leaves(t))
+    pools = mixtures.sample_pools(test, train)
+    return pools.groupBy("pool", "label").agg(F.sum("copies").alias("copies"))
 
 
 @query("fit_mixture")
@@ -382,7 +428,22 @@ def tune_components(t):
     return mixtures.tune_components(test, pools)
 
 
-@query("two_stage_forest")
+@query(
+    "two_stage_forest",
+    f"""
+    WITH {_GRID},
+    stage AS (SELECT tree, leaf, l_tax::DOUBLE AS extra, avg(label) AS mean FROM train_cells GROUP BY ALL),
+    asked AS (SELECT DISTINCT tree, leaf, l_tax::DOUBLE AS extra FROM test_cells),
+    found AS (SELECT tree, leaf, a.extra, s.mean FROM asked a JOIN stage s USING (tree, leaf)
+              QUALIFY row_number() OVER (PARTITION BY tree, leaf, a.extra
+                                         ORDER BY abs(s.extra - a.extra), s.extra) = 1)
+    SELECT {KEY}, round(avg(mean), 3) AS prediction
+    FROM test_cells JOIN found ON found.tree = test_cells.tree AND found.leaf = test_cells.leaf
+                              AND found.extra = l_tax::DOUBLE
+    GROUP BY ALL
+    """,
+)
 def two_stage_forest(t):
-    train, test = _leaves(t)
-    return mixtures.two_stage_predict(train, test, UNIQUE, "l_tax")
+    train, test = _grid_leaves(t)
+    out = mixtures.two_stage_predict(train, test, UNIQUE, "l_tax")
+    return out.withColumn("prediction", r6("prediction", 3))
