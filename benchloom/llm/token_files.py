@@ -19,6 +19,7 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, store
-from .tokens import BATCH_BYTES, ByteLevelWords, Memo
+from .tokens import BATCH_BYTES, ByteLevelWords, Memo, open_words
 
 MAGIC = b"TOK1"
 INDEX = np.dtype([("has_id", "u1"), ("id", "<i8"), ("n_tokens", "<i8"), ("offset", "<i8"),
@@ -61,17 +62,32 @@ def _digest(data: bytes) -> bytes:
     return hashlib.sha256(data).digest() if data else bytes(32)
 
 
+def _id_arrays(words: ByteLevelWords, memo: Memo, texts: list[str], end: bytes) -> list[bytes]:
+    """Each text's ids and the end id; every distinct word of the texts is looked up once."""
+    cuts = [words.cut(t) for t in texts]
+    flat = pa.array(list(chain.from_iterable(cuts)), pa.string()).dictionary_encode()
+    names = flat.dictionary.to_pylist()
+    parts = list(map(memo.learn([names]).__getitem__, names))
+    pool = np.frombuffer(b"".join(parts), words.width)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // pool.itemsize
+    first = np.cumsum(sizes) - sizes
+    which = flat.indices.to_numpy()
+    ends = np.concatenate(([0], np.cumsum(sizes[which])))
+    ids = pool[np.arange(ends[-1]) + np.repeat(first[which] - ends[:-1], sizes[which])]
+    bounds = ends[np.cumsum([0, *map(len, cuts)])]
+    return [ids[a:b].tobytes() + end for a, b in zip(bounds, bounds[1:])]
+
+
 def serialize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """``(id, ids)``: each text's ids and the end id as one little-endian array."""
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = ByteLevelWords(tokenizer)
+        words, memo = open_words(tokenizer, "id_bytes")
         end = np.array([end_id], words.width).tobytes()
-        memo = Memo(words.id_bytes)
         for batch in batches(rows, "text", BATCH_BYTES):
-            cuts = [words.cut(t or "") for t in batch.column("text").to_pylist()]
-            known = memo.learn(cuts).__getitem__
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(
-                [b"".join(map(known, c)) + end for c in cuts], pa.binary())], ["id", "ids"])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(_id_arrays(words, memo, texts, end), pa.binary())],
+                ["id", "ids"])
 
     return docs.mapInArrow(encode, "id bigint, ids binary")
 
@@ -92,7 +108,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     width = ByteLevelWords(tokenizer).width
     size = np.dtype(width).itemsize
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("text"))
-    sample = (rows.select("id", F.substring("text", 1, DICTIONARY_DOC_BYTES).alias("text"))
+    # only rows whose hash can be among the smallest are sorted
+    part = 2 ** 64 * 2 * DICTIONARY_DOCS // max(1, rows.count())
+    sample = (rows.where(F.xxhash64("id") <= min(2 ** 63 - 1, part - 2 ** 63))
+              .select("id", F.substring("text", 1, DICTIONARY_DOC_BYTES).alias("text"))
               .orderBy(F.xxhash64("id"), "id").limit(DICTIONARY_DOCS))
     learnt = [bytes(r.ids) for r in serialize(sample, tokenizer, end_id).collect()]
     shared = train_dictionary(learnt)
@@ -136,6 +155,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         out.write(np.array(index, INDEX).tobytes())
         out.write(np.array([len(index), offset], "<i8").tobytes())
         out.close()
+        if to.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:
+            to.delete_file(f"{root}/{name}")  # of an earlier attempt, with the same content
         to.move(trial, f"{root}/{name}")
         yield pa.RecordBatch.from_pydict({
             "shard": [task.partitionId()], "file": [name], "docs": [len(index)],

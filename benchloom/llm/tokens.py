@@ -5,30 +5,33 @@ from __future__ import annotations
 import gc
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import chain, filterfalse
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import batches
 
-MEMO_WORDS = 400_000      # forgotten all at once beyond this, so memory is bounded
+MEMO_WORDS = 350_000      # forgotten all at once beyond this, so memory is bounded
 BATCH_BYTES = 1 << 20
 SPACE = "\u2581"         # how sentencepiece writes a space
 
-# White space other than the plain space and the line feed.
-_OTHER_BLANK = re.compile(r"[^\S \n]")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 # Characters that libraries do not agree on calling white space.
 _DOUBTFUL = re.compile("[\u180e\u200b\ufeff]")
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_RAW = "\n"           # marks a word that has no space of its own in front
-# Latin letters and some marks: words of these only can be cut further.
-_LETTERS_OR_MARKS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[.,;:!?\n-]+")
-_PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff.,;:!?\n-]+")
+# The byte-level pre-tokenizer's pattern with its letters, numbers and white space spelt out
+# for the characters up to U+00FF.
+_LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_BLANK = " \t\n\r\f\v\u0085\u00a0"
+_LATIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+"
+                    f"| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 
 
 class Memo:
@@ -56,9 +59,11 @@ class Memo:
 class ByteLevelWords:
     """A byte-level BPE file of the tokenizers library, used word by word.
 
-    Its pre-tokenizer always starts a new token at a space between two non-blank
-    characters, so cutting there cannot change an id.  Other texts, for which that is not
-    certain, are cut by the slower rule or not at all.
+    Its pre-tokenizer parts a text by a pattern before any merge, so the parts of a text can
+    be encoded on their own.  Texts of characters up to U+00FF are parted by the same
+    pattern here.  Other texts, and texts with a special token in them, are only cut at
+    spaces between two non-blank characters, where a new part always starts; texts for which
+    even that is doubtful are not cut.
     """
 
     def __init__(self, path: str):
@@ -66,46 +71,35 @@ class ByteLevelWords:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.splits = '"type":"ByteLevel","add_prefix_space":false' in self.tokenizer.to_str()
+        self.splits = ('"type":"ByteLevel","add_prefix_space":false' in self.tokenizer.to_str()
+                       and self.tokenizer.normalizer is None)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
-        self.parts = Memo(self._raw, 2 * MEMO_WORDS)
-
     def cut(self, text: str) -> list[str]:
-        """Words, without the space in front of each; ``_RAW`` and the word if it has none."""
         if not self.splits or _DOUBTFUL.search(text):
-            return [_RAW + text]
-        if ("  " in text or "\n " in text or " \n" in text or text[:1].isspace()
-                or text[-1:].isspace() or _OTHER_BLANK.search(text)):
-            return [w[1:] if w[:1] == " " and w[1:2] != _RAW else _RAW + w
-                    for w in _SAFE.split(text)]
-        words = text.split(" ")
-        words[0] = _RAW + words[0]
-        return words
-
-    def _raw(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in
-                self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _pieces(self, word: str) -> list[str]:
-        """Letters and marks apart, where the pre-tokenizer is sure to part them too."""
-        if word[:1] == _RAW:
-            return [word[1:]]
-        if not _PLAIN.fullmatch(word) or "\n\n" in word:
-            return [" " + word]
-        pieces = _LETTERS_OR_MARKS.findall(word)
-        pieces[0] = " " + pieces[0]
-        return pieces
+            return [text]
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _SAFE.split(text)
+        if any(s in text for s in self.special):
+            return _SAFE.split(text)
+        return _LATIN.findall(text)
 
-    def id_bytes(self, words: list[str]) -> list[bytes]:
-        """Ids of each word; the parts of rare words are remembered as well."""
-        cuts = [self._pieces(w) for w in words]
-        known = self.parts.learn(cuts).__getitem__
-        return [b"".join(map(known, c)) for c in cuts]
+    def _encode(self, words: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
 
     def lengths(self, words: list[str]) -> list[int]:
-        size = np.dtype(self.width).itemsize
-        return [len(x) // size for x in self.id_bytes(words)]
+        return [len(e.ids) for e in self._encode(words)]
+
+    def id_bytes(self, words: list[str]) -> list[bytes]:
+        code = "H" if self.width == "<u2" else "I"
+        ids = [array(code, e.ids) for e in self._encode(words)]
+        if sys.byteorder == "big":
+            for one in ids:
+                one.byteswap()
+        return [one.tobytes() for one in ids]
 
 
 class PieceWords:
@@ -144,10 +138,18 @@ class PieceWords:
             words, map(len, self.model.encode(words, num_threads=1)))]
 
 
-def open_words(path: str) -> ByteLevelWords | PieceWords:
+@lru_cache(maxsize=1)
+def _words(path: str) -> ByteLevelWords | PieceWords:
     return PieceWords(path) if path.endswith(".model") else ByteLevelWords(path)
 
 
+def open_words(path: str, result: str) -> tuple:
+    """The words of a tokenizer file, kept while a Python worker lives, and a memo of its own
+    for each task: a worker that ran many tasks holds no more than one memo."""
+    words = _words(path)
+    return words, Memo(getattr(words, result))
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """``(id, n_bytes, n_tokens)`` of every whole text, without added special tokens.
@@ -158,8 +160,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
     null.  Other columns are ignored.
     """
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = open_words(tokenizer)
-        memo = Memo(words.lengths)
+        words, memo = open_words(tokenizer, "lengths")
         for batch in batches(rows, "text", BATCH_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             cuts = [words.cut(t) for t in texts]
