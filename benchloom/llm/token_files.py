@@ -78,16 +78,24 @@ def _id_arrays(words: ByteLevelWords, memo: Memo, texts: list[str], end: bytes)
     return [ids[a:b].tobytes() + end for a, b in zip(bounds, bounds[1:])]
 
 
-def serialize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """``(id, ids)``: each text's ids and the end id as one little-endian array."""
-    def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, memo = open_words(tokenizer, "id_bytes")
-        end = np.array([end_id], words.width).tobytes()
+def _serialized(rows: Iterator[pa.RecordBatch], tokenizer: str, end_id: int,
+                ) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Ids of rows and each text's token ids, with the end id, as a little-endian array."""
+    words, memo = open_words(tokenizer, "id_bytes")
+    end = np.array([end_id], words.width).tobytes()
+    try:
         for batch in batches(rows, "text", BATCH_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(_id_arrays(words, memo, texts, end), pa.binary())],
-                ["id", "ids"])
+            yield batch.column("id"), _id_arrays(words, memo, texts, end)
+    finally:
+        memo.known = {}  # a worker that waits for its next task holds nothing
+
+
+def serialize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """``(id, ids)``: the token ids of every text in one little-endian array."""
+    def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids in _serialized(rows, tokenizer, end_id):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary())], ["id", "ids"])
 
     return docs.mapInArrow(encode, "id bigint, ids binary")
 
@@ -118,15 +126,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
     def compress(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(shared))
-        for part in parts:
-            ids = part.column("ids").to_pylist()
+        for keys, ids in _serialized(parts, tokenizer, end_id):
             yield pa.RecordBatch.from_arrays([
-                part.column("id"), pa.array([len(x) // size for x in ids], pa.int64()),
+                keys, pa.array([len(x) // size for x in ids], pa.int64()),
                 pa.array([tool.compress(x) for x in ids], pa.binary()),
             ], ["id", "n_tokens", "frame"])
 
-    frames = store(serialize(rows, tokenizer, end_id)
-                   .mapInArrow(compress, "id bigint, n_tokens bigint, frame binary"), "frames")
+    # one function for both, so that a task has one Python worker and ids stay in it
+    frames = store(rows.mapInArrow(compress, "id bigint, n_tokens bigint, frame binary"), "frames")
     tokens = frames.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     shards = max(1, -(-tokens * size // shard_bytes))
     where, base = _place(folder)

@@ -162,14 +162,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, memo = open_words(tokenizer, "lengths")
         for batch in batches(rows, "text", BATCH_BYTES):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            cuts = [words.cut(t) for t in texts]
+            cuts = [words.cut(t or "") for t in batch.column("text").to_pylist()]
             known = memo.learn(cuts).__getitem__
             sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0)
             yield pa.RecordBatch.from_arrays([
                 batch.column("id"), sizes.cast(pa.int64()),
                 pa.array([sum(map(known, c)) for c in cuts], pa.int64()),
             ], ["id", "n_bytes", "n_tokens"])
+        memo.known = {}  # a worker that waits for its next task holds nothing
 
     rows = docs.selectExpr(f"`{id_column}` AS id", f"`{text}` AS text")
     kind = rows.schema["id"].dataType.simpleString()
