@@ -66,6 +66,8 @@ class ByteLevelWords:
     even that is doubtful are not cut.
     """
 
+    memo_words = 1_200_000    # about 180 MB; parts of words come again more often than words
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -110,6 +112,8 @@ class PieceWords:
     come out as it does inside a text.
     """
 
+    memo_words = MEMO_WORDS
+
     def __init__(self, path: str):
         import sentencepiece
 
@@ -139,15 +143,10 @@ class PieceWords:
 
 
 @lru_cache(maxsize=1)
-def _words(path: str) -> ByteLevelWords | PieceWords:
-    return PieceWords(path) if path.endswith(".model") else ByteLevelWords(path)
-
-
-def open_words(path: str, result: str) -> tuple:
-    """The words of a tokenizer file, kept while a Python worker lives, and a memo of its own
-    for each task: a worker that ran many tasks holds no more than one memo."""
-    words = _words(path)
-    return words, Memo(getattr(words, result))
+def open_words(path: str, result: str) -> tuple[ByteLevelWords | PieceWords, Memo]:
+    """The words of a tokenizer file and their memo, kept while a Python worker lives."""
+    words = PieceWords(path) if path.endswith(".model") else ByteLevelWords(path)
+    return words, Memo(getattr(words, result), words.memo_words)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
@@ -169,7 +168,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",
                 batch.column("id"), sizes.cast(pa.int64()),
                 pa.array([sum(map(known, c)) for c in cuts], pa.int64()),
             ], ["id", "n_bytes", "n_tokens"])
-        memo.known = {}  # a worker that waits for its next task holds nothing
 
     rows = docs.selectExpr(f"`{id_column}` AS id", f"`{text}` AS text")
     kind = rows.schema["id"].dataType.simpleString()
