@@ -204,6 +204,29 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     are kept.  Rows that share an id and a text count as copies of each other; an id with
     several texts is compared by each of them, so it may link with itself.
     """
+    members, per_class = _classes(docs, threshold, words, rows, recall, id_column, text)
+    result = members.where("NOT alone").join(per_class, "digest").select(
+        "id", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
+    alone = members.where("alone").select("id", F.col("id").alias("class_id"),
+                                          F.lit(0).cast("bigint").alias("n_links"))
+    return (result.unionByName(alone)
+            .withColumn("kept", F.col("id").eqNullSafe(F.col("class_id"))))
+
+
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
+                 rows: int = ROWS, recall: float = RECALL, id_column: str = "doc_id",
+                 text: str = "text") -> DataFrame:
+    """``(digest, class_id)``: the class of ``jaccard_join`` for each text that has one.
+
+    ``digest`` is the SHA-256 of the text.
+    """
+    return _classes(docs, threshold, words, rows, recall, id_column, text)[1].select(
+        "digest", "class_id")
+
+
+def _classes(docs: DataFrame, threshold: float, words: int, rows: int, recall: float,
+             id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows by digest of their text, and digests with class, copies and links."""
     bands = bands_for(threshold, recall, rows)
     base = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("text"))
     members = store(base.select(
@@ -244,9 +267,4 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
         classes.join(counted, "rep", "left")
         .select("digest", F.coalesce("component", "rep").alias("class_id"),
                 "copies", F.coalesce("links", F.lit(0)).alias("links")), "linked")
-    result = members.where("NOT alone").join(per_class, "digest").select(
-        "id", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
-    alone = members.where("alone").select("id", F.col("id").alias("class_id"),
-                                          F.lit(0).cast("bigint").alias("n_links"))
-    return (result.unionByName(alone)
-            .withColumn("kept", F.col("id").eqNullSafe(F.col("class_id"))))
+    return members, per_class

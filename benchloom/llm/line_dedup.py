@@ -63,9 +63,30 @@ def spread_lines(lines: DataFrame, spread: DataFrame, min_sites: int) -> DataFra
                  .unionByName(exact), "boilerplate")
 
 
+def votes_of(docs: DataFrame, lines: DataFrame, classes: DataFrame, text: str,
+             site: str) -> DataFrame:
+    """``(digest, site)``: the lines of every distinct text with the site it votes for.
+
+    Texts of one class vote for one site of the class, drawn by hash; a text without a class
+    is a class of its own.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    texts = (docs.where(F.col(site).isNotNull())
+             .select(F.xxhash64(body).alias("whole"), F.unhex(F.sha2(body, 256)).alias("digest"),
+                     F.col(site).alias("site")).distinct())
+    named = store(texts.join(classes, "digest", "left").select(
+        "whole", "site", F.coalesce(F.col("class_id").cast("string"), F.hex("digest"))
+        .alias("copy")), "copies")
+    drawn = named.groupBy("copy").agg(F.min_by("site", F.xxhash64("copy", "site")).alias("site"))
+    voters = named.select("whole", "copy").distinct().join(drawn, "copy").select("whole", "site")
+    # a text that stands in many rows is one row per line here
+    return store(lines.where("site IS NOT NULL").select("whole", "digest").distinct()
+                 .join(voters, "whole").select("digest", "site"), "votes")
+
+
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE,
                id_column: str = "doc_id", text: str = "text", site: str = "source",
-               ) -> DataFrame:
+               classes: DataFrame | None = None) -> DataFrame:
     """``docs`` with cross-site boilerplate lines taken out of ``text``.
 
     A line is boilerplate if it stands on at least ``min_sites`` distinct sites.  A document
@@ -74,9 +95,14 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = M
     rows and columns stay; ``__n_lines`` and ``__n_removed`` are added.  Blank lines are
     never boilerplate, a null site never counts, a null text stays null, rows with the same
     id are told apart by their text.
+
+    With ``classes`` (``jaccard_join.text_classes``) copies are told by what they are: each
+    class counts for one site, and what still reaches ``min_sites`` is cut from every document,
+    whatever its share.  A text of which nothing remains becomes empty.
     """
     lines = lines_of(docs, id_column, text, site)
-    spread = spread_lines(lines, merge([sketches(lines)]), min_sites)
+    votes = lines if classes is None else votes_of(docs, lines, classes, text, site)
+    spread = spread_lines(votes, merge([sketches(votes)]), min_sites)
     hits = (lines.join(spread, "digest").groupBy("id", "whole")
             .agg(F.collect_set("pos").alias("__gone"))
             .select(F.col("id").alias("__id"), F.col("whole").alias("__whole"), "__gone"))
@@ -89,7 +115,9 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = M
         parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
     # what a line takes with it includes its line feed
     lost = F.length(body) - F.length(left)
-    cut = F.col("__gone").isNotNull() & (lost <= max_share * F.length(body))
+    cut = F.col("__gone").isNotNull()
+    if classes is None:
+        cut = cut & (lost <= max_share * F.length(body))
     return (joined.withColumn("__cut", F.coalesce(cut, F.lit(False)))
             .withColumn("__n_lines", F.size(parts).cast("bigint"))
             .withColumn("__n_removed", F.when(F.col("__cut"), F.size("__gone")).otherwise(0)

@@ -251,6 +251,27 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert Counter(map(tuple, whole)) == Counter((k, r.ids_crc32) for k, r in seen["token ids"].items())
 
 
+def test_pipeline_cuts_pages_that_are_mostly_boilerplate(spark):
+    draw = random.Random(9)
+    words = lambda n: " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(n))
+    menu, story = [words(15) for _ in range(2)], [words(40) for _ in range(5)]
+    rows = [(k, f"{menu[0]}\n{words(12)}\n{menu[1]}", "en", f"s{k}", 1) for k in range(40)]
+    # two thirds of a page are menu; a story that 15 sites copied, plain or with a word in front
+    rows += [(100 + k, (f"x{k} " if k % 2 else "") + "\n".join(story), "en", f"s{k}", 1)
+             for k in range(15)]
+    rows += [(200, "\n".join(menu), "en", "s3", 1), (201, None, "en", "s3", None),
+             (None, f"{menu[0]}\nno id", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in corpus_pipeline.cut_boilerplate(spark, docs, "").collect()}
+    assert len(got) == len(rows)
+    for key, text, *_ in rows[:40]:
+        assert got[key].text == text.split("\n")[1] and got[key].n_chars == len(got[key].text)
+    for key, text, *_ in rows[40:55]:
+        assert got[key].text == text
+    assert (got[200].text, got[200].n_chars) == ("", 0)    # nothing remains
+    assert got[201].text is None and got[None].text == "no id"
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     write_corpus(spark, f"file://{tmp_path}", [], [])
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
