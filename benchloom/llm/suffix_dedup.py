@@ -13,10 +13,11 @@ share their first ``LENGTH`` bytes with another document are sorted:
   Neighbours that hash alike are verified byte by byte.
 * What comes back to a document is one bit per seed and one per window.
 
-A text is read in lots of about ``LOT`` bytes, which are the unit of the shuffles.  Seeds that
-occur in ``HOT`` lots or more (a passage in a third of all documents) would meet in one task;
-their windows are aggregated and joined by hash in Spark instead, where a hot key is combined
-before the shuffle and split after it.
+A text is read in lots of about ``LOT`` bytes, which are the unit of the shuffles.  Lots merge
+equal runs and count what is left of each seed.  A seed with ``HOT`` runs or more over all lots
+(a fixed head of a third of all documents) would fill a task by itself: its windows, merged
+within the lot, are dealt by the hash of all their bytes instead, and sorted and verified in
+the same way.  So a group holds a bounded part of them, or one window once per lot.
 """
 
 from __future__ import annotations
@@ -38,12 +39,11 @@ SEED = 20
 SEEDS = LENGTH - SEED + 1    # seeds in a window, and windows in a run at most
 LOT = 2 << 20
 BLOCK = 1 << 20              # positions hashed at once; below 2 ** 22
-HOT = 4096             # lots; 2 to 300 runs of 64 bytes in each meet in one task below it
 BUCKET_BYTES = 32 << 20      # bytes of corpus per task that compares seeds or runs
+HOT = BUCKET_BYTES // 64     # runs of a seed, of about 64 bytes, that would fill a task
 _LOW = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _CODES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
-_CODES2 = np.random.default_rng(6).integers(1, 1 << 63, 256, np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -271,6 +271,16 @@ class Lot:
         self.ids = np.array([0 if x is None else x for x in ids], np.int64)
         self.runs = Runs(self.data, self.ends, self.skip)
 
+    def different_runs(self, index: np.ndarray) -> np.ndarray:
+        """How many different runs each seed has; ``index`` gives the seed of every run."""
+        number = np.bincount(index)
+        several = np.flatnonzero(number[index] > 1)
+        order = several[np.lexsort((self.runs.count[several], self.runs.text[several],
+                                    index[several]))]
+        x, t, n = index[order], self.runs.text[order], self.runs.count[order]
+        copy = (x[1:] == x[:-1]) & (t[1:] == t[:-1]) & (n[1:] == n[:-1])
+        return number - np.bincount(x[1:][copy], minlength=len(number))
+
     def seeds(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct seeds in bucket order: bucket, seed, in two documents?, index per run."""
         seed, index = np.unique(self.runs.seed, return_inverse=True)
@@ -300,16 +310,22 @@ def _seed_rows(buckets: int):
         for part in parts:
             for k in range(part.num_rows):
                 lot = Lot(part, k)
-                bucket, seed, twice, _ = lot.seeds(buckets)
+                bucket, seed, twice, index = lot.seeds(buckets)
+                number = lot.different_runs(index)
                 short = (seed >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                found = [(b, lot.name, short[i:j].tobytes(), np.packbits(twice[i:j]).tobytes())
-                         for b, i, j in _cuts(bucket)]
+                found = []
+                for b, i, j in _cuts(bucket):
+                    several = np.flatnonzero(number[i:j] > 1)
+                    found.append((b, lot.name, short[i:j].tobytes(),
+                                  np.packbits(twice[i:j]).tobytes(),
+                                  several.astype("<u4").tobytes(),
+                                  number[i:j][several].astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([f[0] for f in found], pa.int32()),
                     pa.array([f[1] for f in found], pa.string()),
                     pa.array([f[2] for f in found], pa.binary()),
-                    pa.array([f[3] for f in found], pa.binary())],
-                    ["bucket", "lot", "seeds", "twice"])
+                    *[pa.array([f[n] for f in found], pa.binary()) for n in (3, 4, 5)]],
+                    ["bucket", "lot", "seeds", "twice", "several", "numbers"])
 
     return emit
 
@@ -327,13 +343,20 @@ def _seed_bits(hot: int):
                                    return_counts=True)
         shared = lots > 1
         shared[index[twice]] = True
-        bits, busy = shared[index], (lots >= hot)[index]
         ends = np.cumsum(counts)
+        runs = np.ones(len(index), np.int64)
+        for at, own, n in zip(ends - counts, group.column("several").to_pylist(),
+                              group.column("numbers").to_pylist()):
+            runs[at + np.frombuffer(own, "<u4").astype(np.int64)] = np.frombuffer(n, "<u4")
+        total = np.bincount(index, runs, len(lots)).astype(np.int64)
+        hot_seeds = shared & (total >= hot)
+        bits, busy = shared[index], hot_seeds[index]
         pack = lambda x: [np.packbits(x[e - n:e]).tobytes() for e, n in zip(ends, counts)]
         return pa.Table.from_arrays([
             group.column("lot"), group.column("bucket"), pa.array(pack(bits), pa.binary()),
-            pa.array(pack(busy), pa.binary()), pa.array([bool(busy.any())] * len(counts))],
-            ["lot", "bucket", "shared", "hot", "any_hot"])
+            pa.array(pack(busy), pa.binary()),
+            pa.array([int(total[hot_seeds].sum())] + [0] * (len(counts) - 1), pa.int64())],
+            ["lot", "bucket", "shared", "hot", "hot_runs"])
 
     return compare
 
@@ -361,19 +384,34 @@ class Compared:
         self.sent = sent[order]
         self.sent_bucket = self.bucket[index[self.sent]]
 
-    def hot_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct windows of hot runs: two hashes, smallest id; and the index per window."""
-        lot, runs, own = self.lot, self.lot.runs, self.hot_runs
-        at = _spread_out(runs.start[own], runs.count[own])
-        body = lot.data[_spread_out(at, np.full(len(at), LENGTH))]
-        ends = np.arange(len(at)) * LENGTH
-        one = _mix(Prefixes(body).of(ends, LENGTH))
-        two = _mix(Prefixes(body, _CODES2).of(ends, LENGTH))
-        both = np.stack((one, two), 1)
-        keys, index = np.unique(both, axis=0, return_inverse=True)
-        low = np.full(len(keys), np.iinfo(np.int64).max)
-        np.minimum.at(low, index.ravel(), np.repeat(self.owner[own], runs.count[own]))
-        return at, keys, low, index.ravel()
+    def hot_windows(self, parts: int) -> "HotWindows":
+        return HotWindows(self, parts)
+
+
+class HotWindows:
+    """Windows of hot runs: place, id, the equal window that stands for each, what is sent."""
+
+    def __init__(self, own: Compared, parts: int):
+        data, runs, hot = own.lot.data, own.lot.runs, own.hot_runs
+        self.at = _spread_out(runs.start[hot], runs.count[hot])
+        self.owner = np.repeat(own.owner[hot], runs.count[hot])
+        whole = window_hashes(data, self.at)
+        size = np.full(len(self.at), LENGTH)
+        self.stands = merge_equal(data, self.at, size, whole, np.zeros_like(whole), self.owner)
+        sent = np.unique(self.stands)
+        part = (whole[sent] % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        self.sent, self.part = sent[order], part[order]
+
+
+def window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at the ascending places ``at``."""
+    out = np.zeros(len(at), np.uint64)
+    for b in range(0, len(data), BLOCK):
+        i, j = np.searchsorted(at, (b, b + BLOCK))
+        if i < j:
+            out[i:j] = _mix(Prefixes(data[b:b + BLOCK + LENGTH - 1]).of(at[i:j] - b, LENGTH))
+    return out
 
 
 def _run_rows(buckets: int):
@@ -450,24 +488,63 @@ def _run_masks(group: pa.Table) -> pa.Table:
                  pa.binary())], ["lot", "bucket", "masks"])
 
 
-def _hot_rows(buckets: int):
-    def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+def _hot_rows(buckets: int, parts: int):
+    def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for part in rows:
             for k in range(part.num_rows):
                 own = Compared(part, k, buckets)
-                if len(own.hot_runs):
-                    _, keys, low, _ = own.hot_windows()
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([own.lot.name] * len(keys)), pa.array(np.arange(len(keys))),
-                        pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)),
-                        pa.array(low)], ["lot", "turn", "one", "two", "low"])
+                if not len(own.hot_runs):
+                    continue
+                hot, found = own.hot_windows(parts), []
+                for b, i, j in _cuts(hot.part):
+                    at = hot.at[hot.sent[i:j]]
+                    body = own.lot.data[_spread_out(at, np.full(len(at), LENGTH))]
+                    found.append((b, own.lot.name, hot.owner[hot.sent[i:j]].tobytes(),
+                                  squeeze.compress(body.tobytes())))
+                kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f[n] for f in found], t) for n, t in enumerate(kinds)],
+                    ["part", "lot", "owners", "body"])
 
     return emit
 
 
-def _removals(buckets: int):
-    def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+def _window_masks(group: pa.Table) -> pa.Table:
+    """Which windows of a part also stand in a document with a smaller id."""
+    tool = zstandard.ZstdDecompressor()
+    owners = [np.frombuffer(x, np.int64) for x in group.column("owners").to_pylist()]
+    number = np.array([len(x) for x in owners])
+    owner = np.concatenate(owners)
+    data = np.frombuffer(b"".join(tool.decompress(x) for x in group.column("body").to_pylist()),
+                         np.uint8)
+    at = np.arange(len(owner)) * LENGTH
+    # equal windows hash alike
+    _, which, copies = np.unique(window_hashes(data, at), return_inverse=True, return_counts=True)
+    own = np.flatnonzero(copies[which] > 1)
+    own = own[np.argsort(which[own], kind="stable")]
+    late = np.zeros(len(owner), bool)
+    edges = np.flatnonzero(np.diff(which[own], prepend=-1))
+    limits = [*edges.tolist(), len(own)]
+    a = 0
+    while a < len(limits) - 1:
+        b = a + 1
+        while b < len(limits) - 1 and limits[b] - limits[a] < 1 << 18:
+            b += 1
+        some = own[limits[a]:limits[b]]
+        body = data[_spread_out(at[some], np.full(len(some), LENGTH))]
+        late[some] = repeated_windows(body, np.arange(len(some)) * LENGTH, which[some], owner[some])
+        a = b
+    ends = np.cumsum(number)
+    return pa.Table.from_arrays([
+        group.column("lot"), group.column("part"),
+        pa.array([np.packbits(late[e - n:e]).tobytes() for e, n in zip(ends, number)],
+                 pa.binary())], ["lot", "part", "late"])
+
+
+def _removals(buckets: int, parts: int):
+    def finish(lots: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in lots:
             for k in range(part.num_rows):
                 own = Compared(part, k, buckets)
                 lot, runs = own.lot, own.lot.runs
@@ -484,11 +561,13 @@ def _removals(buckets: int):
                 gone = (np.repeat(masks[some], runs.count[some]) >> turn) & np.uint64(1) == 1
                 windows = [at[gone]]
                 if len(own.hot_runs):
-                    at, keys, low, index = own.hot_windows()
-                    late = np.zeros(len(keys), bool)
-                    late[np.array(part.column("late")[k].as_py() or [], np.int64)] = True
-                    holder = np.repeat(own.owner[own.hot_runs], runs.count[own.hot_runs])
-                    windows.append(at[late[index] | (holder > low[index])])
+                    hot = own.hot_windows(parts)
+                    late = np.zeros(len(hot.at), bool)
+                    back = {m["part"]: m["late"] for m in part.column("late")[k].as_py()}
+                    for b, i, j in _cuts(hot.part):
+                        late[hot.sent[i:j]] = np.unpackbits(
+                            np.frombuffer(back[b], np.uint8), count=j - i)
+                    windows.append(hot.at[late[hot.stands] | (hot.owner > hot.owner[hot.stands])])
                 windows = np.concatenate(windows)
                 change = np.zeros(len(lot.data) + 1, np.int32)
                 np.add.at(change, windows, 1)
@@ -536,10 +615,12 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     lots = store(rows.mapInArrow(_lots(lot_bytes), _LOT_SCHEMA), "lots", row_group_mb=8)
     total = lots.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_BYTES))
-    seeds = lots.mapInArrow(_seed_rows(buckets), "bucket int, lot string, seeds binary, twice binary")
+    seeds = lots.mapInArrow(_seed_rows(buckets), "bucket int, lot string, seeds binary, twice binary, "
+                           "several binary, numbers binary")
     bits = store(seeds.groupBy("bucket").applyInArrow(
-        _seed_bits(hot), "lot string, bucket int, shared binary, hot binary, any_hot boolean"), "bits")
-    any_hot = bits.where("any_hot").limit(1).count() > 0
+        _seed_bits(hot), "lot string, bucket int, shared binary, hot binary, hot_runs bigint"), "bits")
+    hot_runs = bits.agg(F.coalesce(F.sum("hot_runs"), F.lit(0))).first()[0]
+    parts = max(1, -(-hot_runs * SEEDS * LENGTH // BUCKET_BYTES))
     told = lots.join(spread(bits.groupBy("lot").agg(F.collect_list(
         F.struct("bucket", "shared", "hot")).alias("bits"))), "lot", "left")
     masks = store(
@@ -549,17 +630,17 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         "masks")
     told = told.join(masks.groupBy("lot").agg(F.collect_list(
         F.struct("bucket", "masks")).alias("masks")), "lot", "left")
-    if any_hot:
-        windows = store(told.mapInArrow(_hot_rows(buckets), "lot string, turn bigint, one bigint, "
-                                        "two bigint, low bigint"), "windows")
-        first = spread(windows.groupBy("one", "two").agg(F.min("low").alias("first")))
-        late = (windows.join(first, ["one", "two"]).where("first < low")
-                .groupBy("lot").agg(F.collect_list("turn").alias("late")))
-        told = told.join(late, "lot", "left")
+    if hot_runs:
+        windows = told.mapInArrow(_hot_rows(buckets, parts),
+                                  "part int, lot string, owners binary, body binary")
+        late = store(windows.groupBy("part").applyInArrow(
+            _window_masks, "lot string, part int, late binary"), "late")
+        told = told.join(late.groupBy("lot").agg(F.collect_list(
+            F.struct("part", "late")).alias("late")), "lot", "left")
     else:
-        told = told.withColumn("late", F.lit(None).cast("array<bigint>"))
+        told = told.withColumn("late", F.lit(None).cast("array<struct<part:int,late:binary>>"))
     out = told.mapInArrow(
-        _removals(buckets), "row bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
+        _removals(buckets, parts), "row bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
         "kept_sha256 string, kept binary, id bigint")
     columns = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return out.select(*columns, *(["kept"] if keep_bytes else []))

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from benchloom.llm import embedding_dedup, exact_dedup, jaccard_join, line_dedup, suffix_dedup
@@ -312,6 +313,23 @@ def test_suffix_dedup_keeps_bytes_and_takes_nothing(spark):
     assert suffix_dedup.suffix_dedup(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_splits_a_seed_with_many_runs(spark, monkeypatch):
+    draw = random.Random(8)
+    noise = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    head, tails = noise(40), [noise(60) for _ in range(40)]
+    values = [(k, noise(9) + head + (draw.choice(tails) if k % 3 else noise(60))) for k in range(120)]
+    lots = list(suffix_dedup._lots(6500)(iter([pa.RecordBatch.from_pylist(
+        [{"id": k, "row": k, "text": t} for k, t in values])])))
+    assert len(lots) < 4
+    seeds = pa.Table.from_batches(list(suffix_dedup._seed_rows(1)(iter(lots))))
+    rows = suffix_dedup._seed_bits(20)(seeds)    # two or three lots, but many runs
+    assert any(any(x) for x in rows.column("hot").to_pylist())
+    assert not any(any(x) for x in suffix_dedup._seed_bits(10_000)(seeds).column("hot").to_pylist())
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 2000)
+    got = suffix_dedup.suffix_dedup(docs_of(spark, values), hot=20, lot_bytes=6500)
+    assert Counter(tuple(r) for r in got.collect()) == brute_passages(values)
+
+
 def test_suffix_sort_orders_like_python():
     draw = random.Random(6)
     data = np.array([draw.choice(b"ab") for _ in range(600)], np.uint8)
