@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import logging
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -25,6 +31,16 @@ FOREST_GRID = {
     "minInstancesPerNode": (1, 10),
     "numTrees": (1, 10, 100),
 }
+# And of the linear support vector family.
+SVR_GRID = {
+    "C": (0.01, 0.05, 0.1, 0.5, 1.0, 2.0),
+    "epsilon": (0.01, 0.05, 0.1, 0.5, 1.0, 2.0),
+}
+
+
+def settings(grid: dict[str, Sequence]) -> list[dict]:
+    """Every combination of a grid's values."""
+    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
 
 def assemble(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -225,50 +241,139 @@ def grid_knn(
 
 def grid_forest(
     rows: DataFrame, features: Sequence[str], y: str, grid: Sequence[dict], folds: int = 3,
-    scorer: Callable[[Column, Column], Column] = errors.rmsre,
+    scorer: Callable[[Column, Column], Column] = errors.rmsre, parallelism: int = 4,
 ) -> DataFrame:
-    """Scores of forest settings (MLlib parameters); fits run one after another on the cluster."""
+    """Scores of forest settings (MLlib parameters); ``parallelism`` fits run at a time."""
+    spark = rows.sparkSession
     data = assemble(rows, features, y).select("fold", "features", "label").persist()
-    scored = []
+
+    def score(job):
+        params, fold = job
+        model = RandomForestRegressor(seed=42, **params).fit(data.filter(F.col("fold") != fold))
+        tested = model.transform(data.filter(F.col("fold") == fold))
+        error = tested.agg(scorer(F.col("label"), F.col("prediction"))).first()[0]
+        return str(sorted(params.items())), fold, error
+
     try:
-        for params in grid:
-            for fold in range(folds):
-                model = RandomForestRegressor(seed=42, **params).fit(data.filter(F.col("fold") != fold))
-                tested = model.transform(data.filter(F.col("fold") == fold))
-                error = tested.agg(scorer(F.col("label"), F.col("prediction"))).first()[0]
-                scored.append((str(sorted(params.items())), fold, error))
+        data.count()  # filled once, before several fits ask for it
+        with ThreadPool(parallelism) as pool:
+            scored = pool.map(inheritable_thread_target(spark)(score),
+                              [(params, fold) for params in grid for fold in range(folds)], 1)
     finally:
         data.unpersist()
-    table = rows.sparkSession.createDataFrame(scored, "params string, fold int, error double")
+    table = spark.createDataFrame(scored, "params string, fold int, error double")
     return _scored(table, ["params"])
 
 
+def _svr_pulls(weights: np.ndarray, bias: np.ndarray, epsilon: np.ndarray, scales: np.ndarray):
+    """Sub-gradient sums of every fold and setting over a stream of ``(fold, x, y)``."""
+    def pulls(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_w, by_b = np.zeros_like(weights), np.zeros_like(bias)
+        for part in parts:
+            fold, x, y = (part.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "x", "y"))
+            for f, (mean_x, dev_x, mean_y, dev_y) in enumerate(scales):
+                train = fold != f
+                u, v = (x[train] - mean_x) / dev_x, (y[train] - mean_y) / dev_y
+                error = v[:, None] - (bias[f] + u[:, None] * weights[f])
+                side = np.sign(error) * (np.abs(error) > epsilon)
+                by_w[f] += u @ side
+                by_b[f] += side.sum(0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([by_w.ravel().tolist()]), pa.array([by_b.ravel().tolist()])], ["w", "b"])
+
+    return pulls
+
+
+def grid_svr(
+    rows: DataFrame, x: str, y: str, grid: Sequence[dict], folds: int = 3, scorer=errors.rmsre,
+    iterations: int = 60, rate: float = 0.5,
+) -> DataFrame:
+    """Scores of linear support vector settings; ``rows`` has a ``fold`` column.
+
+    The steps of ``fit_svr_linear`` for all folds and settings at once, one job per step.
+    Both columns are scaled by the fold's training rows, which is what ``epsilon`` refers to;
+    predictions are scaled back before they are scored.
+    """
+    cells = [F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")]
+    data = rows.select("fold", *cells).dropna().persist()
+    try:
+        stats = _others(data, folds).groupBy("fold").agg(
+            F.count("*").alias("n"), F.avg("x").alias("mx"), F.stddev_pop("x").alias("sx"),
+            F.avg("y").alias("my"), F.stddev_pop("y").alias("sy"))
+        found = {r.fold: r for r in stats.collect()}
+        scales = np.array([[found[f].mx, found[f].sx or 1.0, found[f].my, found[f].sy or 1.0]
+                           for f in range(folds)])
+        count = np.array([[found[f].n] for f in range(folds)], float)
+        c, epsilon = (np.array([p[k] for p in grid], float) for k in ("C", "epsilon"))
+        weights = np.zeros((folds, len(grid)))
+        bias, mean_w, mean_b, kept = (np.zeros_like(weights) for _ in range(4))
+        for step in range(1, iterations + 1):
+            sums = data.mapInArrow(_svr_pulls(weights, bias, epsilon, scales),
+                                   "w array<double>, b array<double>").collect()
+            by_w, by_b = (np.sum([r[k] for r in sums], 0).reshape(weights.shape) for k in ("w", "b"))
+            size = rate / math.sqrt(step)
+            weights = weights - size * (weights / (c * count) - by_w / count)
+            bias = bias + size * by_b / count
+            if step > iterations // 2:
+                kept += 1
+                mean_w += (weights - mean_w) / kept
+                mean_b += (bias - mean_b) / kept
+    finally:
+        data.unpersist()
+    lines = []
+    for f, (mean_x, dev_x, mean_y, dev_y) in enumerate(scales.tolist()):
+        for p, w, b in zip(grid, mean_w[f].tolist(), mean_b[f].tolist()):
+            slope = w * dev_y / dev_x
+            lines.append((f, float(p["C"]), float(p["epsilon"]), slope,
+                          mean_y + dev_y * b - slope * mean_x))
+    lines = rows.sparkSession.createDataFrame(
+        lines, "fold int, C double, epsilon double, slope double, intercept double")
+    tested = join_null_safe(rows, lines, ["fold"], "inner")
+    pred = F.col("slope") * F.col(x) + F.col("intercept")
+    fold_scores = tested.groupBy("fold", "C", "epsilon").agg(scorer(F.col(y), pred).alias("error"))
+    return _scored(fold_scores, ["C", "epsilon"])
+
+
 def grid_search(
     rows: DataFrame, x: str, y: str, unique: Sequence[str], forest_grid: Sequence[dict] = (),
-    folds: int = 3, seed: str = "0",
+    folds: int = 3, seed: str = "0", svr_grid: Sequence[dict] = (),
 ) -> DataFrame:
-    """Best setting of each family by cross-validated relative error."""
-    folded = with_folds(rows.select(*unique, x, y), unique, folds, seed)
+    """Best setting of each family by cross-validated relative error.
+
+    A family that fails, or none of whose settings has a score, gets the row ``default``
+    without scores.
+    """
+    spark = rows.sparkSession
+    folded = with_folds(rows.select(*unique, x, y), unique, folds, seed).persist()
     text = lambda name: F.concat(F.lit(f"{name}="), F.col(name).cast("string"))
-    families = [
-        grid_linear(folded, x, y, folds).select(
-            F.lit("linear_regression").alias("family"),
-            text("fit_intercept").alias("params"), "mean_test_score", "std_test_score",
-        ),
-        grid_knn(folded, x, y, unique, folds).select(
-            F.lit("nearest_neighbors").alias("family"),
-            F.concat_ws(",", text("n_neighbors"), text("weights")).alias("params"),
-            "mean_test_score", "std_test_score",
-        ),
-    ]
+    families = {
+        "linear_regression": (lambda: grid_linear(folded, x, y, folds), text("fit_intercept")),
+        "nearest_neighbors": (lambda: grid_knn(folded, x, y, unique, folds),
+                              F.concat_ws(",", text("n_neighbors"), text("weights"))),
+    }
     if forest_grid:
-        families.append(
-            grid_forest(folded, [x], y, forest_grid, folds).select(
-                F.lit("random_forest").alias("family"), "params", "mean_test_score", "std_test_score"
-            )
-        )
-    scores = reduce(DataFrame.unionByName, families)
-    ranked = with_rank(scores, ["family"], [F.desc("mean_test_score"), "params"], "_rank")
+        families["random_forest"] = (lambda: grid_forest(folded, [x], y, forest_grid, folds),
+                                     F.col("params"))
+    if svr_grid:
+        families["svm"] = (lambda: grid_svr(folded, x, y, svr_grid, folds),
+                           F.concat_ws(",", text("C"), text("epsilon")))
+    scores = []
+    try:
+        for family, (search, params) in families.items():
+            try:
+                tried = search().select(params.alias("params"), "mean_test_score", "std_test_score")
+                good = [(family, *r) for r in tried.collect()
+                        if r.mean_test_score is not None and not math.isnan(r.mean_test_score)]
+            except Exception:
+                logging.getLogger(__name__).warning(
+                    "search of %s failed, its default is used", family, exc_info=True)
+                good = []
+            scores += good or [(family, "default", None, None)]
+    finally:
+        folded.unpersist()
+    table = spark.createDataFrame(
+        scores, "family string, params string, mean_test_score double, std_test_score double")
+    ranked = with_rank(table, ["family"], [F.desc("mean_test_score"), "params"], "_rank")
     return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
 

@@ -198,7 +198,8 @@ def model_svr_linear(t):
 @query("grid_search")
 def grid_search(t):
     return models.grid_search(
-        _runs(t), X, Y, UNIQUE, forest_grid=[{"numTrees": 5, "maxDepth": d} for d in (1, 4)]
+        _runs(t), X, Y, UNIQUE, forest_grid=models.settings(models.FOREST_GRID),
+        svr_grid=models.settings(models.SVR_GRID),
     )
 
 

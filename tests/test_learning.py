@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from benchloom.functions import errors
 from benchloom.operators import mixtures, models, prep
 from benchloom.operators.neighbours import knn_regress, nearest
+from benchloom.plans import learning
 
 rng = random.Random(11)
 
@@ -198,6 +199,43 @@ def test_grid_search_and_feature_ranking(line):
     assert ranked == ["x", "noise"]
 
 
+def test_grid_search_over_whole_grids(line, monkeypatch):
+    folded = models.with_folds(line, ["id"])
+    one = models.grid_svr(folded, "x", "y", [{"C": 1.0, "epsilon": 0.1}, {"C": 0.05, "epsilon": 2.0}])
+    got = {(r.C, r.epsilon): r.mean_test_score for r in one.collect()}
+    for c, epsilon in got:
+        errs = []
+        for fold in range(3):
+            scaler = prep.StandardScaler.fit(folded.where(f"fold <> {fold}"), ["x", "y"])
+            fitted = models.fit_svr_linear(
+                scaler.transform(folded.where(f"fold <> {fold}")), ["x"], "y", c, epsilon)
+            out = models.apply_linear(scaler.transform(folded.where(f"fold = {fold}")), fitted)
+            back = [scaler.backward(F.col(k), "y") for k in ("y", "prediction")]
+            errs.append(out.agg(errors.rmsre(*back)).first()[0])
+        assert got[c, epsilon] == pytest.approx(-np.mean(errs))
+    assert len(models.settings(models.FOREST_GRID)) == 72
+    assert len(models.settings(models.SVR_GRID)) == 36
+
+    def broken(*a):
+        raise ValueError("no neighbours")
+
+    monkeypatch.setattr(models, "grid_knn", broken)
+    best = models.grid_search(line, "x", "y", ["id"], [{"numTrees": 1, "maxDepth": 1}],
+                              svr_grid=models.settings(models.SVR_GRID))
+    best = {r.family: r for r in best.collect()}
+    assert best.keys() == {"linear_regression", "nearest_neighbors", "random_forest", "svm"}
+    assert (best["nearest_neighbors"].params, best["nearest_neighbors"].mean_test_score) == ("default", None)
+    assert best["svm"].mean_test_score < 0
+
+
+def test_registered_grid_search_tries_every_setting(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(models, "grid_search", lambda *a, **k: asked.update(k))
+    monkeypatch.setattr(learning, "_runs", lambda t: None)
+    learning.grid_search(None)
+    assert len(asked["forest_grid"]) == 72 and len(asked["svr_grid"]) == 36
+
+
 # ---- mixtures -------------------------------------------------------------------------
 
 
