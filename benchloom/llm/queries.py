@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import embedding_dedup, exact_dedup, jaccard_join, line_dedup, mixing, pieces, suffix_dedup, token_files, tokens, toxicity
+from . import (
+    chat_format, embedding_dedup, exact_dedup, hard_negatives, jaccard_join, line_dedup, mixing, pieces,
+    spelling, suffix_dedup, token_files, tokens, toxicity,
+)
 from .common import shuffles, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +209,56 @@ def op10_exact_dedup(spark, folder):
                                           scratch_path(spark, "digest-index"), shuffles(spark))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
                        F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op11_chat_format", """
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+        UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+    g AS (SELECT conv_id, count(*) AS n_turns,
+            string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+            coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                     FILTER (role = 'assistant'), '') AS loss,
+            sum(length('<|im_start|>' || url_encode(role) || chr(10) || '<|im_end|>' || chr(10))
+                + length(replace(replace(text, '\\', '\\\\'), '|', '\\|')))::BIGINT AS formatted_chars
+          FROM c GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
+           sha256(loss) AS loss_sha256, formatted_chars FROM g""")
+def op11_chat_format(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
+    turns = chat_format.format_turns(rows.unionByName(tricky), chat_format.text_parts(F.col("text")),
+                                     F.col("role") == "assistant")
+    return chat_format.digests(chat_format.assemble_blocks(turns))
+
+
+@query("op12_hard_negatives", """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+            list_inner_product(a.e, b.e)::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+    p AS (SELECT anchor_id, id, score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.id
+               ORDER BY s.score DESC, s.id))::INT AS rank, s.id AS negative_id,
+           p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+        AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+    QUALIFY rank <= 10""")
+def op12_hard_negatives(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows, F.col("vec_id") % 100 == 0, label)
+
+
+@query("op13_spelling")
+def op13_spelling(spark, folder):
+    words = spelling.count_words(table(spark, folder, "documents"))
+    return spelling.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
