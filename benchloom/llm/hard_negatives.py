@@ -71,7 +71,7 @@ def _by_length(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
     for size in np.unique(sizes).tolist():
         rows = pa.array(np.flatnonzero(sizes == size))
         part = table.take(rows)
-        vectors = lists.take(rows).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        vectors = lists.take(rows).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size)
         yield (size, part.column("id").to_numpy(), part.column("label").to_numpy(), vectors, part)
 
 
