@@ -7,12 +7,10 @@ import logging
 import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -20,15 +18,17 @@ from pyspark.sql import functions as F
 
 from ..functions import errors, scalars
 from ..session import materialize
+from . import trees
 from .neighbours import nearest, weighted_label
 from .ranks import join_null_safe, with_rank
 
-# Forest grid of the tuning step.  Depth 30 is the deepest MLlib tree.
+# Forest grid of the tuning step.  None lets a tree grow to its end.
 FOREST_GRID = {
     "bootstrap": (True, False),
-    "maxDepth": (1, 10, 30),
+    "maxDepth": (1, 10, 100, None),
     "featureSubsetStrategy": ("all", "sqrt"),
     "minInstancesPerNode": (1, 10),
+    "minInstancesToSplit": (2, 10),
     "numTrees": (1, 10, 100),
 }
 # And of the linear support vector family.
@@ -53,10 +53,10 @@ def linear(fit_intercept: bool = True) -> LinearRegression:
     return LinearRegression(solver="normal", fitIntercept=fit_intercept)
 
 
-def forest(trees: int = 100, depth: int = 2, seed: int = 42, **params) -> RandomForestRegressor:
+def forest(n_trees: int = 100, depth: int = 2, seed: int = 42, **params) -> RandomForestRegressor:
     """Random forest over all features; ``leafCol`` gives the leaf of every tree."""
     return RandomForestRegressor(
-        numTrees=trees, maxDepth=depth, seed=seed, leafCol="leaf",
+        numTrees=n_trees, maxDepth=depth, seed=seed, leafCol="leaf",
         **{"featureSubsetStrategy": "all", **params},
     )
 
@@ -239,30 +239,73 @@ def grid_knn(
     return _scored(fold_scores, ["n_neighbors", "weights"])
 
 
+def _forest_fit(params: dict, features: int) -> dict:
+    """What a setting comes down to; settings with equal values share their fits."""
+    setting = {"bootstrap": True, "maxDepth": 5, "featureSubsetStrategy": "all",
+               "minInstancesPerNode": 1, "minInstancesToSplit": 2, "numTrees": 20, **params}
+    tried = features if setting["featureSubsetStrategy"] == "all" else max(1, math.isqrt(features))
+    depth = setting["maxDepth"]
+    return {
+        "bootstrap": setting["bootstrap"], "tried": tried, "min_leaf": setting["minInstancesPerNode"],
+        "min_split": setting["minInstancesToSplit"],
+        "max_depth": trees.MAX_DEPTH if depth is None else min(depth, trees.MAX_DEPTH),
+        "trees": setting["numTrees"],
+    }
+
+
+def _text(params: dict) -> str:
+    return ",".join(f"{k}={str(v).lower()}" for k, v in sorted(params.items()))
+
+
 def grid_forest(
-    rows: DataFrame, features: Sequence[str], y: str, grid: Sequence[dict], folds: int = 3,
-    scorer: Callable[[Column, Column], Column] = errors.rmsre, parallelism: int = 4,
+    rows: DataFrame, features: Sequence[str], y: str, unique: Sequence[str], grid: Sequence[dict],
+    folds: int = 3, scorer: Callable[[Column, Column], Column] = errors.rmsre, seed: str = "0",
+    max_bins: int = trees.MAX_BINS,
 ) -> DataFrame:
-    """Scores of forest settings (MLlib parameters); ``parallelism`` fits run at a time."""
-    spark = rows.sparkSession
-    data = assemble(rows, features, y).select("fold", "features", "label").persist()
+    """Scores of forest settings; ``rows`` has a ``fold`` column.
 
-    def score(job):
-        params, fold = job
-        model = RandomForestRegressor(seed=42, **params).fit(data.filter(F.col("fold") != fold))
-        tested = model.transform(data.filter(F.col("fold") == fold))
-        error = tested.agg(scorer(F.col("label"), F.col("prediction"))).first()[0]
-        return str(sorted(params.items())), fold, error
-
-    try:
-        data.count()  # filled once, before several fits ask for it
-        with ThreadPool(parallelism) as pool:
-            scored = pool.map(inheritable_thread_target(spark)(score),
-                              [(params, fold) for params in grid for fold in range(folds)], 1)
-    finally:
-        data.unpersist()
-    table = spark.createDataFrame(scored, "params string, fold int, error double")
-    return _scored(table, ["params"])
+    All settings are scored from shared fits (see :mod:`trees`).  A forest's trees come first in
+    any larger forest, a shallow tree is the top of a deep one, trees without bootstrap that try
+    every feature are equal, and with one feature there is nothing to choose from.  So one deep
+    tree grows per fold, bootstrap sample and least leaf and node sizes, all in the same jobs,
+    and is read at every depth and forest size of the grid.
+    """
+    features, size = list(features), len(features)
+    fits = [(p, _forest_fit(p, size)) for p in grid]
+    bagged = max((f["trees"] for _, f in fits if f["bootstrap"]), default=0)
+    drawn = max((f["trees"] for _, f in fits if not f["bootstrap"] and f["tried"] < size), default=1)
+    known = rows.select("fold", *unique, y, *[F.col(x).cast("double").alias(x) for x in features]).dropna()
+    for x in features:
+        known = trees.binned(known, [], x, max_bins)
+    known = materialize(known, "forest-rows")
+    sums = materialize(trees.tree_sums(known, ["fold", *features], y, unique, bagged, seed), "tree-sums")
+    cells = trees.with_asked(
+        trees.without_fold(sums, [*features, "bootstrap", "tree"], folds),
+        known.select("fold", *features), ["fold", *features], bagged)
+
+    kinds = sorted({(f["bootstrap"], f["tried"], f["min_leaf"], f["min_split"]) for _, f in fits})
+    names = ("bootstrap", "tried", "min_leaf", "min_split")
+    kind = lambda k: F.struct(*[F.lit(v).alias(f"_{n}") for n, v in zip(names, k)])
+    cells = cells.select("*", F.inline(F.array(*[kind(k) for k in kinds])))
+    cells = cells.filter("bootstrap = _bootstrap").drop("_bootstrap").withColumnsRenamed(
+        {f"_{n}": n for n in names[1:]})
+    # A tree of all rows differs from the next only where features are drawn.
+    copies = F.when(~F.col("bootstrap") & (F.col("tried") < size), F.sequence(F.lit(0), F.lit(drawn - 1)))
+    cells = cells.withColumn("tree", F.explode(F.coalesce(copies, F.array("tree"))))
+    keys = ["fold", *names, "tree"]
+    subset = F.col("tried") if any(k[1] < size for k in kinds) else None
+    nodes, placed = trees.grow(cells, keys, features, max(f["max_depth"] for _, f in fits),
+                               F.col("min_leaf"), F.col("min_split"), subset, seed)
+    values = trees.at_depth(placed.filter("asked"), nodes, keys, [f["max_depth"] for _, f in fits])
+    means = trees.forest_means(values, ["fold", *features, *names, "max_depth"], [f["trees"] for _, f in fits])
+    means = materialize(means, "forest-means")
+    by = [*names, "max_depth", "trees"]
+    tested = known.join(means, ["fold", *features]).groupBy("fold", *by).agg(
+        scorer(F.col(y), F.col("prediction")).alias("error"))
+    settings = rows.sparkSession.createDataFrame(
+        [(_text(p), *[f[c] for c in by]) for p, f in fits],
+        "params string, bootstrap boolean, tried int, min_leaf int, min_split int, max_depth int, trees int")
+    return settings.join(_scored(tested, by), by).select("params", "mean_test_score", "std_test_score")
 
 
 def _svr_pulls(weights: np.ndarray, bias: np.ndarray, epsilon: np.ndarray, scales: np.ndarray):
@@ -301,9 +344,10 @@ def grid_svr(
             F.count("*").alias("n"), F.avg("x").alias("mx"), F.stddev_pop("x").alias("sx"),
             F.avg("y").alias("my"), F.stddev_pop("y").alias("sy"))
         found = {r.fold: r for r in stats.collect()}
+        held = sorted(found)  # a fold that holds every row has nothing to be fitted on
         scales = np.array([[found[f].mx, found[f].sx or 1.0, found[f].my, found[f].sy or 1.0]
-                           for f in range(folds)])
-        count = np.array([[found[f].n] for f in range(folds)], float)
+                           if f in found else [0.0, 1.0, 0.0, 1.0] for f in range(folds)])
+        count = np.array([[found[f].n if f in found else 1] for f in range(folds)], float)
         c, epsilon = (np.array([p[k] for p in grid], float) for k in ("C", "epsilon"))
         weights = np.zeros((folds, len(grid)))
         bias, mean_w, mean_b, kept = (np.zeros_like(weights) for _ in range(4))
@@ -321,7 +365,8 @@ def grid_svr(
     finally:
         data.unpersist()
     lines = []
-    for f, (mean_x, dev_x, mean_y, dev_y) in enumerate(scales.tolist()):
+    for f in held:
+        mean_x, dev_x, mean_y, dev_y = scales[f].tolist()
         for p, w, b in zip(grid, mean_w[f].tolist(), mean_b[f].tolist()):
             slope = w * dev_y / dev_x
             lines.append((f, float(p["C"]), float(p["epsilon"]), slope,
@@ -334,14 +379,19 @@ def grid_svr(
     return _scored(fold_scores, ["C", "epsilon"])
 
 
+# What a fit can raise on its data; anything else, a lost cluster included, ends the search.
+FIT_ERRORS = (ValueError, ArithmeticError, ArithmeticException, IllegalArgumentException)
+
+
 def grid_search(
     rows: DataFrame, x: str, y: str, unique: Sequence[str], forest_grid: Sequence[dict] = (),
     folds: int = 3, seed: str = "0", svr_grid: Sequence[dict] = (),
 ) -> DataFrame:
     """Best setting of each family by cross-validated relative error.
 
-    A family that fails, or none of whose settings has a score, gets the row ``default``
-    without scores.
+    Scores that agree to nine digits are equal; the setting whose text comes first is taken.  A
+    family that cannot be fitted to the rows (:data:`FIT_ERRORS`), or none of whose settings has
+    a score, gets the row ``default`` without scores.
     """
     spark = rows.sparkSession
     folded = with_folds(rows.select(*unique, x, y), unique, folds, seed).persist()
@@ -352,54 +402,63 @@ def grid_search(
                               F.concat_ws(",", text("n_neighbors"), text("weights"))),
     }
     if forest_grid:
-        families["random_forest"] = (lambda: grid_forest(folded, [x], y, forest_grid, folds),
-                                     F.col("params"))
+        families["random_forest"] = (
+            lambda: grid_forest(folded, [x], y, unique, forest_grid, folds, seed=seed), F.col("params"))
     if svr_grid:
         families["svm"] = (lambda: grid_svr(folded, x, y, svr_grid, folds),
                            F.concat_ws(",", text("C"), text("epsilon")))
-    scores = []
+    best = []
     try:
         for family, (search, params) in families.items():
             try:
                 tried = search().select(params.alias("params"), "mean_test_score", "std_test_score")
-                good = [(family, *r) for r in tried.collect()
+                good = [r for r in tried.collect()  # a row per setting
                         if r.mean_test_score is not None and not math.isnan(r.mean_test_score)]
-            except Exception:
+            except FIT_ERRORS:
                 logging.getLogger(__name__).warning(
                     "search of %s failed, its default is used", family, exc_info=True)
                 good = []
-            scores += good or [(family, "default", None, None)]
+            first = min(good, key=lambda r: (-round(r.mean_test_score, 9), r.params), default=("default", None, None))
+            best.append((family, *first))
     finally:
         folded.unpersist()
-    table = spark.createDataFrame(
-        scores, "family string, params string, mean_test_score double, std_test_score double")
-    ranked = with_rank(table, ["family"], [F.desc("mean_test_score"), "params"], "_rank")
-    return ranked.filter(F.col("_rank") == 1).drop("_rank")
+    return spark.createDataFrame(
+        best, "family string, params string, mean_test_score double, std_test_score double")
 
 
 def rank_features_by_forest(
     df: DataFrame, features: Sequence[str], label: str, unique: Sequence[str],
-    splits: int = 3, test_share: float = 0.3,
+    splits: int = 3, test_share: float = 0.3, n_trees: int = 20, depth: int = 4,
+    max_bins: int = trees.MAX_BINS, seed: str = "42",
 ) -> DataFrame:
-    """Mean r² of a 20-tree depth-4 forest on each single feature, over random splits."""
-    evaluator = RegressionEvaluator(metricName="r2")
-    found = []
-    for name in features:
-        data = assemble(df, [name], label).select(*unique, "features", "label").persist()
-        try:
-            scores = []
-            for split in range(splits):
-                key = scalars.order_key(str(split), *[F.col(c) for c in unique])
-                share = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-                model = RandomForestRegressor(numTrees=20, maxDepth=4, seed=42).fit(
-                    data.filter(share >= test_share)
-                )
-                scores.append(evaluator.evaluate(model.transform(data.filter(share < test_share))))
-        finally:
-            data.unpersist()
-        found.append((name, round(sum(scores) / len(scores), 3)))
-    table = df.sparkSession.createDataFrame(found, "feature string, r2 double")
-    return table.orderBy(F.desc("r2"), F.desc("feature"))
+    """Mean r² of a 20-tree depth-4 forest on each single feature, over random splits.
+
+    The rows are made tall, and the trees of all features and splits grow in the same jobs,
+    whatever their number.  Rows without a feature's value or the label do not count for it; a
+    feature none of whose splits has a score (no test rows, or equal labels) has a null.
+    """
+    cell = lambda f: F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_x"))
+    tall = df.select(*unique, F.col(label).cast("double").alias("_y"), F.inline(F.array(*map(cell, features))))
+    tall = trees.binned(tall.dropna(subset=["_x", "_y"]), ["feature"], "_x", max_bins)
+    number = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
+    tall = tall.withColumn("split", number)
+    key = F.concat_ws("|", "split", *unique)
+    share = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    tall = materialize(tall.withColumn("_test", share < test_share), "ranked-features")
+    by = ["feature", "split", "_x"]
+    sums = trees.tree_sums(tall.filter("NOT _test"), by, "_y", [*unique, "split"], n_trees, seed)
+    test = tall.filter("_test")
+    cells = trees.with_asked(sums.filter("bootstrap"), test.select(*by), by, n_trees)
+    keys = ["feature", "split", "bootstrap", "tree"]
+    nodes, placed = trees.grow(cells, keys, ["_x"], depth)
+    values = trees.at_depth(placed.filter("asked"), nodes, keys, [depth])
+    means = trees.forest_means(values, by, [n_trees])
+    y, error = F.col("_y"), F.col("_y") - F.col("prediction")
+    scores = test.join(means, by).groupBy("feature", "split").agg(
+        (1 - F.try_divide(F.sum(error * error), F.var_pop(y) * F.count(y))).alias("r2"))
+    names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    ranked = names.join(scores, "feature", "left").groupBy("feature").agg(F.round(F.avg("r2"), 3).alias("r2"))
+    return ranked.orderBy(F.desc("r2"), F.desc("feature"))
 
 
 def prediction_sweep(

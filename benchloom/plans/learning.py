@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import mixtures, models, neighbours, prep
+from ..operators import mixtures, models, neighbours, prep, trees
 from .registry import query, r6
 
 # Line items are runs: quantity, discount and tax are knobs, the price is the measurement.
@@ -23,6 +23,11 @@ def _runs(t):
     return t.lineitem.select(*UNIQUE, *FEATURES, Y)
 
 
+def _cents(t):
+    """Runs with prices in cents: whole numbers add up exactly, whatever the order of the rows."""
+    return _runs(t).withColumn(Y, F.round(F.col(Y) * 100))
+
+
 def _halves(t):
     """Reproducible train and test halves."""
     folded = models.with_folds(_runs(t), UNIQUE, 2, "1")
@@ -133,9 +138,63 @@ def dataset_xy(t):
                        r6("label").alias("label"))
 
 
-@query("rank_features_by_forest")
+# Trees of cells ``(keys, x, w, s)``, level by level: the best split of every node, ties to the
+# smaller threshold.  Every level's rows stay, so that a tree can be read at any depth.
+def _grown(keys: str, depth: int, min_leaf: str = "1", min_split: str = "2") -> str:
+    group = f"PARTITION BY {keys}, node"
+    return f"""grown AS (
+  SELECT 0 AS depth, 1::BIGINT AS node, {keys}, x, w, s FROM cells
+  UNION ALL
+  SELECT depth + 1, 2 * node + (x > threshold)::INT, {keys}, x, w, s
+  FROM grown JOIN (
+    SELECT {keys}, node, (x + next) / 2 AS threshold FROM (
+      SELECT *, sum(w) OVER ({group} ORDER BY x) AS wl, sum(s) OVER ({group} ORDER BY x) AS sl,
+             sum(w) OVER ({group}) AS wt, sum(s) OVER ({group}) AS st, lead(x) OVER ({group} ORDER BY x) AS next
+      FROM grown WHERE w > 0)
+    WHERE next IS NOT NULL AND wl >= {min_leaf} AND wt - wl >= {min_leaf} AND wt >= {min_split}
+      AND sl * sl / wl + (st - sl) * (st - sl) / (wt - wl) - st * st / wt > 1e-12 * (st * st / wt)
+    QUALIFY row_number() OVER ({group} ORDER BY sl * sl / wl + (st - sl) * (st - sl) / (wt - wl) DESC, x) = 1)
+  USING ({keys}, node) WHERE depth < {depth}),
+nodes AS (SELECT depth, {keys}, node, sum(s) / sum(w) AS value FROM grown GROUP BY ALL HAVING sum(w) > 0)"""
+
+
+# Poisson draws from the hex digits of digests, as bootstrap samples hold rows.
+_DRAWN = " + ".join(f"(h >= '{mark}')::INT" for mark in trees.poisson_marks())
+
+
+def _samples(rows: str, by: str, n_trees: int, seed: str, unique: str) -> str:
+    return f"""(SELECT {by}, tree, sum(w)::DOUBLE AS w, sum(w * y) AS s FROM (
+      SELECT {by}, y, (8 * b + i)::INT AS tree, {_DRAWN} AS w FROM (
+        SELECT {by}, y, b, i, substr(d, 4 * i + 1, 4) AS h FROM (
+          SELECT {by}, y, b, md5(concat_ws('|', '{seed}.' || b, {unique})) AS d
+          FROM {rows}, range({-(-n_trees // 8)}) AS t(b)), range(8) AS r(i)))
+    WHERE w > 0 AND tree < {n_trees} GROUP BY ALL)"""
+
+
+@query(
+    "rank_features_by_forest",
+    f"""
+    WITH RECURSIVE tall AS MATERIALIZED (
+      SELECT {KEY}, round({Y} * 100) AS y, feature, x, split,
+             ('0x' || left(md5(concat_ws('|', split, {KEY})), 8))::BIGINT / 4294967296.0::DOUBLE < 0.3 AS test
+      FROM (SELECT {KEY}, {Y}, unnest(['{FEATURES[0]}', '{FEATURES[1]}', '{FEATURES[2]}']) AS feature,
+                   unnest([{", ".join(FEATURES)}]) AS x FROM lineitem), range(3) AS s(split)),
+    sums AS (SELECT * FROM {_samples('(SELECT * FROM tall WHERE NOT test)', 'feature, split, x', 20, '42', KEY + ', split')}),
+    cells AS MATERIALIZED (SELECT feature, split, tree, x, coalesce(w, 0) AS w, coalesce(s, 0) AS s FROM sums FULL JOIN (
+      SELECT DISTINCT feature, split, x, tree FROM tall, range(20) AS t(tree) WHERE test) USING (feature, split, x, tree)),
+    {_grown('feature, split, tree', 4)},
+    ends AS (SELECT feature, split, tree, x, arg_max(node, depth) AS node FROM grown GROUP BY ALL),
+    means AS (SELECT feature, split, x, avg(value) AS p
+              FROM ends JOIN (SELECT DISTINCT feature, split, tree, node, value FROM nodes) USING (feature, split, tree, node)
+              GROUP BY ALL)
+    SELECT feature, round(avg(r2), 3) AS r2 FROM (
+      SELECT feature, split, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2
+      FROM tall JOIN means USING (feature, split, x) WHERE test GROUP BY ALL)
+    GROUP BY feature
+    """,
+)
 def rank_features_by_forest(t):
-    return models.rank_features_by_forest(_runs(t), FEATURES, Y, UNIQUE)
+    return models.rank_features_by_forest(_cents(t), FEATURES, Y, UNIQUE)
 
 
 # ---- models ---------------------------------------------------------------------------
@@ -195,12 +254,91 @@ def model_svr_linear(t):
     return predicted.select(*UNIQUE, scaler.backward(F.col("prediction"), Y).alias("prediction"))
 
 
-@query("grid_search")
+_KINDS = "fold, bootstrap, min_leaf, min_split, tree"
+
+
+@query(
+    "grid_search",
+    f"""
+    WITH RECURSIVE folded AS MATERIALIZED (
+      SELECT {KEY}, {X}::DOUBLE AS x, round({Y} * 100) AS y, (('0x' || left({_md5('0', *UNIQUE)}, 8))::BIGINT % 3)::INT AS fold
+      FROM lineitem),
+    outside AS (SELECT f.fold, x, y, {KEY} FROM folded JOIN range(3) AS f(fold) ON f.fold <> folded.fold),
+    -- lines
+    line AS (SELECT fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, sum(x * y) / sum(x * x) AS o
+             FROM outside GROUP BY fold),
+    line_errors AS (SELECT fold, unnest(['fit_intercept=true', 'fit_intercept=false']) AS params,
+        unnest([sqrt(avg(((y - (a * x + b)) / y) ** 2)), sqrt(avg(((y - o * x) / y) ** 2))]) AS error
+      FROM folded JOIN line USING (fold) GROUP BY fold),
+    -- neighbours: every distinct value of a fold against the rows outside
+    placed AS (SELECT fold, q, y, d, row_number() OVER (
+        PARTITION BY fold, q ORDER BY d, above, CASE WHEN above THEN pos ELSE -pos END) AS place
+      FROM (SELECT fold, q, y, pos, abs(x - q) AS d, x >= q AS above
+            FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY x, {KEY}) AS pos FROM outside)
+            JOIN (SELECT DISTINCT fold, x AS q FROM folded) USING (fold)) QUALIFY place <= 32),
+    near AS (SELECT fold, q, k, avg(y) AS u, coalesce(avg(y) FILTER (d = 0),
+        sum(y / d) FILTER (d > 0) / sum(1 / d) FILTER (d > 0)) AS w
+      FROM placed, (SELECT unnest([1, 2, 4, 8, 16, 32]) AS k) WHERE place <= k GROUP BY ALL),
+    near_errors AS (SELECT folded.fold, unnest(['n_neighbors=' || k || ',weights=uniform', 'n_neighbors=' || k || ',weights=distance']) AS params,
+        unnest([sqrt(avg(((y - u) / y) ** 2)), sqrt(avg(((y - w) / y) ** 2))]) AS error
+      FROM folded JOIN near ON near.fold = folded.fold AND q = x GROUP BY folded.fold, k),
+    -- forests
+    sums AS MATERIALIZED (
+      SELECT fold, x, true AS bootstrap, tree, w, s FROM {_samples('folded', 'fold, x', 100, '0', KEY)}
+      UNION ALL SELECT fold, x, false, 0, count(*)::DOUBLE, sum(y) FROM folded GROUP BY fold, x),
+    inner_sums AS (SELECT f.fold, x, bootstrap, tree, sum(w) AS w, sum(s) AS s
+             FROM sums JOIN range(3) AS f(fold) ON f.fold <> sums.fold GROUP BY ALL),
+    cells AS MATERIALIZED (SELECT fold, x, bootstrap, tree, min_leaf, min_split, coalesce(w, 0) AS w, coalesce(s, 0) AS s
+      FROM inner_sums FULL JOIN (SELECT DISTINCT fold, x, bootstrap, tree FROM (SELECT DISTINCT fold, x FROM folded),
+             (SELECT DISTINCT bootstrap, tree FROM sums)) USING (fold, x, bootstrap, tree),
+        (SELECT unnest([1, 10]) AS min_leaf), (SELECT unnest([2, 10]) AS min_split)),
+    {_grown(_KINDS, 62, 'min_leaf', 'min_split')},
+    cut AS (SELECT {_KINDS}, x, most, arg_max(node, depth) AS node
+            FROM grown, (SELECT unnest([1, 10, 62]) AS most) WHERE depth <= most GROUP BY ALL),
+    means AS (SELECT fold, bootstrap, min_leaf, min_split, x, most, n, avg(value) AS p
+              FROM cut JOIN (SELECT DISTINCT {_KINDS}, node, value FROM nodes) USING ({_KINDS}, node),
+                   (SELECT unnest([1, 10, 100]) AS n) WHERE tree < n GROUP BY ALL),
+    forest_errors AS (SELECT fold, 'bootstrap=' || bootstrap || ',featureSubsetStrategy=' || strategy || ',maxDepth=' || deep
+          || ',minInstancesPerNode=' || min_leaf || ',minInstancesToSplit=' || min_split || ',numTrees=' || n AS params, error
+      FROM (SELECT fold, bootstrap, min_leaf, min_split, most, n, sqrt(avg(((y - p) / y) ** 2)) AS error
+            FROM folded JOIN means USING (fold, x) GROUP BY ALL),
+        (SELECT unnest([1, 10, 62, 62]) AS most_of, unnest(['1', '10', '100', 'none']) AS deep),
+        (SELECT unnest(['all', 'sqrt']) AS strategy) WHERE most_of = most),
+    -- support vectors: averaged sub-gradient steps on scaled rows
+    scales AS MATERIALIZED (SELECT fold, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy
+               FROM outside GROUP BY fold),
+    scaled AS MATERIALIZED (SELECT fold, (x - mx) / sx AS u, (y - my) / sy AS v, count(*) AS m
+               FROM outside JOIN scales USING (fold) GROUP BY ALL),
+    steps AS (
+      SELECT 0 AS step, fold, c, e, 0::DOUBLE AS w, 0::DOUBLE AS b, 0::DOUBLE AS mw, 0::DOUBLE AS mb
+      FROM scales, (SELECT unnest([0.01, 0.05, 0.1, 0.5, 1.0, 2.0])::DOUBLE AS c),
+        (SELECT unnest([0.01, 0.05, 0.1, 0.5, 1.0, 2.0])::DOUBLE AS e)
+      UNION ALL
+      SELECT step, fold, c, e, w, b, CASE WHEN step > 30 THEN mw + (w - mw) / (step - 30) ELSE mw END,
+             CASE WHEN step > 30 THEN mb + (b - mb) / (step - 30) ELSE mb END
+      FROM (SELECT step + 1 AS step, fold, c, e, mw, mb,
+                   w - 0.5 / sqrt(step + 1) * (w / (c * n) - coalesce(pw, 0) / n) AS w,
+                   b + 0.5 / sqrt(step + 1) * coalesce(pb, 0) / n AS b
+            FROM steps JOIN scales USING (fold) LEFT JOIN (
+              SELECT fold, c, e, sum(u * m * sign(v - (b + u * w))) AS pw, sum(m * sign(v - (b + u * w))) AS pb
+              FROM steps JOIN scaled USING (fold) WHERE abs(v - (b + u * w)) > e GROUP BY ALL) USING (fold, c, e)
+            WHERE step < 60)),
+    svm_errors AS (SELECT fold, 'C=' || c || ',epsilon=' || e AS params,
+        sqrt(avg(((y - (my + sy * (mb + mw * (x - mx) / sx))) / y) ** 2)) AS error
+      FROM folded JOIN scales USING (fold) JOIN (SELECT * FROM steps WHERE step = 60) USING (fold) GROUP BY fold, c, e),
+    scored AS (SELECT family, params, avg(-error) AS mean, stddev_pop(error) AS dev FROM (
+        SELECT 'linear_regression' AS family, * FROM line_errors UNION ALL SELECT 'nearest_neighbors', * FROM near_errors
+        UNION ALL SELECT 'random_forest', * FROM forest_errors UNION ALL SELECT 'svm', * FROM svm_errors) GROUP BY ALL)
+    SELECT family, params, round(mean, 6) AS mean_test_score, round(dev, 6) AS std_test_score FROM scored
+    QUALIFY row_number() OVER (PARTITION BY family ORDER BY round(mean, 9) DESC, params) = 1
+    """,
+)
 def grid_search(t):
-    return models.grid_search(
-        _runs(t), X, Y, UNIQUE, forest_grid=models.settings(models.FOREST_GRID),
+    best = models.grid_search(
+        _cents(t), X, Y, UNIQUE, forest_grid=models.settings(models.FOREST_GRID),
         svr_grid=models.settings(models.SVR_GRID),
     )
+    return best.withColumns({c: r6(c) for c in ("mean_test_score", "std_test_score")})
 
 
 @query(
@@ -274,7 +412,7 @@ def prediction_sweep(t):
 def _leaves(t, trees=10, depth=2):
     """Train and test rows with the leaf of every tree, split on quantity."""
     train, test = _halves(t)
-    model = models.fit(models.forest(trees=trees, depth=depth), models.assemble(train, [X], Y))
+    model = models.fit(models.forest(trees, depth), models.assemble(train, [X], Y))
     columns = [*UNIQUE, X, "l_tax", "label"]
     return [mixtures.with_leaves(model, models.assemble(part, [X], Y), columns) for part in (train, test)]
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from benchloom.functions import errors
-from benchloom.operators import mixtures, models, prep
+from benchloom.operators import mixtures, models, prep, trees
 from benchloom.operators.neighbours import knn_regress, nearest
 from benchloom.plans import learning
 
@@ -213,7 +214,7 @@ def test_grid_search_over_whole_grids(line, monkeypatch):
             back = [scaler.backward(F.col(k), "y") for k in ("y", "prediction")]
             errs.append(out.agg(errors.rmsre(*back)).first()[0])
         assert got[c, epsilon] == pytest.approx(-np.mean(errs))
-    assert len(models.settings(models.FOREST_GRID)) == 72
+    assert len(models.settings(models.FOREST_GRID)) == 192
     assert len(models.settings(models.SVR_GRID)) == 36
 
     def broken(*a):
@@ -228,12 +229,98 @@ def test_grid_search_over_whole_grids(line, monkeypatch):
     assert best["svm"].mean_test_score < 0
 
 
-def test_registered_grid_search_tries_every_setting(monkeypatch):
+def test_registered_grid_search_tries_every_setting(spark, monkeypatch):
     asked = {}
-    monkeypatch.setattr(models, "grid_search", lambda *a, **k: asked.update(k))
-    monkeypatch.setattr(learning, "_runs", lambda t: None)
+    scores = "mean_test_score double, std_test_score double"
+    monkeypatch.setattr(models, "grid_search", lambda *a, **k: asked.update(k) or spark.createDataFrame([], scores))
+    monkeypatch.setattr(learning, "_cents", lambda t: None)
     learning.grid_search(None)
-    assert len(asked["forest_grid"]) == 72 and len(asked["svr_grid"]) == 36
+    assert len(asked["forest_grid"]) == 192 and len(asked["svr_grid"]) == 36
+
+
+def _digest(*parts):
+    return hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()
+
+
+def _draw(seed, tree, unique):
+    """A Poisson draw of mean 1 from 16 bits of a digest."""
+    shown = int(_digest(f"{seed}.{tree // 8}", *unique)[4 * (tree % 8):][:4], 16)
+    total, k = 0.0, 0
+    while k < 8:
+        total += math.exp(-1) / math.factorial(k)
+        if shown < int(total * 65536):
+            break
+        k += 1
+    return k
+
+
+def _one_tree(rows, depth, min_leaf, min_split, chosen, node=1):
+    """A separate fit by recursion; rows are (w, features, y)."""
+    w, s = sum(r[0] for r in rows), sum(r[0] * r[2] for r in rows)
+    best = None
+    if depth and w >= min_split:
+        for f in chosen(node):
+            values = sorted({r[1][f] for r in rows})
+            for a, b in zip(values, values[1:]):
+                left = [r for r in rows if r[1][f] <= a]
+                wl, sl = sum(r[0] for r in left), sum(r[0] * r[2] for r in left)
+                if min(wl, w - wl) >= min_leaf:
+                    score = sl * sl / wl + (s - sl) ** 2 / (w - wl)
+                    if score - s * s / w > 1e-12 * s * s / w and (best is None or score > best[0]):
+                        best = score, f, (a + b) / 2
+    if best is None:
+        return lambda x: s / w
+    _, f, at = best
+    sides = [_one_tree([r for r in rows if (r[1][f] > at) == up], depth - 1, min_leaf, min_split, chosen,
+                       2 * node + up) for up in (False, True)]
+    return lambda x: sides[x[f] > at](x)
+
+
+@pytest.mark.parametrize("features", [["x"], ["x", "z"]])
+def test_shared_fits_score_like_separate_fits(spark, features):
+    random.seed(7)
+    data = [(i, float(random.randint(0, 9)), float(random.randint(0, 4))) for i in range(90)]
+    data = [(i, x, z, float(round(100 + 40 * math.sin(x) + 10 * z + random.gauss(0, 5)))) for i, x, z in data]
+    rows = spark.createDataFrame(data, "id bigint, x double, z double, y double")
+    folded = models.with_folds(rows, ["id"])
+    grid = models.settings({**models.FOREST_GRID, "maxDepth": (1, 3, None), "numTrees": (1, 3, 9)})
+    got = {r.params: r for r in models.grid_forest(folded, features, "y", ["id"], grid).collect()}
+    assert len(got) == len(grid) == 144
+    held = [(r.fold, r.id, tuple(r[f] for f in features), r.y) for r in folded.collect()]
+    for p in grid:
+        tried = len(features) if p["featureSubsetStrategy"] == "all" else 1
+        depth = p["maxDepth"] or 62
+        errs = []
+        for fold in range(3):
+            fits = []
+            for tree in range(p["numTrees"]):
+                weigh = lambda id: _draw("0", tree, [id]) if p["bootstrap"] else 1  # noqa: E731, B023
+                train = [(weigh(id), x, y) for f, id, x, y in held if f != fold and weigh(id)]
+                keys = (fold, str(p["bootstrap"]).lower(), tried, p["minInstancesPerNode"], p["minInstancesToSplit"], tree)
+                chosen = lambda node: sorted(sorted(
+                    range(len(features)), key=lambda f: _digest("0", *keys, node, f))[:tried])  # noqa: B023
+                fits.append(_one_tree(train, depth, p["minInstancesPerNode"], p["minInstancesToSplit"],
+                                      chosen if tried < len(features) else lambda node: range(len(features))))
+            test = [(x, y) for f, _, x, y in held if f == fold]
+            errs.append(np.sqrt(np.mean([((y - np.mean([t(x) for t in fits])) / y) ** 2 for x, y in test])))
+        r = got[models._text(p)]
+        assert (r.mean_test_score, r.std_test_score) == pytest.approx((-np.mean(errs), np.std(errs))), p
+
+
+def test_crowded_features_are_binned(spark):
+    rows = spark.createDataFrame([("few", float(i % 5)) for i in range(40)] + [("many", float(i)) for i in range(1000)]
+                                 + [("many", None), (None, 2.0)], "k string, x double")
+    got = trees.binned(rows, ["k"], "x", 8).groupBy("k").agg(F.count_distinct("x"), F.count("*"), F.max("x")).collect()
+    assert {tuple(r) for r in got} == {("few", 5, 40, 4.0), ("many", 8, 1001, 999.0), (None, 1, 1, 2.0)}
+
+
+def test_no_rows_to_grow_on(spark):
+    cells = spark.createDataFrame([("a", 1.0, 0.0, 0.0)], "k string, x double, w double, s double")
+    nodes, placed = trees.grow(cells, ["k"], ["x"])
+    assert nodes.count() == placed.count() == 0
+    rows = spark.createDataFrame([(i, 1.0, 3.0) for i in range(9)], "id int, x double, y double")
+    ranked = models.rank_features_by_forest(rows, ["x"], "y", ["id"], splits=2).collect()
+    assert [tuple(r) for r in ranked] == [("x", None)]
 
 
 # ---- mixtures -------------------------------------------------------------------------
