@@ -7,16 +7,20 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import errors
-from ..session import discard, materialize
+from ..session import materialize
+from . import trees
 from .neighbours import nearest
 from .ranks import with_rank
 
-# Fixed value: added to every component variance.
+# Added to every component variance; gain in mean log-likelihood below which a
+# mixture is settled; steps after which an unsettled one is left.
 VARIANCE_FLOOR = 1e-6
+TOLERANCE = 1e-3
+MOST_STEPS = 100
 # Tables read in every step are cut finer, so that all cores share a small one.
 ITERATED_ROW_GROUP_MB = 8
 
@@ -36,6 +40,23 @@ def with_leaves(model, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return materialize(leafed, "leaves", ITERATED_ROW_GROUP_MB)
 
 
+def forest_leaves(train: DataFrame, test: DataFrame, x: Sequence[str], y: str, unique: Sequence[str],
+                  n_trees: int = 100, depth: int = 2, seed: str = "42") -> list[DataFrame]:
+    """``train`` and ``test`` with ``leaves``, of a bagged forest fitted on ``train``.
+
+    All trees grow in the same jobs, from one cell per tree and distinct feature vector.
+    """
+    x = list(x)
+    sums = trees.tree_sums(train, x, y, unique, n_trees, seed).filter("bootstrap")
+    asked = train.select(*x).unionByName(test.select(*x))
+    cells = trees.with_asked(sums, asked, x, n_trees).filter("bootstrap")
+    _, placed = trees.grow(cells, ["tree"], x, depth)
+    reached = placed.groupBy(*x).agg(F.array_sort(F.collect_list(F.struct("tree", "node"))).alias("_at"))
+    leaves = materialize(reached.select(*x, F.transform("_at", lambda c: c["node"].cast("int")).alias("leaves")),
+                         "leaves")
+    return [part.join(leaves, x) for part in (train, test)]
+
+
 def leaf_samples(train: DataFrame, label: str = "label") -> DataFrame:
     """Training labels of each (tree, leaf), equal labels counted in ``copies``.
 
@@ -100,10 +121,11 @@ def _log_density(x: Column, weight: Column, mean: Column, var: Column) -> Column
 
 
 def fit_mixtures(
-    pools: DataFrame, keys: Sequence[str], k: int | str, iterations: int = 12,
-    k_max: int | None = None, tolerance: float = 1e-4,
+    pools: DataFrame, keys: Sequence[str], k: int | str, iterations: int = MOST_STEPS,
+    k_max: int | None = None, tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """Gaussian mixture of every pool: an array of ``(mean, var, weight)`` by rising mean.
+    """Gaussian mixture of every pool: ``mixture`` (``mean, var, weight`` by rising mean),
+    ``steps``, ``gain`` and ``converged``.
 
     ``pools`` is ``(keys, label, copies)``.  ``k`` is a number or the name of a
     column (then give ``k_max``); a pool of n labels gets min(k, n) components.
@@ -111,8 +133,10 @@ def fit_mixtures(
     Expectation maximisation runs on all pools at once.  A step joins the labels
     with the parameters of their pool and sums responsibilities per pool, so a
     pool may have any number of labels.  Labels are standardised per pool, and
-    components start at evenly spaced deviations from the mean.  Steps end when no mean of
-    any pool moves by ``tolerance`` deviations, and after ``iterations`` at the latest.
+    components start at evenly spaced deviations from the mean.  A pool is settled when a step
+    raised the mean log-likelihood of its labels by less than ``tolerance``; settled pools are
+    set aside, and only the others, with their labels, enter the next step.  A pool that is not
+    settled after ``iterations`` is returned with ``converged`` false and its last ``gain``.
     """
     keys = list(keys)
     k_max = k if isinstance(k, int) else k_max
@@ -153,12 +177,13 @@ def fit_mixtures(
         start[f"_w{j}"] = F.when(F.lit(j) < F.col("_k"), 1 / F.col("_k")).otherwise(F.lit(0.0))
         start[f"_m{j}"] = (2 * F.lit(float(j)) - F.col("_k") + 1) / F.col("_k")
         start[f"_v{j}"] = F.lit(1.0)
+    start["_fit"] = F.lit(None).cast("double")
     params = scale.select(*keys, "_n", floor.alias("_floor"), *[e.alias(n) for n, e in start.items()])
 
     x = F.col("_x")
     names = [f"_{p}{j}" for j in components for p in "wmv"]
-    before = None
-    for _ in range(iterations):
+    settled = []
+    for step in range(1, iterations + 1):
         met = rows.join(params, keys)
         logs = [_log_density(x, F.col(f"_w{j}"), F.col(f"_m{j}"), F.col(f"_v{j}")) for j in components]
         met = met.withColumns({f"_l{j}": e for j, e in enumerate(logs)})
@@ -176,7 +201,9 @@ def fit_mixtures(
                 F.sum(r * (x - F.col(f"_m{j}")) * (x - F.col(f"_m{j}"))).alias(f"_sxx{j}"),
                 F.first(f"_m{j}").alias(f"_old{j}"),
             ]
-        sums = met.groupBy(*keys).agg(*parts, F.first("_n").alias("_n"), F.first("_floor").alias("_floor"))
+        seen = (F.col("_top") + F.log("_sum")) * F.col("copies")
+        sums = met.groupBy(*keys).agg(*parts, F.sum(seen).alias("_seen"), *[
+            F.first(c).alias(c) for c in ("_n", "_floor", "_fit")])
         update = {}
         for j in components:
             mass, mean = F.col(f"_s{j}"), F.try_divide(F.col(f"_sx{j}"), F.col(f"_s{j}"))
@@ -185,20 +212,23 @@ def fit_mixtures(
             update[f"_w{j}"] = mass / F.col("_n")
             update[f"_m{j}"] = F.coalesce(mean, F.lit(0.0))
             update[f"_v{j}"] = F.greatest(F.coalesce(var, F.lit(1.0)), F.lit(0.0)) + F.col("_floor")
-        moves = [F.abs(update[f"_m{j}"] - F.col(f"_old{j}")) for j in components]
-        move = F.greatest(*moves) if k_max > 1 else moves[0]
+        fit = F.col("_seen") / F.col("_n")
         params = sums.select(
-            *keys, "_n", "_floor", *[update[n].alias(n) for n in names], move.alias("_move")
-        )
+            *keys, "_n", "_floor", *[update[n].alias(n) for n in names], fit.alias("_fit"),
+            F.abs(fit - F.col("_fit")).alias("_gain"))
         # One row per pool.  Written out, its size is known: small ones are broadcast
         # and the labels are not shuffled; it also cuts the lineage.
-        params = materialize(params, "mixture-step")
-        if before is not None:
-            discard(before)
-        before = params
-        if (params.agg(F.max("_move")).first()[0] or 0.0) < tolerance:
+        ends = F.coalesce(F.col("_gain") < tolerance, F.lit(False)) | F.lit(step == iterations)
+        left = Observation()
+        params = materialize(params.withColumns({"_step": F.lit(step), "_ends": ends}).observe(
+            left, F.count(F.when(~ends, 1)).alias("pools")), "mixture-step")
+        settled.append(params.filter("_ends"))
+        params = params.filter("NOT _ends")
+        if not left.get["pools"]:
             break
-    final = params.join(scale.select(*keys, "_mu", "_sd"), keys)
+    # Steps in which no pool settled hold no result.
+    settled = [s for s in settled if not s.isEmpty()] or settled[:1]
+    final = reduce(DataFrame.unionByName, settled).join(scale.select(*keys, "_mu", "_sd"), keys)
     cells = [
         F.struct(
             (F.col(f"_m{j}") * F.col("_sd") + F.col("_mu")).alias("mean"),
@@ -208,7 +238,9 @@ def fit_mixtures(
         for j in components
     ]
     mixture = F.array_sort(F.filter(F.array(*cells), lambda c: c["weight"] > 0))
-    return final.select(*keys, mixture.alias("mixture"))
+    return final.select(*keys, mixture.alias("mixture"), F.col("_step").alias("steps"),
+                        F.col("_gain").alias("gain"),
+                        F.coalesce(F.col("_gain") < tolerance, F.lit(False)).alias("converged"))
 
 
 def fit_single(pools: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
@@ -259,7 +291,7 @@ def nearest_component_rmsre(mixture: Column, y: Column, swap: bool = False) -> C
 
 def tune_components(
     test: DataFrame, pools: DataFrame, label: str = "label", counts: Sequence[int] = (1, 2, 3, 4, 5),
-    iterations: int = 12,
+    iterations: int = MOST_STEPS,
 ) -> DataFrame:
     """Relative error of the nearest component for each component count, all fitted together."""
     tried = pools.withColumn("num_component", F.explode(F.array(*[F.lit(c) for c in counts])))

@@ -409,19 +409,96 @@ def prediction_sweep(t):
 # ---- forests with leaves --------------------------------------------------------------
 
 
-def _leaves(t, trees=10, depth=2):
-    """Train and test rows with the leaf of every tree, split on quantity."""
-    train, test = _halves(t)
-    model = models.fit(models.forest(trees, depth), models.assemble(train, [X], Y))
-    columns = [*UNIQUE, X, "l_tax", "label"]
-    return [mixtures.with_leaves(model, models.assemble(part, [X], Y), columns) for part in (train, test)]
+def _leaves(t, n_trees=100, depth=2):
+    """Train and test rows, prices in cents, with the leaves of a forest fitted on quantity."""
+    halves = [models.with_folds(_cents(t), UNIQUE, 2, "1").filter(f"fold = {i}")
+              .withColumnRenamed(Y, "label") for i in (0, 1)]
+    train, test = mixtures.forest_leaves(*halves, [X], "label", UNIQUE, n_trees, depth)
+    return mixtures.number_leaves(train, test)
 
 
 def _pools(t):
-    train, test = mixtures.number_leaves(*_leaves(t))
+    train, test = _leaves(t)
     return test, mixtures.sample_pools(test, train)
 
 
+def _pool_labels(n_trees: int = 100, asked: str = "fold = 1", depth: int = 2) -> str:
+    """The labels ``(pool, label, copies)`` of each leaf vector, and ``test`` with its ``pool``."""
+    return f"""folded AS MATERIALIZED (
+      SELECT {KEY}, {X}::DOUBLE AS x, round({Y} * 100) AS y, ('0x' || left({_md5('1', *UNIQUE)}, 8))::BIGINT % 2 AS fold
+      FROM lineitem),
+    cells AS MATERIALIZED (SELECT x, tree, coalesce(w, 0) AS w, coalesce(s, 0) AS s
+      FROM {_samples('(SELECT * FROM folded WHERE fold = 0)', 'x', n_trees, '42', KEY)}
+      FULL JOIN (SELECT DISTINCT x, tree::INT AS tree FROM folded, range({n_trees}) AS t(tree)) USING (x, tree)),
+    {_grown('tree', depth)},
+    ends AS MATERIALIZED (SELECT x, tree, arg_max(node, depth) AS node FROM grown GROUP BY ALL),
+    vectors AS MATERIALIZED (SELECT x, list(node ORDER BY tree) AS leaves FROM ends GROUP BY x),
+    pool_of AS MATERIALIZED (SELECT x, dense_rank() OVER (ORDER BY leaves) AS pool FROM vectors),
+    reached AS (SELECT DISTINCT pool, tree, node FROM ends JOIN pool_of USING (x)),
+    shared AS (SELECT a.pool, b.pool AS vector, count(*) AS trees FROM reached a JOIN reached b USING (tree, node)
+               WHERE a.pool IN (SELECT pool FROM folded JOIN pool_of USING (x) WHERE {asked})
+               GROUP BY a.pool, b.pool),
+    counted AS (SELECT shared.pool, y AS label, sum(trees) AS copies
+                FROM folded JOIN pool_of USING (x) JOIN shared ON vector = pool_of.pool WHERE fold = 0 GROUP BY ALL),
+    pools AS MATERIALIZED (SELECT pool, label,
+        (CASE WHEN sum(copies) OVER (PARTITION BY pool) < 2 THEN 2 ELSE copies END)::DOUBLE AS copies FROM counted),
+    test AS (SELECT {KEY}, x, y, pool FROM folded JOIN pool_of USING (x) WHERE fold = 1)"""
+
+
+def _em(keys: str, k_max: int, wanted: str) -> str:
+    """Expectation maximisation; a pool goes on while its last gain is not below the tolerance."""
+    js = range(k_max)
+    each = lambda text, sep=", ": sep.join(text.format(j=j) for j in js)
+    return f"""moments AS (SELECT {keys}, sum(copies) AS n, sum(label * copies) / sum(copies) AS mu,
+        least(any_value({wanted}), sum(copies))::INT AS k FROM asked GROUP BY {keys}),
+    scale AS MATERIALIZED (SELECT {keys}, n, mu, k, CASE WHEN dev > 0 THEN dev ELSE 1 END AS sd FROM (
+      SELECT {keys}, n, mu, k, sqrt(sum((label - mu) * (label - mu) * copies) / sum(copies)) AS dev
+      FROM asked JOIN moments USING ({keys}) GROUP BY ALL)),
+    standard AS MATERIALIZED (SELECT {keys}, (label - mu) / sd AS x, copies FROM asked JOIN scale USING ({keys})),
+    em AS (
+      SELECT 0 AS step, {keys}, n, {mixtures.VARIANCE_FLOOR}::DOUBLE / (sd * sd) AS least,
+             {each('CASE WHEN {j} < k THEN 1::DOUBLE / k ELSE 0 END AS w{j}, (2::DOUBLE * {j} - k + 1) / k AS m{j}, 1::DOUBLE AS v{j}')},
+             NULL::DOUBLE AS fit, NULL::DOUBLE AS gain FROM scale
+      UNION ALL
+      SELECT step + 1, {keys}, n, least,
+             {each('s{j} / n, coalesce(sx{j} / nullif(s{j}, 0), 0), greatest(coalesce(sxx{j} / nullif(s{j}, 0) - (sx{j} / nullif(s{j}, 0) - m{j}) ** 2, 1), 0) + least')},
+             seen / n, abs(seen / n - fit)
+      FROM (SELECT step, {keys}, n, least, fit, {each('m{j}')}, sum((top + ln(total)) * copies) AS seen,
+                   {each('sum(e{j} / total * copies) AS s{j}, sum(e{j} / total * copies * x) AS sx{j}, sum(e{j} / total * copies * (x - m{j}) ** 2) AS sxx{j}')}
+            FROM (SELECT *, {each('e{j}', ' + ')} AS total FROM (
+                SELECT *, {each('exp(l{j} - top) AS e{j}')} FROM (
+                  SELECT *, greatest({each('l{j}')}) AS top FROM (
+                    SELECT em.*, x, copies,
+                           {each('CASE WHEN w{j} > 0 THEN ln(w{j}) - 0.5::DOUBLE * (ln(2 * pi() * v{j}) + (x - m{j}) ** 2 / v{j}) ELSE -1e300::DOUBLE END AS l{j}')}
+                    FROM em JOIN standard USING ({keys})
+                    WHERE step < {mixtures.MOST_STEPS} AND (gain IS NULL OR gain >= {mixtures.TOLERANCE})))))
+            GROUP BY step, {keys}, n, least, fit, {each('m{j}')})),
+    fitted AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY step DESC) = 1),
+    mixture AS MATERIALIZED (
+      SELECT {keys}, step AS steps, coalesce(gain < {mixtures.TOLERANCE}, false) AS converged, c.mean, c.var, c.weight,
+             row_number() OVER (PARTITION BY {keys} ORDER BY c.mean, c.var, c.weight) - 1 AS component
+      FROM (SELECT {keys}, step, gain, unnest([{each("{{'mean': m{j} * sd + mu, 'var': v{j} * sd * sd, 'weight': w{j}}}")}]) AS c
+            FROM fitted JOIN scale USING ({keys})) WHERE c.weight > 0)"""
+
+
+# Components of a mixture as rows, rounded so that the order of sums does not show.
+_COMPONENTS = """SELECT pool, steps, converged, round(mean, 2) AS mean, round(sqrt(var), 2) AS deviation,
+           round(weight, 6) AS weight FROM mixture"""
+
+
+def _components(fitted):
+    parts = fitted.select("pool", "steps", "converged", F.inline("mixture"))
+    return parts.select("pool", "steps", "converged", r6("mean", 2).alias("mean"),
+                        r6(F.sqrt("var"), 2).alias("deviation"), r6("weight").alias("weight"))
+
+
+# Log densities of the test labels under the components of their pool.
+_DENSITY = f"""logs AS (SELECT {KEY}, x, component, ln(weight) - 0.5::DOUBLE * (ln(2 * pi() * var) + (y - mean) ** 2 / var) AS l
+      FROM test JOIN mixture USING (pool)),
+    tops AS (SELECT *, max(l) OVER (PARTITION BY {KEY}) AS top FROM logs),
+    density AS (SELECT *, top + ln(sum(exp(l - top)) OVER (PARTITION BY {KEY})) AS total FROM tops)"""
+
+
 # Leaf arrays that SQL can write too: tree i parts the quantities at multiples of 13, shifted
 # by 7 i.  A fitted forest gives such arrays as well (``mixtures.with_leaves``).
 _TREES = 5
@@ -491,10 +568,12 @@ def forest_sample_pool(t):
     return pools.groupBy("pool", "label").agg(F.sum("copies").alias("copies"))
 
 
-@query("fit_mixture")
+@query("fit_mixture", f"""
+    WITH RECURSIVE {_pool_labels()}, asked AS (SELECT * FROM pools), {_em('pool', 2, '2')} {_COMPONENTS}
+    """)
 def fit_mixture(t):
     _, pools = _pools(t)
-    return mixtures.fit_mixtures(pools, ["pool"], 2).select("pool", F.inline("mixture"))
+    return _components(mixtures.fit_mixtures(pools, ["pool"], 2))
 
 
 @query(
@@ -512,11 +591,13 @@ def fit_mixture_single(t):
     return out.select(X, "l_tax", r6("mean").alias("mean"), r6(F.sqrt("var"), 4).alias("deviation"))
 
 
-@query("tree_mixture")
+@query("tree_mixture", f"""
+    WITH RECURSIVE {_pool_labels(1, 'true')}, asked AS (SELECT * FROM pools), {_em('pool', 2, '2')} {_COMPONENTS}
+    """)
 def tree_mixture(t):
-    train, test = mixtures.number_leaves(*_leaves(t, trees=1))
+    train, test = _leaves(t, n_trees=1)
     pools = mixtures.sample_pools(train.unionByName(test), train)
-    return mixtures.fit_mixtures(pools, ["pool"], 2).select("pool", F.inline("mixture"))
+    return _components(mixtures.fit_mixtures(pools, ["pool"], 2))
 
 
 def _with_mixture(t):
@@ -524,16 +605,23 @@ def _with_mixture(t):
     return test.join(mixtures.fit_mixtures(pools, ["pool"], 2), "pool")
 
 
-@query("mixture_proba")
+@query("mixture_proba", f"""
+    WITH RECURSIVE {_pool_labels()}, asked AS (SELECT * FROM pools), {_em('pool', 2, '2')}, {_DENSITY}
+    SELECT {KEY}, component::INT AS component, round(exp(l - total), 6) AS share FROM density
+    """)
 def mixture_proba(t):
     rows = _with_mixture(t)
     shares = mixtures.responsibilities(F.col("mixture"), F.col("label"))
-    return rows.select(*UNIQUE, F.posexplode(shares).alias("component", "share"))
+    return (rows.select(*UNIQUE, F.posexplode(shares).alias("component", "share"))
+            .withColumn("share", r6("share")))
 
 
-@query("mixture_score")
+@query("mixture_score", f"""
+    WITH RECURSIVE {_pool_labels()}, asked AS (SELECT * FROM pools), {_em('pool', 2, '2')}, {_DENSITY}
+    SELECT x AS {X}, round(avg(total), 6) AS score FROM density WHERE component = 0 GROUP BY x
+    """)
 def mixture_score(t):
-    return mixtures.mixture_score(_with_mixture(t), [X])
+    return mixtures.mixture_score(_with_mixture(t), [X]).withColumn("score", r6("score"))
 
 
 @query(
@@ -561,10 +649,17 @@ def nearest_component_rmsre(t):
     return rows.groupBy("l_tax").agg(measure(False).alias("rmsre"), measure(True).alias("swapped"))
 
 
-@query("tune_components")
+@query("tune_components", f"""
+    WITH RECURSIVE {_pool_labels()},
+    asked AS (SELECT *, num_component AS wanted FROM pools, (SELECT unnest([1, 2, 3, 4, 5]) AS num_component)),
+    {_em('pool, num_component', 5, 'wanted')},
+    nearest AS (SELECT num_component, y, arg_min(mean, struct_pack(gap := abs(mean - y), component := component)) AS chosen
+                FROM test JOIN mixture USING (pool) GROUP BY {KEY}, num_component, y)
+    SELECT num_component, round(sqrt(avg(((y - chosen) / y) ** 2)), 6) AS rmsre FROM nearest GROUP BY num_component
+    """)
 def tune_components(t):
     test, pools = _pools(t)
-    return mixtures.tune_components(test, pools)
+    return mixtures.tune_components(test, pools).withColumn("rmsre", r6("rmsre"))
 
 
 @query(
