@@ -8,11 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import free, store
 
 LG_K = 12
 MIN_SITES = 10
-MAX_SHARE = 0.5
 
 
 def lines_of(docs: DataFrame, id_column: str, text: str, site: str) -> DataFrame:
@@ -84,43 +83,34 @@ def votes_of(docs: DataFrame, lines: DataFrame, classes: DataFrame, text: str,
                  .join(voters, "whole").select("digest", "site"), "votes")
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE,
-               id_column: str = "doc_id", text: str = "text", site: str = "source",
-               classes: DataFrame | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_column: str = "doc_id",
+               text: str = "text", site: str = "source", classes: DataFrame | None = None,
+               counts: tuple[str, str] = ("__n_lines", "__n_removed")) -> DataFrame:
     """``docs`` with cross-site boilerplate lines taken out of ``text``.
 
-    A line is boilerplate if it stands on at least ``min_sites`` distinct sites.  A document
-    of which boilerplate would take more than ``max_share`` of the characters is a copy of
-    another document, not a page with boilerplate: it stays whole for near-dup stages.  All
-    rows and columns stay; ``__n_lines`` and ``__n_removed`` are added.  Blank lines are
-    never boilerplate, a null site never counts, a null text stays null, rows with the same
-    id are told apart by their text.
+    A line is boilerplate if it stands on at least ``min_sites`` distinct sites; it goes from
+    every document, whatever its share.  A text of which nothing remains becomes empty.  All
+    rows and columns stay; the numbers of lines and of removed lines are added as ``counts``,
+    which must be names ``docs`` does not have.  Blank lines are never boilerplate, a null site
+    never counts, a null text stays null, rows with the same id are told apart by their text.
 
-    With ``classes`` (``jaccard_join.text_classes``) copies are told by what they are: each
-    class counts for one site, and what still reaches ``min_sites`` is cut from every document,
-    whatever its share.  A text of which nothing remains becomes empty.
+    With ``classes`` (``jaccard_join.text_classes``) each class of near copies counts for one
+    site, so that a copied document does not make boilerplate of its lines.
     """
     lines = lines_of(docs, id_column, text, site)
     votes = lines if classes is None else votes_of(docs, lines, classes, text, site)
     spread = spread_lines(votes, merge([sketches(votes)]), min_sites)
+    key, hashed, gone = free([*docs.columns, *counts], "__id", "__whole", "__gone")
     hits = (lines.join(spread, "digest").groupBy("id", "whole")
-            .agg(F.collect_set("pos").alias("__gone"))
-            .select(F.col("id").alias("__id"), F.col("whole").alias("__whole"), "__gone"))
+            .agg(F.collect_set("pos").alias(gone))
+            .select(F.col("id").alias(key), F.col("whole").alias(hashed), gone))
     body = F.coalesce(F.col(text), F.lit(""))
     parts = F.split(body, "\n", -1)
     joined = docs.join(
-        hits, docs[id_column].eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__whole")),
-        "left")
-    left = F.array_join(F.filter(
-        parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    # what a line takes with it includes its line feed
-    lost = F.length(body) - F.length(left)
-    cut = F.col("__gone").isNotNull()
-    if classes is None:
-        cut = cut & (lost <= max_share * F.length(body))
-    return (joined.withColumn("__cut", F.coalesce(cut, F.lit(False)))
-            .withColumn("__n_lines", F.size(parts).cast("bigint"))
-            .withColumn("__n_removed", F.when(F.col("__cut"), F.size("__gone")).otherwise(0)
-                        .cast("bigint"))
-            .withColumn(text, F.when(F.col("__cut"), left).otherwise(F.col(text)))
-            .drop("__id", "__whole", "__gone", "__cut"))
+        hits, docs[id_column].eqNullSafe(F.col(key)) & (F.xxhash64(body) == F.col(hashed)), "left")
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return joined.select(
+        *[F.when(F.col(gone).isNotNull(), left).otherwise(F.col(c)).alias(c) if c == text
+          else F.col(c) for c in docs.columns],
+        F.size(parts).cast("bigint").alias(counts[0]),
+        F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias(counts[1]))

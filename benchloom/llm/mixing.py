@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import free, store
 
 PREFIX = 3  # hex digits of the order key that cut a leaf into parts for prefix sums
 
@@ -82,8 +82,10 @@ def plan_mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str,
     """The rows with leaf, ``tokens`` and order ``key``, and the leaf table with its cuts.
 
     Each leaf is read in seeded epochs: all of it ``full`` times, then the documents whose
-    order key in that epoch, MD5 of (seed, epoch, id), is at most ``cut``: the longest prefix
-    of the epoch's order that fits into what is left of the target.  Prefix sums use sums by
+    order key in that epoch, MD5 of (seed, epoch, id), is at most ``cut``: the shortest prefix
+    of the epoch's order that reaches what is left of the target.  The document that crosses
+    the target is taken, so a leaf is never short and at most that document over (see
+    :func:`leaf_report`).  Prefix sums use sums by
     the key's first digits; only the part in which the prefix ends is ordered, so a leaf with
     a third of all rows is spread over all tasks.  Rows with equal keys (the same id) are
     taken together.
@@ -105,13 +107,15 @@ def plan_mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str,
     running = Window.partitionBy(*names).orderBy("part")
     ends = (keyed.groupBy(*names, "rest", "part").agg(F.sum("tokens").alias("sum"))
             .withColumn("upto", F.sum("sum").over(running))
-            .where("upto > rest").groupBy(*names)
+            .where("upto >= rest").groupBy(*names)
             .agg(F.min(F.struct("part", (F.col("upto") - F.col("sum")).alias("before")))
                  .alias("end")).select(*names, "end.*"))
+    # Up to the key before: rows of one key are taken together.
+    own = Window.partitionBy(*names, "key")
     inside = Window.partitionBy(*names).orderBy("key")
     cuts = (keyed.drop("full").join(ends, [*names, "part"])
-            .withColumn("upto", F.col("before") + F.sum("tokens").over(inside))
-            .where("upto <= rest").groupBy(*names).agg(F.max("key").alias("inner")))
+            .withColumn("passed", F.col("before") + F.sum("tokens").over(inside) - F.sum("tokens").over(own))
+            .where("passed < rest").groupBy(*names).agg(F.max("key").alias("inner")))
     # without an end everything fits: 'g' is above every hex digit
     table = store(
         leaves.join(ends, names, "left").join(cuts, names, "left")
@@ -135,6 +139,12 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]
             .select("id", *levels, "tokens", "epochs"))
 
 
+def leaf_report(mixed: DataFrame, leaves: DataFrame, levels: list[str]) -> DataFrame:
+    """``levels, target, reached`` per leaf, of :func:`mix` rows and the plan's leaf table."""
+    reached = mixed.groupBy(*levels).agg(F.sum(F.col("tokens") * F.col("epochs")).alias("reached"))
+    return leaves.select(*levels, "target").join(reached, levels)
+
+
 def mixed_documents(docs: DataFrame, levels: dict[str, Column], weights: list[dict[str, int]],
                     share: float, max_epochs: int, seed: str, id_column: str = "doc_id",
                     text: str = "text") -> DataFrame:
@@ -145,15 +155,15 @@ def mixed_documents(docs: DataFrame, levels: dict[str, Column], weights: list[di
     """
     _, epochs, leaves = plan_mix(docs, levels, weights, share, max_epochs, seed, id_column,
                                  blank_words(text))
-    leaves = leaves.select(*[F.col(n).alias(f"__{n}") for n in levels], "full", "cut")
-    leaves = leaves.withColumnsRenamed({"full": "__full", "cut": "__cut"})
-    same = [F.coalesce(c, F.lit("unknown")) == F.col(f"__{n}") for n, c in levels.items()]
+    *names, full, cut, times = free(docs.columns, *[f"__{n}" for n in levels], "__full", "__cut", "__times")
+    leaves = leaves.select(*[F.col(n).alias(new) for n, new in zip(levels, names)],
+                           F.col("full").alias(full), F.col("cut").alias(cut))
+    same = [F.coalesce(c, F.lit("unknown")) == F.col(n) for n, c in zip(names, levels.values())]
     condition = same[0]
     for more in same[1:]:
         condition &= more
-    taken = F.col("__full") + (order_key(seed, F.col("__full"), F.col(id_column))
-                               <= F.col("__cut")).cast("int")
-    return (docs.join(leaves, condition).withColumn("__times", taken.cast("int"))
-            .where("__times > 0")
-            .withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    taken = F.col(full) + (order_key(seed, F.col(full), F.col(id_column)) <= F.col(cut)).cast("int")
+    return (docs.join(leaves, condition).withColumn(times, taken.cast("int"))
+            .where(F.col(times) > 0)
+            .withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
             .select(*docs.columns))

@@ -60,11 +60,8 @@ def op1_embedding_dedup(spark, folder):
                  coalesce(string_agg(part, chr(10) ORDER BY pos)
                           FILTER (s.line IS NULL), '') AS rest
           FROM l LEFT JOIN s ON trim(l.part) = s.line GROUP BY l.doc_id),
-    c AS (SELECT d.doc_id, n, gone, d.text, rest, gone > 0
-                 AND length(d.text) - length(rest) <= 0.5 * length(d.text) AS cut
-          FROM d JOIN k USING (doc_id))
-    SELECT doc_id, n AS n_lines, CASE WHEN cut THEN gone ELSE 0 END AS n_removed,
-           sha256(CASE WHEN cut THEN rest ELSE text END) AS kept_sha256 FROM c""")
+    c AS (SELECT d.doc_id, n, gone, d.text, rest FROM d JOIN k USING (doc_id))
+    SELECT doc_id, n AS n_lines, gone AS n_removed, sha256(rest) AS kept_sha256 FROM c""")
 def op2_line_dedup(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     return line_dedup.line_dedup(docs).select(
@@ -176,7 +173,7 @@ MIX_WEIGHTS = [{"web": 5, "books": 3, "code": 2}, {"en": 6, "de": 2}, {"src0": 2
                    ORDER BY md5('mix:' || whole || ':' || doc_id)) AS upto
           FROM r JOIN e USING (domain, language, origin))
     SELECT doc_id, domain, language, origin, tokens,
-           whole + (upto <= rest)::INT AS epochs FROM o""")
+           whole + (upto - tokens < rest)::INT AS epochs FROM o""")
 def op7_source_mix(spark, folder):
     return mixing.mix(table(spark, folder, "documents"), mix_levels(), MIX_WEIGHTS, share=0.6,
                       max_epochs=3, seed="mix").withColumnRenamed("id", "doc_id")

@@ -15,8 +15,7 @@ from .common import batches, store
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
-MAX_TRAIN = 16_000      # labelled rows the classifier is fitted on, at most
-FEATURES = 4096         # buckets with the most certain ratios get a weight
+MAX_TRAIN = 4_000       # labelled rows the classifier is fitted on, at most
 SEGMENT = 1 << 18       # characters handled at once
 BATCH_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -88,7 +87,7 @@ class Model:
 def _fit_linear(row: np.ndarray, col: np.ndarray, ratio: np.ndarray, label: np.ndarray,
                 steps: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression by full-batch Adam on the ratio-scaled binary features."""
-    w, b = np.ones(len(ratio)) * 0.05, float(np.log(label.mean() / (1 - label.mean())))
+    w, b = np.ones(len(ratio)) * 0.01, float(np.log(label.mean() / (1 - label.mean())))
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, steps + 1):
         z = np.bincount(row, (w * ratio)[col], len(label)) + b
@@ -105,10 +104,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
           label: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
     """Fit on ``labels`` rows (id, 0/1 label) joined to their texts.
 
-    At most ``max_train`` labelled ids are used, those with the smallest hash of the id; that
-    bound is why the ids may be broadcast and the fitted rows gathered.  Ids labelled twice
+    At most ``max_train`` labelled ids are used, those with the smallest hash of the id, and of
+    rows that repeat an id the one whose text has the smallest hash; that bound is why the ids
+    may be broadcast and the features of the fitted rows gathered.  Ids labelled twice
     count as 1 if any label is 1; null labels and ids are ignored.  Ratios are
-    log((p + 1) / (P + 2)) - log((n + 1) / (N + 2)) of the documents holding an n-gram.
+    log((p + 1) / (P + 2)) - log((n + 1) / (N + 2)) of the documents holding an n-gram; every
+    bucket that occurs is a feature.
     Without both classes only the share of label 1 is learnt (score 0 without any label).
     """
     picked = (labels.select(F.col(id_column).alias("id"), F.col(label).alias("label"))
@@ -116,8 +117,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
               .groupBy("id").agg(F.max("label").alias("label"))
               .orderBy(F.xxhash64("id"), "id").limit(max_train))
     rows = store(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-                 .join(F.broadcast(picked), "id")
-                 .select("text", F.col("label").cast("bigint").alias("label")), "labelled")
+                 .join(F.broadcast(picked), "id").groupBy("id")
+                 .agg(F.min_by("text", F.xxhash64("text")).alias("text"),
+                      F.max("label").cast("bigint").alias("label"))
+                 .select("text", "label"), "labelled")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS + 1), np.int64)
@@ -144,8 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
         share = (positives + 0.5) / (seen + 1) if seen else 1e-12
         return Model(weights, float(np.log(share / (1 - share))))
     ratio = np.log((p + 1) / (positives + 2)) - np.log((n + 1) / (negatives + 2))
-    sure = np.abs(ratio) / np.sqrt(1 / (p + 1) + 1 / (n + 1))
-    chosen = np.sort(np.argsort(-sure, kind="stable")[:FEATURES])
+    chosen = np.flatnonzero(n + p)
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
 
@@ -159,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
 
     fitted = rows.mapInArrow(features, "label bigint, features binary").toPandas()
     lists = [np.frombuffer(x, "<i4") for x in fitted["features"]]
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    del fitted["features"]
+    row = np.repeat(np.arange(len(lists), dtype="<i4"), [len(x) for x in lists])
     w, b = _fit_linear(row, np.concatenate(lists), ratio[chosen],
                        (fitted["label"].to_numpy() == 1).astype(float))
     weights[chosen] = w * ratio[chosen]

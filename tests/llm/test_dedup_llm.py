@@ -87,7 +87,7 @@ def test_exact_dedup_of_nothing(spark):
 # ---- lines ------------------------------------------------------------------------------
 
 
-def brute_lines(values, min_sites, share):
+def brute_lines(values, min_sites):
     sites = {}
     for _, text, site in values:
         for line in (text or "").split("\n"):
@@ -99,7 +99,7 @@ def brute_lines(values, min_sites, share):
         keep = [x for x in lines if len(sites.get(x.strip(" "), ())) < min_sites]
         rest = "\n".join(keep)
         gone = len(lines) - len(keep)
-        if gone and len(text) - len(rest) <= share * len(text):
+        if gone:
             out[key, rest, len(lines), gone] += 1
         else:
             out[key, text, len(lines), 0] += 1
@@ -124,7 +124,7 @@ def test_line_dedup(spark):
         got = line_dedup.line_dedup(docs, min_sites=sites)
         assert set(docs.columns) <= set(got.columns)
         assert Counter((r.doc_id, r.text, r["__n_lines"], r["__n_removed"])
-                       for r in got.collect()) == brute_lines(values, sites, line_dedup.MAX_SHARE)
+                       for r in got.collect()) == brute_lines(values, sites)
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
