@@ -2,7 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)``, works on all rows its predecessor kept, and is
 written as Parquet below ``spark.checkpoint.dir`` before the next one reads it.  All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``; columns a stage does not know, whatever their names,
+come out as they went in.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchloom.llm import jaccard_join, line_dedup, mixing, pieces, toxicity
-from benchloom.llm.common import store, table
+from benchloom.llm.common import free, store, table
 from benchloom.llm.queries import MIX_WEIGHTS, mix_levels
 
 TOXIC = 0.3        # documents that score this or more are rejected
@@ -23,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8.  The model learns from the labels that are not held out."""
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out("doc_id"))
     model = toxicity.train(docs, labels)
-    return (docs.withColumn("__score", model.score(F.col("text")))
-            .where(F.col("__score") < TOXIC).select(*docs.columns))
+    score, = free(docs.columns, "__score")
+    return (docs.withColumn(score, model.score(F.col("text")))
+            .where(F.col(score) < TOXIC).select(*docs.columns))
 
 
 def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,9 @@ def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A class of near copies counts for one site, so a copied document is not boilerplate, and
     lines that reach the threshold go from every document, also where they are most of it.
     """
-    cut = line_dedup.line_dedup(docs, classes=jaccard_join.text_classes(docs))
-    changed = F.col("__n_removed") > 0
+    counts = free(docs.columns, "__n_lines", "__n_removed")
+    cut = line_dedup.line_dedup(docs, classes=jaccard_join.text_classes(docs), counts=tuple(counts))
+    changed = F.col(counts[1]) > 0
     return (cut.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint"))
                            .otherwise(F.col("n_chars")))
             .select(*docs.columns))
@@ -46,9 +49,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without words or without an id have no class and stay; rows that repeat the id
     that stays all stay.
     """
+    name, = free(docs.columns, "__id")
     dropped = (jaccard_join.jaccard_join(docs).where("NOT kept")
-               .select(F.col("id").alias("__id")).distinct().hint("merge"))
-    return docs.join(dropped, docs["doc_id"] == F.col("__id"), "left_anti").select(*docs.columns)
+               .select(F.col("id").alias(name)).distinct().hint("merge"))
+    return docs.join(dropped, docs["doc_id"] == F.col(name), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
