@@ -18,6 +18,7 @@ BUCKETS = 1 << 18
 MAX_TRAIN = 4_000       # labelled rows the classifier is fitted on, at most
 SEGMENT = 1 << 18       # characters handled at once
 BATCH_BYTES = 1 << 20
+FIT_ROWS = 64           # fitted rows handled at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -69,8 +70,16 @@ class Model:
     intercept: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        row, bucket = present(texts, self.weights != 0)
-        total = np.bincount(row, self.weights[bucket], len(texts)) + self.intercept
+        keep = self.weights != 0
+        total = np.full(len(texts), self.intercept)
+        upto = np.cumsum([len(t or "") for t in texts])
+        start = 0
+        while start < len(texts):  # pairs of a bounded lot of texts at a time
+            before = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, before + SEGMENT, "right")))
+            row, bucket = present(texts[start:stop], keep)
+            total[start:stop] += np.bincount(row, self.weights[bucket], stop - start)
+            start = stop
         return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
     def score(self, text: Column) -> Column:
@@ -84,16 +93,25 @@ class Model:
         return toxicity(text)
 
 
-def _fit_linear(row: np.ndarray, col: np.ndarray, ratio: np.ndarray, label: np.ndarray,
+def _fit_linear(lists: list[np.ndarray], ratio: np.ndarray, label: np.ndarray,
                 steps: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression by full-batch Adam on the ratio-scaled binary features."""
+    """Logistic regression by full-batch Adam on the ratio-scaled binary features.
+
+    ``lists`` holds the features of each row; a step passes over them in lots of rows.
+    """
     w, b = np.ones(len(ratio)) * 0.01, float(np.log(label.mean() / (1 - label.mean())))
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(row, (w * ratio)[col], len(label)) + b
-        miss = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - label
-        g = np.append(ratio * np.bincount(col, miss[row], len(ratio)) / len(label) + penalty * w,
-                      miss.mean())
+        pull, missed, scaled = np.zeros(len(ratio)), 0.0, w * ratio
+        for start in range(0, len(lists), FIT_ROWS):
+            lot = lists[start:start + FIT_ROWS]
+            row = np.repeat(np.arange(len(lot)), [len(x) for x in lot])
+            col = np.concatenate(lot)
+            z = np.bincount(row, scaled[col], len(lot)) + b
+            miss = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - label[start:start + FIT_ROWS]
+            pull += np.bincount(col, miss[row], len(ratio))
+            missed += miss.sum()
+        g = np.append(ratio * pull / len(label) + penalty * w, missed / len(label))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -159,12 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays(
                 [part.column("label"), pa.array(lists, pa.binary())], ["label", "features"])
 
-    fitted = rows.mapInArrow(features, "label bigint, features binary").toPandas()
-    lists = [np.frombuffer(x, "<i4") for x in fitted["features"]]
-    del fitted["features"]
-    row = np.repeat(np.arange(len(lists), dtype="<i4"), [len(x) for x in lists])
-    w, b = _fit_linear(row, np.concatenate(lists), ratio[chosen],
-                       (fitted["label"].to_numpy() == 1).astype(float))
+    fitted = rows.mapInArrow(features, "label bigint, features binary").toArrow()
+    # Views of the gathered buffers, not copies.
+    lists = [np.frombuffer(x.as_buffer(), "<i4") for x in fitted.column("features")]
+    w, b = _fit_linear(lists, ratio[chosen], (fitted.column("label").to_numpy() == 1).astype(float))
     weights[chosen] = w * ratio[chosen]
     return Model(weights, b)
 

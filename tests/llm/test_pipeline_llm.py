@@ -111,8 +111,8 @@ def test_repeated_ids_fit_one_row_each(spark, monkeypatch):
     rows, labels = toxic_rows(60, 4)
     gathered = []
     fit = toxicity._fit_linear
-    monkeypatch.setattr(toxicity, "_fit_linear", lambda row, col, ratio, label: gathered.append(len(label)) or fit(
-        row, col, ratio, label))
+    monkeypatch.setattr(toxicity, "_fit_linear", lambda lists, ratio, label: gathered.append(len(lists)) or fit(
+        lists, ratio, label))
     docs = spark.createDataFrame([(k, f"{t} {i}") for k, t in rows for i in range(20)], "doc_id bigint, text string")
     toxicity.train(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"), max_train=40)
     assert gathered == [40]
