@@ -33,19 +33,19 @@ RUN_STATS_PERCENTILES = {"50pc": 0.50, "75pc": 0.75, "95pc": 0.95, "99pc": 0.99}
 PICK_FEATURE = "executor_container_cpu_usage_seconds_total"
 
 
-def _spread(value: str) -> list[Column]:
-    return [F.max(value).alias("max"), F.avg(value).alias("mean"), F.min(value).alias("min")]
+def _spread(value: str) -> dict[str, tuple[str, str]]:
+    return {name: (name, value) for name in ("max", "mean", "min")}
 
 
 def series_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Max, mean, min and five linear percentiles of each series."""
-    return group_percentiles(df, keys, value, SUMMARY_PERCENTILES, aggs=_spread(value))
+    return group_percentiles(df, keys, value, SUMMARY_PERCENTILES, merged=_spread(value))
 
 
 def run_stats(runs: DataFrame, samples: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Max, mean, min and nearest percentiles per run; -1 everywhere for a run without samples."""
     stats = group_percentiles(
-        samples, keys, value, RUN_STATS_PERCENTILES, "nearest", _spread(value)
+        samples, keys, value, RUN_STATS_PERCENTILES, "nearest", merged=_spread(value)
     )
     names = [c for c in stats.columns if c not in keys]
     joined = join_null_safe(runs.select(*keys), stats, keys, "left")
@@ -102,7 +102,7 @@ def container_features(
         [*keys, "_name", "_counter", *labels],
         "_gauge",
         SUMMARY_PERCENTILES,
-        aggs=[*_spread("_gauge"), F.max("_last").alias("_last"), F.min("_order").alias("_start")],
+        merged={**_spread("_gauge"), "_last": ("max", "_last"), "_start": ("min", "_order")},
     )
     if labels:
         kept = F.struct(*[F.col(c) for c in (*SUMMARY_STATS, "_last")])

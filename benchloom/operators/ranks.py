@@ -88,6 +88,15 @@ def _percentile(p: float, value: str, interpolation: str) -> Column:
     return F.when(low == high, low).otherwise(low * (1 - share) + high * share)
 
 
+# How a partial aggregate of one distinct value is made and merged.
+_MERGED = {
+    "max": (F.max, F.max),
+    "min": (F.min, F.min),
+    "sum": (F.sum, F.sum),
+    "count": (F.count, F.sum),
+}
+
+
 def group_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -95,6 +104,7 @@ def group_percentiles(
     probs: Mapping[str, float],
     interpolation: str = "linear",
     aggs: Sequence[Column] = (),
+    merged: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Exact percentiles of ``value`` per group, together with any other aggregates.
 
@@ -103,33 +113,46 @@ def group_percentiles(
     aggregates see every row.  Without keys there is one row, also for an empty frame.
 
     Equal values are counted before anything is sorted, so a value that fills most of a
-    group is one row.  The distinct values are range-partitioned by group and value.
+    group is one row.  The distinct values are range-partitioned by group and value and
+    written once; the source is neither copied nor read again.  ``merged`` names aggregates
+    that ride along as (``max``, ``min``, ``sum``, ``count`` or ``mean``, column).  Only free
+    aggregates (``aggs``) read the source a second time.
     """
     one = not keys
-    rows = materialize(df.withColumn("_all", F.lit(1)) if one else df, "samples")
-    keys = ["_all"] if one else list(keys)
+    groups = ["_all"] if one else list(keys)
+    rows = df.withColumn("_all", F.lit(1)) if one else df
+    steps, results = {}, {}
+    for name, (kind, column) in (merged or {}).items():
+        for part in ("sum", "count") if kind == "mean" else (kind,):
+            steps[f"_{name}_{part}"] = (part, column)
+        results[name] = (
+            F.try_divide(F.sum(f"_{name}_sum"), F.sum(f"_{name}_count")) if kind == "mean"
+            else _MERGED[kind][1](f"_{name}_{kind}")
+        )
     counts = (
-        rows.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .repartitionByRange(*keys, value)
+        rows.groupBy(*groups, value)
+        .agg(
+            F.count(value).alias("_n"),  # 0 for the null value: it keeps its group
+            *[_MERGED[part][0](column).alias(name) for name, (part, column) in steps.items()],
+        )
+        .repartitionByRange(*groups, value)
         .withColumn("_at_pid", F.spark_partition_id())
     )
     counts = materialize(counts, "values")
-    parts = counts.groupBy(*keys, "_at_pid").agg(F.sum("_n").alias("_part"))
-    offsets = _before(parts, keys, "_part", "_before", "_total").drop("_part")
-    local = Window.partitionBy(*keys, "_at_pid").orderBy(value)
+    parts = counts.groupBy(*groups, "_at_pid").agg(F.sum("_n").alias("_part"))
+    offsets = _before(parts, groups, "_part", "_before", "_total").drop("_part")
+    local = Window.partitionBy(*groups, "_at_pid").orderBy(value)
     upto = F.sum("_n").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = join_null_safe(counts.withColumn("_upto", upto), offsets, [*keys, "_at_pid"], "inner")
-    placed = placed.withColumn("_first", F.col("_before") + F.col("_upto") - F.col("_n"))
-    picked = placed.groupBy(*keys).agg(
-        *[_percentile(p, value, interpolation).alias(n) for n, p in probs.items()]
+    placed = join_null_safe(
+        counts.withColumn("_upto", upto), offsets, [*groups, "_at_pid"], "inner"
+    ).withColumn("_first", F.col("_before") + F.col("_upto") - F.col("_n"))
+    out = placed.groupBy(*keys).agg(
+        *[column.alias(name) for name, column in results.items()],
+        *[_percentile(p, value, interpolation).alias(n) for n, p in probs.items()],
     )
-    if one:
-        base = rows.agg(F.lit(1).alias("_all"), *aggs)
-    elif aggs:
-        base = rows.groupBy(*keys).agg(*aggs)
-    else:
-        base = rows.select(*keys).distinct()
-    out = join_null_safe(base, picked, keys, "left")
-    return out.drop("_all") if one else out
+    if not aggs:
+        return out
+    free = df.groupBy(*keys).agg(*aggs)
+    if one:  # one row on either side
+        free, out = (side.withColumn("_all", F.lit(1)) for side in (free, out))
+    return join_null_safe(free, out, groups, "left").drop("_all")

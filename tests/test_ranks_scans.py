@@ -101,6 +101,25 @@ def test_percentiles_of_infinities_and_ties(spark, limit):
     assert [tuple(r) for r in none.collect()] == [(0, None)]
 
 
+def test_aggregates_ride_along(spark, limit):
+    rows = [("a", 2.0, 1), ("a", 2.0, 5), ("a", 8.0, 3), ("a", None, 9), ("b", None, None), (None, 1.0, 4)]
+    df = spark.createDataFrame(rows, "g string, v double, o int")
+    merged = {
+        "top": ("max", "o"), "low": ("min", "o"), "all": ("sum", "o"), "n": ("count", "o"),
+        "mean": ("mean", "v"), "mean_o": ("mean", "o"),
+    }
+    out = group_percentiles(df, ["g"], "v", {"m": 0.5}, merged=merged)
+    assert out.columns == ["g", *merged, "m"]
+    assert {tuple(r) for r in out.collect()} == {
+        ("a", 9, 1, 18, 4, 4.0, 4.5, 2.0), ("b", None, None, None, 0, None, None, None),
+        (None, 4, 4, 4, 1, 1.0, 4.0, 1.0),
+    }
+    whole = group_percentiles(df, [], "v", {"m": 0.5}, merged=merged).collect()
+    assert [tuple(r) for r in whole] == [(9, 1, 22, 5, 3.25, 4.4, 2.0)]
+    none = group_percentiles(df.limit(0), [], "v", {"m": 0.5}, merged=merged).collect()
+    assert [tuple(r) for r in none] == [(None, None, None, None, None, None, None)]
+
+
 def test_no_rows_meet_in_one_task(spark, limit):
     df = spark.createDataFrame(DATA, SCHEMA)
     plan = group_percentiles(df, ["g"], "v", {"m": 0.5})._jdf.queryExecution().toString()
