@@ -38,6 +38,11 @@ def rmsre_capped(y: Column, pred: Column) -> Column:
     return F.when(mean_square > INFINITE_ABOVE, _infinite()).otherwise(F.sqrt(mean_square))
 
 
+def rmsre_scaled(y: Column, pred: Column, scaler, name: str) -> Column:
+    """:func:`rmsre_capped` of scaled values, after ``scaler`` (with ``backward``) inverts both."""
+    return rmsre_capped(scaler.backward(y, name), scaler.backward(pred, name))
+
+
 def rrmse(y: Column, pred: Column) -> Column:
     """Root mean squared error over the mean label (aggregate)."""
     return F.try_divide(F.sqrt(F.avg((y - pred) * (y - pred))), F.avg(y))

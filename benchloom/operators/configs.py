@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -100,33 +100,54 @@ def cross_sample(knobs: DataFrame, count: int, seed: str = "0") -> DataFrame:
     )
 
 
+def _digest() -> Column:
+    pair = F.concat_ws("=", "key", F.coalesce("value", F.lit("None")))
+    return F.md5(F.array_join(F.sort_array(F.collect_list(pair)), ";"))
+
+
 def config_digests(cells: DataFrame, config: Sequence[str] = CONFIG) -> DataFrame:
     """Digest of each configuration, equal exactly when its key/value pairs are equal."""
-    pair = F.concat_ws("=", "key", F.coalesce("value", F.lit("None")))
-    return cells.groupBy(*config).agg(
-        F.md5(F.array_join(F.sort_array(F.collect_list(pair)), ";")).alias("feature_digest")
-    )
+    return cells.groupBy(*config).agg(_digest().alias("feature_digest"))
 
 
-def config_runs(cells: DataFrame, config: Sequence[str] = CONFIG) -> DataFrame:
+def config_runs(
+    cells: DataFrame, config: Sequence[str] = CONFIG, available: DataFrame | None = None
+) -> DataFrame:
     """One row per run: configuration, digest, run number and run path (``numRun`` times each).
 
-    The path names the whole configuration, so no two runs share it.  A configuration whose
-    ``numRun`` is missing or no positive number has one row with ``problem`` and no run.
+    A run carries the ``logBucket`` and the ``debug`` flag (false if not set) of its
+    configuration, and with ``available`` instance types its demand as a map from type to
+    number.  The path names the whole configuration, so no two runs share it.  A configuration
+    whose ``numRun`` is missing or no positive number, or whose resources are in error, has one
+    row with ``problem`` (``numRun`` before ``resource``) and no run.
     """
-    repeats = cells.filter(F.col("key") == "numRun").select(
-        *config, F.col("value").try_cast("int").alias("_runs")
+
+    def setting(key: str, kind: str) -> Column:
+        return F.max(F.when(F.col("key") == key, F.col("value").try_cast(kind)))
+
+    runs = cells.groupBy(*config).agg(
+        _digest().alias("feature_digest"),
+        setting("numRun", "int").alias("_runs"),
+        setting("logBucket", "string").alias("log_bucket"),
+        F.coalesce(setting("debug", "boolean"), F.lit(False)).alias("debug"),
     )
-    digests = config_digests(cells, config)
-    runs = join_null_safe(digests, repeats, list(config), "left")
+    carried = ["feature_digest", "log_bucket", "debug"]
     good = F.coalesce(F.col("_runs") > 0, F.lit(False))
-    numbers = F.when(good, F.sequence(F.lit(0), F.greatest("_runs", F.lit(1)) - 1)).otherwise(
-        F.array(F.lit(None).cast("int"))
-    )
+    problem = F.when(~good, "numRun")
+    if available is not None:
+        demand, errors = instance_demand(cells, available, config)
+        needs = demand.groupBy(*config).agg(
+            F.map_from_entries(F.collect_list(F.struct("instance_type", "num_instance"))).alias("demand")
+        )
+        wrong = errors.select(*config, F.lit(True).alias("_wrong")).distinct()
+        runs = join_null_safe(join_null_safe(runs, needs, config, "left"), wrong, config, "left")
+        problem = problem.when(F.col("_wrong"), "resource")
+        carried.append("demand")
+    numbers = F.when(F.col("problem").isNull(), F.sequence(F.lit(0), F.greatest("_runs", F.lit(1)) - 1))
     path = scalars.run_path(*[F.col(c).cast("string") for c in (*config, "run")])
     return (
-        runs.withColumn("problem", F.when(~good, "numRun"))
-        .select(*config, "feature_digest", "problem", F.explode(numbers).alias("run"))
+        runs.withColumn("problem", problem)
+        .select(*config, *carried, "problem", F.explode_outer(numbers).alias("run"))
         .withColumn("run_id", F.when(F.col("run").isNotNull(), path))
     )
 

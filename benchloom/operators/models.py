@@ -95,6 +95,76 @@ def predict_line(train: DataFrame, test: DataFrame, x: str, y: str) -> DataFrame
     return test.withColumn("prediction", slope * F.col(x) + offset)
 
 
+# A feature whose variance is this small a share of it once the earlier ones are taken out
+# depends on them (or is constant) and gets weight 0.
+DEPENDENT = 1e-10
+
+
+def least_squares(
+    train: DataFrame, keys: Sequence[str], features: Sequence[str], label: str
+) -> DataFrame:
+    """Least squares on several features for every key, in one aggregate and one plan.
+
+    Returns ``keys``, ``weights`` (in the order of ``features``), ``intercept`` and ``n``.
+    The covariances of a key merge from partial aggregates, so no key is too big; elimination
+    runs in column expressions, a projection per feature.  Rows with a null or a value that is
+    not finite in a feature or the label take no part; a key without others is left out.
+    Constant and dependent features have weight 0.  Without keys there is one row, if any.
+    """
+    count = len(features)
+    number = {**{i: F.col(f).cast("double") for i, f in enumerate(features)}, count: F.col(label).cast("double")}
+    usable = reduce(lambda a, b: a & b, [F.abs(c) < float("inf") for c in number.values()])
+    rows = train.filter(usable).select(*keys, *[c.alias(f"_x{i}") for i, c in number.items()])
+    names = [
+        (i, j) for i in range(count) for j in range(i, count + 1)
+    ]  # upper triangle; column ``count`` is the label
+    state = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(f"_x{i}").alias(f"_m{i}") for i in number],
+        *[F.covar_pop(f"_x{i}", f"_x{j}").alias(f"_a{i}_{j}") for i, j in names],
+    ).filter("n > 0").withColumns({f"_v{i}": F.col(f"_a{i}_{i}") for i in range(count)})
+    for p in range(count):
+        # a dependent feature takes nothing from the later ones
+        free = F.col(f"_a{p}_{p}") > DEPENDENT * F.col(f"_v{p}")
+        state = state.withColumns({
+            f"_f{p}_{j}": F.when(free, F.col(f"_a{p}_{j}") / F.col(f"_a{p}_{p}")).otherwise(0.0)
+            for j in range(p + 1, count + 1)
+        })
+        state = state.withColumns({
+            f"_a{i}_{j}": F.col(f"_a{i}_{j}") - F.col(f"_a{p}_{i}") * F.col(f"_f{p}_{j}")
+            for i, j in names if i > p
+        })
+    for p in reversed(range(count)):
+        later = [F.col(f"_f{p}_{j}") * F.col(f"_w{j}") for j in range(p + 1, count)]
+        state = state.withColumn(f"_w{p}", reduce(lambda a, b: a - b, later, F.col(f"_f{p}_{count}")))
+    weights = [F.col(f"_w{i}") for i in range(count)]
+    offset = reduce(
+        lambda a, i: a - weights[i] * F.col(f"_m{i}"), range(count), F.col(f"_m{count}")
+    )
+    return state.select(*keys, F.array(*weights).alias("weights"), offset.alias("intercept"), "n")
+
+
+def predict_linear(
+    train: DataFrame, test: DataFrame, keys: Sequence[str], features: Sequence[str], label: str
+) -> DataFrame:
+    """``test`` with the ``prediction`` of its key's :func:`least_squares`.
+
+    Null for a key without training rows and where a feature is null.
+    """
+    fitted = least_squares(train, keys, features, label).select(
+        *keys, F.col("weights").alias("_weights"), F.col("intercept").alias("_intercept")
+    )
+    met = (
+        join_null_safe(test, fitted, list(keys), "left") if keys
+        else test.join(fitted, F.lit(True), "left")  # one row
+    )
+    total = reduce(
+        lambda a, i: a + F.get("_weights", F.lit(i)) * F.col(features[i]), range(len(features)),
+        F.col("_intercept"),
+    )
+    return met.withColumn("prediction", total).drop("_weights", "_intercept")
+
+
 def baseline_mean(train: DataFrame, test: DataFrame, y: str) -> DataFrame:
     """Relative root mean squared error of predicting the training mean."""
     predicted = predict_naive(test, y, train)

@@ -41,23 +41,6 @@ def config_explode(t):
     return _cells(t).select("trial", "section", "key", "row", "value")
 
 
-@query(
-    "config_runs",
-    f"""
-    WITH {inputs.KNOBS},
-    repeats AS (SELECT trial, "row", try_cast(value AS INT) AS n FROM cells WHERE key = 'numRun')
-    SELECT trial, "row", feature_digest, NULL::VARCHAR AS problem, run::INT AS run,
-           trial || '/' || "row"::VARCHAR || '/' || run::VARCHAR AS run_id
-    FROM (SELECT trial, "row", feature_digest, unnest(range(0, n)) AS run FROM digests JOIN repeats USING (trial, "row"))
-    UNION ALL
-    SELECT trial, "row", feature_digest, 'numRun', NULL, NULL FROM digests
-    WHERE (trial, "row") NOT IN (SELECT trial, "row" FROM repeats WHERE n > 0)
-    """,
-)
-def config_runs(t):
-    return ops.config_runs(_cells(t))
-
-
 _ROLES = """
     roles AS (
       SELECT trial, "row",
@@ -79,6 +62,37 @@ def _available(t):
     )
 
 
+@query(
+    "config_runs",
+    f"""
+    WITH {inputs.KNOBS}, {_ROLES},
+    demand AS (
+      SELECT trial, "row", string_agg(instance_type || '=' || n::VARCHAR, ';' ORDER BY instance_type) AS demand
+      FROM (SELECT trial, "row", instance_type, sum(n)::BIGINT AS n FROM roles
+            WHERE (trial, "row") NOT IN (SELECT trial, "row" FROM errors) GROUP BY ALL)
+      GROUP BY ALL),
+    settings AS (
+      SELECT trial, "row", max(CASE WHEN key = 'numRun' THEN try_cast(value AS INT) END) AS n,
+             max(CASE WHEN key = 'logBucket' THEN value END) AS log_bucket,
+             coalesce(max(CASE WHEN key = 'debug' THEN try_cast(value AS BOOLEAN) END), false) AS debug
+      FROM cells GROUP BY ALL),
+    judged AS (
+      SELECT trial, "row", feature_digest, log_bucket, debug, demand, n,
+             CASE WHEN coalesce(n, 0) <= 0 THEN 'numRun'
+                  WHEN (trial, "row") IN (SELECT trial, "row" FROM errors) THEN 'resource' END AS problem
+      FROM settings JOIN digests USING (trial, "row") LEFT JOIN demand USING (trial, "row"))
+    SELECT * EXCLUDE (n, run), run, trial || '/' || "row"::VARCHAR || '/' || run::VARCHAR AS run_id
+    FROM (SELECT *, unnest(CASE WHEN problem IS NULL THEN range(0, n)::INT[] ELSE [NULL::INT] END) AS run FROM judged)
+    """,
+)
+def config_runs(t):
+    runs = ops.config_runs(_cells(t), available=_available(t))
+    pairs = F.transform(
+        F.array_sort(F.map_entries("demand")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
+    )
+    return runs.withColumn("demand", F.array_join(pairs, ";"))
+
+
 @query(
     "instance_demand",
     f"""

@@ -213,6 +213,33 @@ def model_linear(t):
     return out.select(*UNIQUE, r6("prediction", 3).alias("prediction"))
 
 
+# Normal equations of three features per key, centred; x0 to x2 are the features.
+_GRAM = ", ".join(
+    f"covar_pop(x{i}, {'y' if j == 3 else f'x{j}'}) AS a{i}{j}" for i in range(3) for j in range(i, 4)
+)
+
+
+@query(
+    "model_linear_per_key",
+    f"""
+    WITH {HALVES},
+    g AS (SELECT k, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, {_GRAM}
+          FROM (SELECT l_suppkey AS k, {X} AS x0, l_discount AS x1, l_tax AS x2, {Y} AS y FROM train) GROUP BY k),
+    g1 AS (SELECT *, a11 - a01 * a01 / a00 AS b11, a12 - a01 * a02 / a00 AS b12, a13 - a01 * a03 / a00 AS b13,
+                  a22 - a02 * a02 / a00 AS b22, a23 - a02 * a03 / a00 AS b23 FROM g),
+    g2 AS (SELECT *, (b23 - b12 * b13 / b11) / (b22 - b12 * b12 / b11) AS w2 FROM g1),
+    g3 AS (SELECT *, (b13 - b12 * w2) / b11 AS w1 FROM g2),
+    g4 AS (SELECT *, (a03 - a01 * w1 - a02 * w2) / a00 AS w0 FROM g3)
+    SELECT {KEY}, round(my + w0 * ({X} - m0) + w1 * (l_discount - m1) + w2 * (l_tax - m2), 2) AS prediction
+    FROM test LEFT JOIN g4 ON k = l_suppkey
+    """,
+)
+def model_linear_per_key(t):
+    train, test = _halves(t)
+    out = models.predict_linear(train, test, ["l_suppkey"], FEATURES, Y)
+    return out.select(*UNIQUE, r6("prediction", 2).alias("prediction"))
+
+
 @query(
     "model_knn",
     f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import errors, scalars
-from ..operators import gates
+from ..operators import gates, prep
 from ..operators import results as ops
 from ..operators.ranks import with_rank
 from . import inputs
@@ -611,14 +611,21 @@ def metric_rrmse(t):
     "metric_rmsre",
     f"""{_PRED_SQL} SELECT {_PER}, round(sqrt(avg(((y - pred) / y) ** 2)), 6) AS rmsre,
     round(CASE WHEN avg(((y - 100000 * pred) / y) ** 2) > 100000 THEN 'inf'::DOUBLE
-               ELSE sqrt(avg(((y - 100000 * pred) / y) ** 2)) END, 6) AS capped FROM p GROUP BY {_PER}""",
+               ELSE sqrt(avg(((y - 100000 * pred) / y) ** 2)) END, 6) AS capped,
+    round(sqrt(avg(((zy * d + m - (zp * d + m)) / (zy * d + m)) ** 2)), 6) AS scaled
+    FROM (SELECT *, (y - m) / d AS zy, (pred - m) / d AS zp
+          FROM p, (SELECT avg(y) AS m, stddev_pop(y) AS d FROM p)) GROUP BY {_PER}""",
 )
 def metric_rmsre(t):
     y, pred = F.col("y"), F.col("pred")
-    # Labels and predictions scaled by their deviation are compared after inversion.
-    return _predicted(t).groupBy(_PER).agg(
+    rows = _predicted(t)
+    # A model of scaled labels predicts scaled values: its error counts after inversion.
+    scaler = prep.StandardScaler.fit(rows, ["y"])
+    scaled = rows.withColumns({"zy": scaler.forward(y, "y"), "zp": scaler.forward(pred, "y")})
+    return scaled.groupBy(_PER).agg(
         r6(errors.rmsre(y, pred)).alias("rmsre"),
         errors.rmsre_capped(y, pred * 100000).alias("capped"),
+        r6(errors.rmsre_scaled(F.col("zy"), F.col("zp"), scaler, "y")).alias("scaled"),
     )
 
 

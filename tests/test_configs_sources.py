@@ -53,6 +53,29 @@ def test_runs_and_demand(spark, knobs):
     assert {r.error for r in errors.collect()} == {"missing type"}
 
 
+def test_runs_carry_bucket_debug_and_demand(spark):
+    cells = spark.createDataFrame(
+        [("t", r, "meta", k, v) for r in (0, 1) for k, v in (("numRun", "2"), ("logBucket", "logs"))]
+        + [("t", 0, "meta", "debug", "true"), ("t", 1, "meta", "debug", "perhaps")]
+        + [("t", r, "resource", k, v) for r in (0, 1)
+           for k, v in (("numServer", "3"), ("serverType", "m5"), ("numClient", "2"), ("clientType", "m5"))]
+        + [("w", 0, "meta", "numRun", "1"), ("w", 0, "resource", "numServer", "1"),
+           ("w", 0, "resource", "serverType", "x9")]
+        + [("z", 0, "meta", "numRun", "0"), ("z", 0, "resource", "numServer", "1")],
+        "trial string, row int, section string, key string, value string",
+    )
+    types = spark.createDataFrame([("m5",)], "instance_type string")
+    got = configs.config_runs(cells, available=types).collect()
+    assert sorted((r.trial, r.row, r.run, r.run_id, r.log_bucket, r.debug, r.demand) for r in got if r.trial == "t") == [
+        ("t", row, run, f"t/{row}/{run}", "logs", row == 0, {"m5": 5}) for row in (0, 1) for run in (0, 1)
+    ]
+    assert sorted((r.trial, r.problem, r.run, r.run_id, r.log_bucket, r.debug, r.demand) for r in got if r.trial != "t") == [
+        ("w", "resource", None, None, None, False, None), ("z", "numRun", None, None, None, False, None),
+    ]
+    assert configs.config_runs(cells.limit(0), available=types).count() == 0
+    assert "demand" not in configs.config_runs(cells).columns
+
+
 def test_validate(spark, knobs):
     missing = rows_of(configs.config_missing(knobs, ["numRun", "a"]))
     assert missing == [("bad", "numRun"), ("one", "numRun"), ("t", "a")]

@@ -440,3 +440,54 @@ def test_two_stage_equals_grown_trees(spark, limit):
             xs, ys = zip(*[(x, y) for ls, x, y in train if ls[tree] == leaf])
             expected.append(grown_tree(xs, ys)(e))
         assert got[i] == pytest.approx(sum(expected) / len(expected))
+
+
+def test_scaled_error_inverts_first(spark):
+    rows = [(10.0, 12.0), (20.0, 15.0), (40.0, 44.0)]
+    df = spark.createDataFrame(rows, "y double, p double")
+    scaler = prep.StandardScaler.fit(df, ["y"])
+    scaled = df.select(*[scaler.forward(F.col(c), "y").alias(c) for c in ("y", "p")])
+    y, p = F.col("y"), F.col("p")
+    got = scaled.agg(errors.rmsre_scaled(y, p, scaler, "y")).first()[0]
+    assert got == pytest.approx(df.agg(errors.rmsre(y, p)).first()[0])
+    far = scaled.agg(errors.rmsre_scaled(y, p + 1e6, scaler, "y")).first()[0]
+    assert far == math.inf
+
+
+def test_least_squares_per_key(spark):
+    draw = random.Random(7)
+    rows = []
+    for key, size in ((0, 400), (1, 9), (None, 60)):
+        for _ in range(size):
+            a, b = draw.uniform(0, 9), draw.uniform(1e6, 1e6 + 5)
+            rows.append((key, a, b, draw.gauss(0, 1), 3.0, 2 * a - 1, a + 0.5 * b + draw.gauss(0, 0.1)))
+    rows += [(2, 1.0, 2.0, 3.0, 3.0, 1.0, 8.0)]  # a single row: the label is the answer
+    rows += [(0, None, 1.0, 1.0, 3.0, 1.0, 9.0), (0, math.nan, 1.0, 1.0, 3.0, 1.0, 9.0), (3, 1.0, 1.0, 1.0, 3.0, 1.0, None)]
+    names = ["a", "b", "c", "flat", "twice"]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, flat double, twice double, y double")
+    fitted = {r.k: r for r in models.least_squares(df, ["k"], names, "y").collect()}
+    assert {k: r.n for k, r in fitted.items()} == {0: 400, 1: 9, None: 60, 2: 1}
+    for key in (0, 1, None):
+        mine = [r for r in rows if r[0] == key and r[1] is not None and not math.isnan(r[1])]
+        x, y = np.array([r[1:4] for r in mine]), np.array([r[6] for r in mine])
+        w = np.linalg.lstsq(x - x.mean(0), y - y.mean(), rcond=None)[0]
+        assert fitted[key].weights[:3] == pytest.approx(list(w), abs=1e-6)
+        assert fitted[key].weights[3:] == [0.0, 0.0]
+        assert fitted[key].intercept == pytest.approx(y.mean() - w @ x.mean(0), rel=1e-6)
+    assert fitted[2].weights == [0.0] * 5 and fitted[2].intercept == 8.0
+    out = models.predict_linear(df, df, ["k"], names, "y").collect()
+    assert len(out) == len(rows)
+    assert {r.prediction is None for r in out if r.k == 3} == {True}
+    assert {r.prediction is None for r in out if r.a is None} == {True}
+    whole = models.predict_linear(df.filter("k = 1"), df.filter("k = 1"), [], names, "y").collect()
+    again = {(r.a, r.prediction) for r in out if r.k == 1}
+    assert sorted(r.prediction for r in whole) == pytest.approx(sorted(p for _a, p in again))
+    assert models.least_squares(df.limit(0), [], names, "y").count() == 0
+
+
+def test_least_squares_equals_the_line_of_one_feature(spark):
+    rows = [(float(i % 7), float(i * i % 11)) for i in range(50)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    many = models.predict_linear(df, df, [], ["x"], "y").orderBy("x", "y").collect()
+    line = models.predict_line(df, df, "x", "y").orderBy("x", "y").collect()
+    assert [r.prediction for r in many] == pytest.approx([r.prediction for r in line])
