@@ -135,13 +135,18 @@ def config_runs(
     good = F.coalesce(F.col("_runs") > 0, F.lit(False))
     problem = F.when(~good, "numRun")
     if available is not None:
-        demand, errors = instance_demand(cells, available, config)
-        needs = demand.groupBy(*config).agg(
-            F.map_from_entries(F.collect_list(F.struct("instance_type", "num_instance"))).alias("demand")
+        by_type = _role_rows(cells, available, config).groupBy(*config, "instance_type").agg(
+            F.sum("n").alias("n"), F.max("error").alias("error")
         )
-        wrong = errors.select(*config, F.lit(True).alias("_wrong")).distinct()
-        runs = join_null_safe(join_null_safe(runs, needs, config, "left"), wrong, config, "left")
-        problem = problem.when(F.col("_wrong"), "resource")
+        pair = F.when(F.col("n").isNotNull(), F.struct("instance_type", "n"))
+        needs = by_type.groupBy(*config).agg(
+            F.max("error").alias("_wrong"), F.collect_list(pair).alias("_pairs")
+        )
+        usable = F.col("_wrong").isNull() & (F.size("_pairs") > 0)
+        # only pairs that are used become a map: its keys must not be null
+        demand = F.map_from_entries(F.when(usable, F.col("_pairs")))
+        runs = join_null_safe(runs, needs, config, "left").withColumn("demand", demand)
+        problem = problem.when(F.col("_wrong").isNotNull(), "resource")
         carried.append("demand")
     numbers = F.when(F.col("problem").isNull(), F.sequence(F.lit(0), F.greatest("_runs", F.lit(1)) - 1))
     path = scalars.run_path(*[F.col(c).cast("string") for c in (*config, "run")])
@@ -152,15 +157,8 @@ def config_runs(
     )
 
 
-def instance_demand(
-    cells: DataFrame, available: DataFrame, config: Sequence[str] = CONFIG
-) -> tuple[DataFrame, DataFrame]:
-    """Instances each configuration needs, by type, and the configurations in error.
-
-    ``num<Role>`` counts pair with ``<Role>Type`` types.  An error is a count
-    without type or a type that is not ``available`` (column ``instance_type``).
-    """
-    resource = cells.filter(F.col("section") == "resource")
+def _role_rows(cells: DataFrame, available: DataFrame, config: Sequence[str]) -> DataFrame:
+    """Number, type and ``error`` of each role of a configuration's resources."""
     is_num = F.startswith("key", F.lit("num"))
     is_type = ~is_num & F.endswith("key", F.lit("Type"))
     role = F.lower(
@@ -169,7 +167,7 @@ def instance_demand(
         )
     )
     roles = (
-        resource.filter(is_num | is_type)
+        cells.filter((F.col("section") == "resource") & (is_num | is_type))
         .groupBy(*config, role.alias("role"))
         .agg(
             F.max(F.when(is_num, F.col("value").try_cast("bigint"))).alias("n"),
@@ -180,11 +178,20 @@ def instance_demand(
     checked = join_null_safe(roles, known, ["instance_type"], "left")
     untyped = F.col("n").isNotNull() & F.col("instance_type").isNull()
     unknown = F.col("instance_type").isNotNull() & F.col("_known").isNull()
-    errors = checked.filter(untyped | unknown).select(
-        *config,
-        "role",
-        F.when(untyped, "missing type").otherwise("unknown type").alias("error"),
-    )
+    error = F.when(untyped, "missing type").when(unknown, "unknown type")
+    return checked.withColumn("error", error).drop("_known")
+
+
+def instance_demand(
+    cells: DataFrame, available: DataFrame, config: Sequence[str] = CONFIG
+) -> tuple[DataFrame, DataFrame]:
+    """Instances each configuration needs, by type, and the configurations in error.
+
+    ``num<Role>`` counts pair with ``<Role>Type`` types.  An error is a count
+    without type or a type that is not ``available`` (column ``instance_type``).
+    """
+    checked = _role_rows(cells, available, config)
+    errors = checked.filter(F.col("error").isNotNull()).select(*config, "role", "error")
     fine = join_null_safe(
         checked.filter(F.col("n").isNotNull()), errors.select(*config).distinct(), config, "left_anti"
     )
