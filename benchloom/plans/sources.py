@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import gates
 from ..session import scratch_path
-from ..sources import catalog, eventlog, logs, metrics, registry, store
+from ..sources import batches, catalog, eventlog, logs, metrics, registry, store
 from . import inputs
 from .registry import query, r6
 
@@ -301,6 +301,35 @@ def feature_store_apps(t):
     return store.list_apps(t.spark, _stored(t))
 
 
+def _batched(t):
+    """Two batches: one fails before its commit and is written again, one is written twice."""
+    path = scratch_path(t.spark, "batches")
+    rows = inputs.app_features(t)
+    odd = F.substring("run_id", 5, 1).cast("int") % 2 == 1
+    batches.stage_batch(rows.filter(odd), path)
+    batches.write_batch(rows.filter(odd), path, "odd")
+    batches.write_batch(rows.filter(~odd), path, "even")
+    batches.write_batch(rows.filter(odd), path, "odd")
+    return path
+
+
+@query("feature_store_batches", f"WITH {_STORED} SELECT app_id, run_id, feature, value FROM stored")
+def feature_store_batches(t):
+    return batches.read_batches(t.spark, _batched(t)).select("app_id", "run_id", "feature", "value")
+
+
+@query(
+    "min_feature_set_batches",
+    f"""
+    WITH {_STORED}, runs AS (SELECT app_id, count(DISTINCT run_id) AS n FROM stored GROUP BY app_id)
+    SELECT app_id, feature FROM stored JOIN runs USING (app_id)
+    GROUP BY app_id, feature, n HAVING count(DISTINCT run_id) = n
+    """,
+)
+def min_feature_set_batches(t):
+    return batches.min_feature_set(t.spark, _batched(t))
+
+
 def _trials(t):
     path = scratch_path(t.spark, "trials")
     rows = t.lineitem.select(

@@ -13,18 +13,23 @@ from ..operators import gates
 FEATURE_SCHEMA = "run_id string, feature string, value double, app_id string"
 
 
-def write_features(features: DataFrame, path: str, transform=None) -> None:
-    """Append tall feature rows; run and feature names are normalised.
-
-    Rebalancing groups an app's rows into few files but splits a large app.
-    """
+def encode_features(features: DataFrame, transform=None) -> DataFrame:
+    """Tall feature rows as they are stored: run and feature names are normalised."""
     rows = transform(features) if transform else features
-    encoded = rows.select(
+    return rows.select(
         scalars.normalize_name(F.col("run_id")).alias("run_id"),
         scalars.normalize_name(F.col("feature")).alias("feature"),
         F.col("value").cast("double").alias("value"),
         F.col("app_id").cast("string").alias("app_id"),
     )
+
+
+def write_features(features: DataFrame, path: str, transform=None) -> None:
+    """Append tall feature rows.  A repeated call appends them again: see :mod:`batches`.
+
+    Rebalancing groups an app's rows into few files but splits a large app.
+    """
+    encoded = encode_features(features, transform)
     encoded.hint("rebalance", "app_id").write.mode("append").partitionBy("app_id").parquet(path)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from benchloom.operators import configs, gates, results
 from benchloom.session import scratch_path, shared_dir
-from benchloom.sources import catalog, eventlog, logs, metrics, registry, store
+from benchloom.sources import batches, catalog, eventlog, logs, metrics, registry, store
 
 KNOBS = "trial string, section string, key string, values array<string>"
 TRIALS = [
@@ -237,6 +237,31 @@ def test_feature_store(spark):
     assert {r.app_id for r in store.list_apps(spark, path).collect()} == {"b"}
 
 
+def test_feature_batches(spark):
+    rows = [("a", "r.1", "x", 1.0), ("a", "r.1", "y", 1.0), ("a", "r.2", "x", 2.0), ("a", "r.2", "x", 2.5),
+            ("a", "r.3", "x", 3.0), ("a", "r.3", "y", None), ("b", "q", "z", 4.0), (None, "q", None, 5.0)]
+    df = spark.createDataFrame(rows, "app_id string, run_id string, feature string, value double")
+    parts = {"one": "run_id = 'r.1'", "two": "run_id = 'r.2' OR run_id = 'q'", "three": "run_id = 'r.3'", "none": "false"}
+    stored = rows_of(store.encode_features(df).select("app_id", "run_id", "feature", "value"))
+    names = lambda found: sorted(map(repr, found))  # noqa: E731  (nulls do not sort)
+    expected = names(rows_of(gates.min_feature_set(store.encode_features(df))))
+    for order in (["one", "two", "three", "none"], ["none", "three", "one", "two"]):
+        path = scratch_path(spark, "batches")
+        for name in order:
+            batches.stage_batch(df.filter(parts[name]), path)  # an attempt that never commits
+            assert batches.write_batch(df.filter(parts[name]), path, name)
+            assert not batches.write_batch(df, path, name)
+        got = batches.read_batches(spark, path).select("app_id", "run_id", "feature", "value")
+        assert names(rows_of(got)) == names(stored)
+        assert names(rows_of(batches.min_feature_set(spark, path))) == expected
+        assert batches.read_batches(spark, path, "b").count() == 1
+        assert {r.batch for r in batches.committed(spark, path).collect()} == set(order)
+    path = scratch_path(spark, "batches")
+    batches.stage_batch(df, path)
+    assert batches.read_batches(spark, path).count() == 0
+    assert batches.min_feature_set(spark, path).count() == 0
+
+
 def test_trials(spark):
     path = scratch_path(spark, "trials")
     df = spark.createDataFrame([("m", "t1", 1), ("m", "t2", 2)], "app string, trial string, qps int")
