@@ -15,7 +15,7 @@ share their first ``LENGTH`` bytes with another document are sorted:
 
 A text is read in lots of about ``LOT`` bytes, which are the unit of the shuffles.  Lots merge
 equal runs and count what is left of each seed.  A seed with ``HOT`` runs or more over all lots
-(a fixed head of a third of all documents) would fill a task by itself: its windows, merged
+(a fixed head of a third of all documents) would keep a task busy by itself: its windows, merged
 within the lot, are dealt by the hash of all their bytes instead, and sorted and verified in
 the same way.  So a group holds a bounded part of them, or one window once per lot.
 """
@@ -40,7 +40,7 @@ SEEDS = LENGTH - SEED + 1    # seeds in a window, and windows in a run at most
 LOT = 2 << 20
 BLOCK = 1 << 20              # positions hashed at once; below 2 ** 22
 BUCKET_BYTES = 32 << 20      # bytes of corpus per task that compares seeds or runs
-HOT = BUCKET_BYTES // 64     # runs of a seed, of about 64 bytes, that would fill a task
+HOT = 1 << 14                # different runs of a seed that are sorted together
 _LOW = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _CODES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
@@ -209,8 +209,17 @@ def suffix_sort(prefixes: Prefixes, data: np.ndarray, at: np.ndarray, group: np.
 
 def repeated_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray,
                      ids: np.ndarray) -> np.ndarray:
-    """Marks windows whose bytes also stand in a window of the group with a smaller id."""
+    """Marks windows whose bytes also stand in a window of the group with a smaller id.
+
+    Equal windows hash alike, so a window that hashes like no other is not sorted.
+    """
     prefixes = Prefixes(data)
+    marked = np.zeros(len(at), bool)
+    _, which, copies = np.unique(prefixes.of(at, LENGTH), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(copies[which] > 1)
+    if not len(several):
+        return marked
+    at, group, ids = at[several], group[several], ids[several]
     order = suffix_sort(prefixes, data, at, group, LENGTH)
     a, g = at[order], group[order]
     same = (g[1:] == g[:-1]) & (prefixes.of(a[1:], LENGTH) == prefixes.of(a[:-1], LENGTH))
@@ -222,8 +231,7 @@ def repeated_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray,
     run = np.concatenate(([0], np.cumsum(~same)))
     low = np.full(int(run[-1]) + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, run, ids[order])
-    marked = np.empty(len(order), bool)
-    marked[order] = ids[order] > low[run]
+    marked[several[order]] = ids[order] > low[run]
     return marked
 
 
