@@ -264,6 +264,32 @@ def model_knn(t):
     return out.select(*UNIQUE, *[r6(n, 4).alias(n) for n in named])
 
 
+@query(
+    "model_knn_vectors",
+    f"""
+    WITH {HALVES},
+    points AS (SELECT {X}::DOUBLE AS x, (l_discount * 100)::DOUBLE AS d, (l_tax * 100)::DOUBLE AS t, {Y} AS y, {KEY} FROM train),
+    asked AS (SELECT DISTINCT ({X} + 0.5)::DOUBLE AS qx, round(l_discount * 100)::DOUBLE AS qd, round(l_tax * 100)::DOUBLE AS qt FROM test),
+    placed AS (SELECT qx, qd, qt, y, s, row_number() OVER (PARTITION BY qx, qd, qt ORDER BY s, x, d, t, {KEY}) AS place
+               FROM (SELECT *, (x - qx) ** 2 + (d - qd) ** 2 + (t - qt) ** 2 AS s
+                     FROM asked, (SELECT * REPLACE (round(d) AS d, round(t) AS t) FROM points))),
+    predicted AS (SELECT qx, qd, qt, avg(y) AS u, sum(y / sqrt(s)) / sum(1 / sqrt(s)) AS w
+                  FROM placed WHERE place <= 5 GROUP BY ALL)
+    SELECT {KEY}, round(w, 4) AS by_distance, round(u, 4) AS uniform
+    FROM test JOIN predicted ON qx = ({X} + 0.5)::DOUBLE AND qd = round(l_discount * 100) AND qt = round(l_tax * 100)
+    """,
+)
+def model_knn_vectors(t):
+    train, test = (
+        half.withColumns({c: F.round(F.col(c) * 100) for c in FEATURES[1:]}) for half in _halves(t)
+    )
+    # Off-grid test values: no distance is zero.
+    asked = test.withColumn(X, F.col(X) + 0.5).select(*UNIQUE, *FEATURES)
+    named = {"by_distance": "distance", "uniform": "uniform"}
+    out = neighbours.knn_regress_vectors(train, asked, FEATURES, Y, UNIQUE, 5, named)
+    return out.select(*UNIQUE, *[r6(n, 4).alias(n) for n in named])
+
+
 @query("model_forest")
 def model_forest(t):
     train, test = _halves(t)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from benchloom.functions import errors
 from benchloom.operators import mixtures, models, prep, trees
-from benchloom.operators.neighbours import knn_regress, nearest
+from benchloom.operators import neighbours
+from benchloom.operators.neighbours import knn_regress, knn_regress_vectors, nearest, nearest_vectors
 from benchloom.plans import learning
 
 rng = random.Random(11)
@@ -107,6 +108,60 @@ def test_nearest_equals_brute_force(spark, limit, k):
         assert sorted(got.get((g, q), [])) == expected
 
 
+def vector_rows():
+    """Crowds: a third of group a in one vector, another third close together."""
+    rows = [("ab"[i % 5 == 0], i, float(rng.randrange(9)), rng.random() * 4, float(i % 7)) for i in range(90)]
+    rows += [("a", 100 + i, 2.0, 2.0, float(i)) for i in range(60)]
+    rows += [("a", 200 + i, 3 + i * 1e-4, 1 + (i % 9) * 1e-4, float(i)) for i in range(60)]
+    rows += [(None, 300, 1.0, 1.0, 5.0), (None, 301, -0.0, 1.0, 6.0), ("b", 302, 1e3, 0.0, 1.0),
+             ("a", 303, None, 1.0, 9.0), ("a", 304, math.nan, 1.0, 9.0), ("a", 305, math.inf, 1.0, 9.0)]
+    asked = [("ab"[i % 2], float(rng.randrange(-4, 20)) / 2, rng.random() * 5) for i in range(30)]
+    asked += [("a", 2.0, 2.0), ("a", 3.0, 1.0), ("a", 1e6, -1e6), (None, 0.0, 1.0), ("c", 1.0, 1.0),
+              ("a", None, 1.0), ("b", math.nan, 1.0)]
+    return rows, asked
+
+
+def brute_vectors(rows, g, q, k):
+    if None in q or not all(map(math.isfinite, q)):
+        return []
+    own = [(r[2] + 0.0, r[3] + 0.0, r[1], r[4]) for r in rows if r[0] == g and r[2] is not None and math.isfinite(r[2])]
+    return sorted(((x - q[0]) ** 2 + (z - q[1]) ** 2, x, z, i, y) for x, z, i, y in own)[:k]
+
+
+@pytest.mark.parametrize("k, leaf", [(1, 2), (5, 4), (500, 32)])
+def test_nearest_vectors_equals_brute_force(spark, monkeypatch, k, leaf):
+    monkeypatch.setattr(neighbours, "LEAF", leaf)
+    rows, asked = vector_rows()
+    train = spark.createDataFrame(rows, "g string, id int, x double, z double, y double")
+    queries = spark.createDataFrame(asked, "g string, x double, z double")
+    got = {}
+    for r in nearest_vectors(train, queries, ["g"], ["x", "z"], ["id"], k).collect():
+        got.setdefault((r.g, r._q_x, r._q_z), {})[r.place] = (r.id, r.distance)
+    expected = {(g, x, z): {n + 1: (row[3], math.sqrt(row[0])) for n, row in enumerate(near)}
+                for g, x, z in asked if (near := brute_vectors(rows, g, (x, z), k))}
+    assert got == expected
+
+
+def test_knn_on_vectors(spark):
+    rows, asked = vector_rows()
+    train = spark.createDataFrame(rows, "g string, id int, x double, z double, y double")
+    test = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "row int, g string, x double, z double")
+    both = {"u": "uniform", "d": "distance"}
+    got = {r.row: r for r in knn_regress_vectors(train, test, ["x", "z"], "y", ["id"], 4, both, ["g"]).collect()}
+    assert len(got) == len(asked)
+    for i, (g, *q) in enumerate(asked):
+        near = brute_vectors(rows, g, q, 4)
+        if not near:
+            assert got[i].u is None and got[i].d is None
+            continue
+        exact = [n[4] for n in near if n[0] == 0]
+        far = [(n[4], 1 / math.sqrt(n[0])) for n in near if n[0]]
+        by_distance = sum(exact) / len(exact) if exact else sum(y * w for y, w in far) / sum(w for _, w in far)
+        assert (got[i].u, got[i].d) == (pytest.approx(sum(n[4] for n in near) / len(near)), pytest.approx(by_distance))
+    assert knn_regress_vectors(train.limit(0), test, ["x", "z"], "y", ["id"]).filter("prediction IS NOT NULL").count() == 0
+    assert knn_regress_vectors(train, test.limit(0), ["x", "z"], "y", ["id"]).count() == 0
+
+
 @pytest.mark.parametrize("weights", ["uniform", "distance"])
 def test_knn_equals_brute_force(spark, weights):
     train = spark.createDataFrame(TRAIN, "g string, id int, x double, y double")
