@@ -1,6 +1,6 @@
 """Feature store of named batches: a write that is repeated changes nothing.
 
-``<path>/rows/attempt=…/app_id=…`` holds the rows, ``<path>/state/attempt=…`` what the minimum
+``<path>/rows/attempt=…/app_id_bucket=…`` holds the rows, ``<path>/state/attempt=…`` what the minimum
 set needs of them, and ``<path>/batches`` the attempt that counts for each batch.  A batch is
 visible once its line in ``batches`` is written, as the last step; what a failed attempt left
 behind is never read.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import join_null_safe
-from .store import FEATURE_SCHEMA, encode_features
+from .store import FEATURE_SCHEMA, encode_features, of_app, write_encoded
 
 _STATE = "app_id string, feature string, whole boolean, runs bigint, attempt string"
 
@@ -54,8 +54,7 @@ def stage_batch(features: DataFrame, path: str, transform=None) -> str:
     """Write a batch without committing it; returns its attempt."""
     spark, attempt = features.sparkSession, uuid.uuid4().hex
     rows = f"{path}/rows/attempt={attempt}"
-    encoded = encode_features(features, transform)
-    encoded.hint("rebalance", "app_id").write.partitionBy("app_id").parquet(rows)
+    write_encoded(encode_features(features, transform), rows)
     # Counted from what was written, so that both agree also where the input does not repeat.
     stored = spark.read.schema(FEATURE_SCHEMA).parquet(rows)
     _run_counts(stored).write.parquet(f"{path}/state/attempt={attempt}")
@@ -77,9 +76,9 @@ def write_batch(features: DataFrame, path: str, batch: str, transform=None) -> b
 
 
 def read_batches(spark: SparkSession, path: str, app_id: str | None = None) -> DataFrame:
-    """Rows of all committed batches, of one app (its partition folders) or all."""
-    rows = _visible(spark, path, "rows", f"{FEATURE_SCHEMA}, attempt string")
-    return rows if app_id is None else rows.filter(F.col("app_id") == app_id)
+    """Rows of all committed batches, of one app (its bucket folders) or all."""
+    rows = _visible(spark, path, "rows", f"{FEATURE_SCHEMA}, attempt string, app_id_bucket int")
+    return (rows if app_id is None else of_app(rows, app_id)).drop("app_id_bucket")
 
 
 def min_feature_set(spark: SparkSession, path: str) -> DataFrame:

@@ -1,16 +1,23 @@
-"""Feature store and trial results: Parquet partitioned by app (and trial)."""
+"""Feature store and trial results: Parquet in buckets of apps, and by app and trial."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Collection
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import gates
 
 FEATURE_SCHEMA = "run_id string, feature string, value double, app_id string"
+BUCKETS = 64  # folders of a store, however many apps it holds
+
+
+def bucket_of(app: Column) -> Column:
+    """The folder number of an app."""
+    return F.pmod(F.xxhash64(app.cast("string")), F.lit(BUCKETS)).cast("int")
 
 
 def encode_features(features: DataFrame, transform=None) -> DataFrame:
@@ -24,13 +31,25 @@ def encode_features(features: DataFrame, transform=None) -> DataFrame:
     )
 
 
-def write_features(features: DataFrame, path: str, transform=None) -> None:
-    """Append tall feature rows.  A repeated call appends them again: see :mod:`batches`.
+def write_encoded(encoded: DataFrame, path: str) -> None:
+    """Append rows of :data:`FEATURE_SCHEMA` below ``app_id_bucket=…``.
 
-    Rebalancing groups an app's rows into few files but splits a large app.
+    Rebalancing groups a bucket's rows into few files but splits a large one.  Files are sorted
+    by app, so that a read of one app skips most of its bucket.
     """
-    encoded = encode_features(features, transform)
-    encoded.hint("rebalance", "app_id").write.mode("append").partitionBy("app_id").parquet(path)
+    rows = encoded.withColumn("app_id_bucket", bucket_of(F.col("app_id"))).hint("rebalance", "app_id_bucket")
+    rows = rows.sortWithinPartitions("app_id_bucket", "app_id")
+    rows.write.mode("append").partitionBy("app_id_bucket").parquet(path)
+
+
+def write_features(features: DataFrame, path: str, transform=None) -> None:
+    """Append tall feature rows.  A repeated call appends them again: see :mod:`batches`."""
+    write_encoded(encode_features(features, transform), path)
+
+
+def of_app(rows: DataFrame, app_id: str) -> DataFrame:
+    """The rows of one app, from its bucket folder."""
+    return rows.filter((F.col("app_id_bucket") == bucket_of(F.lit(app_id))) & (F.col("app_id") == app_id))
 
 
 def read_features(
@@ -40,10 +59,9 @@ def read_features(
     gate: Collection[str] | None = None,
     transform=None,
 ) -> DataFrame:
-    """Rows of one app (one partition folder) or all, optionally gated."""
-    rows = spark.read.schema(FEATURE_SCHEMA).parquet(path)
-    if app_id is not None:
-        rows = rows.filter(F.col("app_id") == app_id)
+    """Rows of one app (only its bucket folder is read) or all, optionally gated."""
+    rows = spark.read.schema(f"{FEATURE_SCHEMA}, app_id_bucket int").parquet(path)
+    rows = (rows if app_id is None else of_app(rows, app_id)).drop("app_id_bucket")
     if gate is not None:
         rows = rows.filter(F.col("feature").isin(*gate))
     return transform(rows) if transform else rows
@@ -71,12 +89,36 @@ def load_wide(
 
 
 def drop_app(spark: SparkSession, path: str, app_id: str) -> bool:
-    """Remove one app's partition folder; no other data is touched."""
-    jvm = spark.sparkContext._jvm
-    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(app_id)
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/app_id={escaped}")
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.delete(folder, True)
+    """Remove the rows of one app; false if there are none.
+
+    Each file that holds some is replaced by one without them in a single rename, so that a
+    failed call loses no other row and may be repeated.
+    """
+    rows = spark.read.schema(f"{FEATURE_SCHEMA}, app_id_bucket int").parquet(path)
+    name = F.col("_metadata.file_name").alias("file")
+    held = [(r.app_id_bucket, r.file) for r in of_app(rows, app_id).select("app_id_bucket", name).distinct().collect()]
+    if not held:  # one bucket's files otherwise, not rows
+        return False
+    places = {file: f"{path}/app_id_bucket={number}/{file}" for number, file in held}
+    kept = spark.read.schema(FEATURE_SCHEMA).parquet(*places.values()).select("*", name)
+    kept = kept.filter(~F.col("app_id").eqNullSafe(F.lit(app_id)))
+    staged = f"{path}/_kept-{uuid.uuid4().hex}"  # readers pass over such names
+    kept.repartition("file").sortWithinPartitions("file", "app_id").write.partitionBy("file").parquet(staged)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = hadoop.Path(path).getFileSystem(conf)
+    context = hadoop.FileContext.getFileContext(files.getUri(), conf)
+    option = getattr(hadoop, "Options$Rename")
+    replace = spark.sparkContext._gateway.new_array(option, 1)
+    replace[0] = option.OVERWRITE
+    for file, place in places.items():
+        parts = files.globStatus(hadoop.Path(f"{staged}/file={file}/part-*"))
+        if parts:
+            context.rename(parts[0].getPath(), files.makeQualified(hadoop.Path(place)), replace)
+        else:
+            files.delete(hadoop.Path(place), False)
+    files.delete(hadoop.Path(staged), True)
+    return True
 
 
 def string_view(df: DataFrame) -> DataFrame:

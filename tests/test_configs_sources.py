@@ -237,6 +237,30 @@ def test_feature_store(spark):
     assert {r.app_id for r in store.list_apps(spark, path).collect()} == {"b"}
 
 
+def test_store_of_many_apps(spark):
+    """Many small apps share a bounded number of folders, and each is read and dropped alone."""
+    n = 4 * store.BUCKETS
+    df = spark.range(3 * n).selectExpr(f"concat('app-', id % {n}) AS app_id", "concat('r.', id) AS run_id",
+                                       "'x' AS feature", "CAST(id AS double) AS value")
+    df = df.unionByName(spark.createDataFrame([(None, "q", "x", 1.0), ("", "q", "x", 2.0)], df.schema))
+    path = scratch_path(spark, "store")
+    store.write_features(df, path)
+    store.write_features(df.filter("app_id = 'app-7'"), path)
+    places = lambda rows: {f.rsplit("/", 2)[1] for f in rows.inputFiles()}
+    assert len(places(spark.read.parquet(path))) <= store.BUCKETS
+    one = store.read_features(spark, path, "app-7")
+    assert one.count() == 6
+    assert "app_id_bucket" in one._jdf.queryExecution().toString().split("PartitionFilters: ")[1].split("]")[0]
+    assert store.drop_app(spark, path, "app-7")
+    assert not store.drop_app(spark, path, "app-7")
+    left = rows_of(store.read_features(spark, path).select("app_id", "value"))
+    assert left == rows_of(df.filter("app_id IS DISTINCT FROM 'app-7'").select("app_id", "value"))
+    path = scratch_path(spark, "batches")
+    assert batches.write_batch(df, path, "one")
+    assert len(places(spark.read.parquet(f"{path}/rows"))) <= store.BUCKETS
+    assert batches.read_batches(spark, path, "app-9").count() == 3
+
+
 def test_feature_batches(spark):
     rows = [("a", "r.1", "x", 1.0), ("a", "r.1", "y", 1.0), ("a", "r.2", "x", 2.0), ("a", "r.2", "x", 2.5),
             ("a", "r.3", "x", 3.0), ("a", "r.3", "y", None), ("b", "q", "z", 4.0), (None, "q", None, 5.0)]
