@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -23,6 +25,9 @@ TOLERANCE = 1e-3
 MOST_STEPS = 100
 # Tables read in every step are cut finer, so that all cores share a small one.
 ITERATED_ROW_GROUP_MB = 8
+# Labels of a part in one row of the table that every step reads, and pools in one row that meets it.
+CHUNK = 256
+BLOCK = 64
 
 
 def leaf_vector(leaf: Column | str = "leaf") -> Column:
@@ -73,16 +78,16 @@ def number_leaves(*frames: DataFrame) -> list[DataFrame]:
     return [f.join(numbers, "leaves") for f in frames]
 
 
-def sample_pools(test: DataFrame, train: DataFrame, label: str = "label") -> DataFrame:
-    """Label pool of each leaf vector of ``test``: ``(pool, label, copies)``.
+def pool_parts(test: DataFrame, train: DataFrame, label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """The label pool of each leaf vector of ``test``, in parts that pools share.
 
-    A training label counts once for every tree in which its row shares the leaf;
-    equal labels may take several rows.  Rows with the same leaf vector share one
-    pool; a pool of one label counts it twice.  Frames come from
-    :func:`number_leaves`.
+    Returns ``(part, label, copies)``, the training labels of each leaf vector, and the links
+    ``(pool, part, weight)``.  A training label counts once for every tree in which its row
+    shares the leaf; rows with the same leaf vector share one pool; a pool of one label counts
+    it twice.  Frames come from :func:`number_leaves`.
 
-    Leaves are matched between distinct leaf vectors, not between rows: a training
-    row then meets each pool once instead of once per tree.
+    Leaves are matched between distinct leaf vectors, not between rows.  The labels of the
+    pools are the labels of the parts times the links: nothing holds all of them.
     """
     def cells(df, name):
         vectors = df.select(F.col("pool").alias(name), "leaves").distinct()
@@ -90,28 +95,35 @@ def sample_pools(test: DataFrame, train: DataFrame, label: str = "label") -> Dat
 
     shared = (
         cells(test, "pool")
-        .join(cells(train, "vector"), ["tree", "leaf"])
-        .groupBy("pool", "vector")
+        .join(cells(train, "part"), ["tree", "leaf"])
+        .groupBy("pool", "part")
         .agg(F.count(F.lit(1)).alias("_trees"))
     )
-    labels = train.groupBy(F.col("pool").alias("vector"), F.col(label).alias("label")).agg(
-        F.count(F.lit(1)).alias("_rows")
+    labels = train.groupBy(F.col("pool").alias("part"), F.col(label).alias("label")).agg(
+        F.count(F.lit(1)).alias("copies")
     )
+    labels = materialize(labels, "part-labels")
     # Pool sizes come from the small tables.
-    held = train.groupBy(F.col("pool").alias("vector")).agg(F.count(F.lit(1)).alias("_rows"))
+    held = labels.groupBy("part").agg(F.sum("copies").alias("_rows"))
     sizes = (
-        held.join(shared, "vector")
+        held.join(shared, "part")
         .groupBy("pool")
         .agg(F.sum(F.col("_rows") * F.col("_trees")).alias("_n"))
     )
-    weights = materialize(
+    links = materialize(
         shared.join(sizes, "pool").select(
-            "pool", "vector", F.when(F.col("_n") < 2, F.lit(2)).otherwise(F.col("_trees")).alias("_trees")
+            "pool", "part", F.when(F.col("_n") < 2, F.lit(2)).otherwise(F.col("_trees")).alias("weight")
         ),
-        "pool-weights",
+        "pool-links",
     )
-    return labels.join(weights, "vector").select(
-        "pool", "label", (F.col("_rows") * F.col("_trees")).alias("copies")
+    return labels, links
+
+
+def sample_pools(test: DataFrame, train: DataFrame, label: str = "label") -> DataFrame:
+    """:func:`pool_parts` joined: ``(pool, label, copies)``; equal labels may take several rows."""
+    labels, links = pool_parts(test, train, label)
+    return labels.join(links, "part").select(
+        "pool", "label", (F.col("copies") * F.col("weight")).alias("copies")
     )
 
 
@@ -123,52 +135,126 @@ def _log_density(x: Column, weight: Column, mean: Column, var: Column) -> Column
 def fit_mixtures(
     pools: DataFrame, keys: Sequence[str], k: int | str, iterations: int = MOST_STEPS,
     k_max: int | None = None, tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """Gaussian mixture of every pool of ``(keys, label, copies)``: see :func:`fit_pools`."""
+    keys = list(keys)
+    pools = materialize(pools.dropna(subset=keys).withColumn("part", F.struct(*keys)), "pools")
+    named = [k] if isinstance(k, str) and k not in keys else []
+    links = pools.groupBy(*keys).agg(
+        F.first("part").alias("part"), *[F.first(c).alias(c) for c in named]
+    ).withColumn("weight", F.lit(1))
+    return fit_pools(pools.select("part", "label", "copies"), links, keys, k, iterations, k_max, tolerance)
+
+
+def _step_sums(count: int):
+    """Sums of one step: every row's labels under every pool of the row, added up by pool."""
+    names = [f"_{p}{j}" for j in range(count) for p in "wmv"]
+    out = [f"_{p}{j}" for j in range(count) for p in ("s", "sx", "sxx")]
+
+    def sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = lambda column: (column.flatten(), np.concatenate(([0], np.cumsum(
+            column.value_lengths().to_numpy(zero_copy_only=False)))))
+        for part in parts:
+            (x, xs), (copies, _), (pools, ps) = (flat(part.column(c)) for c in ("labels", "copies", "pools"))
+            x, copies = x.to_numpy(zero_copy_only=False), copies.to_numpy(zero_copy_only=False)
+            cell = {f.name: pools.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(pools.type)}
+            ids, at = np.unique(cell["_id"], return_inverse=True)
+            total = np.zeros((len(ids), len(out) + 1))
+            w, m, v = (np.stack([cell[f"_{p}{j}"] for j in range(count)]) for p in "wmv")
+            kind = (1 << np.arange(count)) @ (w > 0)
+            with np.errstate(all="ignore"):
+                offset = np.log(w) - 0.5 * np.log(2 * math.pi * v)
+                for r in range(part.num_rows):
+                    span = np.arange(ps[r], ps[r + 1])
+                    value, n = x[xs[r]:xs[r + 1]], copies[xs[r]:xs[r + 1]]
+                    for some in np.unique(kind[span]):  # pools with the same live components
+                        p = span[kind[span] == some]
+                        live = [j for j in range(count) if some >> j & 1]
+                        z = (value - cell["_mu"][p, None]) / cell["_sd"][p, None]
+                        gap = [z - m[j, p, None] for j in live]
+                        square = [g * g for g in gap]
+                        log = [offset[j, p, None] - 0.5 * (q / v[j, p, None]) for j, q in zip(live, square)]
+                        top = reduce(np.maximum, log)
+                        share = [np.exp(g - top) for g in log]
+                        whole = reduce(np.add, share)
+                        weight = cell["weight"][p]
+                        got = np.zeros((len(p), len(out) + 1))
+                        for j, e, q in zip(live, share, square):
+                            e /= whole
+                            got[:, 3 * j] = (e @ n) * weight
+                            got[:, 3 * j + 1] = ((e * z) @ n) * weight
+                            # deviations from the last mean: squares of far labels would cancel
+                            got[:, 3 * j + 2] = ((e * q) @ n) * weight
+                        got[:, -1] = ((top + np.log(whole)) @ n) * weight
+                        total[at[p]] += got  # a pool is once in a row
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, total.T)], ["_id", *out, "_seen"])
+
+    return sums, names, out
+
+
+def fit_pools(
+    labels: DataFrame, links: DataFrame, keys: Sequence[str], k: int | str, iterations: int = MOST_STEPS,
+    k_max: int | None = None, tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """Gaussian mixture of every pool: ``mixture`` (``mean, var, weight`` by rising mean),
     ``steps``, ``gain`` and ``converged``.
 
-    ``pools`` is ``(keys, label, copies)``.  ``k`` is a number or the name of a
-    column (then give ``k_max``); a pool of n labels gets min(k, n) components.
-
-    Expectation maximisation runs on all pools at once.  A step joins the labels
-    with the parameters of their pool and sums responsibilities per pool, so a
-    pool may have any number of labels.  Labels are standardised per pool, and
-    components start at evenly spaced deviations from the mean.  A pool is settled when a step
-    raised the mean log-likelihood of its labels by less than ``tolerance``; settled pools are
-    set aside, and only the others, with their labels, enter the next step.  A pool that is not
-    settled after ``iterations`` is returned with ``converged`` false and its last ``gain``.
+    ``labels`` is ``(part, label, copies)`` and ``links`` ``(keys, part, weight)``: a pool holds
+    the labels of its parts, ``weight`` times.  ``k`` is a number or the name of a column of
+    ``links`` (then give ``k_max``); a pool of n labels gets min(k, n) components.
+
+    Expectation maximisation runs on all pools at once.  The labels are written once, in rows of
+    about ``CHUNK``; a step joins them with the parameters of the pools of their part and sums
+    responsibilities per pool, so parts and pools may have any number of labels.  Labels are
+    standardised per pool, and components start at evenly spaced deviations from the mean.  A
+    pool is settled when a step raised the mean log-likelihood of its labels by less than
+    ``tolerance``; settled pools are set aside, and only the others enter the next step.  A pool
+    that is not settled after ``iterations`` is returned with ``converged`` false and its last
+    ``gain``.
     """
     keys = list(keys)
     k_max = k if isinstance(k, int) else k_max
     wanted = F.lit(k) if isinstance(k, int) else F.first(k)
-    copies = F.col("copies")
-    kept = [*keys, "label", "copies", *([k] if isinstance(k, str) and k not in keys else [])]
-    pools = materialize(pools.select(*kept), "pools", ITERATED_ROW_GROUP_MB)
-    moments = pools.groupBy(*keys).agg(
-        F.sum(copies).alias("_n"),
-        F.try_divide(F.sum(F.col("label") * copies), F.sum(copies)).alias("_mu"),
+    copies, label, weight = F.col("copies"), F.col("label"), F.col("weight")
+    rows = materialize(labels.groupBy("part", "label").agg(F.sum(copies).alias("copies")), "pool-labels")
+    known = F.when(label.isNotNull(), copies)
+    parts = materialize(rows.groupBy("part").agg(
+        F.sum(copies).alias("_all"), F.sum(known).alias("_known"), F.sum(label * copies).alias("_total"),
+        F.try_divide(F.sum(label * copies), F.sum(known)).alias("_mean"), F.count(label).alias("_labels"),
+    ), "pool-parts")
+    off = label - F.col("_mean")
+    apart = rows.join(parts, "part").groupBy("part").agg(F.sum(off * off * copies).alias("_square"))
+    linked = links.join(parts, "part").join(apart, "part")
+    moments = linked.groupBy(*keys).agg(
+        F.sum(F.col("_all") * weight).alias("_n"),
+        F.try_divide(F.sum(F.col("_total") * weight), F.sum(F.col("_all") * weight)).alias("_mu"),
         wanted.alias("_k"),
     )
-    centred = pools.join(moments, keys)
-    spread = centred.groupBy(*keys).agg(
-        F.sqrt(
-            F.try_divide(
-                F.sum((F.col("label") - F.col("_mu")) * (F.col("label") - F.col("_mu")) * copies),
-                F.sum(copies),
-            )
-        ).alias("_sd")
-    )
+    far = F.col("_mean") - F.col("_mu")
+    spread = linked.join(moments, keys).groupBy(*keys).agg(F.sqrt(F.try_divide(
+        F.sum((F.col("_square") + F.col("_known") * far * far) * weight), F.sum(F.col("_all") * weight)
+    )).alias("_sd"))
     scale = moments.join(spread, keys).withColumns(
         {
             "_sd": F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0)),
             "_k": F.least(F.col("_k"), F.col("_n")).cast("int"),
+            "_id": F.monotonically_increasing_id(),
         }
     )
     scale = materialize(scale, "pool-scale")
-    rows = pools.join(scale, keys).select(
-        *keys, "copies", ((F.col("label") - F.col("_mu")) / F.col("_sd")).alias("_x")
-    )
-    rows = materialize(rows, "pool-labels", ITERATED_ROW_GROUP_MB)
+    dealt = F.pmod(F.xxhash64(label), F.ceil(F.col("_labels") / CHUNK))
+    cells = F.collect_list(F.struct(label.cast("double").alias("label"), copies.cast("double").alias("copies")))
+    chunks = materialize(
+        rows.filter(label.isNotNull()).join(parts.select("part", "_labels"), "part")
+        .groupBy("part", dealt.alias("_chunk")).agg(cells.alias("cells"))
+        .select("part", F.col("cells.label").alias("labels"), F.col("cells.copies").alias("copies"))
+        # the work is in the steps: a table of few megabytes still takes every core
+        .repartition(4 * rows.sparkSession.sparkContext.defaultParallelism),
+        "pool-chunks", ITERATED_ROW_GROUP_MB)
+    many = links.groupBy("part").agg(F.count(F.lit(1)).alias("_pools"))
+    links = materialize(links.join(scale.select(*keys, "_id"), keys).join(many, "part").select(
+        "_id", "part", weight.cast("double").alias("weight"),
+        F.pmod(F.xxhash64("_id"), F.ceil(F.col("_pools") / BLOCK)).alias("_block")), "pool-links")
 
     components = range(k_max)
     floor = VARIANCE_FLOOR / (F.col("_sd") * F.col("_sd"))
@@ -178,32 +264,22 @@ def fit_mixtures(
         start[f"_m{j}"] = (2 * F.lit(float(j)) - F.col("_k") + 1) / F.col("_k")
         start[f"_v{j}"] = F.lit(1.0)
     start["_fit"] = F.lit(None).cast("double")
-    params = scale.select(*keys, "_n", floor.alias("_floor"), *[e.alias(n) for n, e in start.items()])
+    params = scale.select("_id", "_n", floor.alias("_floor"), "_mu", "_sd",
+                          *[e.alias(n) for n, e in start.items()])
 
-    x = F.col("_x")
-    names = [f"_{p}{j}" for j in components for p in "wmv"]
+    sums_of, names, parts_of = _step_sums(k_max)
+    types = ", ".join(f"{n} double" for n in [*parts_of, "_seen"])
     settled = []
     for step in range(1, iterations + 1):
-        met = rows.join(params, keys)
-        logs = [_log_density(x, F.col(f"_w{j}"), F.col(f"_m{j}"), F.col(f"_v{j}")) for j in components]
-        met = met.withColumns({f"_l{j}": e for j, e in enumerate(logs)})
-        top = F.greatest(*[F.col(f"_l{j}") for j in components]) if k_max > 1 else F.col("_l0")
-        met = met.withColumn("_top", top)
-        met = met.withColumns({f"_e{j}": F.exp(F.col(f"_l{j}") - F.col("_top")) for j in components})
-        met = met.withColumn("_sum", sum((F.col(f"_e{j}") for j in components), F.lit(0.0)))
-        parts = []
-        for j in components:
-            r = F.col(f"_e{j}") / F.col("_sum") * F.col("copies")
-            parts += [
-                F.sum(r).alias(f"_s{j}"),
-                F.sum(r * x).alias(f"_sx{j}"),
-                # deviations from the last mean: squares of far labels would cancel
-                F.sum(r * (x - F.col(f"_m{j}")) * (x - F.col(f"_m{j}"))).alias(f"_sxx{j}"),
-                F.first(f"_m{j}").alias(f"_old{j}"),
-            ]
-        seen = (F.col("_top") + F.log("_sum")) * F.col("copies")
-        sums = met.groupBy(*keys).agg(*parts, F.sum(seen).alias("_seen"), *[
-            F.first(c).alias(c) for c in ("_n", "_floor", "_fit")])
+        # One row per part and block of pools.  Written out, its size is known: a small table
+        # is broadcast and the labels are not shuffled.
+        blocks = links.join(params, "_id").groupBy("part", "_block").agg(
+            F.collect_list(F.struct("_id", "weight", "_mu", "_sd", *names)).alias("pools"))
+        blocks = materialize(blocks.drop("_block"), "mixture-pools")
+        met = chunks.join(blocks, "part").select("labels", "copies", "pools")
+        sums = met.mapInArrow(sums_of, f"_id bigint, {types}").groupBy("_id").agg(
+            *[F.sum(n).alias(n) for n in [*parts_of, "_seen"]])
+        sums = params.withColumnsRenamed({f"_m{j}": f"_old{j}" for j in components}).join(sums, "_id", "left")
         update = {}
         for j in components:
             mass, mean = F.col(f"_s{j}"), F.try_divide(F.col(f"_sx{j}"), F.col(f"_s{j}"))
@@ -214,10 +290,9 @@ def fit_mixtures(
             update[f"_v{j}"] = F.greatest(F.coalesce(var, F.lit(1.0)), F.lit(0.0)) + F.col("_floor")
         fit = F.col("_seen") / F.col("_n")
         params = sums.select(
-            *keys, "_n", "_floor", *[update[n].alias(n) for n in names], fit.alias("_fit"),
+            "_id", "_n", "_floor", "_mu", "_sd", *[update[n].alias(n) for n in names], fit.alias("_fit"),
             F.abs(fit - F.col("_fit")).alias("_gain"))
-        # One row per pool.  Written out, its size is known: small ones are broadcast
-        # and the labels are not shuffled; it also cuts the lineage.
+        # One row per pool.  Written out, because that cuts the lineage.
         ends = F.coalesce(F.col("_gain") < tolerance, F.lit(False)) | F.lit(step == iterations)
         left = Observation()
         params = materialize(params.withColumns({"_step": F.lit(step), "_ends": ends}).observe(
@@ -228,7 +303,7 @@ def fit_mixtures(
             break
     # Steps in which no pool settled hold no result.
     settled = [s for s in settled if not s.isEmpty()] or settled[:1]
-    final = reduce(DataFrame.unionByName, settled).join(scale.select(*keys, "_mu", "_sd"), keys)
+    final = reduce(DataFrame.unionByName, settled).join(scale.select(*keys, "_id"), "_id")
     cells = [
         F.struct(
             (F.col(f"_m{j}") * F.col("_sd") + F.col("_mu")).alias("mean"),
@@ -289,20 +364,32 @@ def nearest_component_rmsre(mixture: Column, y: Column, swap: bool = False) -> C
     return errors.rmsre(chosen, y) if swap else errors.rmsre(y, chosen)
 
 
-def tune_components(
-    test: DataFrame, pools: DataFrame, label: str = "label", counts: Sequence[int] = (1, 2, 3, 4, 5),
-    iterations: int = MOST_STEPS,
+def tune_pools(
+    test: DataFrame, labels: DataFrame, links: DataFrame, label: str = "label",
+    counts: Sequence[int] = (1, 2, 3, 4, 5), iterations: int = MOST_STEPS,
 ) -> DataFrame:
-    """Relative error of the nearest component for each component count, all fitted together."""
-    tried = pools.withColumn("num_component", F.explode(F.array(*[F.lit(c) for c in counts])))
-    tried = tried.withColumn("wanted", F.col("num_component"))
-    fitted = fit_mixtures(tried, ["pool", "num_component"], "wanted", iterations, max(counts))
+    """Relative error of the nearest component for each component count, all fitted together.
+
+    ``labels`` and ``links`` are as in :func:`fit_pools`, with the key ``pool``.
+    """
+    tried = links.withColumn("num_component", F.explode(F.array(*[F.lit(c) for c in counts])))
+    fitted = fit_pools(labels, tried, ["pool", "num_component"], "num_component", iterations, max(counts))
     met = test.select("pool", label).join(fitted, "pool")
     return met.groupBy("num_component").agg(
         nearest_component_rmsre(F.col("mixture"), F.col(label)).alias("rmsre")
     )
 
 
+def tune_components(
+    test: DataFrame, pools: DataFrame, label: str = "label", counts: Sequence[int] = (1, 2, 3, 4, 5),
+    iterations: int = MOST_STEPS,
+) -> DataFrame:
+    """:func:`tune_pools` of pools given as ``(pool, label, copies)``."""
+    labels = materialize(pools.dropna(subset=["pool"]).withColumnRenamed("pool", "part"), "pools")
+    links = labels.select(F.col("part").alias("pool"), "part", F.lit(1).alias("weight")).distinct()
+    return tune_pools(test, labels, links, label, counts, iterations)
+
+
 def two_stage_predict(
     train: DataFrame, test: DataFrame, unique: Sequence[str], extra: str, label: str = "label"
 ) -> DataFrame:

@@ -472,7 +472,7 @@ def _leaves(t, n_trees=100, depth=2):
 
 def _pools(t):
     train, test = _leaves(t)
-    return test, mixtures.sample_pools(test, train)
+    return test, *mixtures.pool_parts(test, train)
 
 
 def _pool_labels(n_trees: int = 100, asked: str = "fold = 1", depth: int = 2) -> str:
@@ -625,8 +625,8 @@ def forest_sample_pool(t):
     WITH RECURSIVE {_pool_labels()}, asked AS (SELECT * FROM pools), {_em('pool', 2, '2')} {_COMPONENTS}
     """)
 def fit_mixture(t):
-    _, pools = _pools(t)
-    return _components(mixtures.fit_mixtures(pools, ["pool"], 2))
+    _, labels, links = _pools(t)
+    return _components(mixtures.fit_pools(labels, links, ["pool"], 2))
 
 
 @query(
@@ -649,13 +649,13 @@ def fit_mixture_single(t):
     """)
 def tree_mixture(t):
     train, test = _leaves(t, n_trees=1)
-    pools = mixtures.sample_pools(train.unionByName(test), train)
-    return _components(mixtures.fit_mixtures(pools, ["pool"], 2))
+    labels, links = mixtures.pool_parts(train.unionByName(test), train)
+    return _components(mixtures.fit_pools(labels, links, ["pool"], 2))
 
 
 def _with_mixture(t):
-    test, pools = _pools(t)
-    return test.join(mixtures.fit_mixtures(pools, ["pool"], 2), "pool")
+    test, labels, links = _pools(t)
+    return test.join(mixtures.fit_pools(labels, links, ["pool"], 2), "pool")
 
 
 @query("mixture_proba", f"""
@@ -711,8 +711,7 @@ def nearest_component_rmsre(t):
     SELECT num_component, round(sqrt(avg(((y - chosen) / y) ** 2)), 6) AS rmsre FROM nearest GROUP BY num_component
     """)
 def tune_components(t):
-    test, pools = _pools(t)
-    return mixtures.tune_components(test, pools).withColumn("rmsre", r6("rmsre"))
+    return mixtures.tune_pools(*_pools(t)).withColumn("rmsre", r6("rmsre"))
 
 
 @query(

@@ -546,3 +546,23 @@ def test_least_squares_equals_the_line_of_one_feature(spark):
     many = models.predict_linear(df, df, [], ["x"], "y").orderBy("x", "y").collect()
     line = models.predict_line(df, df, "x", "y").orderBy("x", "y").collect()
     assert [r.prediction for r in many] == pytest.approx([r.prediction for r in line])
+
+
+def test_pools_of_shared_parts_equal_written_out_ones(spark, monkeypatch):
+    """Pools given as links to parts fit like their labels written out, in chunks and blocks of any size."""
+    labels = spark.createDataFrame(
+        [(i % 4, float((i * 37) % 101) + 200.0 * (i % 2), 1 + i % 3) for i in range(400)] + [(0, None, 2)],
+        "part int, label double, copies int")
+    links = spark.createDataFrame(
+        [(p, q, 1 + (p * q) % 3) for p in range(5) for q in range(4) if (p + q) % 4], "pool int, part int, weight int")
+    whole = labels.join(links, "part").selectExpr("pool", "label", "copies * weight AS copies")
+    expected = {r.pool: r for r in mixtures.fit_mixtures(whole, ["pool"], 2).collect()}
+    monkeypatch.setattr(mixtures, "CHUNK", 7)
+    monkeypatch.setattr(mixtures, "BLOCK", 2)
+    got = mixtures.fit_pools(labels, links, ["pool"], 2).collect()
+    assert len(got) == len(expected) == 5
+    for r in got:
+        other = expected[r.pool]
+        assert (r.steps, r.converged) == (other.steps, other.converged)
+        for a, b in zip(r.mixture, other.mixture, strict=True):
+            assert tuple(a) == pytest.approx(tuple(b), rel=1e-9)
