@@ -61,9 +61,18 @@ def forest(n_trees: int = 100, depth: int = 2, seed: int = 42, **params) -> Rand
     )
 
 
+# A forest keeps a count per tree with every row, about 500 bytes for 100 trees.
+FIT_ROWS = 500_000
+
+
 def fit(estimator, rows: DataFrame):
-    """Fit on persisted rows: estimators pass over their input several times."""
-    data = rows.select("features", "label").persist()
+    """Fit on persisted rows: estimators pass over their input several times.
+
+    Rows are dealt anew only where partitions hold more than ``FIT_ROWS`` of them.
+    """
+    data = rows.select("features", "label")
+    parts = -(-data.count() // FIT_ROWS)
+    data = (data.repartition(parts) if parts > data.rdd.getNumPartitions() else data).persist()
     try:
         return estimator.fit(data)
     finally:

@@ -566,3 +566,16 @@ def test_pools_of_shared_parts_equal_written_out_ones(spark, monkeypatch):
         assert (r.steps, r.converged) == (other.steps, other.converged)
         for a, b in zip(r.mixture, other.mixture, strict=True):
             assert tuple(a) == pytest.approx(tuple(b), rel=1e-9)
+
+
+def test_fit_deals_crowded_partitions_anew(spark, monkeypatch):
+    """No task of a fit holds more rows than the limit, and small inputs stay as they are."""
+    class Seen:
+        def fit(self, data):
+            return data.rdd.glom().map(len).collect()
+
+    rows = spark.range(0, 100, 1, 2).selectExpr("id AS features", "id AS label")
+    assert models.fit(Seen(), rows) == [50, 50]
+    monkeypatch.setattr(models, "FIT_ROWS", 10)
+    sizes = models.fit(Seen(), rows)
+    assert sum(sizes) == 100 and max(sizes) <= 10
