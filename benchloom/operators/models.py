@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import errors, scalars
@@ -512,29 +512,47 @@ def rank_features_by_forest(
 ) -> DataFrame:
     """Mean r² of a 20-tree depth-4 forest on each single feature, over random splits.
 
-    The rows are made tall, and the trees of all features and splits grow in the same jobs,
-    whatever their number.  Rows without a feature's value or the label do not count for it; a
-    feature none of whose splits has a score (no test rows, or equal labels) has a null.
+    The trees of all features and splits grow in the same jobs, whatever their number.  Rows are
+    never repeated per feature or tree: draws are made once per row and split, and errors come from
+    the mean and variance of the test labels of each value.  Rows without a feature's value or the
+    label do not count for it; a feature none of whose splits has a score (no test rows, or equal
+    labels) has a null.
     """
-    cell = lambda f: F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_x"))
-    tall = df.select(*unique, F.col(label).cast("double").alias("_y"), F.inline(F.array(*map(cell, features))))
-    tall = trees.binned(tall.dropna(subset=["_x", "_y"]), ["feature"], "_x", max_bins)
-    number = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
-    tall = tall.withColumn("split", number)
+    names = {f: f"_x{i}" for i, f in enumerate(features)}
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*unique, value(label).alias("_y"), *[value(f).alias(c) for f, c in names.items()])
+    rows = rows.filter("_y IS NOT NULL")
+
+    def tall(wide: DataFrame, *columns: str) -> DataFrame:
+        cell = [F.struct(F.lit(f).alias("feature"), F.col(c).alias("_x")) for f, c in names.items()]
+        return wide.select(*columns, F.inline(F.array(*cell))).filter("_x IS NOT NULL")
+
+    crowded = trees.bin_ends(tall(rows), ["feature"], "_x", max_bins)
+    ends = crowded.agg(F.map_from_entries(F.collect_list(F.struct("feature", "_ends")))).scalar()
+    rows = rows.withColumn("_bins", ends)
+    rows = rows.withColumns({
+        c: trees.in_bin(F.col(c), F.try_element_at("_bins", F.lit(f))) for f, c in names.items()}).drop("_bins")
+    rows = rows.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     key = F.concat_ws("|", "split", *unique)
     share = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    tall = materialize(tall.withColumn("_test", share < test_share), "ranked-features")
+    rows = rows.withColumn("_test", share < test_share)
     by = ["feature", "split", "_x"]
-    sums = trees.tree_sums(tall.filter("NOT _test"), by, "_y", [*unique, "split"], n_trees, seed)
-    test = tall.filter("_test")
-    cells = trees.with_asked(sums.filter("bootstrap"), test.select(*by), by, n_trees)
+    sums = materialize(trees.tree_sums(rows.filter("NOT _test"), ["split"], "_y", [*unique, "split"], n_trees, seed,
+                                       names).filter("bootstrap"), "tree-sums")
+    test = materialize(tall(rows.filter("_test"), "split", "_y").groupBy(*by).agg(
+        F.count("_y").alias("_n"), F.avg("_y").alias("_mean"), F.var_pop("_y").alias("_var"),
+        F.min("_y").alias("_min"), F.max("_y").alias("_max")), "test-values")
+    cells = trees.with_asked(sums, test.select(*by), by, n_trees)
     keys = ["feature", "split", "bootstrap", "tree"]
     nodes, placed = trees.grow(cells, keys, ["_x"], depth)
     values = trees.at_depth(placed.filter("asked"), nodes, keys, [depth])
     means = trees.forest_means(values, by, [n_trees])
-    y, error = F.col("_y"), F.col("_y") - F.col("prediction")
-    scores = test.join(means, by).groupBy("feature", "split").agg(
-        (1 - F.try_divide(F.sum(error * error), F.var_pop(y) * F.count(y))).alias("r2"))
+    # At most as many rows per window group as a feature has values.
+    n, mean, group = F.col("_n"), F.col("_mean"), Window.partitionBy("feature", "split")
+    met = test.join(means, by).withColumn("_center", F.sum(n * mean).over(group) / F.sum(n).over(group))
+    off = lambda at: F.sum(n * (F.col("_var") + (mean - F.col(at)) * (mean - F.col(at))))
+    spread = F.when(F.min("_min") < F.max("_max"), off("_center"))  # rounding must not make equal labels differ
+    scores = met.groupBy("feature", "split").agg((1 - F.try_divide(off("prediction"), spread)).alias("r2"))
     names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     ranked = names.join(scores, "feature", "left").groupBy("feature").agg(F.round(F.avg("r2"), 3).alias("r2"))
     return ranked.orderBy(F.desc("r2"), F.desc("feature"))

@@ -19,9 +19,11 @@ only if that lowers the squared error by more than rounding.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -45,44 +47,143 @@ def poisson_marks() -> list[str]:
     return marks
 
 
-def _count(shown: Column) -> Column:
-    """The Poisson draw that hex digits stand for."""
-    marks = poisson_marks()
-    count = F.lit(len(marks))
-    for k in reversed(range(len(marks))):
-        count = F.when(shown < marks[k], F.lit(k)).otherwise(count)
-    return count
+CELLS_HELD = 16_384  # cells whose sums a task holds at once
+
+
+def _drawn(by: Sequence[str], tall: Sequence[str], trees: int):
+    """Partial sums of draws and drawn labels per cell over a stream of ``by, tall, _y, _digest``.
+
+    A cell holds the values of ``by`` and, with ``tall``, the number and value of one of its columns.
+    """
+    marks = [int(m, 16) for m in poisson_marks()]
+    draws = np.searchsorted(marks, np.arange(1 << 4 * DIGITS), side="right").astype(np.uint8)
+
+    def codes(part: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+        """A number per row, equal only for equal values of the columns."""
+        code = np.zeros(part.num_rows, np.int64)
+        for name in names:
+            column = part.column(name).dictionary_encode(null_encoding="encode")
+            code = code * len(column.dictionary) + column.indices.to_numpy(zero_copy_only=False)
+            code = np.unique(code, return_inverse=True)[1]
+        return code
+
+    def sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, both, types = {}, np.zeros((0, 2, trees)), None
+
+        def batch() -> pa.RecordBatch:
+            cells = list(zip(*place))
+            columns = [pa.array(values, kind) for values, kind in zip(cells, types)]
+            ends = pa.array(np.arange(len(place) + 1, dtype=np.int32) * trees)
+            columns += [pa.ListArray.from_arrays(ends, both[:len(place), i].ravel()) for i in range(2)]
+            return pa.RecordBatch.from_arrays(columns, [*by, *(["_at", "_x"] if tall else []), "w", "s"])
+
+        for part in parts:
+            if not part.num_rows:
+                continue
+            digest = part.column("_digest")
+            ends = np.frombuffer(digest.buffers()[1], np.int32)[digest.offset:digest.offset + part.num_rows + 1]
+            shown = np.frombuffer(digest.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(">u2")
+            drawn = draws[shown.reshape(part.num_rows, -1)[:, :trees]].astype(float)
+            y = part.column("_y").fill_null(0.0).to_numpy(zero_copy_only=False)
+            shared = codes(part, by)
+            for at, name in enumerate(tall or [None]):
+                names, rows = list(by), np.arange(part.num_rows)
+                code = shared
+                if tall:
+                    names.append(name)
+                    rows = np.flatnonzero(part.column(name).is_valid().to_numpy(zero_copy_only=False))
+                    code = codes(part, names)[rows]
+                order = np.argsort(code, kind="stable")
+                rows, code = rows[order], code[order]
+                if not len(rows):
+                    continue
+                starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+                first = pa.array(rows[starts])
+                cells = [part.column(c).take(first) for c in names]
+                if tall:
+                    cells.insert(len(by), pa.array([at] * len(starts), pa.int32()))
+                types = [c.type for c in cells]
+                found = [place.setdefault(c, len(place)) for c in zip(*(c.to_pylist() for c in cells))]
+                if len(place) > len(both):
+                    both = np.concatenate([both, np.zeros((max(len(place), 2 * len(both)) - len(both), 2, trees))])
+                weights, labels = drawn[rows], y[rows]
+                weighed = np.stack([np.ones(len(rows)), labels])
+                plain = np.isfinite(labels).all()
+                for to, a, b in zip(found, starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+                    if plain:
+                        both[to] += weighed[:, a:b] @ weights[a:b]
+                    else:  # a label counts only where its row is drawn
+                        w = weights[a:b]
+                        both[to, 0] += w.sum(0)
+                        both[to, 1] += np.multiply(w, labels[a:b, None], out=np.zeros_like(w), where=w > 0).sum(0)
+                if len(place) >= CELLS_HELD:
+                    yield batch()
+                    place, both = {}, np.zeros((0, 2, trees))
+        if place:
+            yield batch()
+
+    return sums
 
 
 def tree_sums(rows: DataFrame, by: Sequence[str], y: str, unique: Sequence[str], trees: int,
-              seed: str) -> DataFrame:
+              seed: str, tall: Mapping[str, str] | None = None) -> DataFrame:
     """``by, bootstrap, tree, w, s``: rows drawn and their label sum, per tree.
 
     A bootstrap sample holds a row as often as a Poisson draw of mean 1 says, read from digests
     of the row's ``unique`` columns; the first samples do not depend on how many follow.
     Without bootstrap there is one tree, number 0, which holds every row once.  Rows are
-    reduced before they are shuffled.
+    reduced before they are shuffled: a task adds up arrays with a place per tree, so that a row
+    is never repeated per tree.
+
+    ``tall`` maps names to columns: then a row counts once for every column it has a value of,
+    ``feature`` is the name and ``_x`` the value, and the draws are made once for all of them.
     """
+    by, tall = list(by), dict(tall or {})
+    cell = [*by, "feature", "_x"] if tall else by
     label = F.col(y).cast("double").alias("_y")
-    whole = rows.select(*by, label).groupBy(*by).agg(
+    whole = rows.select(*by, label)
+    if tall:
+        whole = rows.select(*by, label, F.inline(F.array(*[
+            F.struct(F.lit(n).alias("feature"), F.col(c).alias("_x")) for n, c in tall.items()])))
+        whole = whole.filter("_x IS NOT NULL")
+    whole = whole.groupBy(*cell).agg(
         F.count(F.lit(1)).cast("double").alias("w"), F.sum("_y").alias("s"))
-    whole = whole.select(*by, F.lit(False).alias("bootstrap"), F.lit(0).alias("tree"), "w", "s")
+    whole = whole.select(*cell, F.lit(False).alias("bootstrap"), F.lit(0).alias("tree"), "w", "s")
     if not trees:
         return whole
     per = 32 // DIGITS
-    digests = F.array(*[scalars.order_key(f"{seed}.{b}", *[F.col(c) for c in unique])
-                        for b in range(-(-trees // per))])
-    # Exploded first, so that a digest is computed once and not for each of its draws.
-    dealt = rows.select(*by, label, F.posexplode(digests).alias("_block", "_digest"))
-    each = F.array(*[F.struct(
-        (F.col("_block") * per + i).alias("tree"),
-        _count(F.substring("_digest", i * DIGITS + 1, DIGITS)).cast("double").alias("w"))
-        for i in range(per)])
-    drawn = dealt.select(*by, "_y", F.inline(each)).filter((F.col("w") > 0) & (F.col("tree") < trees))
-    bagged = drawn.groupBy(*by, "tree").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("_y")).alias("s"))
+    digests = F.concat(*[F.unhex(scalars.order_key(f"{seed}.{b}", *[F.col(c) for c in unique]))
+                         for b in range(-(-trees // per))])
+    fed = rows.select(*by, *tall.values(), label, digests.alias("_digest"))
+    kinds = {f.name: f.dataType.simpleString() for f in fed.schema}
+    shape = [f"`{c}` {kinds[c]}" for c in by]
+    if tall:
+        shape += ["_at int", f"_x {kinds[next(iter(tall.values()))]}"]
+    drawn = fed.mapInArrow(_drawn(by, list(tall.values()), trees),
+                           ", ".join([*shape, "w array<double>", "s array<double>"]))
+    if tall:
+        drawn = drawn.withColumn("feature", F.element_at(F.array(*map(F.lit, tall)), F.col("_at") + 1))
+    each = drawn.select(*cell, F.posexplode(F.arrays_zip("w", "s")).alias("tree", "_sums")).filter("_sums.w > 0")
+    bagged = each.groupBy(*cell, "tree").agg(F.sum("_sums.w").alias("w"), F.sum("_sums.s").alias("s"))
     return whole.unionByName(bagged.withColumn("bootstrap", F.lit(True)))
 
 
+def bin_ends(rows: DataFrame, keys: Sequence[str], x: str, max_bins: int = MAX_BINS) -> DataFrame:
+    """``keys`` and ``_ends``, the bins of the groups with more than ``max_bins`` values of ``x``."""
+    values = rows.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_rows"))
+    shares = [(i + 1) / max_bins for i in range(max_bins)]
+    ends = values.groupBy(*keys).agg(
+        F.count("*").alias("_values"),
+        F.array_distinct(F.percentile_approx(x, shares, 10_000)).alias("_ends"))
+    return materialize(ends.filter(F.col("_values") > max_bins).drop("_values"), "bins")
+
+
+def in_bin(x: Column, ends: Column) -> Column:
+    """The value that stands for ``x`` among the bins ``ends``; ``x`` itself where there are none."""
+    up = F.coalesce(F.array_min(F.filter(ends, lambda e: e >= x)), F.array_max(ends))
+    return F.when(ends.isNull() | x.isNull(), x).otherwise(up)
+
+
 def binned(rows: DataFrame, keys: Sequence[str], x: str, max_bins: int = MAX_BINS) -> DataFrame:
     """``rows`` with at most ``max_bins`` values of ``x`` per group.
 
@@ -92,16 +193,8 @@ def binned(rows: DataFrame, keys: Sequence[str], x: str, max_bins: int = MAX_BIN
     keys = list(keys) or ["_all"]
     if keys == ["_all"]:
         rows = rows.withColumn("_all", F.lit(1))
-    values = rows.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_rows"))
-    shares = [(i + 1) / max_bins for i in range(max_bins)]
-    ends = values.groupBy(*keys).agg(
-        F.count("*").alias("_values"),
-        F.array_distinct(F.percentile_approx(x, shares, 10_000)).alias("_ends"))
-    crowded = materialize(ends.filter(F.col("_values") > max_bins).drop("_values"), "bins")
-    met = join_null_safe(rows, crowded, keys, "left")
-    up = F.coalesce(F.array_min(F.filter("_ends", lambda e: e >= F.col(x))), F.array_max("_ends"))
-    placed = F.when(F.col("_ends").isNull() | F.col(x).isNull(), F.col(x)).otherwise(up)
-    return met.withColumn(x, placed).drop("_ends", "_all")
+    met = join_null_safe(rows, bin_ends(rows, keys, x, max_bins), keys, "left")
+    return met.withColumn(x, in_bin(F.col(x), F.col("_ends"))).drop("_ends", "_all")
 
 
 def grow(cells: DataFrame, keys: Sequence[str], features: Sequence[str], max_depth: int = MAX_DEPTH,

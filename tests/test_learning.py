@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from benchloom.functions import errors
-from benchloom.operators import mixtures, models, prep, trees
+from benchloom.operators import mixtures, models, prep, ranks, trees
 from benchloom.operators import neighbours
 from benchloom.operators.neighbours import knn_regress, knn_regress_vectors, nearest, nearest_vectors
 from benchloom.plans import learning
+from benchloom.session import materialize
 
 rng = random.Random(11)
 
@@ -369,6 +370,73 @@ def test_crowded_features_are_binned(spark):
     assert {tuple(r) for r in got} == {("few", 5, 40, 4.0), ("many", 8, 1001, 999.0), (None, 1, 1, 2.0)}
 
 
+def written_rows(monkeypatch):
+    """Names and row counts of what operators write from here on."""
+    written = []
+
+    def spy(df, name="stage", *rest):
+        out = materialize(df, name, *rest)
+        written.append((name, out.count()))
+        return out
+
+    for module in (models, trees, ranks):
+        monkeypatch.setattr(module, "materialize", spy)
+    return written
+
+
+def test_feature_ranking_repeats_no_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, float(i % 5), float(i % 3), float(i % 7)) for i in range(3000)],
+                                 "id int, x double, z double, y double")
+    written = written_rows(monkeypatch)
+    models.rank_features_by_forest(rows, ["x", "z"], "y", ["id"], splits=2, n_trees=4).collect()
+    assert max(n for _, n in written) < 3000
+
+
+def test_feature_ranking_scores_like_separate_rows(spark):
+    data = [(i, None if i % 11 == 0 else float(i % 6), float("nan") if i % 13 == 0 else float(i * i % 400),
+             None if i % 17 == 0 else float(10 * (i % 6) + i % 4)) for i in range(900)]
+    rows = spark.createDataFrame(data, "id int, x double, z double, y double")
+    got = {r.feature: r.r2 for r in models.rank_features_by_forest(
+        rows, ["x", "z"], "y", ["id"], splits=2, n_trees=3, depth=2, max_bins=1000).collect()}
+    for at, feature in ((1, "x"), (2, "z")):
+        scores = []
+        for split in range(2):
+            held = [(r[0], (r[at],), r[3]) for r in data if r[at] is not None and r[at] == r[at] and r[3] is not None]
+            test = [int(_digest(split, id)[:8], 16) / 2**32 < 0.3 for id, *_ in held]
+            fits = []
+            for tree in range(3):
+                drawn = [(_draw("42", tree, [id, split]), v, y) for (id, v, y), t in zip(held, test) if not t]
+                fits.append(_one_tree([d for d in drawn if d[0]], 2, 1, 2, lambda node: [0]))
+            asked = [(y, np.mean([f(v) for f in fits])) for (_, v, y), t in zip(held, test) if t]
+            y, p = np.array(asked).T
+            scores.append(1 - ((y - p) ** 2).sum() / (y.var() * len(y)))
+        assert got[feature] == pytest.approx(np.mean(scores), abs=0.0006)
+
+
+@pytest.mark.parametrize("most", [1, 100])
+def test_tree_sums_of_odd_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(trees, "CELLS_HELD", most)
+    keys, labels = ["a", "b", None], [1.5, None, float("nan"), float("inf"), 4.0, -2.0]
+    data = [(i, keys[i % 3], None if i % 5 == 0 else float(i % 2), labels[i % 6] if i < 60 else 3.0) for i in range(150)]
+    rows = spark.createDataFrame(data, "id int, k string, x double, y double").repartition(3)
+    want = {}
+    for id, k, x, y in data:
+        for tree in range(10):
+            w = _draw("s", tree, [id])
+            if w:
+                cell = want.setdefault((k, x, tree), [0, 0.0])
+                cell[0] += w
+                cell[1] += w * (y or 0.0)
+    got = trees.tree_sums(rows, ["k", "x"], "y", ["id"], 10, "s").filter("bootstrap").collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.w, r.s) == pytest.approx(tuple(want[r.k, r.x, r.tree]), nan_ok=True)
+    tall = trees.tree_sums(rows, ["k"], "y", ["id"], 10, "s", {"one": "x"})
+    assert {(r.k, r.feature, r._x, r.tree) for r in tall.filter("bootstrap").collect()} == {
+        (k, "one", x, tree) for k, x, tree in want if x is not None}
+    assert tall.filter("NOT bootstrap").agg(F.sum("w")).first()[0] == sum(x is not None for _, _, x, _ in data)
+
+
 def test_no_rows_to_grow_on(spark):
     cells = spark.createDataFrame([("a", 1.0, 0.0, 0.0)], "k string, x double, w double, s double")
     nodes, placed = trees.grow(cells, ["k"], ["x"])
