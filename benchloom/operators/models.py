@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import errors, scalars
 from ..session import materialize
 from . import trees
-from .neighbours import nearest, weighted_label
+from .neighbours import nearest, outermost, weighted_label
 from .ranks import join_null_safe, with_rank
 
 # Forest grid of the tuning step.  None lets a tree grow to its end.
@@ -255,6 +255,45 @@ def _scored(folds: DataFrame, params: Sequence[str]) -> DataFrame:
     )
 
 
+# Settings that one pass over the rows scores.
+SCORED_AT_ONCE = 24
+
+
+def _fold_errors(
+    met: DataFrame, names: Sequence[str], settings: Sequence[tuple], y: Sequence[Column],
+    predictions: Sequence[Column], scorer: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """``fold``, ``names`` and ``error`` of every setting; ``met`` has a row once, not per setting."""
+    passes = []
+    for start in range(0, len(settings), SCORED_AT_ONCE):
+        some = range(start, min(start + SCORED_AT_ONCE, len(settings)))
+        scored = met.groupBy("fold").agg(*[scorer(y[i], predictions[i]).alias(f"_e{i}") for i in some])
+        cells = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, settings[i])],
+                                   F.col(f"_e{i}").alias("error")) for i in some])
+        passes.append(scored.select("fold", F.inline(cells)).filter("error IS NOT NULL"))
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _cell_errors(
+    rows: DataFrame, predicted: DataFrame, on: Sequence[str], names: Sequence[str],
+    settings: Sequence[tuple], y: str, scorer: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """:func:`_fold_errors` of ``predicted``: a ``prediction`` per ``on`` and setting.
+
+    The predictions of a cell become columns, which its rows meet once.  A row whose cell has no
+    prediction of a setting does not count for it.
+    """
+    def of(setting: tuple) -> Column:
+        same = reduce(lambda a, b: a & b, [F.col(n) == F.lit(v) for n, v in zip(names, setting)])
+        return F.max(F.when(same, F.struct("prediction")))
+
+    wide = predicted.groupBy(*on).agg(*[of(p).alias(f"_p{i}") for i, p in enumerate(settings)])
+    met = join_null_safe(rows.select(*on, y), materialize(wide, "predictions"), on, "inner")
+    cells = [F.col(f"_p{i}") for i in range(len(settings))]
+    return _fold_errors(met, names, settings, [F.when(c.isNotNull(), F.col(y)) for c in cells],
+                        [c["prediction"] for c in cells], scorer)
+
+
 def linear_through_rows(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Closed-form line per group, with and without intercept."""
     fit = rows.groupBy(*keys).agg(
@@ -299,8 +338,9 @@ def grid_knn(
 ) -> DataFrame:
     """Scores of the neighbour family.  One search with the largest k serves the whole grid."""
     sizes = list(sizes or knn_sizes(rows.count()))
-    train = _others(rows, folds).select("fold", *unique, x, y)
-    found = nearest(train, rows.select("fold", x), ["fold"], x, unique, max(sizes))
+    kept = outermost(rows.select("fold", *unique, x, y), ["fold"], x, unique, max(sizes))
+    train = _others(materialize(kept, "outermost"), folds).select("fold", *unique, x, y)
+    found = nearest(train, rows.select("fold", x).distinct(), ["fold"], x, unique, max(sizes))
     tried = found.withColumn("n_neighbors", F.explode(F.array(*[F.lit(s) for s in sizes]))).filter(
         F.col("place") <= F.col("n_neighbors")
     )
@@ -311,11 +351,10 @@ def grid_knn(
         *[F.struct(F.lit(w).alias("weights"), F.col(w).alias("prediction")) for w in ("uniform", "distance")]
     )
     options = predicted.select("fold", x, "n_neighbors", F.inline(options))
-    tested = join_null_safe(rows, options, ["fold", x], "inner")
-    fold_scores = tested.groupBy("fold", "n_neighbors", "weights").agg(
-        scorer(F.col(y), F.col("prediction")).alias("error")
-    )
-    return _scored(fold_scores, ["n_neighbors", "weights"])
+    names = ["n_neighbors", "weights"]
+    tried = list(itertools.product(sizes, ("uniform", "distance")))
+    fold_scores = _cell_errors(rows, options, ["fold", x], names, tried, y, scorer)
+    return _scored(fold_scores, names)
 
 
 def _forest_fit(params: dict, features: int) -> dict:
@@ -377,29 +416,80 @@ def grid_forest(
                                F.col("min_leaf"), F.col("min_split"), subset, seed)
     values = trees.at_depth(placed.filter("asked"), nodes, keys, [f["max_depth"] for _, f in fits])
     means = trees.forest_means(values, ["fold", *features, *names, "max_depth"], [f["trees"] for _, f in fits])
-    means = materialize(means, "forest-means")
     by = [*names, "max_depth", "trees"]
-    tested = known.join(means, ["fold", *features]).groupBy("fold", *by).agg(
-        scorer(F.col(y), F.col("prediction")).alias("error"))
+    tried = sorted({tuple(f[c] for c in by) for _, f in fits})
+    tested = _cell_errors(known, means, ["fold", *features], by, tried, y, scorer)
     settings = rows.sparkSession.createDataFrame(
         [(_text(p), *[f[c] for c in by]) for p, f in fits],
         "params string, bootstrap boolean, tried int, min_leaf int, min_split int, max_depth int, trees int")
     return settings.join(_scored(tested, by), by).select("params", "mean_test_score", "std_test_score")
 
 
+SVR_LOT = 1 << 20     # rows of a task that are sorted together
+SVR_LISTS = 1 << 12   # lists whose borders are searched together
+
+
+def _sorted_lists(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A stream of ``(fold, x, y)`` as lists: the sorted labels of a fold's value, as bytes."""
+    lot, held = [], 0
+    for part in itertools.chain(parts, [None]):
+        if part is not None:
+            lot.append(part)
+            held += part.num_rows
+        if held and (part is None or held >= SVR_LOT):
+            fold, x, y = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in lot])
+                          for c in ("fold", "x", "y"))
+            order = np.lexsort((y, x, fold))
+            fold, x, y = fold[order], x[order], y[order]
+            starts = np.flatnonzero(np.r_[True, (fold[1:] != fold[:-1]) | (x[1:] != x[:-1])])
+            ends = np.append(starts, len(y)).astype(np.int32) * np.int32(y.itemsize)
+            labels = pa.Array.from_buffers(
+                pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(y.tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fold[starts]), pa.array(x[starts]), labels], ["fold", "x", "labels"])
+            lot, held = [], 0
+
+
+def _passed(labels: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, equal: bool) -> np.ndarray:
+    """How many labels of each sorted list lie below each of its values ``at``, or equal it."""
+    low = np.broadcast_to(starts[:, None], at.shape).copy()
+    high = np.broadcast_to(ends[:, None], at.shape).copy()
+    for _ in range(int((ends - starts).max()).bit_length()):
+        middle = (low + high) >> 1
+        found = labels[np.minimum(middle, len(labels) - 1)]
+        on = (found <= at if equal else found < at) & (low < high)
+        high = np.where(on, high, middle)
+        low = np.where(on, middle + 1, low)
+    return low - starts[:, None]
+
+
 def _svr_pulls(weights: np.ndarray, bias: np.ndarray, epsilon: np.ndarray, scales: np.ndarray):
-    """Sub-gradient sums of every fold and setting over a stream of ``(fold, x, y)``."""
+    """Sub-gradient sums of every fold and setting over a stream of sorted lists.
+
+    Labels outside the band of a setting pull at it, with a sign each; in a sorted list they are
+    counted by binary search.
+    """
     def pulls(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_w, by_b = np.zeros_like(weights), np.zeros_like(bias)
         for part in parts:
-            fold, x, y = (part.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "x", "y"))
+            if not part.num_rows:
+                continue
+            fold, x = (part.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "x"))
+            lists = part.column("labels")
+            borders = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + part.num_rows + 1]
+            labels = np.frombuffer(lists.buffers()[2], np.uint8)[borders[0]:borders[-1]].view(float)
+            borders = (borders.astype(np.int64) - borders[0]) // labels.itemsize
             for f, (mean_x, dev_x, mean_y, dev_y) in enumerate(scales):
-                train = fold != f
-                u, v = (x[train] - mean_x) / dev_x, (y[train] - mean_y) / dev_y
-                error = v[:, None] - (bias[f] + u[:, None] * weights[f])
-                side = np.sign(error) * (np.abs(error) > epsilon)
-                by_w[f] += u @ side
-                by_b[f] += side.sum(0)
+                train = np.flatnonzero(fold != f)
+                for some in (train[i:i + SVR_LISTS] for i in range(0, len(train), SVR_LISTS)):
+                    u = (x[some] - mean_x) / dev_x
+                    starts, ends = borders[some], borders[some + 1]
+                    line = bias[f] + u[:, None] * weights[f]
+                    under = _passed(labels, starts, ends, mean_y + dev_y * (line - epsilon), False)
+                    upto = _passed(labels, starts, ends, mean_y + dev_y * (line + epsilon), True)
+                    side = ((ends - starts)[:, None] - upto - under).astype(float)
+                    by_w[f] += u @ side
+                    by_b[f] += side.sum(0)
         yield pa.RecordBatch.from_arrays(
             [pa.array([by_w.ravel().tolist()]), pa.array([by_b.ravel().tolist()])], ["w", "b"])
 
@@ -412,14 +502,16 @@ def grid_svr(
 ) -> DataFrame:
     """Scores of linear support vector settings; ``rows`` has a ``fold`` column.
 
-    The steps of ``fit_svr_linear`` for all folds and settings at once, one job per step.
+    The steps of ``fit_svr_linear`` for all folds and settings at once, one job per step.  Tasks
+    sort the labels of equal values once, so that a step searches lists and reads no row again.
     Both columns are scaled by the fold's training rows, which is what ``epsilon`` refers to;
     predictions are scaled back before they are scored.
     """
     cells = [F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")]
-    data = rows.select("fold", *cells).dropna().persist()
+    known = rows.select("fold", *cells).dropna()
+    data = known.mapInArrow(_sorted_lists, "fold int, x double, labels binary").persist()
     try:
-        stats = _others(data, folds).groupBy("fold").agg(
+        stats = _others(known, folds).groupBy("fold").agg(
             F.count("*").alias("n"), F.avg("x").alias("mx"), F.stddev_pop("x").alias("sx"),
             F.avg("y").alias("my"), F.stddev_pop("y").alias("sy"))
         found = {r.fold: r for r in stats.collect()}
@@ -446,15 +538,14 @@ def grid_svr(
     lines = []
     for f in held:
         mean_x, dev_x, mean_y, dev_y = scales[f].tolist()
-        for p, w, b in zip(grid, mean_w[f].tolist(), mean_b[f].tolist()):
-            slope = w * dev_y / dev_x
-            lines.append((f, float(p["C"]), float(p["epsilon"]), slope,
-                          mean_y + dev_y * b - slope * mean_x))
-    lines = rows.sparkSession.createDataFrame(
-        lines, "fold int, C double, epsilon double, slope double, intercept double")
-    tested = join_null_safe(rows, lines, ["fold"], "inner")
-    pred = F.col("slope") * F.col(x) + F.col("intercept")
-    fold_scores = tested.groupBy("fold", "C", "epsilon").agg(scorer(F.col(y), pred).alias("error"))
+        slopes = [w * dev_y / dev_x for w in mean_w[f].tolist()]
+        lines.append((f, slopes, [
+            mean_y + dev_y * b - slope * mean_x for slope, b in zip(slopes, mean_b[f].tolist())]))
+    lines = rows.sparkSession.createDataFrame(lines, "fold int, slopes array<double>, intercepts array<double>")
+    tested = join_null_safe(rows.select("fold", x, y), lines, ["fold"], "inner")
+    tried = [(float(p["C"]), float(p["epsilon"])) for p in grid]
+    predictions = [F.get("slopes", F.lit(i)) * F.col(x) + F.get("intercepts", F.lit(i)) for i in range(len(tried))]
+    fold_scores = _fold_errors(tested, ["C", "epsilon"], tried, [F.col(y)] * len(tried), predictions, scorer)
     return _scored(fold_scores, ["C", "epsilon"])
 
 

@@ -54,6 +54,25 @@ def nearest(
     return met.withColumn("place", place).filter(F.col("place") <= k).drop("_pos")
 
 
+def outermost(rows: DataFrame, keys: Sequence[str], x: str, unique: Sequence[str], k: int) -> DataFrame:
+    """The first and the last ``k`` rows of each value of ``x``, in ``unique`` order.
+
+    No other row can be among the ``k`` nearest of any query: values above a query are met from
+    their first row on, values below it from their last row back.  Tasks leave out rows before
+    anything is shuffled.
+    """
+    value = [*keys, x]
+    order = [*unique, *[c for c in rows.columns if c not in {*value, *unique}]]
+    numbered = lambda *by: rows.withColumn(
+        "_nth", F.row_number().over(Window.partitionBy(*value).orderBy(*by))).filter(F.col("_nth") <= k)
+    first = numbered(*order)
+    last = numbered(*[F.desc(c) for c in order])
+    counts = rows.groupBy(*value).agg(F.count(F.lit(1)).alias("_rows"))
+    # of a value with fewer than 2k rows none comes twice
+    last = join_null_safe(last, counts, value, "inner").filter(F.col("_rows") - F.col("_nth") >= k)
+    return first.drop("_nth").unionByName(last.drop("_nth", "_rows"))
+
+
 def weighted_label(y: Column, distance: Column, weights: str) -> Column:
     """Aggregate: mean label, or labels weighted by inverse distance.
 

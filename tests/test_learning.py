@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from benchloom.functions import errors
 from benchloom.operators import mixtures, models, prep, ranks, trees
 from benchloom.operators import neighbours
-from benchloom.operators.neighbours import knn_regress, knn_regress_vectors, nearest, nearest_vectors
+from benchloom.operators.neighbours import knn_regress, knn_regress_vectors, nearest, nearest_vectors, outermost
 from benchloom.plans import learning
 from benchloom.session import materialize
 
@@ -413,6 +413,56 @@ def test_feature_ranking_scores_like_separate_rows(spark):
         assert got[feature] == pytest.approx(np.mean(scores), abs=0.0006)
 
 
+def test_grid_search_repeats_no_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, float(i % 5), float(20 + i % 7)) for i in range(3000)], "id int, x double, y double")
+    written = written_rows(monkeypatch)
+    models.grid_search(rows, "x", "y", ["id"], [{"numTrees": 2, "maxDepth": 2}], svr_grid=[{"C": 1.0, "epsilon": 0.1}])
+    assert max(n for _, n in written) <= 3000
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_outermost_rows_hold_all_neighbours(spark, k):
+    data = [(i // 2, i % 2, None if i % 29 == 0 else float(i * i % 9), float(i)) for i in range(200)]
+    data += [(None, 0, 4.0, 0.5), (3, 0, 7.0, 0.25), (3, 0, 7.0, 0.25)]
+    rows = spark.createDataFrame(data, "id int, k int, x double, y double").repartition(4)
+    kept = outermost(rows, ["k"], "x", ["id"], k)
+    assert kept.groupBy("k", "x").count().agg(F.max("count")).first()[0] == 2 * k
+    asked = spark.createDataFrame([(i % 2, i / 2) for i in range(24)], "k int, x double")
+    found = [sorted((r.k, r.query, r.place, r.distance, str(r.id), r.y) for r in nearest(
+        train, asked, ["k"], "x", ["id", "y"], k).collect()) for train in (rows, kept)]
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("lot", [7, 1 << 20])
+def test_grid_svr_on_sorted_lists(spark, monkeypatch, lot):
+    monkeypatch.setattr(models, "SVR_LOT", lot)
+    monkeypatch.setattr(models, "SVR_LISTS", 2)
+    monkeypatch.setattr(models, "SCORED_AT_ONCE", 2)
+    data = [(i, float(i % 4) if i % 3 else i / 7, float(50 + i * i % 40)) for i in range(150)] + [(200, None, 1.0)]
+    folded = models.with_folds(spark.createDataFrame(data, "id int, x double, y double"), ["id"]).repartition(3)
+    grid = [{"C": c, "epsilon": e} for c, e in ((1.0, 0.1), (0.05, 0.7), (0.5, 0.0))]
+    got = {(r.C, r.epsilon): r.mean_test_score for r in models.grid_svr(folded, "x", "y", grid, iterations=20).collect()}
+    held = np.array([(r.fold, r.x, r.y) for r in folded.collect() if r.x is not None])
+    for p in grid:
+        errs = []
+        for f in range(3):
+            train, test = held[held[:, 0] != f], held[held[:, 0] == f]
+            (_, mx, my), (_, sx, sy) = train.mean(0), train.std(0)
+            u, v = (train[:, 1] - mx) / sx, (train[:, 2] - my) / sy
+            w = b = 0.0
+            steps = []
+            for step in range(1, 21):
+                error = v - (b + w * u)
+                side = np.sign(error) * (np.abs(error) > p["epsilon"])
+                size = 0.5 / math.sqrt(step)
+                w, b = (w - size * (w / (p["C"] * len(u)) - (u * side).sum() / len(u)), b + size * side.sum() / len(u))
+                steps.append((w, b))
+            w, b = np.mean(steps[10:], axis=0)
+            line = my + sy * (b + w * (test[:, 1] - mx) / sx)
+            errs.append(np.sqrt(np.mean(((test[:, 2] - line) / test[:, 2]) ** 2)))
+        assert got[p["C"], p["epsilon"]] == pytest.approx(-np.mean(errs))
+
+
 @pytest.mark.parametrize("most", [1, 100])
 def test_tree_sums_of_odd_rows(spark, monkeypatch, most):
     monkeypatch.setattr(trees, "CELLS_HELD", most)
