@@ -20,7 +20,7 @@ from ..functions import errors, scalars
 from ..session import materialize
 from . import trees
 from .neighbours import nearest, outermost, weighted_label
-from .ranks import join_null_safe, with_rank
+from .ranks import first_share, join_null_safe
 
 # Forest grid of the tuning step.  None lets a tree grow to its end.
 FOREST_GRID = {
@@ -659,11 +659,10 @@ def prediction_sweep(
     """
     specs = list(specs)
     keyed = rows.withColumn("_order", scalars.order_key(seed, *[F.col(c) for c in unique]))
-    ranked = with_rank(keyed, [*specs, "x"], ["_order", *unique], "_rank", "_n")
-    wanted = F.col("_n") * F.lit(float(test_size))
-    both, is_test = wanted < 1, F.col("_rank") <= F.ceil(wanted)
+    dealt = first_share(keyed, [*specs, "x"], "_order", unique, test_size)
+    both = F.col("_n") * F.lit(float(test_size)) < 1
     split = materialize(
-        ranked.select(*specs, "x", "y", (both | ~is_test).alias("train"), (both | is_test).alias("test")),
+        dealt.select(*specs, "x", "y", (both | ~F.col("_first")).alias("train"), (both | F.col("_first")).alias("test")),
         "sweep-split",
     )
     train, test = split.filter("train"), split.filter("test")

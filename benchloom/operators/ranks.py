@@ -72,6 +72,45 @@ def with_rank(
     return out.drop("_at_mid", "_at_pid", "_at_start", "_at_before", "_at_total")
 
 
+def first_share(
+    df: DataFrame, keys: Sequence[str], digest: str, unique: Sequence[str], share: float
+) -> DataFrame:
+    """Adds ``_n``, the rows of the group, and ``_first``: is the row among the first ``_n * share``
+    (rounded up) in the order of ``digest`` and ``unique``?
+
+    ``digest`` is hex text that is spread evenly.  Rows are counted by group and the digest's first
+    digits, which tells for all but one value of them on which side of the border the rows lie.
+    Only the rows with that value are sorted, a 256th of them where groups are large.
+    """
+    keys = list(keys)
+    dealt = df.withColumn("_at_digits", F.substring(digest, 1, 2))
+    counts = dealt.groupBy(*keys, "_at_digits").agg(F.count(F.lit(1)).alias("_at_rows"))
+    # At most 256 rows per window group.
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_at_rows").over(group.orderBy("_at_digits"))
+    counts = counts.withColumns({"_at_upto": upto, "_n": F.sum("_at_rows").over(group)})
+    wanted = F.ceil(F.col("_n") * F.lit(float(share)))
+    before = F.col("_at_upto") - F.col("_at_rows")
+    border = (before < wanted) & (wanted <= F.col("_at_upto"))
+    borders = materialize(
+        counts.groupBy(*keys).agg(
+            F.max("_n").alias("_n"),
+            F.max(F.when(border, F.col("_at_digits"))).alias("_at_border"),
+            F.max(F.when(border, wanted - before)).alias("_at_wanted"),
+        ),
+        "borders",
+    )
+    met = join_null_safe(dealt, borders, keys, "inner")
+    # without a border (a share of 0) no row is among the first
+    near = F.coalesce(F.col("_at_digits") == F.col("_at_border"), F.lit(False))
+    sure = met.filter(~near).withColumn(
+        "_first", F.coalesce(F.col("_at_digits") < F.col("_at_border"), F.lit(False)))
+    ranked = with_rank(materialize(met.filter(near), "border-rows"), keys, [digest, *unique], "_at_rank")
+    ranked = ranked.withColumn("_first", F.col("_at_rank") <= F.col("_at_wanted"))
+    columns = [*df.columns, "_n", "_first"]
+    return sure.select(*columns).unionByName(ranked.select(*columns))
+
+
 def _percentile(p: float, value: str, interpolation: str) -> Column:
     """The percentile of a group whose rows are distinct values with their first rank."""
     exact = (F.col("_total") - 1) * F.lit(float(p))

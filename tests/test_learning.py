@@ -413,6 +413,15 @@ def test_feature_ranking_scores_like_separate_rows(spark):
         assert got[feature] == pytest.approx(np.mean(scores), abs=0.0006)
 
 
+def test_sweep_sorts_few_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "t", float(i % 2), float(1 + i % 7)) for i in range(4000)],
+                                 "id int, trial string, x double, y double")
+    written = written_rows(monkeypatch)
+    models.prediction_sweep(rows, ["trial"], ["id"]).collect()
+    assert [n for name, n in written if name == "sweep-split"] == [4000]
+    assert max(n for name, n in written if name == "ranged") < 400
+
+
 def test_grid_search_repeats_no_rows(spark, monkeypatch):
     rows = spark.createDataFrame([(i, float(i % 5), float(20 + i % 7)) for i in range(3000)], "id int, x double, y double")
     written = written_rows(monkeypatch)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from benchloom.operators.ranks import group_percentiles, with_rank
+from benchloom.operators.ranks import first_share, group_percentiles, with_rank
 from benchloom.operators.scans import running
 
 rng = random.Random(5)
@@ -24,6 +24,17 @@ def groups():
     return out
 
 
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 1.0])
+def test_first_share(spark, share):
+    many = DATA + [("big", i, 0.0) for i in range(1000, 3000)] + [("twice", 9, 1.0)] * 2 + [("one", 1, 1.0)]
+    rows = spark.createDataFrame(many, SCHEMA).withColumn("d", F.md5(F.col("id").cast("string")))
+    ranked = with_rank(rows, ["g"], ["d", "id"], "r", "n").collect()
+    want = sorted((str(r.g), r.id, r.n, r.r <= math.ceil(r.n * share)) for r in ranked)
+    got = first_share(rows, ["g"], "d", ["id"], share)
+    assert got.columns == [*rows.columns, "_n", "_first"]
+    assert sorted((str(r.g), r.id, r._n, r._first) for r in got.collect()) == want
+
+
 def test_rank_and_total(spark, limit):
     ranked = with_rank(spark.createDataFrame(DATA, SCHEMA), ["g"], [F.desc("v"), "id"], "r", "n")
     got = {(r.g, r.id): (r.r, r.n) for r in ranked.collect()}
