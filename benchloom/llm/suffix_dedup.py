@@ -13,7 +13,8 @@ share their first ``LENGTH`` bytes with another document are sorted:
   Neighbours that hash alike are verified byte by byte.
 * What comes back to a document is one bit per seed and one per window.
 
-A text is read in lots of about ``LOT`` bytes, which are the unit of the shuffles.  Lots merge
+A text is read in lots of about ``LOT`` bytes, which are the unit of the shuffles and packed, since
+every comparison sends them to what it found out.  Lots merge
 equal runs and count what is left of each seed.  A seed with ``HOT`` runs or more over all lots
 (a fixed head of a third of all documents) would keep a task busy by itself: its windows, merged
 within the lot, are dealt by the hash of all their bytes instead, and sorted and verified in
@@ -38,6 +39,7 @@ LENGTH = 50
 SEED = 20
 SEEDS = LENGTH - SEED + 1    # seeds in a window, and windows in a run at most
 LOT = 2 << 20
+LOT_LEVEL = 3                # of zstandard, for the texts of a lot
 BLOCK = 1 << 20              # positions hashed at once; below 2 ** 22
 BUCKET_BYTES = 32 << 20      # bytes of corpus per task that compares seeds or runs
 HOT = 1 << 14                # different runs of a seed that are sorted together
@@ -243,12 +245,14 @@ _LOT_SCHEMA = "lot string, ids array<bigint>, rows array<bigint>, sizes array<bi
 def _lots(size: int):
     """Whole texts of an Arrow stream packed into lots; a longer text is a lot of its own."""
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=LOT_LEVEL)
+
         def lot(ids, rows, texts):
             return pa.RecordBatch.from_arrays([
                 pa.array([f"lot{rows[0]}"]), pa.array([ids], pa.list_(pa.int64())),
                 pa.array([rows], pa.list_(pa.int64())),
                 pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                pa.array([b"".join(texts)], pa.binary())], ["lot", "ids", "rows", "sizes", "data"])
+                pa.array([squeeze.compress(b"".join(texts))], pa.binary())], ["lot", "ids", "rows", "sizes", "data"])
 
         ids, rows, texts, held = [], [], [], 0
         for part in parts:
@@ -272,7 +276,7 @@ class Lot:
         get = lambda name: part.column(name)[k].as_py()
         self.name, self.rows = get("lot"), get("rows")
         ids = get("ids")
-        self.data = np.frombuffer(get("data"), np.uint8)
+        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(get("data")), np.uint8)
         self.ends = np.cumsum(np.array(get("sizes"), np.int64))
         # a text without an id neither causes removals nor has any
         self.skip = np.array([x is None for x in ids], bool)
@@ -422,28 +426,55 @@ def window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _run_rows(buckets: int):
-    def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SENT_SCHEMA = ("hot boolean, bucket int, lot string, seeds binary, owners binary, counts binary, "
+                "places binary, body binary")
+
+
+def _sent_rows(buckets: int, parts: int):
+    """What the lots send to be compared: runs by bucket, and the windows of hot runs by part.
+
+    Both leave in one pass over the lots.
+    """
+    def batch(hot: bool, lot: str, found: list[tuple]) -> pa.RecordBatch:
+        names = ["hot", "bucket", "lot", "seeds", "owners", "counts", "places", "body"]
+        kinds = [pa.bool_(), pa.int32(), pa.string()] + [pa.binary()] * 5
+        rows = [(hot, f[0], lot, *f[1:]) for f in found]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)], names)
+
+    def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for part in parts:
+        for part in rows:
             for k in range(part.num_rows):
                 own = Compared(part, k, buckets)
                 runs, found = own.lot.runs, []
                 for b, i, j in _cuts(own.sent_bucket):
                     r = own.sent[i:j]
                     body = own.lot.data[_spread_out(runs.start[r], runs.count[r] + LENGTH - 1)]
-                    found.append((b, own.lot.name, runs.seed[r].tobytes(), own.owner[r].tobytes(),
+                    found.append((b, runs.seed[r].tobytes(), own.owner[r].tobytes(),
                                   runs.count[r].astype(np.uint8).tobytes(),
                                   runs.place[r].astype(np.uint8).tobytes(),
                                   squeeze.compress(body.tobytes())))
-                names = ["bucket", "lot", "seeds", "owners", "counts", "places", "body"]
-                kinds = [pa.int32(), pa.string()] + [pa.binary()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[n] for f in found], t) for n, t in enumerate(kinds)], names)
+                yield batch(False, own.lot.name, found)
+                if not len(own.hot_runs):
+                    continue
+                hot, found = own.hot_windows(parts), []
+                for b, i, j in _cuts(hot.part):
+                    at = hot.at[hot.sent[i:j]]
+                    body = own.lot.data[_spread_out(at, np.full(len(at), LENGTH))]
+                    found.append((b, None, hot.owner[hot.sent[i:j]].tobytes(), None, None,
+                                  squeeze.compress(body.tobytes())))
+                yield batch(True, own.lot.name, found)
 
     return emit
 
 
+def _masks(group: pa.Table) -> pa.Table:
+    """Which windows of a group of runs or hot windows stand in a document with a smaller id."""
+    found = (_window_masks if group.column("hot")[0].as_py() else _run_masks)(group)
+    return found.append_column("hot", group.column("hot"))
+
+
 def _run_masks(group: pa.Table) -> pa.Table:
     """Which windows of each run of a bucket stand in a document with a smaller id."""
     tool = zstandard.ZstdDecompressor()
@@ -496,28 +527,6 @@ def _run_masks(group: pa.Table) -> pa.Table:
                  pa.binary())], ["lot", "bucket", "masks"])
 
 
-def _hot_rows(buckets: int, parts: int):
-    def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for part in rows:
-            for k in range(part.num_rows):
-                own = Compared(part, k, buckets)
-                if not len(own.hot_runs):
-                    continue
-                hot, found = own.hot_windows(parts), []
-                for b, i, j in _cuts(hot.part):
-                    at = hot.at[hot.sent[i:j]]
-                    body = own.lot.data[_spread_out(at, np.full(len(at), LENGTH))]
-                    found.append((b, own.lot.name, hot.owner[hot.sent[i:j]].tobytes(),
-                                  squeeze.compress(body.tobytes())))
-                kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[n] for f in found], t) for n, t in enumerate(kinds)],
-                    ["part", "lot", "owners", "body"])
-
-    return emit
-
-
 def _window_masks(group: pa.Table) -> pa.Table:
     """Which windows of a part also stand in a document with a smaller id."""
     tool = zstandard.ZstdDecompressor()
@@ -545,9 +554,9 @@ def _window_masks(group: pa.Table) -> pa.Table:
         a = b
     ends = np.cumsum(number)
     return pa.Table.from_arrays([
-        group.column("lot"), group.column("part"),
+        group.column("lot"), group.column("bucket"),
         pa.array([np.packbits(late[e - n:e]).tobytes() for e, n in zip(ends, number)],
-                 pa.binary())], ["lot", "part", "late"])
+                 pa.binary())], ["lot", "bucket", "masks"])
 
 
 def _removals(buckets: int, parts: int):
@@ -571,7 +580,7 @@ def _removals(buckets: int, parts: int):
                 if len(own.hot_runs):
                     hot = own.hot_windows(parts)
                     late = np.zeros(len(hot.at), bool)
-                    back = {m["part"]: m["late"] for m in part.column("late")[k].as_py()}
+                    back = {m["bucket"]: m["masks"] for m in part.column("late")[k].as_py()}
                     for b, i, j in _cuts(hot.part):
                         late[hot.sent[i:j]] = np.unpackbits(
                             np.frombuffer(back[b], np.uint8), count=j - i)
@@ -621,7 +630,8 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                        F.monotonically_increasing_id().alias("row"))
     # one row group per few lots, so that a later task is given few of them
     lots = store(rows.mapInArrow(_lots(lot_bytes), _LOT_SCHEMA), "lots", row_group_mb=8)
-    total = lots.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
+    held = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    total = lots.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_BYTES))
     seeds = lots.mapInArrow(_seed_rows(buckets), "bucket int, lot string, seeds binary, twice binary, "
                            "several binary, numbers binary")
@@ -631,22 +641,11 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     parts = max(1, -(-hot_runs * SEEDS * LENGTH // BUCKET_BYTES))
     told = lots.join(spread(bits.groupBy("lot").agg(F.collect_list(
         F.struct("bucket", "shared", "hot")).alias("bits"))), "lot", "left")
-    masks = store(
-        told.mapInArrow(_run_rows(buckets), "bucket int, lot string, seeds binary, owners binary, "
-                        "counts binary, places binary, body binary")
-        .groupBy("bucket").applyInArrow(_run_masks, "lot string, bucket int, masks binary"),
-        "masks")
-    told = told.join(masks.groupBy("lot").agg(F.collect_list(
-        F.struct("bucket", "masks")).alias("masks")), "lot", "left")
-    if hot_runs:
-        windows = told.mapInArrow(_hot_rows(buckets, parts),
-                                  "part int, lot string, owners binary, body binary")
-        late = store(windows.groupBy("part").applyInArrow(
-            _window_masks, "lot string, part int, late binary"), "late")
-        told = told.join(late.groupBy("lot").agg(F.collect_list(
-            F.struct("part", "late")).alias("late")), "lot", "left")
-    else:
-        told = told.withColumn("late", F.lit(None).cast("array<struct<part:int,late:binary>>"))
+    masks = store(told.mapInArrow(_sent_rows(buckets, parts), _SENT_SCHEMA).groupBy("hot", "bucket")
+                  .applyInArrow(_masks, "lot string, bucket int, masks binary, hot boolean"), "masks")
+    of = lambda kind: F.collect_list(F.when(kind, F.struct("bucket", "masks")))
+    told = told.join(masks.groupBy("lot").agg(
+        of(~F.col("hot")).alias("masks"), of(F.col("hot")).alias("late")), "lot", "left")
     out = told.mapInArrow(
         _removals(buckets, parts), "row bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
         "kept_sha256 string, kept binary, id bigint")

@@ -330,6 +330,29 @@ def test_suffix_dedup_splits_a_seed_with_many_runs(spark, monkeypatch):
     assert Counter(tuple(r) for r in got.collect()) == brute_passages(values)
 
 
+def test_suffix_dedup_sends_packed_lots_once(spark, monkeypatch, tmp_path):
+    words = "the cat sat on a mat by the old red barn and some more of it".split()
+    draw = random.Random(9)
+    text = " ".join(draw.choice(words) for _ in range(4000))
+    lot = next(suffix_dedup._lots(1000)(iter([pa.RecordBatch.from_pylist([{"id": 1, "row": 1, "text": text}])])))
+    assert len(lot.column("data")[0].as_py()) < len(text) / 2
+    assert suffix_dedup.Lot(lot, 0).data.tobytes() == text.encode()
+    seen = spark.sparkContext.accumulator(0)
+    compared = suffix_dedup.Compared
+
+    def counted(part, k, buckets):
+        seen.add(1)
+        return compared(part, k, buckets)
+
+    monkeypatch.setattr(suffix_dedup, "Compared", counted)
+    noise = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    head = noise(40)
+    values = [(k, noise(9) + head + noise(60)) for k in range(120)]
+    got = suffix_dedup.suffix_dedup(docs_of(spark, values).coalesce(1), hot=20, lot_bytes=1 << 20)
+    assert len(got.collect()) == 120
+    assert seen.value == 2  # to send what is compared, hot or not, and to remove
+
+
 def test_suffix_sort_orders_like_python():
     draw = random.Random(6)
     data = np.array([draw.choice(b"ab") for _ in range(600)], np.uint8)
