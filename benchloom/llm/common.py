@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -12,18 +13,44 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+FILE_ROWS = 250_000    # narrow rows of a stored step in one task and file
+LEAST_TASKS = 12       # below this a step is not narrowed
+
+_KEPT: dict[Hashable, Any] = {}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def store(df: DataFrame, name: str, row_group_mb: int = 128) -> DataFrame:
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """``make()``, kept while a Python worker lives or until it keeps something else.
+
+    Workers are used again by later stages, so what several operators keep would add up.
+    """
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    _KEPT.clear()
+
+
+def store(df: DataFrame, name: str, row_group_mb: int = 128,
+          rows: int | None = None) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors, makes joins on both sides of it
     splittable by adaptive execution, and lets several steps read one costly result.
+
+    ``rows`` is about how many narrow rows come out at most.  With it the last step runs in
+    as many tasks as they need, so that a small table is not a file per shuffle partition.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, -(-rows // FILE_ROWS)))
     path = scratch_path(spark, name)
     (df.write.option("compression", "zstd")
        .option("parquet.block.size", str(row_group_mb << 20)).parquet(path))
@@ -79,18 +106,21 @@ def batches(rows: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator
             start = stop
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60,
+               rows: int | None = None) -> DataFrame:
     """Connected components of undirected edges, as rows ``(node, component)``.
 
     ``component`` is the smallest node reachable.  Each round joins every node to the
     smallest neighbour (first for larger, then for smaller neighbours) until the edges
     are stars around the smallest nodes.  Nodes of any degree are safe: the minimum is a
     map-side aggregate, and both join sides are plain exchanges that adaptive execution
-    splits.  Loops ``(x, x)`` are allowed and ignored.  Edges are never collected.
+    splits.  Loops ``(x, x)`` are allowed and ignored.  Edges are never collected.  ``rows``
+    is about how many edges there are at most, if that is known.
     """
     edges = store(
         edges.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges", rows=rows)
+    count = edges.count()
     seen = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -98,7 +128,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
                      .select("u", F.least("u", "m").alias("m")))
         large = (both.where("v > u").join(low, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = store(large.where("u != v").distinct(), "edges")
+        large = store(large.where("u != v").distinct(), "edges", rows=count)
         discard(edges)
         low = spread(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (large.join(low, "u")
@@ -106,13 +136,13 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
                      F.struct("u", F.col("m").alias("v")),
                      F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.*"))
-        edges = store(small.where("u != v").distinct(), "edges")
+        edges = store(small.where("u != v").distinct(), "edges", rows=count)
         discard(large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003),
                         F.count_distinct("u")).first()
         if tuple(now) == seen and now[0] == now[2]:
             break
-        seen = tuple(now)
+        seen, count = tuple(now), now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -233,8 +233,10 @@ def _classes(docs: DataFrame, threshold: float, words: int, rows: int, recall: f
         "id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"),
         (F.col("id").isNull() | ~F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False)))
         .alias("alone")), "members")
+    texts = members.count()
     classes = store(members.where("NOT alone").groupBy("digest")
-                    .agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+                    .agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes",
+                    rows=texts)
     sketched = store(
         base.join(classes.select(F.col("rep").alias("id")).distinct().hint("merge"), "id")
         .select(F.col("id").alias("rep"), "text")
@@ -246,10 +248,10 @@ def _classes(docs: DataFrame, threshold: float, words: int, rows: int, recall: f
                   .where("top < last").drop("last"))
     ties = (banded.join(tops.hint("merge"), ["band", "value"]).where("rep <> top")
             .select("rep", "top").distinct())
-    clusters = (components(ties, "rep", "top").withColumnRenamed("node", "rep")
+    clusters = (components(ties, "rep", "top", rows=4 * texts).withColumnRenamed("node", "rep")
                 .join(sketched.select("rep", "size"), "rep")
                 .join(classes.select("rep", "copies"), "rep"))
-    clusters = store(clusters, "clusters")
+    clusters = store(clusters, "clusters", rows=texts)
     # a part has at most BLOCK_BYTES of text and 2,048 texts, about
     chunks = spread(clusters.groupBy("component").agg(
         F.ceil(F.sum(F.col("size") + BLOCK_BYTES // 2048) / BLOCK_BYTES).cast("int")
@@ -260,11 +262,12 @@ def _classes(docs: DataFrame, threshold: float, words: int, rows: int, recall: f
     found = store(inside.groupBy("component", "lo", "hi").applyInPandas(
         lambda g: _links_of(g, threshold, words), "rep bigint, links bigint, near bigint"),
         "links")
-    near = components(found, "rep", "near")
+    near = components(found, "rep", "near", rows=found.count())
     counted = (found.groupBy("rep").agg(F.sum("links").alias("links"))
                .join(near, F.col("rep") == F.col("node")).select("rep", "links", "component"))
     per_class = store(
         classes.join(counted, "rep", "left")
         .select("digest", F.coalesce("component", "rep").alias("class_id"),
-                "copies", F.coalesce("links", F.lit(0)).alias("links")), "linked")
+                "copies", F.coalesce("links", F.lit(0)).alias("links")), "linked",
+        rows=texts)
     return members, per_class

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches
+from .common import batches, kept
 from .tokens import BATCH_BYTES, SPACE, Memo
 
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -295,15 +295,9 @@ def decode_ids(model: PieceModel, ids: list[int]) -> str:
     return text[1:] if model.prefix and text[:1] == " " else text
 
 
-_OPEN: dict[str, Encoder] = {}
-
-
 def open_encoder(path: str) -> Encoder:
     """The encoder of a model file, kept while a Python worker lives."""
-    if path not in _OPEN:
-        _OPEN.clear()
-        _OPEN[path] = Encoder(PieceModel(path))
-    return _OPEN[path]
+    return kept(("pieces", path), lambda: Encoder(PieceModel(path)))
 
 
 def _lists(data: list[bytes]) -> pa.Array:

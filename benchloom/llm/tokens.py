@@ -8,14 +8,13 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from itertools import chain, filterfalse
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import batches
+from .common import batches, kept
 
 MEMO_WORDS = 350_000      # forgotten all at once beyond this, so memory is bounded
 BATCH_BYTES = 1 << 20
@@ -142,11 +141,13 @@ class PieceWords:
             words, map(len, self.model.encode(words, num_threads=1)))]
 
 
-@lru_cache(maxsize=1)
 def open_words(path: str, result: str) -> tuple[ByteLevelWords | PieceWords, Memo]:
     """The words of a tokenizer file and their memo, kept while a Python worker lives."""
-    words = PieceWords(path) if path.endswith(".model") else ByteLevelWords(path)
-    return words, Memo(getattr(words, result), words.memo_words)
+    def make() -> tuple[ByteLevelWords | PieceWords, Memo]:
+        words = PieceWords(path) if path.endswith(".model") else ByteLevelWords(path)
+        return words, Memo(getattr(words, result), words.memo_words)
+
+    return kept(("words", path, result), make)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_column: str = "doc_id",

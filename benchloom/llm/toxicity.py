@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, store
+from .common import batches, forget, store
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
@@ -20,7 +19,7 @@ MAX_TRAIN = 16_000      # labelled rows the classifier is fitted on, at most
 # on the small check table it rejects 48 of 3,585 clean documents, this selection none.
 FEATURES = 4096
 SEGMENT = 1 << 18       # characters handled at once
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18   # counting takes some 80 bytes of memory for each
 FIT_ROWS = 1024         # fitted rows handled at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -89,13 +88,33 @@ class Model:
         """The score of every whole text as a column; null counts as empty."""
         model = self
 
-        @F.pandas_udf("double")
-        def toxicity(texts: pd.Series) -> pd.Series:
-            return pd.Series(model.scores(texts.tolist()))
+        @F.arrow_udf("double")
+        def toxicity(texts: pa.Array) -> pa.Array:
+            forget()
+            rows = iter([pa.RecordBatch.from_arrays([texts], ["text"])])
+            scores = [model.scores(part.column("text").to_pylist())
+                      for part in batches(rows, "text", BATCH_BYTES)]
+            return pa.array(np.concatenate([np.zeros(0), *scores]))
 
         return toxicity(text)
 
 
+def count_grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of label 0 and 1 that hold each bucket; bucket :data:`BUCKETS` counts all."""
+    forget()
+    sums = np.zeros((2, BUCKETS + 1), np.int64)
+    every = np.ones(BUCKETS, bool)
+    for part in batches(parts, "text", BATCH_BYTES):
+        label = part.column("label").to_numpy()
+        row, bucket = present(part.column("text").to_pylist(), every)
+        for k in (0, 1):
+            sums[k, :BUCKETS] += np.bincount(bucket[label[row] == k], minlength=BUCKETS)
+            sums[k, BUCKETS] += (label == k).sum()
+    at = np.flatnonzero(sums.sum(0))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], ["bucket", "n", "p"])
+
+
 def _fit_linear(lists: list[np.ndarray], ratio: np.ndarray, label: np.ndarray,
                 steps: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression by full-batch Adam on the ratio-scaled binary features.
@@ -143,20 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
                       F.max("label").cast("bigint").alias("label"))
                  .select("text", "label"), "labelled")
 
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS + 1), np.int64)
-        every = np.ones(BUCKETS, bool)
-        for part in batches(parts, "text", BATCH_BYTES):
-            label = part.column("label").to_numpy()
-            row, bucket = present(part.column("text").to_pylist(), every)
-            for k in (0, 1):
-                sums[k, :BUCKETS] += np.bincount(bucket[label[row] == k], minlength=BUCKETS)
-                sums[k, BUCKETS] += (label == k).sum()  # the last row counts documents
-        at = np.flatnonzero(sums.sum(0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], ["bucket", "n", "p"])
-
-    counts = (rows.mapInArrow(count, "bucket bigint, n bigint, p bigint")
+    counts = (rows.mapInArrow(count_grams, "bucket bigint, n bigint, p bigint")
               .groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).toPandas())
     n, p = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     n[counts["bucket"]], p[counts["bucket"]] = counts["n"], counts["p"]
@@ -174,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     place[chosen] = np.arange(len(chosen))
 
     def features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in batches(parts, "text", BATCH_BYTES):
             row, bucket = present(part.column("text").to_pylist(), place >= 0)
             ends = np.searchsorted(row, np.arange(part.num_rows + 1))

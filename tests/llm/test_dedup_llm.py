@@ -45,6 +45,21 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(empty, "a", "b").count() == 0
 
 
+def test_small_stored_steps_are_not_a_file_per_partition(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",
+                                           "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for key, value in zip(kept, ("40", "false")):
+            spark.conf.set(key, value)
+        links = spark.createDataFrame([(i, i % 7) for i in range(7, 600)], "a bigint, b bigint")
+        found = components(links, "a", "b")
+        assert found.count() == 600 and {r.component for r in found.collect()} == set(range(7))
+        assert len(found.inputFiles()) <= 12
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+
+
 # ---- exact ------------------------------------------------------------------------------
 
 VALUES = [(1, "x"), (2, "x"), (9, "x"), (3, ""), (4, None), (5, "y"), (6, "Y"), (7, "z" * 100_000),

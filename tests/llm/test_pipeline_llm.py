@@ -2,19 +2,21 @@
 
 import pathlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from benchloom.llm import mixing, toxicity
+from benchloom.llm import common, mixing, pieces, tokens, toxicity
 from benchloom.llm.common import store
 from tools.check_oracle import normal
 
@@ -109,6 +111,28 @@ def test_toxicity_equals_brute_force(spark, monkeypatch):
     assert model.scores(texts) == pytest.approx([score(t) for t in texts])
 
 
+def test_counting_and_kept_memos_are_bounded():
+    draw = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    texts = ["".join(draw.choices(letters, k=3000)) for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1] * 250), pa.array(texts)], ["label", "text"])
+    pieces.open_encoder(public_tokenizers.path("piece_bpe_32k.model"))
+    tokens.open_words(public_tokenizers.path("piece_bpe_32k.model"), "lengths")
+    assert len(common._KEPT) == 1
+    tracemalloc.start()
+    try:
+        counts, = toxicity.count_grams(iter([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+    assert not common._KEPT
+    grams = [set(toxicity.present([t], np.ones(toxicity.BUCKETS, bool))[1].tolist()) for t in texts]
+    whole = Counter((b, k % 2) for k, own in enumerate(grams) for b in own)
+    assert counts.to_pylist() == [{"bucket": b, "n": whole[b, 0], "p": whole[b, 1]}
+                                  for b in sorted({b for b, _ in whole})] + [
+        {"bucket": toxicity.BUCKETS, "n": 250, "p": 250}]
+
+
 def test_repeated_ids_fit_one_row_each(spark, monkeypatch):
     rows, labels = toxic_rows(60, 4)
     gathered = []
