@@ -25,10 +25,13 @@ def relative_error(y: Column, pred: Column) -> Column:
     return F.when(error > INFINITE_ABOVE, _infinite()).otherwise(error)
 
 
-def rmsre(y: Column, pred: Column) -> Column:
-    """Root mean squared relative error (aggregate)."""
+def rmsre(y: Column, pred: Column, copies: Column | None = None) -> Column:
+    """Root mean squared relative error (aggregate); ``copies`` counts equal rows."""
     error = signed_relative_error(y, pred)
-    return F.sqrt(F.avg(error * error))
+    square = error * error
+    if copies is None:
+        return F.sqrt(F.avg(square))
+    return F.sqrt(F.try_divide(F.sum(square * copies), F.sum(F.when(square.isNotNull(), copies))))
 
 
 def rmsre_capped(y: Column, pred: Column) -> Column:

@@ -28,6 +28,12 @@ ITERATED_ROW_GROUP_MB = 8
 # Labels of a part in one row of the table that every step reads, and pools in one row that meets it.
 CHUNK = 256
 BLOCK = 64
+# Labels are met in up to 3 * CELLS cells; a cell of more than NODES distinct labels stands for
+# them by sums at NODES points (see _certain).
+CELLS = 1024
+NODES = 24
+RHO = 4.0             # sum of the half axes of the ellipse around a cell, in half widths
+NOTHING = -40.0       # log of a share that no sum shows
 
 
 def leaf_vector(leaf: Column | str = "leaf") -> Column:
@@ -46,20 +52,23 @@ def with_leaves(model, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def forest_leaves(train: DataFrame, test: DataFrame, x: Sequence[str], y: str, unique: Sequence[str],
-                  n_trees: int = 100, depth: int = 2, seed: str = "42") -> list[DataFrame]:
+                  n_trees: int = 100, depth: int = 2, seed: str = "42",
+                  frames: Sequence[DataFrame] | None = None) -> list[DataFrame]:
     """``train`` and ``test`` with ``leaves``, of a bagged forest fitted on ``train``.
 
     All trees grow in the same jobs, from one cell per tree and distinct feature vector.
+    ``frames`` get leaves instead of ``train`` and ``test``, such as their distinct vectors.
     """
     x = list(x)
+    frames = frames or (train, test)
     sums = trees.tree_sums(train, x, y, unique, n_trees, seed).filter("bootstrap")
-    asked = train.select(*x).unionByName(test.select(*x))
+    asked = reduce(DataFrame.unionByName, [f.select(*x) for f in frames])
     cells = trees.with_asked(sums, asked, x, n_trees).filter("bootstrap")
     _, placed = trees.grow(cells, ["tree"], x, depth)
     reached = placed.groupBy(*x).agg(F.array_sort(F.collect_list(F.struct("tree", "node"))).alias("_at"))
     leaves = materialize(reached.select(*x, F.transform("_at", lambda c: c["node"].cast("int")).alias("leaves")),
                          "leaves")
-    return [part.join(leaves, x) for part in (train, test)]
+    return [part.join(leaves, x) for part in frames]
 
 
 def leaf_samples(train: DataFrame, label: str = "label") -> DataFrame:
@@ -78,7 +87,8 @@ def number_leaves(*frames: DataFrame) -> list[DataFrame]:
     return [f.join(numbers, "leaves") for f in frames]
 
 
-def pool_parts(test: DataFrame, train: DataFrame, label: str = "label") -> tuple[DataFrame, DataFrame]:
+def pool_parts(test: DataFrame, train: DataFrame, label: str = "label", copies: str | None = None,
+               vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The label pool of each leaf vector of ``test``, in parts that pools share.
 
     Returns ``(part, label, copies)``, the training labels of each leaf vector, and the links
@@ -87,20 +97,23 @@ def pool_parts(test: DataFrame, train: DataFrame, label: str = "label") -> tuple
     it twice.  Frames come from :func:`number_leaves`.
 
     Leaves are matched between distinct leaf vectors, not between rows.  The labels of the
-    pools are the labels of the parts times the links: nothing holds all of them.
+    pools are the labels of the parts times the links: nothing holds all of them.  ``copies``
+    names the column that counts equal rows of ``train``.  ``vectors``, a frame with the pools and
+    leaves of ``train``, spares a pass over its rows.
     """
+    rows = F.lit(1) if copies is None else F.col(copies)
     def cells(df, name):
         vectors = df.select(F.col("pool").alias(name), "leaves").distinct()
         return vectors.select(name, F.posexplode("leaves").alias("tree", "leaf"))
 
     shared = (
         cells(test, "pool")
-        .join(cells(train, "part"), ["tree", "leaf"])
+        .join(cells(train if vectors is None else vectors, "part"), ["tree", "leaf"])
         .groupBy("pool", "part")
         .agg(F.count(F.lit(1)).alias("_trees"))
     )
     labels = train.groupBy(F.col("pool").alias("part"), F.col(label).alias("label")).agg(
-        F.count(F.lit(1)).alias("copies")
+        F.sum(rows).cast("bigint").alias("copies")
     )
     labels = materialize(labels, "part-labels")
     # Pool sizes come from the small tables.
@@ -146,6 +159,236 @@ def fit_mixtures(
     return fit_pools(pools.select("part", "label", "copies"), links, keys, k, iterations, k_max, tolerance)
 
 
+def _edges(low: float | None, high: float | None, quantiles: Sequence[float] | None) -> np.ndarray:
+    """Where cells begin: at the quantiles, at equal steps between the outermost of them, and in
+    steps that widen evenly from there to the least and the greatest label."""
+    if low is None:
+        return np.zeros(0)
+    first, last = quantiles[0], quantiles[-1]
+    step, edges = (last - first) / CELLS, [quantiles, np.linspace(first, last, CELLS + 1)]
+    for end, out in ((first, low - first), (last, high - last)):
+        if abs(out) > step > 0:
+            edges.append(end + math.copysign(1, out) * np.geomspace(step, abs(out), CELLS // 2))
+    return np.unique(np.concatenate(edges))
+
+
+def _cells_of(labels: DataFrame, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every cell between ``edges``: its points, how many they are and half the cell's width.
+
+    ``labels`` are distinct.  The points of a cell of few labels are the labels and its width is
+    0; others get the Chebyshev points between their least and greatest label.
+    """
+    size = len(edges) + 1
+
+    def seen(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, low, high = np.zeros(size, np.int64), np.full(size, np.inf), np.full(size, -np.inf)
+        few, few_at = np.zeros(0), np.zeros(0, np.int64)
+        for part in parts:
+            x = part.column(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(edges, x, side="right")
+            counts += np.bincount(at, minlength=size)
+            np.minimum.at(low, at, x)
+            np.maximum.at(high, at, x)
+            few, few_at = np.r_[few, x], np.r_[few_at, at]
+            keep = counts[few_at] <= NODES
+            few, few_at = few[keep], few_at[keep]
+        held = np.flatnonzero(counts)
+        order = np.argsort(few_at, kind="stable")
+        ends = np.searchsorted(few_at[order], np.r_[held, size])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(held), pa.array(counts[held]), pa.array(low[held]), pa.array(high[held]),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(few[order]))],
+            ["cell", "n", "low", "high", "few"])
+
+    # At most NODES labels of a cell, or none, reach the driver.
+    cells = labels.mapInArrow(seen, "cell bigint, n bigint, low double, high double, few array<double>")
+    cells = cells.groupBy("cell").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.flatten(F.collect_list("few")).alias("few"))
+    cells = cells.withColumn("few", F.when(F.col("n") <= NODES, F.col("few"))).collect()
+    points, filled, half = np.zeros((size, NODES)), np.zeros(size, np.int64), np.zeros(size)
+    turns = np.cos((2 * np.arange(NODES) + 1) * math.pi / (2 * NODES))
+    for c in cells:
+        if c.few is not None:
+            points[c.cell], filled[c.cell] = c.few[0], len(c.few)
+            points[c.cell, :len(c.few)] = sorted(c.few)
+        else:
+            half[c.cell] = (c.high - c.low) / 2
+            points[c.cell], filled[c.cell] = (c.low + c.high) / 2 + half[c.cell] * turns, NODES
+    return points, filled, half
+
+
+def _cell_sums(edges: np.ndarray, points: np.ndarray, filled: np.ndarray, half: np.ndarray):
+    """Weights of the points of each (part, cell) from rows ``_part, label, copies`` in that order.
+
+    A label counts at its own point, or at all points of its cell by Lagrange's polynomials:
+    the sum of a polynomial of degree below ``NODES`` over the points is its sum over the labels.
+    """
+    turn = (2 * np.arange(NODES) + 1) * math.pi / (2 * NODES)
+    spots, signs = np.cos(turn), np.sin(turn) * (-1.0) ** np.arange(NODES)
+
+    def sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if not part.num_rows:
+                continue
+            ids, x, n = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_part", "label", "copies"))
+            at = np.where(np.isfinite(x), np.searchsorted(edges, x, side="right"), -1)
+            with np.errstate(all="ignore"):
+                wide = half[at] > 0
+                u = np.where(wide, (x - (points[at, 0] + points[at, -1]) / 2) / half[at], 0.0)
+                share = signs / (u[:, None] - spots)
+                share /= share.sum(1, keepdims=True)
+            on = (u[:, None] == spots) | (~wide[:, None] & (x[:, None] == points[at]) & (
+                np.arange(NODES) < filled[at, None]))
+            exact = on.any(1) | ~wide
+            share[exact] = on[exact]
+            starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (at[1:] != at[:-1])])
+            total = np.add.reduceat(share * n[:, None], starts, axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[starts]), pa.array(at[starts]), *map(pa.array, total.T)],
+                ["_part", "_cell", *[f"_n{i}" for i in range(NODES)]])
+
+    return sums
+
+
+def _certain(centre: np.ndarray, half: np.ndarray, w: np.ndarray, m: np.ndarray, v: np.ndarray) -> bool:
+    """Do sums over Chebyshev points equal the sums over the labels, to rounding, in all cells?
+
+    A share is a quotient of sums of exponentials.  Where, on the ellipse around a cell, no
+    term that matters is turned by more than a sixth of pi against the greatest one, the
+    denominator has no zero and the share is below 2, so that its interpolation at ``NODES``
+    points is wrong by less than ``8 * RHO ** (1 - NODES) / (RHO - 1)`` (4e-14).
+    """
+    across, up = half * (RHO + 1 / RHO) / 2, half * (RHO - 1 / RHO) / 2
+    m, v = m[:, None], v[:, None]
+    offset = np.log(w)[:, None] - 0.5 * np.log(2 * math.pi * v)
+    low, mid, high = (offset - 0.5 * (x - m) ** 2 / v for x in (centre - across, centre, centre + across))
+    best, each = mid.argmax(0), np.arange(len(centre))
+    bend = 1 / v - (1 / v)[best, 0]
+    least = np.maximum(low - low[best, each], high - high[best, each])
+    least = least + np.maximum(bend, 0) * (across ** 2 + up ** 2) / 2
+    slope = [(x - m) / v for x in (centre - across, centre + across)]
+    turn = np.maximum(*(abs(g - g[best, each]) for g in slope)) * up
+    return bool(((least < NOTHING) | (turn <= math.pi / 6)).all())
+
+
+def _settled(z: np.ndarray, weight: np.ndarray, centre: np.ndarray, half: np.ndarray, n: float, floor: float,
+             k: int, count: int, iterations: int, tolerance: float) -> tuple:
+    """Steps of one pool: ``step, w, m, v, fit, gain`` and whether it ended.
+
+    It stops before a step in which the points of a cell would not do for its labels.
+    """
+    w, m, v = np.zeros(count), (2.0 * np.arange(count) - k + 1) / k, np.ones(count)
+    w[:k] = 1 / k
+    fit = gain = None
+    for step in range(1, iterations + 1):
+        live = np.flatnonzero(w > 0)
+        fine = len(live) and np.isfinite(v[live]).all() and np.isfinite(m[live]).all()
+        if not fine or (len(half) and not _certain(centre, half, w[live], m[live], v[live])):
+            return step - 1, w, m, v, fit, gain, False
+        gap = z - m[live, None]
+        square = gap * gap
+        log = (np.log(w[live]) - 0.5 * np.log(2 * math.pi * v[live]))[:, None] - 0.5 * (square / v[live, None])
+        top = log.max(0)
+        share = np.exp(log - top)
+        whole = share.sum(0)
+        share /= whole
+        mass, first, second = share @ weight, (share * z) @ weight, (share * square) @ weight
+        old, before = m, fit
+        w, m, v = np.zeros(count), np.zeros(count), np.ones(count)
+        for i, j in enumerate(live):
+            w[j] = mass[i] / n
+            if mass[i]:
+                m[j] = first[i] / mass[i]
+                # deviations from the last mean: squares of far labels would cancel
+                v[j] = max(second[i] / mass[i] - (m[j] - old[j]) ** 2, 0.0)
+        v += floor
+        fit = float((top + np.log(whole)) @ weight) / n
+        gain = None if before is None else abs(fit - before)
+        if step == iterations or (gain is not None and gain < tolerance):
+            return step, w, m, v, fit, gain, True
+    return 0, w, m, v, fit, gain, False
+
+
+def _pool_steps(points: np.ndarray, filled: np.ndarray, half: np.ndarray, count: int, iterations: int,
+                tolerance: float):
+    """:func:`_settled` of every pool from its cells, rows in the order of ``_id``."""
+    names = [f"_{p}{j}" for j in range(count) for p in "wmv"]
+    inside = np.arange(NODES)
+
+    def one(number: int, cell: np.ndarray, weight: np.ndarray, n, floor, mu, sd, k) -> list:
+        plain = (cell >= 0).all() and math.isfinite(mu) and math.isfinite(sd)
+        most = iterations if plain else 0
+        z, wide = (points[cell] - mu) / sd, half[cell] > 0
+        use = inside < filled[cell, None]
+        centre = (z[wide, 0] + z[wide, -1]) / 2
+        step, w, m, v, fit, gain, ends = _settled(
+            z[use], weight[use], centre, half[cell][wide] / sd, n, floor, int(k), count, most, tolerance)
+        return [number, *np.stack([w, m, v]).T.ravel().tolist(), fit, gain, step, ends]
+
+    def steps(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), *[pa.float64()] * (len(names) + 2), pa.int32(), pa.bool_()]
+        out, held = [], []
+
+        def ended():
+            cell, weight, facts = (np.concatenate(c) for c in zip(*[h[1:] for h in held]))
+            out.append(one(held[0][0], cell, weight, *facts[0].tolist()))
+
+        for part in parts:
+            column = lambda c: part.column(c).to_numpy(zero_copy_only=False)
+            if not part.num_rows:
+                continue
+            ids = column("_id")
+            weight = np.stack([column(f"_n{i}") for i in range(NODES)], 1)
+            facts = np.stack([column(c).astype(float) for c in ("_n", "_floor", "_mu", "_sd", "_k")], 1)
+            cell = column("_cell")
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            for a, b in zip(starts, [*starts[1:], len(ids)]):
+                if held and held[0][0] != ids[a]:
+                    ended()
+                    held = []
+                held.append((int(ids[a]), cell[a:b], weight[a:b], facts[a:b]))
+        if held:
+            ended()
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), types)], ["_id", *names, "_fit", "_gain", "_step", "_ends"])
+
+    kinds = ", ".join(f"{n} double" for n in [*names, "_fit", "_gain"])
+    return steps, f"_id bigint, {kinds}, _step int, _ends boolean"
+
+
+def _fit_cells(rows: DataFrame, parts: DataFrame, links: DataFrame, scale: DataFrame, count: int,
+               iterations: int, tolerance: float) -> DataFrame:
+    """Pools fitted from cells of their labels: ``_id``, parameters, ``_fit, _gain, _step, _ends``.
+
+    Pools whose components become too narrow for the cells come back with ``_ends`` false and
+    the parameters of their last step.
+    """
+    spark = rows.sparkSession
+    cores = 4 * spark.sparkContext.defaultParallelism
+    label = F.col("label").cast("double").alias("label")
+    known = rows.filter(F.col("label").isNotNull()).select("part", label, F.col("copies").cast("double").alias("copies"))
+    finite = known.filter(F.abs("label") < F.lit(float("inf"))).select("label")
+    ends = finite.agg(F.min("label"), F.max("label"),
+                      F.percentile_approx("label", [i / CELLS for i in range(1, CELLS)])).first()
+    edges = _edges(*ends)
+    grid = _cells_of(finite.distinct(), edges)
+    wide = ", ".join(f"_n{i} double" for i in range(NODES))
+    cells = (
+        known.join(parts.select("part", "_part"), "part").select("_part", "label", "copies")
+        .repartitionByRange("_part", "label").sortWithinPartitions("_part", "label")
+        .mapInArrow(_cell_sums(edges, *grid), f"_part bigint, _cell bigint, {wide}")
+        # pools of a cell are added up where the cell is
+        .repartition(cores, "_cell")
+    )
+    sums = cells.join(links.select("_id", "_part", "weight"), "_part").groupBy("_id", "_cell").agg(
+        *[F.sum(F.col(f"_n{i}") * F.col("weight")).alias(f"_n{i}") for i in range(NODES)])
+    facts = scale.select("_id", "_n", (VARIANCE_FLOOR / (F.col("_sd") * F.col("_sd"))).alias("_floor"), "_mu", "_sd", "_k")
+    fed = sums.join(facts, "_id").repartition(cores, "_id").sortWithinPartitions("_id", "_cell")
+    return materialize(fed.mapInArrow(*_pool_steps(*grid, count, iterations, tolerance)), "pool-steps")
+
+
 def _step_sums(count: int):
     """Sums of one step: every row's labels under every pool of the row, added up by pool."""
     names = [f"_{p}{j}" for j in range(count) for p in "wmv"]
@@ -203,14 +446,19 @@ def fit_pools(
     the labels of its parts, ``weight`` times.  ``k`` is a number or the name of a column of
     ``links`` (then give ``k_max``); a pool of n labels gets min(k, n) components.
 
-    Expectation maximisation runs on all pools at once.  The labels are written once, in rows of
-    about ``CHUNK``; a step joins them with the parameters of the pools of their part and sums
-    responsibilities per pool, so parts and pools may have any number of labels.  Labels are
-    standardised per pool, and components start at evenly spaced deviations from the mean.  A
-    pool is settled when a step raised the mean log-likelihood of its labels by less than
-    ``tolerance``; settled pools are set aside, and only the others enter the next step.  A pool
-    that is not settled after ``iterations`` is returned with ``converged`` false and its last
-    ``gain``.
+    Expectation maximisation runs on all pools at once.  Labels are standardised per pool, and
+    components start at evenly spaced deviations from the mean.  A pool is settled when a step
+    raised the mean log-likelihood of its labels by less than ``tolerance``.  A pool that is not
+    settled after ``iterations`` is returned with ``converged`` false and its last ``gain``.
+
+    Labels are reduced once to sums per part and cell, and a task takes a pool through all its
+    steps on the sums of its cells, whose number does not grow with the labels.  They give the
+    sums over the labels to rounding, as long as no component is narrow against a cell of many
+    labels (:func:`_certain`, tested before each step).  Pools that come to such a step go on over
+    all their labels: these are written once, in rows of about ``CHUNK``; a step joins them with
+    the parameters of the pools of their part and sums responsibilities per pool, so parts and
+    pools may have any number of labels.  Settled pools are set aside, and only the others enter
+    the next step.
     """
     keys = list(keys)
     k_max = k if isinstance(k, int) else k_max
@@ -221,7 +469,7 @@ def fit_pools(
     parts = materialize(rows.groupBy("part").agg(
         F.sum(copies).alias("_all"), F.sum(known).alias("_known"), F.sum(label * copies).alias("_total"),
         F.try_divide(F.sum(label * copies), F.sum(known)).alias("_mean"), F.count(label).alias("_labels"),
-    ), "pool-parts")
+    ).withColumn("_part", F.monotonically_increasing_id()), "pool-parts")
     off = label - F.col("_mean")
     apart = rows.join(parts, "part").groupBy("part").agg(F.sum(off * off * copies).alias("_square"))
     linked = links.join(parts, "part").join(apart, "part")
@@ -242,35 +490,35 @@ def fit_pools(
         }
     )
     scale = materialize(scale, "pool-scale")
-    dealt = F.pmod(F.xxhash64(label), F.ceil(F.col("_labels") / CHUNK))
-    cells = F.collect_list(F.struct(label.cast("double").alias("label"), copies.cast("double").alias("copies")))
-    chunks = materialize(
-        rows.filter(label.isNotNull()).join(parts.select("part", "_labels"), "part")
-        .groupBy("part", dealt.alias("_chunk")).agg(cells.alias("cells"))
-        .select("part", F.col("cells.label").alias("labels"), F.col("cells.copies").alias("copies"))
-        # the work is in the steps: a table of few megabytes still takes every core
-        .repartition(4 * rows.sparkSession.sparkContext.defaultParallelism),
-        "pool-chunks", ITERATED_ROW_GROUP_MB)
     many = links.groupBy("part").agg(F.count(F.lit(1)).alias("_pools"))
-    links = materialize(links.join(scale.select(*keys, "_id"), keys).join(many, "part").select(
-        "_id", "part", weight.cast("double").alias("weight"),
-        F.pmod(F.xxhash64("_id"), F.ceil(F.col("_pools") / BLOCK)).alias("_block")), "pool-links")
+    links = materialize(
+        links.join(scale.select(*keys, "_id"), keys).join(many, "part").join(parts.select("part", "_part"), "part").select(
+            "_id", "part", "_part", weight.cast("double").alias("weight"),
+            F.pmod(F.xxhash64("_id"), F.ceil(F.col("_pools") / BLOCK)).alias("_block")), "pool-links")
 
     components = range(k_max)
-    floor = VARIANCE_FLOOR / (F.col("_sd") * F.col("_sd"))
-    start = {}
-    for j in components:
-        start[f"_w{j}"] = F.when(F.lit(j) < F.col("_k"), 1 / F.col("_k")).otherwise(F.lit(0.0))
-        start[f"_m{j}"] = (2 * F.lit(float(j)) - F.col("_k") + 1) / F.col("_k")
-        start[f"_v{j}"] = F.lit(1.0)
-    start["_fit"] = F.lit(None).cast("double")
-    params = scale.select("_id", "_n", floor.alias("_floor"), "_mu", "_sd",
-                          *[e.alias(n) for n, e in start.items()])
-
     sums_of, names, parts_of = _step_sums(k_max)
+    floor = VARIANCE_FLOOR / (F.col("_sd") * F.col("_sd"))
+    params = scale.select("_id", "_n", floor.alias("_floor"), "_mu", "_sd").join(
+        _fit_cells(rows, parts, links, scale, k_max, iterations, tolerance), "_id", "left"
+    ).withColumns({  # a pool without labels has nothing to add up in any step
+        "_step": F.coalesce("_step", F.lit(iterations)), "_ends": F.coalesce("_ends", F.lit(True))})
+    params = materialize(params, "mixture-step")
+    settled = [params.filter("_ends")]
+    params = params.filter("NOT _ends")
+    unsettled = not params.isEmpty()
+    if unsettled:
+        dealt = F.pmod(F.xxhash64(label), F.ceil(F.col("_labels") / CHUNK))
+        cells = F.collect_list(F.struct(label.cast("double").alias("label"), copies.cast("double").alias("copies")))
+        chunks = materialize(
+            rows.filter(label.isNotNull()).join(parts.select("part", "_labels"), "part")
+            .groupBy("part", dealt.alias("_chunk")).agg(cells.alias("cells"))
+            .select("part", F.col("cells.label").alias("labels"), F.col("cells.copies").alias("copies"))
+            # the work is in the steps: a table of few megabytes still takes every core
+            .repartition(4 * rows.sparkSession.sparkContext.defaultParallelism),
+            "pool-chunks", ITERATED_ROW_GROUP_MB)
     types = ", ".join(f"{n} double" for n in [*parts_of, "_seen"])
-    settled = []
-    for step in range(1, iterations + 1):
+    while unsettled:
         # One row per part and block of pools.  Written out, its size is known: a small table
         # is broadcast and the labels are not shuffled.
         blocks = links.join(params, "_id").groupBy("part", "_block").agg(
@@ -291,16 +539,15 @@ def fit_pools(
         fit = F.col("_seen") / F.col("_n")
         params = sums.select(
             "_id", "_n", "_floor", "_mu", "_sd", *[update[n].alias(n) for n in names], fit.alias("_fit"),
-            F.abs(fit - F.col("_fit")).alias("_gain"))
+            F.abs(fit - F.col("_fit")).alias("_gain"), (F.col("_step") + 1).alias("_step"))
         # One row per pool.  Written out, because that cuts the lineage.
-        ends = F.coalesce(F.col("_gain") < tolerance, F.lit(False)) | F.lit(step == iterations)
+        ends = F.coalesce(F.col("_gain") < tolerance, F.lit(False)) | (F.col("_step") >= iterations)
         left = Observation()
-        params = materialize(params.withColumns({"_step": F.lit(step), "_ends": ends}).observe(
+        params = materialize(params.withColumn("_ends", ends).observe(
             left, F.count(F.when(~ends, 1)).alias("pools")), "mixture-step")
         settled.append(params.filter("_ends"))
         params = params.filter("NOT _ends")
-        if not left.get["pools"]:
-            break
+        unsettled = left.get["pools"] > 0
     # Steps in which no pool settled hold no result.
     settled = [s for s in settled if not s.isEmpty()] or settled[:1]
     final = reduce(DataFrame.unionByName, settled).join(scale.select(*keys, "_id"), "_id")
@@ -355,28 +602,30 @@ def nearest_mean(mixture: Column, y: Column) -> Column:
     return F.array_min(gaps)["mean"]
 
 
-def nearest_component_rmsre(mixture: Column, y: Column, swap: bool = False) -> Column:
+def nearest_component_rmsre(mixture: Column, y: Column, swap: bool = False, copies: Column | None = None) -> Column:
     """Relative error (aggregate) of the closest component mean.
 
-    ``swap`` divides by the prediction instead of the truth.
+    ``swap`` divides by the prediction instead of the truth; ``copies`` counts equal rows.
     """
     chosen = nearest_mean(mixture, y)
-    return errors.rmsre(chosen, y) if swap else errors.rmsre(y, chosen)
+    return errors.rmsre(chosen, y, copies) if swap else errors.rmsre(y, chosen, copies)
 
 
 def tune_pools(
     test: DataFrame, labels: DataFrame, links: DataFrame, label: str = "label",
-    counts: Sequence[int] = (1, 2, 3, 4, 5), iterations: int = MOST_STEPS,
+    counts: Sequence[int] = (1, 2, 3, 4, 5), iterations: int = MOST_STEPS, copies: str | None = None,
 ) -> DataFrame:
     """Relative error of the nearest component for each component count, all fitted together.
 
-    ``labels`` and ``links`` are as in :func:`fit_pools`, with the key ``pool``.
+    ``labels`` and ``links`` are as in :func:`fit_pools`, with the key ``pool``; ``copies`` names
+    the column that counts equal rows of ``test``.
     """
     tried = links.withColumn("num_component", F.explode(F.array(*[F.lit(c) for c in counts])))
     fitted = fit_pools(labels, tried, ["pool", "num_component"], "num_component", iterations, max(counts))
-    met = test.select("pool", label).join(fitted, "pool")
+    held = [] if copies is None else [copies]
+    met = test.select("pool", label, *held).join(fitted, "pool")
     return met.groupBy("num_component").agg(
-        nearest_component_rmsre(F.col("mixture"), F.col(label)).alias("rmsre")
+        nearest_component_rmsre(F.col("mixture"), F.col(label), copies=F.col(copies) if held else None).alias("rmsre")
     )
 
 

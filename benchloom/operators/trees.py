@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.digests import digests
 from ..session import materialize
 from .ranks import join_null_safe
 
@@ -50,11 +51,12 @@ def poisson_marks() -> list[str]:
 CELLS_HELD = 16_384  # cells whose sums a task holds at once
 
 
-def _drawn(by: Sequence[str], tall: Sequence[str], trees: int):
-    """Partial sums of draws and drawn labels per cell over a stream of ``by, tall, _y, _digest``.
+def _drawn(by: Sequence[str], tall: Sequence[str], trees: int, seed: str):
+    """Partial sums of draws and drawn labels per cell over a stream of ``by, tall, _y, _text``.
 
     A cell holds the values of ``by`` and, with ``tall``, the number and value of one of its columns.
     """
+    heads = [f"{seed}.{b}".encode() for b in range(-(-trees // (32 // DIGITS)))]
     marks = [int(m, 16) for m in poisson_marks()]
     draws = np.searchsorted(marks, np.arange(1 << 4 * DIGITS), side="right").astype(np.uint8)
 
@@ -80,10 +82,8 @@ def _drawn(by: Sequence[str], tall: Sequence[str], trees: int):
         for part in parts:
             if not part.num_rows:
                 continue
-            digest = part.column("_digest")
-            ends = np.frombuffer(digest.buffers()[1], np.int32)[digest.offset:digest.offset + part.num_rows + 1]
-            shown = np.frombuffer(digest.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(">u2")
-            drawn = draws[shown.reshape(part.num_rows, -1)[:, :trees]].astype(float)
+            shown = digests(part.column("_text"), heads).reshape(part.num_rows, -1).view(">u2")
+            drawn = draws[shown[:, :trees]]
             y = part.column("_y").fill_null(0.0).to_numpy(zero_copy_only=False)
             shared = codes(part, by)
             for at, name in enumerate(tall or [None]):
@@ -106,7 +106,7 @@ def _drawn(by: Sequence[str], tall: Sequence[str], trees: int):
                 found = [place.setdefault(c, len(place)) for c in zip(*(c.to_pylist() for c in cells))]
                 if len(place) > len(both):
                     both = np.concatenate([both, np.zeros((max(len(place), 2 * len(both)) - len(both), 2, trees))])
-                weights, labels = drawn[rows], y[rows]
+                weights, labels = drawn[rows].astype(float), y[rows]
                 weighed = np.stack([np.ones(len(rows)), labels])
                 plain = np.isfinite(labels).all()
                 for to, a, b in zip(found, starts.tolist(), [*starts[1:].tolist(), len(rows)]):
@@ -151,15 +151,14 @@ def tree_sums(rows: DataFrame, by: Sequence[str], y: str, unique: Sequence[str],
     whole = whole.select(*cell, F.lit(False).alias("bootstrap"), F.lit(0).alias("tree"), "w", "s")
     if not trees:
         return whole
-    per = 32 // DIGITS
-    digests = F.concat(*[F.unhex(scalars.order_key(f"{seed}.{b}", *[F.col(c) for c in unique]))
-                         for b in range(-(-trees // per))])
-    fed = rows.select(*by, *tall.values(), label, digests.alias("_digest"))
+    # What order_key writes behind the seed: its digests are taken of whole batches.
+    text = F.concat_ws("|", F.lit(""), *[F.col(c).cast("string") for c in unique])
+    fed = rows.select(*by, *tall.values(), label, text.alias("_text"))
     kinds = {f.name: f.dataType.simpleString() for f in fed.schema}
     shape = [f"`{c}` {kinds[c]}" for c in by]
     if tall:
         shape += ["_at int", f"_x {kinds[next(iter(tall.values()))]}"]
-    drawn = fed.mapInArrow(_drawn(by, list(tall.values()), trees),
+    drawn = fed.mapInArrow(_drawn(by, list(tall.values()), trees, seed),
                            ", ".join([*shape, "w array<double>", "s array<double>"]))
     if tall:
         drawn = drawn.withColumn("feature", F.element_at(F.array(*map(F.lit, tall)), F.col("_at") + 1))
@@ -214,6 +213,7 @@ def grow(cells: DataFrame, keys: Sequence[str], features: Sequence[str], max_dep
     min_leaf = F.lit(min_leaf) if isinstance(min_leaf, int) else min_leaf
     min_split = F.lit(min_split) if isinstance(min_split, int) else min_split
     known = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in features])
+    cells = materialize(cells, "tree-sums")  # read twice, and costly to make
     alive = cells.groupBy(*keys).agg(F.sum("w").alias("_w")).filter("_w > 0").drop("_w")
     active = materialize(join_null_safe(cells.filter(known), alive, keys, "inner")
                          .withColumn("node", F.lit(1).cast("bigint")), "tree-cells")

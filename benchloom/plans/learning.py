@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import mixtures, models, neighbours, prep, trees
+from ..session import materialize
 from .registry import query, r6
 
 # Line items are runs: quantity, discount and tax are knobs, the price is the measurement.
@@ -463,16 +464,23 @@ def prediction_sweep(t):
 
 
 def _leaves(t, n_trees=100, depth=2):
-    """Train and test rows, prices in cents, with the leaves of a forest fitted on quantity."""
-    halves = [models.with_folds(_cents(t), UNIQUE, 2, "1").filter(f"fold = {i}")
-              .withColumnRenamed(Y, "label") for i in (0, 1)]
-    train, test = mixtures.forest_leaves(*halves, [X], "label", UNIQUE, n_trees, depth)
-    return mixtures.number_leaves(train, test)
+    """Quantities of the train and the test rows with the leaves of a forest fitted on them, and
+    the rows of both (prices in cents), counted by quantity and price and as they are."""
+    rows = models.with_folds(_cents(t), UNIQUE, 2, "1").withColumnRenamed(Y, "label")
+    counts = materialize(rows.groupBy("fold", X, "label").agg(F.count(F.lit(1)).alias("copies")), "counts")
+    halves, counted = ([df.filter(f"fold = {i}") for i in (0, 1)] for df in (rows, counts))
+    met = [c.select(X).distinct() for c in counted]
+    vectors = mixtures.number_leaves(
+        *mixtures.forest_leaves(*halves, [X], "label", UNIQUE, n_trees, depth, frames=met))
+    return vectors, counted, halves
 
 
 def _pools(t):
-    train, test = _leaves(t)
-    return test, *mixtures.pool_parts(test, train)
+    """Label pools (parts and links), the test rows counted and as they are, with their pools."""
+    (train_at, test_at), (train, test), (_, rows) = _leaves(t)
+    numbers = test_at.select(X, "pool")
+    parts = mixtures.pool_parts(test_at, train.join(train_at.select(X, "pool"), X), copies="copies", vectors=train_at)
+    return (*parts, test.join(numbers, X), rows.join(numbers, X))
 
 
 def _pool_labels(n_trees: int = 100, asked: str = "fold = 1", depth: int = 2) -> str:
@@ -625,7 +633,7 @@ def forest_sample_pool(t):
     WITH RECURSIVE {_pool_labels()}, asked AS (SELECT * FROM pools), {_em('pool', 2, '2')} {_COMPONENTS}
     """)
 def fit_mixture(t):
-    _, labels, links = _pools(t)
+    labels, links, _, _ = _pools(t)
     return _components(mixtures.fit_pools(labels, links, ["pool"], 2))
 
 
@@ -648,13 +656,14 @@ def fit_mixture_single(t):
     WITH RECURSIVE {_pool_labels(1, 'true')}, asked AS (SELECT * FROM pools), {_em('pool', 2, '2')} {_COMPONENTS}
     """)
 def tree_mixture(t):
-    train, test = _leaves(t, n_trees=1)
-    labels, links = mixtures.pool_parts(train.unionByName(test), train)
+    (train_at, test_at), (train, _), _ = _leaves(t, n_trees=1)
+    labels, links = mixtures.pool_parts(train_at.unionByName(test_at), train.join(train_at.select(X, "pool"), X),
+                                        copies="copies", vectors=train_at)
     return _components(mixtures.fit_pools(labels, links, ["pool"], 2))
 
 
 def _with_mixture(t):
-    test, labels, links = _pools(t)
+    labels, links, _, test = _pools(t)
     return test.join(mixtures.fit_pools(labels, links, ["pool"], 2), "pool")
 
 
@@ -711,7 +720,8 @@ def nearest_component_rmsre(t):
     SELECT num_component, round(sqrt(avg(((y - chosen) / y) ** 2)), 6) AS rmsre FROM nearest GROUP BY num_component
     """)
 def tune_components(t):
-    return mixtures.tune_pools(*_pools(t)).withColumn("rmsre", r6("rmsre"))
+    labels, links, test, _ = _pools(t)
+    return mixtures.tune_pools(test, labels, links, copies="copies").withColumn("rmsre", r6("rmsre"))
 
 
 @query(

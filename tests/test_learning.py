@@ -3,10 +3,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from benchloom.functions import errors
+from benchloom.functions import digests, errors
 from benchloom.operators import mixtures, models, prep, ranks, trees
 from benchloom.operators import neighbours
 from benchloom.operators.neighbours import knn_regress, knn_regress_vectors, nearest, nearest_vectors, outermost
@@ -706,3 +707,123 @@ def test_fit_deals_crowded_partitions_anew(spark, monkeypatch):
     monkeypatch.setattr(models, "FIT_ROWS", 10)
     sizes = models.fit(Seen(), rows)
     assert sum(sizes) == 100 and max(sizes) <= 10
+
+
+def stepped(x, n, k, iterations):
+    """Expectation maximisation over all labels in arrays: steps, and components by rising mean."""
+    mu = (x * n).sum() / n.sum()
+    sd = math.sqrt((n * (x - mu) ** 2).sum() / n.sum())
+    z, w, m, v = (x - mu) / sd, np.full(k, 1 / k), (2.0 * np.arange(k) - k + 1) / k, np.ones(k)
+    fit = None
+    for step in range(1, iterations + 1):
+        log = np.log(w) - 0.5 * (np.log(2 * math.pi * v) + (z[:, None] - m) ** 2 / v)
+        top = log.max(1, keepdims=True)
+        share = np.exp(log - top)
+        seen = ((top + np.log(share.sum(1, keepdims=True)))[:, 0] * n).sum() / n.sum()
+        share *= n[:, None] / share.sum(1, keepdims=True)
+        w = share.sum(0)
+        old, m = m, (share * z[:, None]).sum(0) / w
+        v = (share * (z[:, None] - old) ** 2).sum(0) / w - (m - old) ** 2 + mixtures.VARIANCE_FLOOR / sd ** 2
+        w /= n.sum()
+        if fit is not None and abs(seen - fit) < mixtures.TOLERANCE:
+            break
+        fit = seen
+    return step, sorted(zip(m * sd + mu, v * sd * sd, w))
+
+
+def spied(monkeypatch):
+    written, real = [], mixtures.materialize
+    monkeypatch.setattr(mixtures, "materialize", lambda df, name, *a: (written.append(name), real(df, name, *a))[1])
+    return written
+
+
+def test_pools_of_many_labels_settle_in_one_pass(spark, monkeypatch):
+    """Sums at the points of cells give the mixture of all labels, without a job per step."""
+    draw = np.random.default_rng(5)
+    values = np.unique(np.round(np.r_[draw.uniform(0, 4000, 30_000), draw.lognormal(7, 0.6, 10_000), [1e6, -7e4]], 2))
+    # few and many labels of a cell in one part, and a part that two pools share
+    labels = spark.createDataFrame([(i % 3 if i % 50 else 3, float(x), 1 + i % 4) for i, x in enumerate(values)],
+                                   "part int, label double, copies int")
+    pairs = {"a": {0: 1, 1: 2, 3: 5}, "b": {1: 1, 2: 3}}
+    links = spark.createDataFrame([(p, q, w) for p, of in pairs.items() for q, w in of.items()],
+                                  "pool string, part int, weight int")
+    tried = links.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))))
+    monkeypatch.setattr(mixtures, "CELLS", 512)
+    written = spied(monkeypatch)
+    fitted = mixtures.fit_pools(labels, tried, ["pool", "k"], "k", 25, 4).collect()
+    assert "mixture-pools" not in written and len(fitted) == 6
+    i = np.arange(len(values))
+    part, copies = np.where(i % 50 > 0, i % 3, 3), 1 + i % 4
+    for r in fitted:
+        n = copies * np.array([pairs[r.pool].get(q, 0) for q in range(4)])[part]
+        steps, expected = stepped(values, n.astype(float), r.k, 25)
+        assert (r.steps, len(r.mixture)) == (steps, r.k)
+        for a, b in zip(r.mixture, expected, strict=True):
+            assert tuple(a) == pytest.approx(b, rel=1e-8)
+
+
+def test_components_too_narrow_for_cells_take_all_labels(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    values = np.unique(np.r_[draw.uniform(0, 1000, 30_000), draw.normal(700, 0.01, 30_000)])
+    labels = spark.createDataFrame([(0, float(x), 1) for x in values], "part int, label double, copies int")
+    links = spark.createDataFrame([(0, 0, 1)], "pool int, part int, weight int")
+    monkeypatch.setattr(mixtures, "CELLS", 512)
+    written = spied(monkeypatch)
+    (r,) = mixtures.fit_pools(labels, links, ["pool"], 2, 8).collect()
+    assert "pool-steps" in written and "mixture-pools" in written
+    steps, expected = stepped(values, np.ones(len(values)), 2, 8)
+    assert r.steps == steps == 8 and not r.converged
+    for a, b in zip(r.mixture, expected, strict=True):
+        assert tuple(a) == pytest.approx(b, rel=1e-8)
+
+
+def test_pools_without_known_labels(spark):
+    labels = spark.createDataFrame([(0, None, 3), (1, 4.0, 2), (1, None, 1)], "part int, label double, copies int")
+    links = spark.createDataFrame([(p, p, 1) for p in range(2)], "pool int, part int, weight int")
+    got = {r.pool: r for r in mixtures.fit_pools(labels, links, ["pool"], 2, 5).collect()}
+    assert (got[0].mixture, got[0].steps, got[0].converged) == ([], 5, False)
+    assert sum(c.weight for c in got[1].mixture) == pytest.approx(2 / 3)
+
+
+def test_counted_rows_stand_for_rows(spark):
+    rows = [([i % 3, i % 2], float(i % 4), 1 + i % 2) for i in range(24)]
+    counted = spark.createDataFrame(rows, "leaves array<int>, label double, copies int")
+    plain = spark.createDataFrame([r[:2] for r in rows for _ in range(r[2])], "leaves array<int>, label double")
+    (plain,), (counted,) = mixtures.number_leaves(plain), mixtures.number_leaves(counted)
+    expected = [sorted(map(tuple, df.collect())) for df in mixtures.pool_parts(plain, plain)]
+    vectors = counted.select("pool", "leaves").distinct()
+    got = mixtures.pool_parts(vectors, counted.drop("leaves"), copies="copies", vectors=vectors)
+    assert [sorted(map(tuple, df.collect())) for df in got] == expected
+    pairs = [(4.0, 5.0, 3), (2.0, 1.0, 1), (None, 1.0, 2), (8.0, None, 4)]
+    y, p, n = (F.col(c) for c in "ypn")
+    whole = spark.createDataFrame([r[:2] for r in pairs for _ in range(r[2])], "y double, p double")
+    held = spark.createDataFrame(pairs, "y double, p double, n int")
+    assert held.agg(errors.rmsre(y, p, n)).first()[0] == pytest.approx(whole.agg(errors.rmsre(y, p)).first()[0])
+    assert held.limit(0).agg(errors.rmsre(y, p, n)).first()[0] is None
+
+
+def test_grow_makes_its_cells_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+
+    cells = spark.createDataFrame([(i % 2, float(i), 1.0, float(i * i)) for i in range(20)],
+                                  "k int, x double, w double, s double")
+    trees.grow(cells.mapInArrow(counted, cells.schema), ["k"], ["x"], 2)[1].count()
+    assert made.value == 20
+
+
+def test_digests_of_batches():
+    draw = random.Random(4)
+    texts = ["", "|", "|7", "é" * 20, "x" * 49, "y" * 50, "z" * 51, "w" * 300] + [
+        "|" + str(draw.randrange(10 ** draw.randrange(1, 19))) for _ in range(300)]
+    heads = [b"42.0", b"42.9", b"42.10", b"", b"long head "]
+    whole = pa.array(texts)
+    found = digests.digests(whole, heads)
+    assert [[d.tobytes() for d in row] for row in found] == [
+        [hashlib.md5(h + t.encode()).digest() for h in heads] for t in texts]
+    assert (digests.digests(whole.slice(3, 40), heads) == found[3:43]).all()
+    assert digests.digests(whole.slice(0, 0), heads).shape == (0, 5, 16)
